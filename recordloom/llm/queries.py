@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sharding, url_filter
+from . import bpe, language_id, sharding, toxicity, url_filter
 from .common import table
 
 SHARDS = 16
@@ -41,6 +41,32 @@ FROM chosen
 """
 
 
+def held_out() -> Column:
+    """The rows that no model learns labels from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model | None:
+    learnt = labels.filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return toxicity.fit(docs.select("doc_id", "text").filter(~held_out()).join(learnt, "doc_id", "left"), "doc_id", "text", "toxic")
+
+
+TOXIC_AT = 0.3
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), "text", model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.filter(~held_out()), "doc_id", "text", "lang")
+    return language_id.predict(docs, "doc_id", "text", model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     host, path = url_filter.split_url(F.coalesce("url", F.lit("")))
@@ -67,5 +93,5 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op6_url_filters": op6_url_filters, "op7_bpe": op7_bpe}
+QUERIES = {"op2_sharding": op2_sharding, "op3_toxicity": op3_toxicity, "op8_language_id": op8_language_id, "op6_url_filters": op6_url_filters, "op7_bpe": op7_bpe}
 SQL = {"op2_sharding": OP2_SQL}
