@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, sharding, toxicity, url_filter
+from . import bpe, language_id, near_dedup, sharding, toxicity, url_filter
 from .common import table
 
 SHARDS = 16
@@ -48,7 +48,7 @@ def held_out() -> Column:
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model | None:
     learnt = labels.filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return toxicity.fit(docs.select("doc_id", "text").filter(~held_out()).join(learnt, "doc_id", "left"), "doc_id", "text", "toxic")
+    return toxicity.fit(docs.filter(~held_out()), learnt, "doc_id", "text", "toxic")
 
 
 TOXIC_AT = 0.3
@@ -83,9 +83,8 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.encode_texts(docs, "text", ranks, public_tokenizers.PATTERN).select("doc_id", "token_ids")
-    decoded = bpe.decode_ids(coded, "token_ids", ranks)
-    return decoded.select(
+    both = bpe.round_trip(docs, "text", ranks, public_tokenizers.PATTERN)
+    return both.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("token_ids", " "), 256).alias("ids_sha256"),
@@ -93,5 +92,9 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op3_toxicity": op3_toxicity, "op8_language_id": op8_language_id, "op6_url_filters": op6_url_filters, "op7_bpe": op7_bpe}
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {"op9_near_dedup": op9_near_dedup, "op2_sharding": op2_sharding, "op3_toxicity": op3_toxicity, "op8_language_id": op8_language_id, "op6_url_filters": op6_url_filters, "op7_bpe": op7_bpe}
 SQL = {"op2_sharding": OP2_SQL}
