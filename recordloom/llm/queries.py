@@ -6,9 +6,22 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, near_dedup, sharding, toxicity, url_filter
+from . import bpe, decontamination, language_id, line_dedup, near_dedup, sharding, toxicity, url_filter
 from .common import table
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    gone = line_dedup.repeated_lines(docs, "doc_id", "text").withColumnRenamed("doc_id", "_doc")
+    sizes = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    joined = sizes.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return joined.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))
+
+
 SHARDS = 16
 #: (verdict, host, path prefix) of op6.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -96,5 +109,5 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"op9_near_dedup": op9_near_dedup, "op2_sharding": op2_sharding, "op3_toxicity": op3_toxicity, "op8_language_id": op8_language_id, "op6_url_filters": op6_url_filters, "op7_bpe": op7_bpe}
+QUERIES = {"op1_decontamination": op1_decontamination, "op5_line_dedup": op5_line_dedup, "op9_near_dedup": op9_near_dedup, "op2_sharding": op2_sharding, "op3_toxicity": op3_toxicity, "op8_language_id": op8_language_id, "op6_url_filters": op6_url_filters, "op7_bpe": op7_bpe}
 SQL = {"op2_sharding": OP2_SQL}
