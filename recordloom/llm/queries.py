@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language_id, line_dedup, near_dedup, sharding, toxicity, url_filter
+from . import ann, bpe, decontamination, html_extract, language_id, line_dedup, near_dedup, sharding, toxicity, url_filter
 from .common import table
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,5 +109,15 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op5_line_dedup": op5_line_dedup, "op9_near_dedup": op9_near_dedup, "op2_sharding": op2_sharding, "op3_toxicity": op3_toxicity, "op8_language_id": op8_language_id, "op6_url_filters": op6_url_filters, "op7_bpe": op7_bpe}
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").withColumn("_site", url_filter.split_url(F.coalesce("url", F.lit("")))[0])
+    out = html_extract.extract(pages, "page_id", "url", "_site", "html")
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 20 == 0)
+
+
+QUERIES = {"op4_html_extraction": op4_html_extraction, "op10_ann": op10_ann, "op1_decontamination": op1_decontamination, "op5_line_dedup": op5_line_dedup, "op9_near_dedup": op9_near_dedup, "op2_sharding": op2_sharding, "op3_toxicity": op3_toxicity, "op8_language_id": op8_language_id, "op6_url_filters": op6_url_filters, "op7_bpe": op7_bpe}
 SQL = {"op2_sharding": OP2_SQL}
