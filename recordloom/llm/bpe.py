@@ -13,20 +13,22 @@ text; lone surrogates can't occur in Spark strings; other columns are left alone
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Pieces whose ids a Python worker keeps; the store is emptied when it is larger.
 CACHED_PIECES = 300_000
 #: Code points of text that are split before their unknown pieces are encoded together.
 CHUNK_CHARS = 400_000
+#: Bytes of a column that go through the codec before their results leave the Python worker.
+CHUNK_BYTES = 2_000_000
 #: Pieces of more bytes are encoded one by one.
 TOGETHER_BYTES = 64
 _NONE = 1 << 60
@@ -198,37 +200,52 @@ def _ship(spark: SparkSession, path: str) -> str:
     return name
 
 
-def encode_column(spark: SparkSession, text: Column, ranks_path: str, pattern: str) -> Column:
-    """array<int>: the ids of each text. ``ranks_path`` is a file of the driver or a URI."""
-    name = _ship(spark, ranks_path)
+def _pass(df: DataFrame, ranks_path: str, pattern: str, column: str, out: dict[str, str], work: Callable[[Codec, pa.Array], list[pa.Array]]) -> DataFrame:
+    """``df`` without ``column``, with the columns ``out``. Batches are cut into pieces of about
+    CHUNK_BYTES of ``column`` before the work, which bounds a task's memory."""
+    name = _ship(df.sparkSession, ranks_path)
+    kept = [f for f in df.schema.fields if f.name != column and f.name not in out]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{k}` {v}" for k, v in out.items())])
+    rows = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{column}`").alias("_in"))
 
-    @F.pandas_udf("array<int>")
-    def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(name, pattern)
-        for batch in texts:
-            yield pd.Series(list(codec.encode_all([t or "" for t in batch])), dtype=object)
+        for batch in batches:
+            at, step = 0, max(1, batch.num_rows * CHUNK_BYTES // max(1, batch.column(len(kept)).nbytes))
+            while at < batch.num_rows:
+                part = batch.slice(at, step)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *work(codec, part.columns[-1])], names=[f.name for f in kept] + list(out))
+                at += step
 
-    return encode(text)
+    return rows.mapInArrow(run, schema)
 
 
-def decode_column(spark: SparkSession, ids: Column, ranks_path: str) -> Column:
-    """binary: the bytes of each array of ids; null where the array is null."""
-    name = _ship(spark, ranks_path)
+def _encoded(codec: Codec, texts: pa.Array) -> list[np.ndarray]:
+    return list(codec.encode_all([t or "" for t in texts.to_pylist()]))
 
-    @F.pandas_udf("binary")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = _codec(name, "")
-        for batch in batches:
-            yield pd.Series([None if x is None else codec.decode(x.tolist()) for x in batch], dtype=object)
 
-    return decode(ids)
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
 
 
 def encode_texts(df: DataFrame, text: str, ranks_path: str, pattern: str, into: str = "token_ids") -> DataFrame:
-    """``df`` with a column of ids."""
-    return df.withColumn(into, encode_column(df.sparkSession, F.col(text), ranks_path, pattern))
+    """``df`` with an array<int> column of ids in place of the texts. ``ranks_path`` is a file of
+    the driver or a URI."""
+    return _pass(df, ranks_path, pattern, text, {into: "array<int>"}, lambda codec, texts: [_lists(_encoded(codec, texts))])
 
 
 def decode_ids(df: DataFrame, ids: str, ranks_path: str, into: str = "decoded") -> DataFrame:
-    """``df`` with a column of the decoded bytes."""
-    return df.withColumn(into, decode_column(df.sparkSession, F.col(ids), ranks_path))
+    """``df`` with a column of decoded bytes in place of the ids; null ids decode to nothing."""
+    return _pass(df, ranks_path, "", ids, {into: "binary"}, lambda codec, rows: [pa.array([codec.decode(x or []) for x in rows.to_pylist()], pa.binary())])
+
+
+def round_trip(df: DataFrame, text: str, ranks_path: str, pattern: str) -> DataFrame:
+    """``df`` with token_ids and decoded, the bytes that those ids stand for, in place of the
+    texts: both ways in one pass."""
+
+    def work(codec: Codec, texts: pa.Array) -> list[pa.Array]:
+        ids = _encoded(codec, texts)
+        return [_lists(ids), pa.array([codec.decode(x.tolist()) for x in ids], pa.binary())]
+
+    return _pass(df, ranks_path, pattern, text, {"token_ids": "array<int>", "decoded": "binary"}, work)
