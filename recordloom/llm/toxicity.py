@@ -82,18 +82,24 @@ def train(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior:
     return w[:-1], float(w[-1])
 
 
-def fit(df: DataFrame, key: str, text: str, label: str, positives: int = 3000, unlabelled: int = 9000, kept: int = 4096, least: int = 4, z: float = 6.0, prior: float | None = None, seed: int = 3) -> Model | None:
-    """The model of ``df``: label 1 marks confirmed rows, all rows are the unlabelled text.
-    None without a confirmed row."""
-    rows = df.select(F.col(key).cast("string").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(label).cast("int").alias("y"))
-    total = rows.agg(F.count("*").alias("n"), F.count("y").alias("labelled"), F.count_if(F.col("y") == 1).alias("toxic")).first()
+def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, positives: int = 3000, unlabelled: int = 9000, kept: int = 4096, least: int = 4, z: float = 6.0, prior: float | None = None, seed: int = 3) -> Model | None:
+    """The model of ``docs``, all of which are unlabelled text; ``labels`` has the label of some
+    keys, one row each, and label 1 marks confirmed texts. None without a confirmed one.
+
+    The keys of the confirmed sample (a bounded number) are chosen first, so that no text is
+    shuffled."""
+    known = labels.select(F.col(key).cast("string").alias("k"), F.col(label).cast("int").alias("y")).filter(F.col("k").isNotNull() & F.col("y").isNotNull())
+    total = known.agg(F.count("*").alias("labelled"), F.count_if(F.col("y") == 1).alias("toxic")).first()
     if not total["toxic"]:
         return None
     prior = min(0.5, max(1e-4, prior or total["toxic"] / total["labelled"]))
-    draw = (F.pmod(F.xxhash64(F.lit(seed), "k", "t"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    confirmed = F.col("y") == 1
-    sample = rows.withColumn("draw", draw).withColumn("in_p", F.coalesce(confirmed, F.lit(False)) & (F.col("draw") < positives / total["toxic"])).withColumn("in_u", F.col("draw") < unlabelled / total["n"])
-    sample = cut(sample.filter("in_p or in_u").select("t", "in_p", "in_u"), "toxicity-sample")
+    n = docs.count()
+    draw = lambda *c: (F.pmod(F.xxhash64(F.lit(seed), *c), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    confirmed = [r["k"] for r in known.filter((F.col("y") == 1) & (draw("k") < positives / total["toxic"])).select("k").distinct().collect()]
+    rows = docs.select(F.col(key).cast("string").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    chosen = F.broadcast(docs.sparkSession.createDataFrame([(k, True) for k in confirmed], "k string, in_p boolean"))  # about ``positives`` rows
+    sample = rows.join(chosen, "k", "left").select("t", F.coalesce("in_p", F.lit(False)).alias("in_p"), (draw("k", "t") < unlabelled / max(1, n)).alias("in_u"))
+    sample = cut(sample.filter("in_p or in_u"), "toxicity-sample")
     sizes = sample.agg(F.count_if("in_p").alias("p"), F.count_if("in_u").alias("u")).first()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,6 +112,8 @@ def fit(df: DataFrame, key: str, text: str, label: str, positives: int = 3000, u
         ids = np.flatnonzero(sums[0])  # others can't be kept: no confirmed text has them
         yield pd.DataFrame({"id": ids, "p": sums[0, ids], "u": sums[1, ids]})
 
+    if not sizes["p"]:
+        return None
     a, b = F.col("p") / sizes["p"], F.col("u") / max(1, sizes["u"])
     pooled = (F.col("p") + F.col("u")) / (sizes["p"] + sizes["u"])
     score = (a - b) / F.sqrt(pooled * (1 - pooled) * (1 / sizes["p"] + 1 / max(1, sizes["u"])) + 1e-12)
@@ -113,7 +121,7 @@ def fit(df: DataFrame, key: str, text: str, label: str, positives: int = 3000, u
     best = by_id.filter(F.col("p") >= least).withColumn("z", score).filter(F.col("z") >= z).orderBy(F.desc("z"), "id").limit(kept).collect()
     ids = np.array([r["id"] for r in best], dtype=np.int64)
     blank = Model(ids, np.zeros(len(ids)), 0.0)
-    shared = df.sparkSession.sparkContext.broadcast(blank)
+    shared = docs.sparkSession.sparkContext.broadcast(blank)
 
     def numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, slots = np.zeros(1 << BITS, dtype=np.int32), shared.value.slots()
