@@ -9,7 +9,7 @@ similarity of their sets is at least ``num / den``. Steps:
    posted only under its rarest pairs, COORDINATES - MATCHES + 1 less those that no other
    node has (prefix), and not at all if too few are left (skip).
 3. Prune: shingles that occur in no other posted node are counted. They bound a node's
-   intersection with any other, and so rule out nodes and, later, pairs.
+   intersection with any other, as do bitmaps, and so rule out nodes and, later, pairs.
 4. Lead: in every list the node with most shared pairs leads. A few rounds compare each
    node with one leader and merge what is linked, so that large groups of near copies
    become one component without all their pairs.
@@ -40,6 +40,8 @@ from .components import components
 COORDINATES = 64
 MATCHES = 33
 ROUNDS = 3
+#: Bits of a set's bitmap.
+BITS = 2048
 _rng = np.random.default_rng(9)
 _XOR = _rng.integers(1 << 63, size=(COORDINATES, 1), dtype=np.uint64) * np.uint64(2)
 _TIMES = _rng.integers(1 << 63, size=(COORDINATES, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -90,32 +92,61 @@ def _postings(reps: DataFrame) -> DataFrame:
     return found.filter(F.size("found") >= MATCHES).select("node", F.size("found").alias("shared"), F.aggregate("found", F.lit(0).cast("long"), lambda s, x: s + x["freq"]).alias("weight"), F.slice("found", F.lit(1), room).getField("pair").alias("prefix"))
 
 
+def bitmap(ids: np.ndarray) -> np.ndarray:
+    """A bit for each shingle, by its low bits: a bit of one set that another lacks stands for a
+    shingle at least that the other lacks."""
+    flags = np.zeros(BITS, dtype=np.uint8)
+    flags[(ids & np.uint64(BITS - 1)).astype(np.int64)] = 1
+    return np.packbits(flags).view(np.int64)
+
+
 def _sets(df: DataFrame) -> DataFrame:
-    """node and its sorted shingles, from node and text."""
+    """node, its sorted shingles and their bitmap, from node and text."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for k in range(0, len(b), 256):
                 part = b.iloc[k : k + 256]
-                yield pd.DataFrame({"node": part["node"], "ids": [shingles.shingle_set(t).view(np.int64) for t in part["t"]]})
+                sets = [shingles.shingle_set(t) for t in part["t"]]
+                yield pd.DataFrame({"node": part["node"], "ids": [s.view(np.int64) for s in sets], "bits": [bitmap(s) for s in sets]})
+
+    return df.mapInPandas(build, "node long, ids array<long>, bits array<long>")
+
+
+def _only(a: Column, b: Column) -> Column:
+    """How many bits of bitmap ``a`` are not in ``b``."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, x: s + x)
+
+
+def _roomy(num: int, den: int, a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Whether the shingles that each of two nodes shares with any node suffice for a link."""
+    return _bar(num, den, F.least(a["common"], b["common"]), a["n_shingles"], b["n_shingles"])
+
+
+def _possible(num: int, den: int, a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Whether the shingles that the bitmaps don't tell apart suffice for a link."""
+    tight = F.least(a["n_shingles"] - _only(a["bits"], b["bits"]), b["n_shingles"] - _only(b["bits"], a["bits"]))
+    return _bar(num, den, tight, a["n_shingles"], b["n_shingles"])
+
 
-    return df.mapInPandas(build, "node long, ids array<long>")
+_SIDE = ("n_shingles", "common", "bits", "signature")
 
 
 def _shared(sets: DataFrame) -> DataFrame:
-    """node and common: how many of its shingles occur in another node. The intersection with
+    """node, bits and common: how many of its shingles occur in another node. The intersection with
     any other set is no larger."""
     each = sets.select("node", F.explode("ids").alias("id"))
     own = each.groupBy("id").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
-    return sets.join(own, "node", "left").select("node", (F.size("ids") - F.coalesce("own", F.lit(0))).alias("common"))
+    return sets.select("node", "ids", "bits").join(own, "node", "left").select("node", "bits", (F.size("ids") - F.coalesce("own", F.lit(0))).alias("common"))
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The linked ones of ``pairs`` (a, b): sizes and coordinates first, then the sets."""
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("signature").alias(f"s{c}"), F.col("n_shingles").alias(f"n{c}"), F.col("common").alias(f"c{c}"))
+    side = lambda c: nodes.select(F.col("node").alias(c), F.struct(*_SIDE).alias(f"of_{c}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    alike = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    close = both.filter(_bar(num, den, F.least("ca", "cb"), F.col("na"), F.col("nb")) & (alike >= MATCHES)).select("a", "b")
+    a, b = ({n: F.col(f"of_{c}.{n}") for n in _SIDE} for c in "ab")
+    alike = F.aggregate(F.zip_with(a["signature"], b["signature"], lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    close = both.filter(F.when(_roomy(num, den, a, b), F.when(alike >= MATCHES, _possible(num, den, a, b)))).select("a", "b")
     near = close.join(sets.select(F.col("node").alias("a"), F.col("ids").alias("ia")), "a").join(sets.select(F.col("node").alias("b"), F.col("ids").alias("ib")), "b")
     return near.filter(_bar(num, den, F.size(F.array_intersect("ia", "ib")), F.size("ia"), F.size("ib"))).select("a", "b")
 
@@ -128,7 +159,7 @@ def _new(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _links(nodes: DataFrame, sets: DataFrame, num: int, den: int, rounds: int) -> DataFrame:
-    """node and label of every node that has a link. ``nodes``: node, n_shingles, common, signature, weight, prefix."""
+    """node and label of every node that has a link. ``nodes``: node, n_shingles, common, bits, signature, weight, prefix."""
     lists = nodes.select("node", "weight", F.explode("prefix").alias("pair"))
     leaders = lists.groupBy("pair").agg(F.max(F.struct("weight", "node")).alias("first"))
     rivals = lists.select("node", "pair").join(leaders, "pair").filter(F.col("node") != F.col("first.node")).groupBy("node", "first").agg(F.count("*").alias("hits"))
@@ -142,17 +173,18 @@ def _links(nodes: DataFrame, sets: DataFrame, num: int, den: int, rounds: int) -
         if k == 0 or not found.isEmpty():
             labels = components(links)
     # What the leaders left open: pairs of one list in different components, at their first common list.
-    placed = lists.select("node", "pair").join(nodes.select("node", "n_shingles", "common", "prefix"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = lists.select("node", "pair").join(nodes.select("node", "n_shingles", "common", "bits", "prefix"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = placed.groupBy("pair").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("pair")
-    open_ = cut(placed.join(mixed, "pair").select("pair", "node", "label", "n_shingles", "common", "prefix"), "open-lists")
+    open_ = cut(placed.join(mixed, "pair").select("pair", "node", "label", "n_shingles", "common", "bits", "prefix"), "open-lists")
     x, y = open_.alias("x"), open_.alias("y")
+    one, other = ({n: F.col(f"{t}.{n}") for n in _SIDE[:3]} for t in "xy")
     pairs = x.join(
         y,
         (F.col("x.pair") == F.col("y.pair")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
-        & _bar(num, den, F.least("x.common", "y.common"), F.col("x.n_shingles"), F.col("y.n_shingles"))
-        & (F.array_min(F.array_intersect("x.prefix", "y.prefix")) == F.col("x.pair")),
+        # Nested, so that the dearer tests run only where the cheaper ones pass.
+        & F.when(_roomy(num, den, one, other), F.when(F.array_min(F.array_intersect("x.prefix", "y.prefix")) == F.col("x.pair"), _possible(num, den, one, other))),
     ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    rest = cut(_verified(pairs, nodes, sets, num, den), "links-rest")
+    rest = cut(_verified(cut(pairs, "open-pairs"), nodes, sets, num, den), "links-rest")
     return labels if rest.isEmpty() else components(links.union(rest))
 
 
@@ -167,7 +199,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, num: int = 75, den: int
     texts = source.join(nodes.select("key", "digest", "node"), (source["digest"] == nodes["digest"]) & source["key"].eqNullSafe(nodes["key"]))
     sets = cut(_sets(texts.select("node", "t")).dropDuplicates(["node"]), "sets")
     nodes = nodes.join(_shared(sets), "node").filter(den * F.col("common") >= num * F.col("n_shingles"))
-    nodes = cut(nodes.select("node", "n_shingles", "common", "signature", "weight", "prefix"), "able-nodes")
+    nodes = cut(nodes.select("node", "n_shingles", "common", "bits", "signature", "weight", "prefix"), "able-nodes")
     labels = _links(nodes, sets, num, den, rounds)
     least = groups.join(labels, "node").groupBy("label").agg(F.min("least").alias("component_id"))
     found = groups.join(labels.join(least, "label"), "node", "left").select("s1", "s2", F.coalesce("component_id", "least").alias("component_id"))
