@@ -1,0 +1,53 @@
+"""Report aggregates."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from recordloom.functions import scoring as S
+
+
+def year_histogram(rows: DataFrame, year: str, relevant: Column) -> DataFrame:
+    """year, total, highly_relevant; years without rows between the ends count 0."""
+    counts = rows.filter(F.col(year).isNotNull()).groupBy(F.col(year).alias("year")).agg(F.count("*").alias("total"), F.count_if(relevant).alias("highly_relevant"))
+    years = counts.agg(F.explode(F.sequence(F.min("year"), F.max("year"))).alias("year"))
+    return years.join(counts, "year", "left").fillna(0, ["total", "highly_relevant"])
+
+
+def score_histogram(rows: DataFrame, score: str) -> DataFrame:
+    """score 0 to 10 and n; null scores are left out."""
+    counts = rows.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("int").alias("score")).agg(F.count("*").alias("n"))
+    return rows.sparkSession.range(11).select(F.col("id").cast("int").alias("score")).join(counts, "score", "left").fillna(0, ["n"])
+
+
+def mean_interval(rows: DataFrame, score: str) -> DataFrame:
+    """n, mean and the normal 95 % interval of the mean, clipped to 0..10."""
+    base = rows.agg(F.count(score).alias("n"), F.avg(score).alias("mean"), F.coalesce(F.stddev_samp(score), F.lit(0.0)).alias("sd"))
+    half = 1.96 * F.col("sd") / F.sqrt("n")
+    return base.select("n", "mean", F.greatest(F.lit(0.0), F.col("mean") - half).alias("ci_lower"), F.least(F.lit(10.0), F.col("mean") + half).alias("ci_upper"))
+
+
+def themes(rows: DataFrame, row_id: str, keywords: Column, top: int = 8, shown: int = 20, longest: int = 60) -> DataFrame:
+    """The most frequent keywords of two rows or more, with their first row ids. Ties by name."""
+    words = F.array_distinct(F.filter(F.transform(keywords, lambda k: F.lower(F.trim(k))), lambda k: (k != "") & (F.length(k) <= longest)))
+    each = rows.select(F.col(row_id).alias("id"), F.explode(words).alias("theme"))
+    head = each.groupBy("theme").agg(F.count("*").alias("n")).filter("n >= 2").orderBy(F.desc("n"), "theme").limit(top)
+    ids = each.join(F.broadcast(head), "theme").groupBy("theme", "n")  # ``top`` rows
+    return ids.agg(F.count("*").alias("n_ids"), F.min("id").alias("first_id")).select("theme", "n", "first_id")
+
+
+def counters(rows: DataFrame, rcs: Column) -> DataFrame:
+    return rows.agg(F.count("*").alias("papers"), F.count_if(rcs >= 7).alias("highly_relevant"), F.count_if(rcs.isin(5, 6)).alias("borderline"), F.count_if(rcs.isNull()).alias("unclassified"))
+
+
+def tier_counts(rows: DataFrame, rcs: Column) -> DataFrame:
+    n = rows.groupBy(S.tier(rcs).alias("tier")).agg(F.count("*").alias("n"))
+    return n.crossJoin(n.agg(F.sum("n").alias("total"))).select("tier", "n", (F.col("n") / F.col("total")).alias("share"))  # five rows by one
+
+
+def insights(rows: DataFrame, year: str, rcs: Column, recent: int = 2020) -> DataFrame:
+    """peak_year (the first of the largest), share since ``recent``, shares of high and low scores."""
+    by_year = rows.groupBy(F.col(year).alias("y")).agg(F.count("*").alias("n"), F.count_if(rcs >= 8).alias("high"), F.count_if(rcs <= 2).alias("low"), F.count(rcs).alias("scored"))
+    share = lambda part, whole: F.try_divide(F.sum(part).cast("double"), F.sum(whole))
+    return by_year.agg(F.max_by("y", F.struct("n", (-F.col("y")).alias("e"))).alias("peak_year"), share(F.when(F.col("y") >= recent, F.col("n")).otherwise(0), F.col("n")).alias("recent_share"), share(F.col("high"), F.col("scored")).alias("high_share"), share(F.col("low"), F.col("scored")).alias("low_share"))

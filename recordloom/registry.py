@@ -1,10 +1,452 @@
-"""The registry of reference queries: name -> query, name -> DuckDB SQL."""
+"""The registry of reference queries: name -> query, name -> DuckDB SQL.
+
+The driver's tables aren't bibliographic, so each operator runs on a fixed view of them,
+written as a Spark expression here and as SQL beside it.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from recordloom.functions import normalize as N
+from recordloom.functions import scoring as S
+from recordloom.operators import coverage, graph, labels, rank, report, resolve, retrieve, verify
+from recordloom.plans import intent, strategy
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+QUERY, NOW = "onha onthe the tion of erth", 2026
+_TERMS = ["onha", "onthe", "tion", "erth"]
+_DOCS = "(SELECT doc_id, split_part(text, chr(10), 1) AS title, text AS abstract, 1995 + doc_id % 32 AS year, n_chars AS cites, lang, source, substr(source, 4)::INT AS list_idx FROM documents)"
+_CJK = "\\x{4e00}-\\x{9fff}\\x{3400}-\\x{4dbf}\\x{f900}-\\x{faff}\\x{3040}-\\x{30ff}\\x{ac00}-\\x{d7af}"
+
+
+def _norm_sql(x: str) -> str:
+    return f"regexp_replace(regexp_replace(lower({x}), '\\([^)]*\\)\\s*$', ''), '[^a-z0-9{_CJK}]', '', 'g')"
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def records(spark: SparkSession, sf: str) -> DataFrame:
+    """documents as bibliographic records."""
+    return _table(spark, sf, "documents").select(
+        "doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("abstract"), (1995 + F.col("doc_id") % 32).alias("year"),
+        F.col("n_chars").alias("cites"), "lang", "source", F.substring("source", 4, 9).cast("int").alias("list_idx"),
+    )
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_COVER = lambda c: f"(len(list_filter({_TERMS}, lambda t: list_contains(regexp_extract_all(lower({c}), '[a-z0-9]+'), t)))::DOUBLE / {len(_TERMS)})"
+_SCORED = f"(SELECT doc_id, title, year, cites, round(0.5 * {_COVER('title')} + 0.25 * {_COVER('abstract')} + 0.15 * least(1.0, log10(cites + 1) / log10(2001.0)) + 0.1 * greatest(0.0, 1 - greatest(0, {NOW} - year) / 25.0), 4) AS score FROM {_DOCS})"
+
+
+@query(f"SELECT doc_id, title, score, cites FROM (SELECT *, row_number() OVER (PARTITION BY {_norm_sql('title')} ORDER BY doc_id) AS k FROM {_SCORED}) WHERE k = 1 AND score >= 0.2 ORDER BY score DESC, cites DESC, doc_id LIMIT 50")
+def q_search_topk(spark, sf):
+    """The flagship: deduplicate by normalised title, score, filter, top 50."""
+    first = records(spark, sf).withColumn("key", N.title(F.col("title"))).groupBy("key").agg(F.min_by(F.struct("doc_id", "title", "abstract", "year", "cites"), "doc_id").alias("r")).select("r.*")
+    return retrieve.search(first, QUERY, 50, 0.2, "title", "abstract", "cites", "year", NOW, "doc_id").select("doc_id", "title", "score", "cites")
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'doi|10.5/x' || (doc_id % 50) WHEN doc_id % 3 = 1 THEN 'arxiv|2101.' || doc_id
+  WHEN {_norm_sql('title')} <> '' THEN 'title|' || {_norm_sql('title')} || '|' || year ELSE 'hash|' || substr(md5(title), 1, 16) END AS key FROM {_DOCS}""")
+def q_canonical_key(spark, sf):
+    ids = {"doi": F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" HTTPS://doi.org/10.5/X"), F.col("doc_id") % 50)), "arxiv": F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("https://arxiv.org/abs/2101."), F.col("doc_id"), F.lit("v2")))}
+    return records(spark, sf).select("doc_id", resolve.canonical_key(ids, F.col("title"), F.col("year")).alias("key"))
+
+
+@query(f"""SELECT md5({_norm_sql('abstract')}) AS key, count(*) AS n_records, arg_min(title, (list_idx, doc_id)) FILTER (WHERE title <> '') AS title, max(cites) AS cites,
+  arg_min(lang, (list_idx, doc_id)) FILTER (WHERE lang <> '') AS lang, list_reduce(list(source ORDER BY list_idx, doc_id), lambda a, b: CASE WHEN contains('|' || a || '|', '|' || b || '|') THEN a ELSE a || '|' || b END) AS sources FROM {_DOCS} GROUP BY ALL""")
+def q_dedup_merge(spark, sf):
+    rows = records(spark, sf).withColumns({"key": F.md5(N.title(F.col("abstract"))), "sources": F.array("source")})
+    return resolve.merge(rows, "key", ["list_idx", "doc_id"], ["title", "lang"], ["sources"], ["cites"]).withColumn("sources", F.array_join("sources", "|"))
+
+
+@query("""WITH a AS (SELECT o_orderkey, o_custkey % 40 AS key, CASE WHEN o_orderkey % 5 < 3 THEN o_orderkey % 5 END AS arxiv FROM orders),
+b AS (SELECT *, first_value(arxiv IGNORE NULLS) OVER (PARTITION BY key ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS base FROM a),
+c AS (SELECT *, coalesce(arxiv <> base, false) AS clash FROM b)
+SELECT key, o_orderkey, CASE WHEN clash THEN 1 + sum(clash::INT) OVER (PARTITION BY key ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) ELSE 1 END::BIGINT AS variant FROM c""")
+def q_conflict_guard(spark, sf):
+    rows = _table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 40).alias("key"), F.when(F.col("o_orderkey") % 5 < 3, F.col("o_orderkey") % 5).alias("arxiv"))
+    return resolve.conflict_variants(rows, "key", "arxiv", ["o_orderkey"]).select("key", "o_orderkey", "variant")
+
+
+@query("WITH f AS (SELECT user_id, min(event_type) AS list FROM events GROUP BY 1), l AS (SELECT DISTINCT event_type AS list FROM events) SELECT l.list, count(f.user_id) AS new_keys FROM l LEFT JOIN f USING (list) GROUP BY 1")
+def q_marginal_yield(spark, sf):
+    return resolve.marginal_yield(_table(spark, sf, "events"), "event_type", "user_id")
+
+
+@query("""WITH n AS (SELECT user_id, event_type AS leg, count(*) AS cites FROM events GROUP BY 1, 2), d AS (SELECT *, row_number() OVER (PARTITION BY leg ORDER BY cites DESC, user_id) AS depth FROM n QUALIFY depth <= 20),
+o AS (SELECT user_id, count(DISTINCT leg) AS votes, max(cites) AS cites, min((ascii(leg), depth)) AS place_at FROM d GROUP BY 1)
+SELECT user_id, votes, cites, row_number() OVER (ORDER BY (votes > 1) DESC, CASE WHEN votes > 1 THEN -votes END NULLS FIRST, CASE WHEN votes > 1 THEN -cites END NULLS FIRST, CASE WHEN votes = 1 THEN place_at[2] END NULLS FIRST, CASE WHEN votes = 1 THEN -place_at[1] END NULLS FIRST, user_id) AS place FROM o""")
+def q_vote_merge(spark, sf):
+    counts = _table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("cites"))
+    w = retrieve.Window.partitionBy("event_type").orderBy(F.desc("cites"), "user_id")
+    legs = counts.withColumn("depth", F.row_number().over(w)).filter("depth <= 20").withColumn("leg", F.ascii("event_type"))
+    return resolve.vote_merge(legs, "user_id", "leg", "depth", "cites")
+
+
+_TODAY = dt.date(2001, 8, 1)
+_WINDOWS = (retrieve.recent_window(_TODAY), retrieve.mid_window(_TODAY))
+_LEG_SQL = "SELECT o_orderkey, '{0}' AS leg, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS depth FROM orders WHERE o_orderdate::DATE BETWEEN DATE '{1}' AND DATE '{2}' QUALIFY depth <= {3}"
+
+
+@query(f"{_LEG_SQL.format('recent', *_WINDOWS[0], 40)} UNION ALL {_LEG_SQL.format('mid', *_WINDOWS[1], 20)}")
+def q_leg_windows(spark, sf):
+    orders = _table(spark, sf, "orders")
+    out = []
+    for name, (low, high), n in (("recent", _WINDOWS[0], 40), ("mid", _WINDOWS[1], 20)):
+        rows = orders.filter(F.col("o_orderdate").cast("date").between(F.lit(low), F.lit(high)))
+        out.append(retrieve.leg(rows, name, [F.desc("o_totalprice"), F.col("o_orderkey")], n).select("o_orderkey", "leg", F.col("depth").cast("long").alias("depth")))
+    return out[0].unionByName(out[1])
+
+
+@query(f"""WITH r AS (SELECT p_partkey AS id, {_norm_sql('p_name')} AS t, 1995 + p_partkey % 32 AS y, p_size < 10 AS g, p_size > 40 AS p FROM part)
+SELECT a.id AS guest, arg_min(b.id, (NOT b.p, b.id)) AS host FROM r a JOIN r b ON a.t = b.t AND abs(a.y - b.y) <= 1 AND a.g AND NOT b.g AND a.t <> '' GROUP BY 1""")
+def q_title_year_absorb(spark, sf):
+    parts = _table(spark, sf, "part").withColumn("year", 1995 + F.col("p_partkey") % 32)
+    return resolve.absorb(parts, F.col("p_size") < 10, "p_name", "year", "p_partkey", F.col("p_size") > 40)
+
+
+def _ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """supplier as the rank table: half of the suppliers, by ISSN."""
+    code = F.lpad(F.col("s_suppkey").cast("string"), 8, "0")
+    quartile = F.when(F.col("s_acctbal") > 7000, "Q1").when(F.col("s_acctbal") > 4000, "Q2").when(F.col("s_acctbal") > 1000, "Q3").otherwise("Q4")
+    cats = F.array(F.struct(F.lit("Water Science").alias("category"), quartile.alias("quartile")), F.struct(F.lit("Art").alias("category"), F.lit("Q2").alias("quartile")))
+    return _table(spark, sf, "supplier").filter("s_suppkey % 2 = 0").select(N.issn(code).alias("issn"), "s_name", quartile.alias("quartile"), cats.alias("cats"))
+
+
+def _journals(spark: SparkSession, sf: str) -> DataFrame:
+    line = _table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_suppkey").alias("l_suppkey"), F.max("l_partkey").alias("l_partkey"), F.max("l_quantity").alias("l_quantity"))
+    line = line.withColumn("row_id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    code = lambda c: N.issn(F.lpad(F.col(c).cast("string"), 8, "0"))
+    return line.select("row_id", F.array_distinct(F.array(code("l_suppkey"), code("l_partkey"))).alias("issns"), "l_quantity")
+
+
+_ISSN = "(substr(lpad({0}::VARCHAR, 8, '0'), 1, 4) || '-' || substr(lpad({0}::VARCHAR, 8, '0'), 5, 4))"
+_RANKS_SQL = f"(SELECT {_ISSN.format('s_suppkey')} AS issn, s_name, CASE WHEN s_acctbal > 7000 THEN 'Q1' WHEN s_acctbal > 4000 THEN 'Q2' WHEN s_acctbal > 1000 THEN 'Q3' ELSE 'Q4' END AS quartile FROM supplier WHERE s_suppkey % 2 = 0)"
+_MATCH_SQL = f"(SELECT row_id, coalesce(a.issn, b.issn) AS match, CASE WHEN a.issn IS NOT NULL THEN a.quartile ELSE b.quartile END AS quartile, q FROM (SELECT l_orderkey || '-' || l_linenumber AS row_id, {_ISSN.format('max(l_suppkey)')} AS x, {_ISSN.format('max(l_partkey)')} AS y, max(l_quantity) AS q FROM lineitem GROUP BY l_orderkey, l_linenumber) l LEFT JOIN {_RANKS_SQL} a ON a.issn = x LEFT JOIN {_RANKS_SQL} b ON b.issn = y)"
+
+
+@query(f"SELECT row_id, match, quartile FROM {_MATCH_SQL}")
+def q_rank_first_match(spark, sf):
+    return rank.first_match(_journals(spark, sf), "row_id", "issns", _ranks(spark, sf).select("issn", "quartile"), "issn")
+
+
+@query(f"SELECT CASE WHEN match IS NULL THEN 'no_platform_data' WHEN quartile IN ('Q1', 'Q2') THEN 'kept' ELSE 'filtered_out' END AS outcome, count(*) AS n FROM {_MATCH_SQL} GROUP BY 1")
+def q_rank_filter_outcome(spark, sf):
+    found = q_rank_first_match(spark, sf)
+    return found.groupBy(rank.outcome(F.col("match").isNotNull(), F.col("quartile").isin(*rank.keep_tiers("sjr", [1, "Q2"]))).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT issn, quartile AS pinned_quartile, 'Water Science' AS pinned FROM {_RANKS_SQL}")
+def q_rank_category_pin(spark, sf):
+    pin = rank.pinned(F.col("cats"), "science")
+    return _ranks(spark, sf).select("issn", pin["quartile"].alias("pinned_quartile"), pin["category"].alias("pinned"))
+
+
+@query("SELECT d.doc_id, coalesce(l.toxic, -1) AS toxic, CASE WHEN l.quality > d.n_chars % 2 THEN l.quality ELSE d.n_chars % 2 END::BIGINT AS refs FROM documents d LEFT JOIN labels l USING (doc_id)")
+def q_enrich_overwrite(spark, sf):
+    docs, found = _table(spark, sf, "documents"), _table(spark, sf, "labels")
+    own = F.col("n_chars") % 2
+    return docs.join(found, "doc_id", "left").select("doc_id", F.coalesce("toxic", F.lit(-1)).alias("toxic"), F.when(F.col("quality") > own, F.col("quality")).otherwise(own).cast("long").alias("refs"))
+
+
+@query("SELECT o_orderkey, round(abs(s - o_totalprice) / o_totalprice * 100, 1) AS gap_pct FROM (SELECT o_orderkey, o_totalprice, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2) WHERE o_totalprice > 0 AND abs(s - o_totalprice) / o_totalprice * 100 > 30")
+def q_citation_conflict(spark, sf):
+    sums = _table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("s"))
+    both = _table(spark, sf, "orders").join(sums, F.col("l_orderkey") == F.col("o_orderkey"))
+    gap = F.abs(F.col("s") - F.col("o_totalprice")) / F.col("o_totalprice") * 100
+    return both.filter(F.col("o_totalprice") > 0).filter(gap > 30).select("o_orderkey", F.round(gap, 1).alias("gap_pct"))
+
+
+@query("SELECT count(*) FILTER (WHERE l_orderkey % 7 = 0) AS attempted, count(*) FILTER (WHERE l_orderkey % 7 = 0 AND s_suppkey IS NOT NULL) AS recovered, count(*) AS n FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 <> 0) ON l_suppkey = s_suppkey")
+def q_issn_backfill(spark, sf):
+    known = _table(spark, sf, "supplier").filter("s_suppkey % 3 <> 0").select("s_suppkey")
+    lacking = F.col("l_orderkey") % 7 == 0
+    rows = _table(spark, sf, "lineitem").join(known, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    return rows.agg(F.count_if(lacking).alias("attempted"), F.count_if(lacking & F.col("s_suppkey").isNotNull()).alias("recovered"), F.count("*").alias("n"))
+
+
+@query("SELECT d.doc_id, coalesce(a.quality * 5 + a.toxic, b.quality * 5 + b.toxic)::INT AS rcs FROM (SELECT doc_id, doc_id + 1 AS other FROM documents) d LEFT JOIN labels a ON a.doc_id = d.doc_id LEFT JOIN labels b ON b.doc_id = d.other")
+def q_label_apply(spark, sf):
+    found = _table(spark, sf, "labels").select("doc_id", (F.col("quality") * 5 + F.col("toxic")).cast("int").alias("rcs")).withColumnRenamed("doc_id", "label_key").withColumn("at", F.lit(0))
+    docs = _table(spark, sf, "documents").select("doc_id", (F.col("doc_id") + 1).alias("other"))
+    return labels.apply_labels(docs, found, ["doc_id", "other"], "label_key", "at", ["rcs"]).select("doc_id", "rcs")
+
+
+@query()
+def q_rcs_parse(spark, sf):
+    """Label batches of two in six shapes, from clean JSON to prose."""
+    conv = _table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
+    one = lambda i: F.format_string('{"paper_id": "p%s", "rcs": %d, "reasoning": "on the topic by its title", "flag": null}', F.lit(i), F.col("n") % 11)
+    both = F.concat(F.lit("["), one("1"), F.lit(", "), one("2"), F.lit("]"))
+    loose = F.concat(F.lit("paper_id: 'p1', rcs: 3, reasoning: 'long enough reason'\npaper_id: 'p2', rcs: 4, reasoning: 'long enough reason'"))
+    shape = F.col("conv_id") % 6
+    text = F.when(shape == 0, both).when(shape == 1, F.concat(F.lit("Here:\n```json\n"), both, F.lit("\n```"))).when(shape == 2, F.concat(F.lit("so [sic] "), both, F.lit(" done"))).when(shape == 3, F.concat(one("1"), F.lit("; "), one("2"))).when(shape == 4, loose).otherwise("no idea")
+    parsed, layer = labels.parse(F.col("text"), F.array(F.lit("p1"), F.lit("p2")))
+    return conv.withColumn("text", text).select("conv_id", layer.alias("layer"), F.transform(parsed, lambda x: x["rcs"]).alias("rcs"))
+
+
+def _purchases(spark: SparkSession, sf: str, kind: str = "purchase", floor: int = 150) -> DataFrame:
+    return _table(spark, sf, "events").filter((F.col("event_type") == kind) & (F.col("value") > floor)).select(F.to_date("ts").alias("day"), "user_id")
+
+
+_OCC = "(SELECT DISTINCT ts::DATE AS day, user_id FROM events WHERE event_type = '{0}' AND value > {1})"
+_COUNTS = "(SELECT (SELECT count(DISTINCT day) FROM {0}) AS m, coalesce(sum(f), 0)::BIGINT AS u, count(*) FILTER (WHERE f = 1) AS q1, count(*) FILTER (WHERE f = 2) AS q2, count(*) AS found FROM (SELECT user_id, count(*) AS f FROM {0} GROUP BY 1))"
+_COVERAGE = "(SELECT *, q1 > 1 OR (q1 = 1 AND q2 > 0) AS informative, CASE WHEN m >= 2 AND u > 0 THEN greatest(0.0, least(1.0, 1 - q1 / u::DOUBLE * CASE WHEN q2 > 0 THEN (m - 1) * q1 / ((m - 1) * q1 + 2.0 * q2) WHEN q1 > 1 THEN (m - 1) * (q1 - 1) / ((m - 1) * (q1 - 1) + 2.0) ELSE 0 END))::DOUBLE END AS coverage FROM {0})"
+
+
+@query(f"WITH o AS {_OCC.format('purchase', 150)}, f AS (SELECT user_id, min(day) AS day FROM o GROUP BY 1) SELECT day, count(*) AS keys FROM o WHERE day IN (SELECT day FROM f) GROUP BY 1")
+def q_occasions(spark, sf):
+    rows = _purchases(spark, sf).distinct()
+    return coverage.informative_occasions(rows, "day", "user_id").groupBy("day").agg(F.count("*").alias("keys"))
+
+
+@query(f"WITH o AS {_OCC.format('purchase', 150)} SELECT * FROM {_COVERAGE.format(_COUNTS.format('o'))}")
+def q_coverage(spark, sf):
+    return coverage.estimate(coverage.frequency_counts(_purchases(spark, sf), "day", "user_id"))
+
+
+@query(f"WITH o AS {_OCC.format('view', 0)} SELECT * FROM {_COVERAGE.format(_COUNTS.format('o'))}")
+def q_coverage_dense(spark, sf):
+    return coverage.estimate(coverage.frequency_counts(_purchases(spark, sf, "view", 0), "day", "user_id"))
+
+
+@query(f"WITH o AS {_OCC.format('purchase', 150)}, c AS (SELECT *, least(coalesce(coverage, 0.5), 0.99) AS k FROM {_COVERAGE.format(_COUNTS.format('o'))}) SELECT round(k, 5) AS coverage_estimate, round(found / k, 1) AS estimated_total, round(-ln(1 - k) / u, 5) AS lambda FROM c")
+def q_snapshot_bands(spark, sf):
+    c = q_coverage(spark, sf)
+    return c.select(*[v.alias(k) for k, v in coverage.snapshot(F.col("u"), F.col("found"), F.coalesce("coverage", F.lit(0.5))).items()])
+
+
+@query()
+def q_coverage_bootstrap(spark, sf):
+    return coverage.bootstrap_interval(_purchases(spark, sf), "day", "user_id")
+
+
+_SNAPS = "(SELECT day, sum(n) OVER (ORDER BY day) AS ev, sum(r) OVER (ORDER BY day) AS rel FROM (SELECT ts::DATE AS day, count(*) AS n, count(*) FILTER (WHERE value > 100) AS r FROM events GROUP BY 1))"
+_RATES = f"(SELECT day, (rel - lag(rel) OVER (ORDER BY day)) / (ev - lag(ev) OVER (ORDER BY day))::DOUBLE AS rate FROM {_SNAPS} QUALIFY ev - lag(ev) OVER (ORDER BY day) > 0)"
+
+
+def _rates(spark: SparkSession, sf: str) -> DataFrame:
+    days = _table(spark, sf, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("value") > 100).alias("r"))
+    w = retrieve.Window.orderBy("day")  # a row per day
+    return coverage.marginal_rates(days.select("day", F.sum("n").over(w).alias("ev"), F.sum("r").over(w).alias("rel")), "day", "ev", "rel")
+
+
+@query(f"SELECT day, round(rate, 8) AS rate FROM {_RATES}")
+def q_marginal_rates(spark, sf):
+    return _rates(spark, sf).withColumn("rate", F.round("rate", 8))
+
+
+@query(f"WITH r AS (SELECT *, lag(rate) OVER (ORDER BY day) AS prev, row_number() OVER (ORDER BY day DESC) AS back FROM {_RATES}) SELECT n_rates, falling, round(last_rate, 8) AS last_rate, falling AND n_rates >= 5 AND last_rate < 0.02 AS warn FROM (SELECT count(*) AS n_rates, coalesce(bool_and(CASE WHEN back < 5 THEN rate <= prev + 0.005 END), false) AS falling, max(CASE WHEN back = 1 THEN rate END) AS last_rate FROM r WHERE back <= 5)")
+def q_low_progress(spark, sf):
+    return coverage.low_progress(_rates(spark, sf), "day").withColumn("last_rate", F.round("last_rate", 8))
+
+
+@query("WITH c AS (SELECT year(o_orderdate)::INT AS year, count(*) AS total, count(*) FILTER (WHERE o_orderpriority LIKE '1%') AS hr FROM orders WHERE year(o_orderdate) <> 1998 GROUP BY 1) SELECT y::INT AS year, coalesce(total, 0) AS total, coalesce(hr, 0) AS highly_relevant FROM (SELECT unnest(range((SELECT min(year) FROM c), (SELECT max(year) + 1 FROM c))) AS y) LEFT JOIN c ON c.year = y")
+def q_year_histogram(spark, sf):
+    rows = _table(spark, sf, "orders").withColumn("year", F.year("o_orderdate")).filter("year <> 1998")
+    return report.year_histogram(rows, "year", F.col("o_orderpriority").startswith("1"))
+
+
+_RCS = "(SELECT doc_id, CASE WHEN doc_id % 13 > 1 THEN doc_id % 11 END AS rcs, 1995 + doc_id % 32 AS year FROM documents)"
+
+
+def _rcs(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 13 > 1, F.col("doc_id") % 11).alias("rcs"), (1995 + F.col("doc_id") % 32).alias("year"))
+
+
+@query(f"SELECT s::INT AS score, count(rcs) AS n FROM (SELECT unnest(range(11)) AS s) LEFT JOIN {_RCS} ON rcs = s GROUP BY 1")
+def q_rcs_distribution(spark, sf):
+    return report.score_histogram(_rcs(spark, sf), "rcs")
+
+
+@query(f"SELECT count(rcs) AS n, round(avg(rcs), 9) AS mean, round(greatest(0.0, avg(rcs) - 1.96 * coalesce(stddev_samp(rcs), 0) / sqrt(count(rcs))), 9) AS ci_lower, round(least(10.0, avg(rcs) + 1.96 * coalesce(stddev_samp(rcs), 0) / sqrt(count(rcs))), 9) AS ci_upper FROM {_RCS}")
+def q_rcs_mean(spark, sf):
+    out = report.mean_interval(_rcs(spark, sf), "rcs")
+    return out.select("n", *[F.round(c, 9).alias(c) for c in ("mean", "ci_lower", "ci_upper")])
+
+
+@query(f"SELECT t AS theme, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+'))) AS t FROM {_DOCS}) WHERE length(t) <= 60 GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, theme LIMIT 8")
+def q_themes(spark, sf):
+    return report.themes(records(spark, sf), "doc_id", N.tokens(F.col("title")))
+
+
+@query(f"SELECT count(*) AS papers, count(*) FILTER (WHERE rcs >= 7) AS highly_relevant, count(*) FILTER (WHERE rcs IN (5, 6)) AS borderline, count(*) FILTER (WHERE rcs IS NULL) AS unclassified FROM {_RCS}")
+def q_metadata(spark, sf):
+    return report.counters(_rcs(spark, sf), F.col("rcs"))
+
+
+@query(f"SELECT count(*) AS deduplicated, count(*) FILTER (WHERE score >= 0.2) AS relevant, count(*) FILTER (WHERE score >= 0.2 AND toxic = 0) AS journal_passed FROM {_SCORED} LEFT JOIN labels USING (doc_id)")
+def q_funnel(spark, sf):
+    rows = retrieve.scored(records(spark, sf), QUERY, "title", "abstract", "cites", "year", NOW).join(_table(spark, sf, "labels"), "doc_id", "left")
+    passed = F.col("score") >= 0.2
+    return rows.agg(F.count("*").alias("deduplicated"), F.count_if(passed).alias("relevant"), F.count_if(passed & (F.col("toxic") == 0)).alias("journal_passed"))
+
+
+_MARKS = "(SELECT doc_id, doc_id % 4 <> 0 AS has_doi, n_chars > 500 AS has_abstract, doc_id % 3 = 0 AS multi_source FROM documents)"
+
+
+@query(f"SELECT doc_id, has_doi, has_abstract, multi_source, concat_ws(',', CASE WHEN NOT has_doi THEN 'no_doi' END, CASE WHEN NOT has_abstract THEN 'no_abstract' END, CASE WHEN NOT multi_source THEN 'single_source' END) AS flags FROM {_MARKS}")
+def q_verify_markers(spark, sf):
+    docs = _table(spark, sf, "documents")
+    marks = verify.markers(F.when(F.col("doc_id") % 4 != 0, F.lit("10.1/x")), F.when(F.col("n_chars") > 500, F.col("text")), F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"))))
+    return docs.select("doc_id", *[(F.array_join(v, ",") if k == "flags" else v).alias(k) for k, v in marks.items()])
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (WHERE has_doi) AS with_doi, count(*) FILTER (WHERE has_abstract) AS with_abstract, count(*) FILTER (WHERE multi_source) AS multi_source FROM {_MARKS}")
+def q_verify_summary(spark, sf):
+    return q_verify_markers(spark, sf).agg(F.count("*").alias("total"), F.count_if("has_doi").alias("with_doi"), F.count_if("has_abstract").alias("with_abstract"), F.count_if("multi_source").alias("multi_source"))
+
+
+_TOKS = f"list_filter(list_distinct(regexp_extract_all(lower({{0}}), '[a-z0-9]+')), lambda t: length(t) >= 3 AND NOT list_contains({list(N.STOPWORDS)}, t))"
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS a, {_TOKS.format("p_name || ' ' || p_type || ' model' || (p_partkey % 9)")} AS t FROM part),
+s AS (SELECT x.a AS l, y.a AS r, len(list_intersect(x.t, y.t))::DOUBLE / len(list_distinct(x.t || y.t)) AS similarity FROM p x JOIN p y ON x.a % 5 = 0 AND y.a % 5 <> 0)
+SELECT l, r, similarity FROM s WHERE similarity >= 0.85 QUALIFY row_number() OVER (PARTITION BY l ORDER BY similarity DESC, r) = 1""")
+def q_title_similarity(spark, sf):
+    parts = _table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", F.concat(F.lit("model"), F.col("p_partkey") % 9)).alias("t"))
+    left, right = parts.filter("p_partkey % 5 = 0").toDF("l", "lt"), parts.filter("p_partkey % 5 <> 0").toDF("r", "rt")
+    return verify.similar_titles(left, right, "l", "r", "lt", "rt")
+
+
+@query("WITH g AS (SELECT item_id, trim(text) AS t FROM benchmark) SELECT g.item_id, count(d.doc_id) AS found FROM g LEFT JOIN documents d ON contains(d.text, g.t) GROUP BY 1")
+def q_benchmark_recall(spark, sf):
+    """How often each gold passage stands in the documents; the gold set is a fixed small table."""
+    gold = _table(spark, sf, "benchmark").select("item_id", F.trim("text").alias("t"))
+    words = F.split(F.regexp_replace("t", r"\s+", " "), " ")
+    anchor = gold.select("item_id", "t", F.array_join(F.slice(words, 2, 3), " ").alias("anchor"))
+    each = F.split(F.col("text"), r"\s+")
+    pairs = F.zip_with(each, F.slice(each, F.lit(2), F.size(each)), lambda x, y: F.concat(x, F.lit(" "), y))
+    runs = F.zip_with(pairs, F.slice(each, F.lit(3), F.size(each)), lambda x, y: F.concat(x, F.lit(" "), y))
+    docs = _table(spark, sf, "documents").select("doc_id", "text").withColumn("anchor", F.explode(F.array_distinct(runs)))
+    hits = docs.join(anchor, "anchor").filter(F.contains("text", "t")).select("item_id", "doc_id").distinct().groupBy("item_id").agg(F.count("*").alias("found"))
+    return gold.select("item_id").join(hits, "item_id", "left").fillna(0, ["found"])
+
+
+@query("SELECT coalesce(matched_source, 'none') AS matched_source, count(*) AS n FROM (SELECT CASE WHEN c.c_custkey IS NOT NULL THEN 'customer' WHEN s.s_suppkey IS NOT NULL THEN 'supplier' WHEN o.o_custkey IS NOT NULL THEN 'orders' END AS matched_source FROM (SELECT p_partkey AS ref FROM part) LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) c ON c_custkey = ref LEFT JOIN supplier s ON s_suppkey = ref LEFT JOIN (SELECT DISTINCT o_custkey FROM orders) o ON o.o_custkey = ref) GROUP BY 1")
+def q_verify_refs(spark, sf):
+    refs = _table(spark, sf, "part").select(F.col("p_partkey").alias("ref"))
+    sources = [("customer", _table(spark, sf, "customer").filter("c_custkey % 2 = 0"), "c_custkey"), ("supplier", _table(spark, sf, "supplier"), "s_suppkey"), ("orders", _table(spark, sf, "orders"), "o_custkey")]
+    return verify.by_priority(refs, "ref", sources).groupBy(F.coalesce("matched_source", F.lit("none")).alias("matched_source")).agg(F.count("*").alias("n"))
+
+
+def _edges(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+
+
+@query("SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem WHERE l_partkey <> l_suppkey AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 20) AND l_suppkey IN (SELECT p_partkey FROM part WHERE p_size > 20)")
+def q_citation_network(spark, sf):
+    return graph.display_edges(_edges(spark, sf), _table(spark, sf, "part").filter("p_size > 20"), "p_partkey")
+
+
+@query("""WITH RECURSIVE e AS (SELECT l_partkey AS src, l_suppkey + 1000000 AS dst FROM lineitem UNION SELECT l_suppkey + 1000000, l_partkey FROM lineitem),
+h AS (SELECT p_partkey AS node, 0 AS hop FROM part WHERE p_partkey <= 3 UNION SELECT e.dst, h.hop + 1 FROM h JOIN e ON e.src = h.node WHERE h.hop < 2) SELECT node, min(hop) AS hop FROM h GROUP BY 1""")
+def q_hop_expand(spark, sf):
+    edges = _edges(spark, sf).withColumn("dst", F.col("dst") + 1000000)
+    return graph.expand(edges, _table(spark, sf, "part").filter("p_partkey <= 3"), "p_partkey", 2)
+
+
+@query("SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) AS digest FROM pages")
+def q_markup_strip(spark, sf):
+    return _table(spark, sf, "pages").select("page_id", F.md5(N.strip_markup(F.col("html"))).alias("digest"))
+
+
+_TEXTS = "('machine learning'), ('机器学习'), ('機械学習の研究'), ('한국어'), ('')"
+
+
+@query(f"SELECT tag, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(t, '[\\x{{3041}}-\\x{{30ff}}]') THEN 'en' WHEN regexp_matches(t, '[\\x{{4e00}}-\\x{{9fff}}]') THEN 'zh' ELSE 'en' END AS tag FROM (SELECT text AS t FROM documents UNION ALL SELECT * FROM (VALUES {_TEXTS}))) GROUP BY 1")
+def q_lang_tag(spark, sf):
+    rows = _table(spark, sf, "documents").select(F.col("text").alias("t")).union(spark.sql(f"SELECT * FROM VALUES {_TEXTS} AS v(t)"))
+    return rows.groupBy(N.language_tag(F.col("t")).alias("tag")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS digest FROM documents")
+def q_inverted_index_roundtrip(spark, sf):
+    """Text to word positions and back."""
+    from recordloom.sources.converters import invert, uninvert
+
+    index = invert(_table(spark, sf, "documents").select("doc_id", N.one_line(F.col("text")).alias("text")), "doc_id", "text")
+    return index.select("doc_id", F.md5(uninvert(F.map_entries("index"))).alias("digest"))
+
+
+@query("SELECT c_custkey, k || CASE WHEN n = 1 THEN '' WHEN n <= 26 THEN chr((96 + n)::INT) ELSE n::VARCHAR END AS bibtex_key FROM (SELECT c_custkey, k, row_number() OVER (PARTITION BY k ORDER BY c_custkey) AS n FROM (SELECT c_custkey, 'Customer' || (1995 + c_custkey % 32) AS k FROM customer))")
+def q_bibtex_keys(spark, sf):
+    from recordloom.sources.sinks import bibtex_keys
+
+    rows = _table(spark, sf, "customer").select("c_custkey", F.lit("A. Customer").alias("author"), (1995 + F.col("c_custkey") % 32).alias("year"))
+    return bibtex_keys(rows, "author", "year", ["c_custkey"]).select("c_custkey", "bibtex_key")
+
+
+@query("SELECT host, k, CASE semantics WHEN 'gap' THEN k WHEN 'gap_plus_one' THEN k + 1 END AS n FROM (VALUES ('ovid', 'gap_plus_one'), ('ebsco', 'gap'), ('proquest', 'gap'), ('pubmed', 'gap'), ('cochrane', 'gap_plus_one'), ('eric', NULL)) h(host, semantics), (SELECT unnest(range(6))::INT AS k)")
+def q_proximity_convert(spark, sf):
+    return strategy.proximity_table(spark)
+
+
+@query()
+def q_lint(spark, sf):
+    return strategy.lint_frame(spark, strategy.SAMPLES)
+
+
+@query("SELECT p_partkey, (length(s) - length(replace(s, '\"', ''))) % 2 = 1 OR length(replace(s, '(', '')) <> length(replace(s, ')', '')) AS l1, contains(s, '{{') OR contains(s, '}}') AS l6, regexp_matches(s, '\\bNOT\\b') AS l8 FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '(' || p_name WHEN 1 THEN p_name || ' NOT x' WHEN 2 THEN '\"' || p_name || ' {{y}}' ELSE p_name END AS s FROM part)")
+def q_lint_stateless(spark, sf):
+    s, name = F.col("p_partkey") % 4, F.col("p_name")
+    text = F.when(s == 0, F.concat(F.lit("("), name)).when(s == 1, F.concat(name, F.lit(" NOT x"))).when(s == 2, F.concat(F.lit('"'), name, F.lit(" {{y}}"))).otherwise(name)
+    return _table(spark, sf, "part").select("p_partkey", *[v.alias(k) for k, v in strategy.stateless_rules(text).items()])
+
+
+@query()
+def q_strategy_compile(spark, sf):
+    return strategy.compile_frame(spark, strategy.MODEL)
+
+
+@query()
+def q_rank_intent(spark, sf):
+    return intent.parse_frame(spark.createDataFrame([(q,) for q in intent.SAMPLES], "query string"), "query")
+
+
+@query(f"SELECT doc_id FROM {_RCS} WHERE CASE WHEN rcs IS NULL THEN false ELSE 'Q' || (1 + rcs % 4) IN ('Q1', 'Q2') END")
+def q_zone_filter(spark, sf):
+    quartile = F.concat(F.lit("Q"), 1 + F.col("rcs") % 4)
+    return _rcs(spark, sf).filter(rank.zone(quartile, ["Q1", "Q2"], False)).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'onha') OR contains(lower(source), 'onha')")
+def q_ui_search(spark, sf):
+    needle = F.lit("onha")
+    return _table(spark, sf, "documents").filter(F.contains(F.lower("text"), needle) | F.contains(F.lower("source"), needle)).select("doc_id")
+
+
+@query(f"SELECT tier, count(*) AS n, count(*) / (SELECT count(*) FROM documents)::DOUBLE AS share FROM (SELECT CASE WHEN rcs >= 8.5 THEN 'core' WHEN rcs >= 7 THEN 'high' WHEN rcs >= 5.5 THEN 'medium' WHEN rcs >= 4.5 THEN 'low' ELSE 'peripheral' END AS tier FROM {_RCS}) GROUP BY 1")
+def q_tier_counts(spark, sf):
+    return report.tier_counts(_rcs(spark, sf), F.col("rcs"))
+
+
+@query(f"SELECT (SELECT year FROM {_RCS} GROUP BY 1 ORDER BY count(*) DESC, year LIMIT 1) AS peak_year, count(*) FILTER (WHERE year >= 2020)::DOUBLE / count(*) AS recent_share, count(*) FILTER (WHERE rcs >= 8)::DOUBLE / count(rcs) AS high_share, count(*) FILTER (WHERE rcs <= 2)::DOUBLE / count(rcs) AS low_share FROM {_RCS}")
+def q_insights(spark, sf):
+    return report.insights(_rcs(spark, sf), "year", F.col("rcs"))
+
+
+@query("SELECT a.user_id FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'view' AND value > 200) a JOIN (SELECT DISTINCT user_id FROM events WHERE event_type = 'click') b USING (user_id) WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 200)")
+def q_key_set_ops(spark, sf):
+    e = _table(spark, sf, "events")
+    keys = lambda kind, floor: e.filter((F.col("event_type") == kind) & (F.col("value") > floor)).select("user_id")
+    return keys("view", 200).intersect(e.filter("event_type = 'click'").select("user_id")).exceptAll(keys("error", 200).distinct()).distinct()
