@@ -60,3 +60,19 @@ def best_quartile(quartiles: Column) -> Column:
 def zone(quartile: Column, zones: list[str], include_unranked: bool) -> Column:
     """Whether a row stays under a zone filter; all zones and unranked keep everything."""
     return F.when(quartile.isNull(), F.lit(include_unranked)).otherwise(quartile.isin(*zones))
+
+
+def journal_groups(rows: DataFrame, row_id: str, issns: str, rounds: int = 20) -> DataFrame:
+    """row_id and journal: rows that share ISSNs, transitively, get the smallest row id among them.
+    Rank tables are small; labels move until nothing changes."""
+    each = rows.select(F.col(row_id).alias("id"), F.explode(issns).alias("issn")).persist()
+    state = rows.select(F.col(row_id).alias("id"), F.col(row_id).alias("journal"))
+    for _ in range(rounds):
+        low = each.join(state, "id").groupBy("issn").agg(F.min("journal").alias("low"))
+        near = each.join(low, "issn").groupBy("id").agg(F.min("low").alias("low"))
+        step = state.join(near, "id", "left").select("id", F.col("journal").alias("old"), F.least("journal", F.coalesce("low", "journal")).alias("journal")).persist()
+        done = step.filter("old <> journal").isEmpty()
+        state = step.select("id", "journal")
+        if done:
+            break
+    return state.withColumnRenamed("id", row_id)

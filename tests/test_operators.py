@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from recordloom.functions import normalize as N
 from recordloom.operators import labels, rank, resolve, retrieve
 from recordloom.plans import intent, strategy
-from recordloom.sources import converters, ranks, sinks
+from recordloom.sources import converters, ranks, reports, sinks
 
 
 def one(spark, column, **values):
@@ -147,3 +147,21 @@ def test_venue_label(spark):
     assert one(spark, converters.venue_label(F.col("a")), a="NeurIPS 2025 poster") == "NeurIPS 2025 Poster"
     assert one(spark, converters.venue_label(F.col("a")), a="KSMI 2026 ShortOralPoster") == "KSMI 2026"
     assert one(spark, converters.accepted_year(F.col("a")), a="ICLR.cc/2024/Conference/Rejected") is None
+
+
+def test_journal_groups(spark):
+    rows = spark.createDataFrame([(1, ["a"]), (2, ["b", "c"]), (3, ["a", "b"]), (4, ["d"])], "id int, issns array<string>")
+    assert {r["id"]: r["journal"] for r in rank.journal_groups(rows, "id", "issns").collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_reports(spark, tmp_path):
+    rows = spark.createDataFrame([(["pubmed", "openalex"], "ref of W1", 8), (["arxiv"], "cites X", 3), (["arxiv"], None, None)], "sources array<string>, discovery_path string, rcs int")
+    assert reports.databases_used(rows) == ["openalex", "arxiv", "pubmed"]
+    log = reports.method_log(rows).first()
+    assert (log["records"], log["seeds"], log["classified"], log["highly_relevant"], log["citation_expansion"]) == (3, 1, 2, 1, True)
+    assert reports.hydrate("<p><script>x</script>", "DATA", {"a": "</script>"}).count("</script>") == 2
+    made = []
+    for _ in range(2):
+        got = reports.cached(spark, str(tmp_path), {"q": 1}, lambda: made.append(1) or spark.range(3))
+    assert got.count() == 3 and made == [1]
+    assert reports.markdown("T", {"papers": 1}, [{"title": "a|b", "year": 2020}]).endswith("| 2020 | a b |  |\n")
