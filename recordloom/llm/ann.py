@@ -1,12 +1,18 @@
-"""Approximate nearest neighbours by balanced posting lists.
+"""Nearest neighbours by balanced posting lists, read until no further list can matter.
 
 Centroids come from a balanced k-means on a bounded sample and are searched through an
 in-memory neighbour graph. A vector is posted in the list of its nearest centroid and, as a
 boundary vector, in further ones that are nearly as near (at most ``replicas``), unless a
-list chosen already stands for them. A query reads the nearest lists whose distance is
-within a ratio of the nearest one's. Largest inner products become smallest distances by
+list chosen already stands for them. Largest inner products become smallest distances by
 one more coordinate, which lifts every vector to the largest norm.
 
+A query first reads the nearest lists whose distance is within a ratio of the nearest one's.
+The score of the last row found there is a floor: the second reading takes every list whose
+centroid and radius leave room for such a score, and keeps the vectors that reach it. So the
+result is that of reading everything, at any size; the first reading decides the work alone.
+Where vectors aren't clustered, few lists can be left out, and the products computed (not
+the rows made) grow with queries times vectors.
+
 Equal vectors are one entry with their TOP + 1 smallest ids, which is all that a result of
 TOP rows can need. Lists and their queries are dealt out in parts of bounded size. Every
 vector is indexed; scores are inner products of the original vectors in double precision.
@@ -31,6 +37,8 @@ from .common import cut
 MOST_CENTROIDS, SAMPLED = 8192, 16
 #: Vectors and queries that meet in one task at once, about.
 PART, QUERIES = 2048, 1024
+#: The same of the second reading, as numbers: 32 768 vectors of 64 and 8 192 queries.
+BLOCK, BLOCK_QUERIES = 1 << 21, 1 << 19
 
 
 @dataclass
@@ -126,6 +134,12 @@ def build(sample: np.ndarray, count: int, norm: float, degree: int = 24, entries
     return Index(c, graph, starts, norm, scale)
 
 
+def neighbourhoods(centroids: np.ndarray, count: int) -> np.ndarray:
+    """For each centroid the number of its group, of about ``count`` groups of near ones."""
+    count = max(1, min(count, len(centroids)))
+    return _nearest(centroids, balanced_centroids(centroids, count))[0]
+
+
 def _usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     x = F.col(vector)
     fine = F.size(x) > 0
@@ -135,13 +149,13 @@ def _usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.filter(F.size("x") == (size["d"] if size else 0))
 
 
-def nearest(df: DataFrame, key: str, vector: str, is_query: Column, top: int = 20, list_size: int = 128, replicas: int = 4, boundary: float = 1.2, lists: int = 224, ratio: float = 3.0, seed: int = 10) -> DataFrame:
+def nearest(df: DataFrame, key: str, vector: str, is_query: Column, top: int = 20, list_size: int = 128, replicas: int = 4, boundary: float = 1.2, lists: int = 32, ratio: float = 3.0, seed: int = 10) -> DataFrame:
     """query_id, rank, vec_id and score of the ``top`` nearest rows of each query row but its own.
     ``is_query`` is a condition on the key's values, named ``id`` there.
 
     ``boundary`` bounds the squared distance of a further list by that of the first one for
     vectors; ``ratio`` does so for queries (or by the mean distance to a centroid, if that is
-    larger), which read ``lists`` at most."""
+    larger), which read ``lists`` at most at first."""
     spark = df.sparkSession
     rows = _usable(df, key, vector).withColumns({"k1": F.xxhash64("x"), "k2": F.xxhash64(F.lit(7), "x")})
     first = Window.partitionBy("k1", "k2").orderBy("id")
@@ -159,8 +173,8 @@ def nearest(df: DataFrame, key: str, vector: str, is_query: Column, top: int = 2
     sample = sorted(tuple(r["x"]) for r in entries.filter(draw < share).select("x").collect()) or [tuple(entries.first()["x"])]
     index = spark.sparkContext.broadcast(build(np.array(sample), count, total["norm"]))
 
-    def post(x: pd.Series) -> pd.Series:
-        out = []
+    def post(x: pd.Series) -> pd.DataFrame:
+        out, radius = [], []
         for k in range(0, len(x), 512):
             part = np.array(x.iloc[k : k + 512].tolist(), dtype=np.float64)
             ids, far = index.value.search(index.value.lift(part), max(8, 2 * replicas))
@@ -173,7 +187,8 @@ def nearest(df: DataFrame, key: str, vector: str, is_query: Column, top: int = 2
                     if all(((c[i] - c[j]) ** 2).sum() > dj for i in chosen):
                         chosen.append(j)
                 out.append([int(i) for i in chosen])
-        return pd.Series(out, dtype=object)
+            radius += np.sqrt(((part - c[[i[0] for i in out[k:]], : part.shape[1]]) ** 2).sum(axis=1)).tolist()
+        return pd.DataFrame({"lists": pd.Series(out, dtype=object), "radius": pd.Series(radius, dtype=float)})
 
     def probe(x: pd.Series) -> pd.Series:
         out = []
@@ -183,7 +198,8 @@ def nearest(df: DataFrame, key: str, vector: str, is_query: Column, top: int = 2
             out += [[int(i) for i, d in zip(some, away, strict=True) if i >= 0 and d <= ratio * max(away[0], index.value.scale)] for some, away in zip(ids, far, strict=True)]
         return pd.Series(out, dtype=object)
 
-    posted = cut(entries.select("e", "x", F.explode(F.pandas_udf(post, "array<int>")("x")).alias("list")), "posted")
+    places = entries.select("e", "x", F.pandas_udf(post, "lists array<int>, radius double")("x").alias("p"))
+    posted = cut(places.select("e", "x", "p.radius", F.posexplode("p.lists").alias("nth", "list")), "posted")
     asked = rows.select("id", "k1", "k2").filter(is_query).distinct()
     wanted = entries.join(asked.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
     probes = cut(wanted.select(F.col("e").alias("q"), F.col("x").alias("y"), F.explode(F.pandas_udf(probe, "array<int>")("x")).alias("list")), "probes")
@@ -207,6 +223,65 @@ def nearest(df: DataFrame, key: str, vector: str, is_query: Column, top: int = 2
     met = left.groupBy("list", "v", "w").cogroup(right.groupBy("list", "v", "w")).applyInPandas(meet, f"q {kind}, e {kind}, score double")
     met = met.groupBy("q", "e").agg(F.max("score").alias("score"))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "e")
+    floors = met.withColumn("r", F.row_number().over(best)).filter(F.col("r") == top + 1).select("q", F.col("score").alias("floor"))
+    floors = cut(wanted.select(F.col("e").alias("q"), F.col("x").alias("y")).join(floors, "q", "left"), "floors")  # null: too few found
+
+    # The second reading: each vector in its first list, lists in groups, queries by group.
+    own, d = posted.filter("nth = 0"), index.value.centroids.shape[1] - 1
+    sizes = own.groupBy("list").agg(F.count("*").alias("n"), F.max("radius").alias("radius")).collect()  # MOST_CENTROIDS at most
+    block, group = max(1, BLOCK // d), neighbourhoods(index.value.centroids, -(-total["n"] * d // BLOCK))
+    radii, n_parts = np.full(len(group), -1.0), np.zeros(len(group), dtype=np.int64)
+    for r in sizes:
+        radii[r["list"]] = r["radius"]
+        n_parts[group[r["list"]]] += r["n"]
+    n_parts = -(-n_parts // block)
+    plan = spark.sparkContext.broadcast((group, radii, n_parts))
+    slack = 1e-9 * total["norm"]
+
+    def block_of(lists: pd.Series, hashes: pd.Series) -> pd.DataFrame:
+        group, _, n_parts = plan.value
+        g = group[lists.to_numpy()]
+        return pd.DataFrame({"g": g, "v": hashes.to_numpy() % n_parts[g]})
+
+    def blocks_of(y: pd.Series, floor: pd.Series) -> pd.Series:
+        """Groups with a list that may hold a score of the floor, and their parts."""
+        (group, radii, n_parts), c, out = plan.value, index.value.centroids, []
+        for k in range(0, len(y), 512):
+            part = np.array(y.iloc[k : k + 512].tolist(), dtype=np.float64)
+            least = floor.iloc[k : k + 512].fillna(-np.inf).to_numpy(dtype=np.float64)
+            norm = np.sqrt((part**2).sum(axis=1))[:, None]
+            able = (radii >= 0) & (part @ c[:, :-1].T + norm * (radii + slack) >= least[:, None])
+            for row in able:
+                out.append([{"g": int(g), "v": v} for g in np.unique(group[row]) for v in range(n_parts[g])])
+        return pd.Series(out, dtype=object)
+
+    q_parts = max(1, -(-floors.count() * d // BLOCK_QUERIES))
+    place = F.pandas_udf(block_of, "g long, v long")("list", F.xxhash64("e"))
+    left = own.select("e", "x", place.alias("p"), F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))).alias("w")).select("e", "x", "p.g", "p.v", "w")
+    right = floors.select("q", "y", "floor", F.explode(F.pandas_udf(blocks_of, "array<struct<g:long,v:long>>")("y", "floor")).alias("p"), F.pmod(F.xxhash64("q"), F.lit(q_parts)).cast("int").alias("w")).select("q", "y", "floor", "p.g", "p.v", "w")
+
+    def reach(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        """The vectors that reach their query's floor; of more than can be wanted, the best."""
+        qs, es, scores = [], [], []
+        if len(vectors) and len(queries):
+            x = np.array(vectors["x"].tolist(), dtype=np.float64)
+            order = np.argsort([e["entry"] for e in vectors["e"]], kind="stable")  # ties to the smaller id
+            x, e = x[order], vectors["e"].to_numpy()[order]
+            for k in range(0, len(queries), 64):
+                some = queries.iloc[k : k + 64]
+                y = np.array(some["y"].tolist(), dtype=np.float64)
+                least = some["floor"].fillna(-np.inf).to_numpy(dtype=np.float64) - slack * np.sqrt((y**2).sum(axis=1))
+                products = y @ x.T
+                for q, v, p, at in zip(some["q"], y, products, least, strict=True):
+                    near = np.flatnonzero(p >= at)
+                    if len(near) > top + 1:
+                        near = near[np.argsort(-p[near], kind="stable")[: top + 1]]
+                    qs += [q] * len(near)
+                    es += e[near].tolist()
+                    scores += (x[near] * v).sum(axis=1).tolist()
+        return pd.DataFrame({"q": pd.Series(qs, dtype=object), "e": pd.Series(es, dtype=object), "score": pd.Series(scores, dtype=float)})
+
+    met = left.groupBy("g", "v", "w").cogroup(right.groupBy("g", "v", "w")).applyInPandas(reach, f"q {kind}, e {kind}, score double")
     met = cut(met.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= top + 1).select("q", "e", "score"), "met")
     ids = met.join(entries.select("e", "ids"), "e").select("q", "score", F.explode("ids").alias("vec_id"))
     near = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")

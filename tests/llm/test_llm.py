@@ -234,3 +234,17 @@ def test_ann(spark):
         assert all(abs(r["score"] - s[r["vec_id"]]) < 1e-12 for r in mine)
     assert hits >= 0.9 * 100 and len(got) == 100
     assert ann.nearest(df.limit(0), "vec_id", "embedding", F.col("id") % 20 == 0).count() == 0
+
+
+def test_ann_reads_every_list_that_matters(spark):
+    """Unclustered vectors, far more lists than the first reading takes; all sorts of lengths."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3000, 32)) * rng.uniform(0.5, 2, size=(3000, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for extra in ({}, {"list_size": 8, "lists": 2}, {"list_size": 2000, "top": 2500}):
+        top = extra.get("top", 20)
+        got = ann.nearest(df, "vec_id", "embedding", F.col("id") % 100 == 0, **extra).collect()
+        found = {(r["query_id"], r["rank"]): r["vec_id"] for r in got}
+        for q in range(0, 3000, 100):
+            best = [i for i in np.argsort(-(x @ x[q]), kind="stable") if i != q][:top]
+            assert [found[q, k + 1] for k in range(top)] == best
