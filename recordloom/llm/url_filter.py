@@ -7,7 +7,9 @@ builds the tree level by level from counts, for all hosts at once:
    (many distinct values against their rows) become the wildcard ``*``;
 2. merge: a branch whose labelled share of bad urls doesn't differ significantly from
    that of its siblings joins them in one branch ``~``;
-3. judge: a template whose smoothed share of bad labels reaches ``reject_at`` is blocked.
+3. judge: a template whose smoothed share of bad labels reaches ``reject_at`` is blocked. The
+   prior is the same everywhere and low, so a template is blocked by labels of its own alone:
+   one without labels is allowed, whatever its host's other templates are.
 
 The state is one row per host and template with its counts, summed on the map side, so a
 host with a third of all rows costs one row per task and template.
@@ -70,7 +72,7 @@ def _level(groups: DataFrame, i: int, least_children: int, variable_at: float, z
     return deep.join(named, ["host", "prefix", "segment"]).withColumn("prefix", F.concat("prefix", F.lit("/"), "name")).drop("segment", "name")
 
 
-def template_verdicts(urls: DataFrame, least_children: int = 20, variable_at: float = 0.5, z: float = 2.58, prior_weight: float = 8.0, reject_at: float = 0.5) -> DataFrame:
+def template_verdicts(urls: DataFrame, least_children: int = 20, variable_at: float = 0.5, z: float = 2.58, prior: float = 0.1, prior_weight: float = 8.0, reject_at: float = 0.5) -> DataFrame:
     """``urls`` has host, path and bad (1, 0 or null where unlabelled), a row for each url.
     Returns host and ``shape`` (see ``shape_of``), once each, with template, purity (the
     smoothed share of bad labels) and verdict.
@@ -82,14 +84,10 @@ def template_verdicts(urls: DataFrame, least_children: int = 20, variable_at: fl
     for i in range(1, depth + 1):
         ended = groups.filter(F.size("segments") < i)
         groups = cut(ended.unionByName(_level(groups, i, least_children, variable_at, z)), f"url-level-{i}")
-    whole = groups.agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
-    host = groups.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("bad").alias("host_bad"))
-    judged = groups.groupBy("host", "prefix").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).join(host, "host").join(F.broadcast(whole))  # one row
-    base = F.coalesce(F.try_divide(F.col("all_bad"), F.col("all_labelled")), F.lit(0.0))
-    host_rate = (F.col("host_bad") + prior_weight * base) / (F.col("host_labelled") + prior_weight)
-    purity = (F.col("bad") + prior_weight * host_rate) / (F.col("labelled") + prior_weight)
-    judged = judged.select("host", "prefix", purity.alias("purity"))
+    judged = groups.groupBy("host", "prefix").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    purity = (F.col("bad") + prior_weight * prior) / (F.col("labelled") + prior_weight)
+    judged = judged.select("host", "prefix", purity.alias("purity"), (F.col("labelled") > 0).alias("known"))
     return (
         groups.join(judged, ["host", "prefix"])
-        .select("host", "shape", F.concat("host", "prefix").alias("template"), "purity", F.when(F.col("purity") >= reject_at, "block").otherwise("allow").alias("verdict"))
+        .select("host", "shape", F.concat("host", "prefix").alias("template"), "purity", F.when(F.col("known") & (F.col("purity") >= reject_at), "block").otherwise("allow").alias("verdict"))
     )

@@ -57,6 +57,14 @@ def test_url_rules_and_templates(spark):
     assert url_filter.template_verdicts(spark.createDataFrame([], "host string, path string, bad int")).count() == 0
 
 
+def test_url_templates_need_labels_of_their_own(spark):
+    many = [("bad.org", f"/spam/{i}", 1) for i in range(40)] + [("bad.org", f"/wiki/{i}", None) for i in range(40)] + [("new.org", f"/p/{i}", None) for i in range(40)]
+    many += [("mixed.org", f"/{'abcdefgh'[i % 8]}{'klmnopqr'[i // 8]}x", 1 if i % 2 else None) for i in range(60)]
+    found = url_filter.template_verdicts(spark.createDataFrame(many, "host string, path string, bad int")).collect()
+    verdict = {r["template"]: r["verdict"] for r in found}
+    assert verdict == {"bad.org/spam/#": "block", "bad.org/wiki/#": "allow", "new.org/p/#": "allow", "mixed.org/*": "block"}
+
+
 def test_bpe_equals_the_library(spark):
     ranks = bpe.load_ranks(RANKS)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
