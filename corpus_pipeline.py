@@ -27,7 +27,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Lines that an earlier document has go; so do documents of which nothing is left. The
     count of code points follows the text."""
     common.ship(spark)
-    out = line_dedup.deduplicated(docs, "doc_id", "text").filter((F.col("removed_lines") == 0) | (F.trim("text") != ""))
+    out = line_dedup.deduplicated(docs, "doc_id", "text", equal_from=1).filter((F.col("removed_lines") == 0) | (F.trim("text") != ""))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))

@@ -6,7 +6,8 @@ most ``edits``. A line is split into edits + 1 segments; a line within that dist
 one of them unchanged, near its place. So lines are indexed by (length, segment number,
 segment) and probe with their own substrings for each length that isn't larger than theirs
 by more than ``edits``, at the starts which the edits before and after the segment allow.
-Candidates are verified by a banded bit-parallel edit distance.
+Candidates are verified by a banded bit-parallel edit distance. Shorter lines take part in
+the comparison of equal lines, from ``equal_from`` code points on, and in no join.
 
 Lines are trimmed and equal ones collapsed before the join, which moves hashes, not texts;
 only candidates' texts are fetched. A line is removed when an equal line comes before it
@@ -143,18 +144,20 @@ def _lines(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(5), "line")})
 
 
-def repeated_lines(df: DataFrame, key: str, text: str, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
-    """key and removed: the positions (from 0) of the lines to remove, for documents with any."""
-    lines = _lines(df, key, text, least)
+def repeated_lines(df: DataFrame, key: str, text: str, edits: int = EDITS, least: int = MIN_CHARS, equal_from: int | None = None) -> DataFrame:
+    """key and removed: the positions (from 0) of the lines to remove, for documents with any.
+    ``equal_from``: the length from which equal lines are compared; ``least`` unless given."""
+    lines = _lines(df, key, text, least if equal_from is None else min(least, equal_from))
     index, probes = _index_keys(F.col("line"), edits), _probe_keys(F.col("line"), edits)
     names = [f"i{k}" for k in range(len(index))], [f"p{k}" for k in range(len(probes))]
-    keyed = lines.select("doc", "h1", "h2", *[c.alias(n) for c, n in zip(index + probes, names[0] + names[1], strict=True)])
-    distinct = keyed.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.count("*").alias("n"), *[F.max(n).alias(n) for n in names[0] + names[1]])
+    # Keys of short lines are computed too and left out later: in a condition, their common parts wouldn't be shared.
+    keyed = lines.select("doc", "h1", "h2", (F.length("line") >= least).alias("long"), *[c.alias(n) for c, n in zip(index + probes, names[0] + names[1], strict=True)])
+    distinct = keyed.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.count("*").alias("n"), F.max("long").alias("long"), *[F.max(n).alias(n) for n in names[0] + names[1]])
     distinct = cut(distinct, "lines")
 
     def side(columns: list[str], tag: str) -> DataFrame:
         entries = F.array(*[F.struct(F.col(k).alias("key"), F.col(r).alias("rest")) for k, r in zip(columns[::2], columns[1::2], strict=True)])
-        return distinct.select(F.explode(entries).alias("x"), F.struct("doc", "h1", "h2").alias(tag)).select("x.key", F.col("x.rest").alias(f"rest_{tag}"), tag)
+        return distinct.filter("long").select(F.explode(entries).alias("x"), F.struct("doc", "h1", "h2").alias(tag)).select("x.key", F.col("x.rest").alias(f"rest_{tag}"), tag)
 
     left, right = side(names[0], "a"), side(names[1], "b")
     low, high = (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))), (lambda c: F.shiftrightunsigned(c, 32))
@@ -180,9 +183,9 @@ def repeated_lines(df: DataFrame, key: str, text: str, edits: int = EDITS, least
     return seen.groupBy("doc").agg(F.sort_array(F.flatten(F.collect_list(gone))).alias("removed")).filter(F.size("removed") > 0).withColumnRenamed("doc", key)
 
 
-def deduplicated(df: DataFrame, key: str, text: str, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
+def deduplicated(df: DataFrame, key: str, text: str, edits: int = EDITS, least: int = MIN_CHARS, equal_from: int | None = None) -> DataFrame:
     """``df`` with ``text`` rid of repeated lines, and ``removed_lines``, their number."""
-    gone = repeated_lines(df, key, text, edits, least).withColumnRenamed(key, "_key")
+    gone = repeated_lines(df, key, text, edits, least, equal_from).withColumnRenamed(key, "_key")
     joined = df.join(gone, F.col(key).eqNullSafe(F.col("_key")), "left")
     left = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("removed", i))
     cleaned = F.when(F.col("removed").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))

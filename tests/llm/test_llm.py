@@ -162,6 +162,12 @@ def test_line_dedup(spark):
     assert line_dedup.repeated_lines(docs(spark, []), "doc_id", "text").count() == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    rows = [(1, "All rights reserved.\n\nx\nfirst", "n", "l"), (2, "second\n\n All rights reserved.\nfirs", "n", "l"), (3, "x\n\nx", "n", "l"), (4, "own\nown", "n", "l")]
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.repeated_lines(docs(spark, rows), "doc_id", "text", equal_from=1).collect()}
+    assert got == {2: [2], 3: [0, 2], 4: [1]}
+
+
 def test_near_dedup_equals_brute_force(spark):
     rng, rows = random.Random(6), []
     for i in range(150):

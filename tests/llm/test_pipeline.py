@@ -14,3 +14,10 @@ def test_stages_filter_and_encode(spark):
         before = docs.count()
     tokens = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert tokens.count() == before and tokens.filter("n_tokens <> size(token_ids)").count() == 0
+
+
+def test_line_dedup_stage_takes_short_lines(spark):
+    rows = [(1, "Les.\na line that only the first of them has", 42), (2, "Les.\nanother one that only the second has", 42), (3, "Les.", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.drop_repeated_lines(spark, df, "").collect()}
+    assert got == {1: (rows[0][1], 42), 2: ("another one that only the second has", 36)}
