@@ -4,11 +4,15 @@ For each host, tokens (tags with the path of the elements around them) are group
 their occurrence vectors: how often each occurs on each page of the host. Tokens with one
 vector form a class. A class is valid when it is large enough, occurs on enough of the
 host's pages, and its tokens keep their order (each that occurs once per page has the same
-predecessor on every page). Valid classes nest by their paths into the host's template;
-what lies between template tokens are its slots. The main slot is the deepest template
-element that holds most of the text outside of boilerplate elements; the page's text is
-what remains in it. Pages whose host has no usable template fall back to the page's own
-tree, by the same rule.
+predecessor on every page). The paths in valid classes, as one set, are the host's template;
+blocks of text are tokens too, so those that repeat on its pages belong to it.
+
+The text of a page with an article or main element is what is in there outside of
+boilerplate elements: the template doesn't choose then. On other pages the main slot is the
+deepest template element that holds most of the text outside of boilerplate elements. All of
+it is kept, and of what lies beside it (titles, leads, columns) all but the template's
+blocks. Pages whose host has no usable template fall back to the page's own tree, by the
+same rule.
 
 Vectors aren't gathered: a token's vector is hashed page by page, and hashes combine by
 exclusive or, so a host with a third of all pages costs one row per task and token.
@@ -39,12 +43,16 @@ MAIN_SHARE = 0.5
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _CLASS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "math"}
+_RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "header", "footer", "nav", "aside", "form", "fieldset", "head", "title"}
 #: Elements that never hold main text.
 _AROUND = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "fieldset", "title"}
-_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|disqus|footer|masthead|menu|modal|nav\w*|newsletter|notices?|popup|promo\w*|related|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+_NAMES = re.compile(r"ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|disqus|footer|masthead|menu|modal|nav|navbar|navbox|navigation|newsletter|notices?|popup|promo\w*|related|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget", re.I)
+#: What may stand beside such a name in a class or id, as in site-nav: anything else (related-work) is another word.
+_BESIDE = re.compile(r"site|page|main|global|top|bottom|left|right|primary|secondary|list|box|area|bar|block|links?|buttons?|icons?|items?|form|inner|outer|wrap|wrapper|container|section|posts?|articles?|media|consent|\d+", re.I)
+#: The elements whose class and id are looked at: not headings, paragraphs and text within lines.
+_NAMED = {"div", "section", "header", "ul", "ol", "dl", "table", "details"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "menubar"}
 _MAIN = {"article", "main"}
 #: What a start tag closes first, up to an element that keeps it in.
@@ -60,6 +68,21 @@ class Page:
     blocks: list[tuple[str, bool, str]] = field(default_factory=list)
 
 
+def _is_around(token: str) -> bool:
+    """Whether a class or id as a whole names navigation, adverts and the like."""
+    parts = [p for p in re.split(r"[_-]+", token) if p]
+    return any(map(_NAMES.fullmatch, parts)) and all(_NAMES.fullmatch(p) or _BESIDE.fullmatch(p) for p in parts)
+
+
+def _is_main(path: str) -> bool:
+    return re.split(r"[.@]", path.rsplit("/", 1)[-1])[0] in _MAIN or path.endswith("@main")
+
+
+def _mark(path: str, text: str) -> str:
+    """The token of a block of text, which is in a template where it repeats."""
+    return f"{path}\n{xxhash.xxh64_hexdigest(text)}"
+
+
 def parse(source: str | None) -> Page:
     """The tokens and blocks of one page."""
     page, text = Page(), source or ""
@@ -143,7 +166,7 @@ def parse(source: str | None) -> Page:
         path = (open_[-1][1] if open_ else "") + "/" + label
         inside = any(n in _MAIN for n, _, _ in open_)
         around = bool(open_ and open_[-1][2]) or name in _AROUND or (name == "header" and not inside) or marks.get("role", "") in _ROLES
-        around = around or (name not in ("html", "body") and name not in _MAIN and bool(_NAMES.search(" ".join([marks.get("class", ""), marks.get("id", "")]))))
+        around = around or (name in _NAMED and any(map(_is_around, f"{marks.get('class', '')} {marks.get('id', '')}".split())))
         page.tokens.append(path)
         if name not in _VOID and not m.group(3).endswith("/"):
             if around and not (open_ and open_[-1][2]):
@@ -155,7 +178,8 @@ def parse(source: str | None) -> Page:
 
 
 def main_text(page: Page, template: set[str] | None = None) -> str:
-    """The text of the main slot. ``template``: the paths that may be the main element."""
+    """The text of the main slots. ``template``: the paths that may be the main element, and
+    the marks of blocks that repeat: these are the template's, where they are beside it."""
     blocks = [(path, text) for path, around, text in page.blocks if not around]
     if not blocks:
         return ""
@@ -166,7 +190,7 @@ def main_text(page: Page, template: set[str] | None = None) -> str:
             here = "/".join(parts[:k])
             weight[here] = weight.get(here, 0) + len(text)
     total = sum(len(text) for _, text in blocks)
-    named = [p for p in weight if re.split(r"[.@]", p.rsplit("/", 1)[-1])[0] in _MAIN or p.endswith("@main")]
+    named = [p for p in weight if _is_main(p)]
     outer = [p for p in named if not any(p.startswith(q + "/") for q in named)]
     able = outer or [p for p in weight if (not template or p in template) and weight[p] >= MAIN_SHARE * total]
     if not able:
@@ -177,7 +201,8 @@ def main_text(page: Page, template: set[str] | None = None) -> str:
     # A leaf that occurs again and again is a block of the slot, not the slot.
     while best.count("/") > 1 and re.split(r"[.@]", best.rsplit("/", 1)[-1])[0] in {"p", "li", "td", "h1", "h2", "h3", "blockquote", "pre", "dd"}:
         best = best.rsplit("/", 1)[0]
-    return "\n\n".join(text for path, text in blocks if path == best or path.startswith(best + "/"))
+    # Titles, leads and further columns lie beside it: all but what the host's pages share.
+    return "\n\n".join(text for path, text in blocks if path == best or path.startswith(best + "/") or not template or _mark(path, text) not in template)
 
 
 def templates(pages: DataFrame, host: str, page_html: str) -> DataFrame:
@@ -187,13 +212,21 @@ def templates(pages: DataFrame, host: str, page_html: str) -> DataFrame:
         sums: dict[tuple[str, str], list[int]] = {}
         for b in batches:
             for h, source in zip(b["host"], b["html"], strict=True):
-                tokens = parse(source).tokens
+                parsed = parse(source)
+                tokens = parsed.tokens
                 count: dict[str, int] = {}
                 for t in tokens:
                     count[t] = count.get(t, 0) + 1
+                if not any(map(_is_main, count)):  # else its text isn't chosen by the template
+                    for path, around, text in parsed.blocks:
+                        if not around:
+                            t = _mark(path, text)
+                            count[t] = count.get(t, 0) + 1
                 page = xxhash.xxh64_intdigest(source or "")
                 before = 0
                 for t, n in count.items():
+                    if "\n" in t:  # a block's place is its path alone
+                        before = xxhash.xxh32_intdigest(t.split("\n")[0])
                     s = sums.setdefault((h, t), [0, 0, 0, 1 << 62, -(1 << 62), 0])
                     s[0] += 1
                     s[1] += n

@@ -121,6 +121,21 @@ def test_html_templates(spark):
     assert got[7] == "" and got[8] == ""
 
 
+def test_html_keeps_all_of_the_article():
+    page = "<article><h2 id='related-work'>Related</h2><div id='ad-hoc'><p>Ad hoc</p></div><div class='navy'><p>Navy</p></div><p class='share'>Share prices</p><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><object><p>Fallback</p></object><div class='share'>Tweet</div><div class='site-nav'>Home</div></article>"
+    assert html_extract.main_text(html_extract.parse(page)).split("\n\n") == ["Related", "Ad hoc", "Navy", "Share prices", "so x=1 holds", "Fallback"]
+
+
+def test_html_keeps_titles_and_columns_beside_the_main_slot(spark):
+    page = "<body><div class=top>The site</div><div class=post><h1>Title {0}</h1><div class=entry><p>{1}</p><p>more {0}</p></div><div class=column><p>Aside {0}</p></div></div></body>"
+    rng = random.Random(6)
+    rows = [(i, "u", "h", page.format(i, prose(rng, 30))) for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id int, url string, host string, html string")
+    for r in html_extract.extract(df, "page_id", "url", "host", "html").collect():
+        i, first = r["page_id"], rows[r["page_id"]][3].split("<p>")[1].split("</p>")[0]
+        assert r["text"].split("\n\n") == [f"Title {i}", " ".join(first.split()), f"more {i}", f"Aside {i}"]
+
+
 def edited(rng, s, k):
     for _ in range(k):
         i, r = rng.randrange(len(s) + 1), rng.random()
