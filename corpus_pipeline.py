@@ -64,7 +64,7 @@ STAGES = [
     ("tokens", encode),
 ]
 
-#: SQL can't express the stages; tests compare the run with a brute-force version.
+#: SQL can't express the stages. No test compares the whole run with a brute-force version yet.
 ORACLE_SQL = None
 
 
