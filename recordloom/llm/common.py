@@ -48,10 +48,20 @@ def words(c: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir). Only where it is unset,
-    as in tests, a folder of this machine takes its place."""
+    """The cluster's shared folder (spark.checkpoint.dir). Only where it is unset and all
+    runs on one machine, as in tests, a folder of this machine takes its place."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="recordloom-")
         spark.sparkContext.setCheckpointDir(root)

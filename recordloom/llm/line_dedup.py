@@ -1,33 +1,63 @@
 """Line deduplication across documents by a segment-partition edit join. Native: DataFrame
 functions alone.
 
-Two lines of at least MIN_CHARS code points are the same when their edit distance is at
-most ``edits``. A line is split into edits + 1 segments; a line within that distance holds
-one of them unchanged, near its place. So lines are indexed by (length, segment number,
-segment) and probe with their own substrings for each length that isn't larger than theirs
-by more than ``edits``, at the starts which the edits before and after the segment allow.
-Candidates are verified by a banded bit-parallel edit distance. Shorter lines take part in
-the comparison of equal lines, from ``equal_from`` code points on, and in no join.
+Two lines are the same when their edit distance is at most the threshold that ``edits`` gives
+for the length of the shorter one. An indexed line is split into threshold + 1 segments; a line
+within the distance holds one of them unchanged, near its place. So lines are indexed by
+(length, segment number, segment) and probe with their own substrings for each length that
+isn't larger than theirs by more than the threshold, at the starts which the edits before and
+after the segment allow. Candidates are verified by a banded bit-parallel edit distance.
+Shorter lines take part in the comparison of equal lines, from ``equal_from`` code points on,
+and in no join.
+
+Segments that many lines share (templates) aren't joined: their lines are taken apart further.
+What lies left and right of a shared segment has a share of the threshold each and is split
+into segments again, until a group's pairs are few or the pieces are no longer than their
+thresholds. So lines that have most of their text in common, but differ by more than the
+threshold, make no candidates, and no pair is lost. A sample decides which segments are taken
+apart at first; both ways find the same pairs.
 
 Lines are trimmed and equal ones collapsed before the join, which moves hashes, not texts;
 only candidates' texts are fetched. A line is removed when an equal line comes before it
 (by document key, then position), or when another line within the distance has its first
-document before it (hashes break ties); shorter lines always stay.
+document before it (hashes break ties); shorter lines always stay but for equal ones.
 
 Cases: null and empty texts have no lines to remove; rows of one key count as one
-document; null keys come last; other columns are kept.
+document; null keys come last; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
-EDITS = 1
 MIN_CHARS = 32
+#: The least length of a line and the edits allowed from there on.
+EDITS = ((MIN_CHARS, 1), (256, 2))
 BUCKETS = 1 << 20
+#: One line of so many is counted to find segments that many lines share, and the count from
+#: which such a segment is taken apart. Pairs that a group makes at most after that.
+SAMPLED, SHARED, PAIRS = 8, 8, 1024
+
+#: (least length, least length that has another threshold or None, threshold)
+Band = tuple[int, int | None, int]
+
+
+def bands_of(edits: int | Sequence[tuple[int, int]], least: int) -> list[Band]:
+    steps = [(least, edits)] if isinstance(edits, int) else sorted((max(n, least), e) for n, e in edits)
+    return [(low, steps[k + 1][0] if k + 1 < len(steps) else None, e) for k, (low, e) in enumerate(steps)]
+
+
+def _threshold(length: Column, bands: list[Band]) -> Column:
+    """The edits allowed for a length; null where there are none."""
+    out = F.lit(None).cast("int")
+    for low, _, e in bands:
+        out = F.when(length >= low, F.lit(e)).otherwise(out)
+    return out
 
 
 def edit_distance_at_most(a: Column, b: Column, edits: int) -> Column:
@@ -79,21 +109,26 @@ def _common(a: Column, b: Column) -> Column:
     return F.aggregate(steps, F.lit(0), grow)
 
 
-def within(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
-    """The pairs of strings within ``edits``; ``a`` is the shorter one of each. Common ends, which
-    don't change the distance, are cut off before it is computed."""
+def within(pairs: DataFrame, a: str, b: str, edits: int | Sequence[int], of: str | None = None) -> DataFrame:
+    """The pairs of strings within ``edits``; ``a`` is the shorter one of each. With several
+    thresholds, column ``of`` says which one a pair has. Common ends, which don't change the
+    distance, are cut off before it is computed."""
     rows = pairs.withColumn("_low", _common(F.col(a), F.col(b)))
     rows = rows.withColumns({"_x": F.expr(f"substr({a}, _low + 1)"), "_y": F.expr(f"substr({b}, _low + 1)")})
     rows = rows.withColumn("_high", _common(F.reverse("_x"), F.reverse("_y")))
     rows = rows.withColumns({"_x": F.expr("left(_x, length(_x) - _high)"), "_y": F.expr("left(_y, length(_y) - _high)")})
     # Written before it is filtered: the optimizer would copy these columns into the filters.
     rows = cut(rows.drop("_low", "_high"), "line-rests")
-    if edits == 1:  # one edit can't reach both ends of a longer rest
-        rows = rows.filter(F.length("_y") <= 1)
-    return rows.filter(edit_distance_at_most(F.col("_x"), F.col("_y"), edits)).drop("_x", "_y")
+    near = F.lit(False)
+    for e in [edits] if isinstance(edits, int) else edits:
+        fits = edit_distance_at_most(F.col("_x"), F.col("_y"), e)
+        if e == 1:  # one edit can't reach both ends of a longer rest
+            fits = F.when(F.length("_y") <= 1, fits).otherwise(F.lit(False))
+        near = F.when(F.col(of) == e, fits).otherwise(near) if of else fits
+    return rows.filter(near).drop("_x", "_y")
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
+def _segment(length: Column, i: int | Column, edits: int | Column) -> tuple[Column, Column]:
     """Start (from 1) and length of segment ``i`` (from 0) of a line: the longer ones come last."""
     parts = edits + 1
     short, longer = F.floor(length / parts), length % parts
@@ -117,76 +152,176 @@ def _rest(line: Column, length: Column, i: int, longer: int, edits: int) -> Colu
     return F.shiftleft(parts[0].cast("long"), 32).bitwiseOR(parts[1].cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
-def _index_keys(line: Column, edits: int) -> list[Column]:
-    n = F.length(line)
-    out = []
-    for i in range(edits + 1):
-        start, size = _segment(n, i, edits)
-        out += [_key(n, i, F.substring(line, start, size)), _rest(line, n, i, 0, edits)]
-    return out
-
+def _keys(line: Column, n: Column, bands: list[Band]) -> tuple[list[Column], list[Column]]:
+    """Keys and rests, in turn, that a line is indexed under, then the further ones that it probes
+    with (it probes with the former too, for lines of its length). Null where a band has fewer."""
+    index: dict[int, list[tuple[Column, Column, Column]]] = {}
+    probes: dict[tuple[int, int], list[tuple[Column, Column, Column]]] = {}
+    for low, high, edits in bands:
+        for longer in range(edits + 1):  # than the indexed line
+            length, at = n - longer, 0
+            fits = (n >= low + longer) if high is None else n.between(low + longer, high - 1 + longer)
+            for i in range(edits + 1):
+                start, size = _segment(length, i, edits)
+                for shift in range(max(-i, longer - (edits - i)), min(i, longer + (edits - i)) + 1):
+                    entry = (fits, _key(length, i, F.substring(line, start + shift, size)), _rest(line, length, i, longer, edits))
+                    if longer == shift == 0:
+                        index.setdefault(i, []).append(entry)
+                    else:
+                        probes.setdefault((longer, at), []).append(entry)
+                        at += 1
+
+    def chosen(groups) -> list[Column]:
+        out = []
+        for _, entries in sorted(groups.items()):
+            for k in (1, 2):
+                one = F.lit(None).cast("long")
+                for e in entries:
+                    one = F.when(e[0], e[k]).otherwise(one)
+                out.append(one)
+        return out
 
-def _probe_keys(line: Column, edits: int) -> list[Column]:
-    n = F.length(line)
-    out = []
-    for longer in range(edits + 1):  # than the indexed line
-        length = n - longer
-        for i in range(edits + 1):
-            start, size = _segment(length, i, edits)
-            for shift in range(max(-i, longer - (edits - i)), min(i, longer + (edits - i)) + 1):
-                out += [_key(length, i, F.substring(line, start + shift, size)), _rest(line, length, i, longer, edits)]
-    return out
+    return chosen(index), chosen(probes)
 
 
 def _lines(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    rows = df.select(F.col(key).alias("doc"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    rows = rows.withColumn("line", F.trim("line")).filter(F.length("line") >= least)
+    rows = df.select(F.col(f"`{key}`").alias("doc"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("pos", "line"))
+    rows = rows.withColumn("line", F.trim("line")).withColumn("n", F.length("line")).filter(F.col("n") >= least)
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(5), "line")})
 
 
-def repeated_lines(df: DataFrame, key: str, text: str, edits: int = EDITS, least: int = MIN_CHARS, equal_from: int | None = None) -> DataFrame:
-    """key and removed: the positions (from 0) of the lines to remove, for documents with any.
-    ``equal_from``: the length from which equal lines are compared; ``least`` unless given."""
-    lines = _lines(df, key, text, least if equal_from is None else min(least, equal_from))
-    index, probes = _index_keys(F.col("line"), edits), _probe_keys(F.col("line"), edits)
-    names = [f"i{k}" for k in range(len(index))], [f"p{k}" for k in range(len(probes))]
-    # Keys of short lines are computed too and left out later: in a condition, their common parts wouldn't be shared.
-    keyed = lines.select("doc", "h1", "h2", (F.length("line") >= least).alias("long"), *[c.alias(n) for c, n in zip(index + probes, names[0] + names[1], strict=True)])
-    distinct = keyed.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.count("*").alias("n"), F.max("long").alias("long"), *[F.max(n).alias(n) for n in names[0] + names[1]])
-    distinct = cut(distinct, "lines")
+def _texts(lines: DataFrame, distinct: DataFrame, ids: DataFrame) -> DataFrame:
+    """h1, h2, doc (the first one that has the line), line and n of the lines ``ids`` (h1, h2)."""
+    wanted = cut(distinct.select("h1", "h2", "doc").join(ids.distinct(), ["h1", "h2"]), "line-ids")
+    # Most lines aren't candidates: a set of at most BUCKETS numbers keeps their texts from the shuffle.
+    bucket = F.pmod("h1", F.lit(BUCKETS)).alias("bucket")
+    some = lines.select("doc", "h1", "h2", "line", "n", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "bucket", "left_semi")
+    found = some.join(wanted, (some["h1"] == wanted["h1"]) & (some["h2"] == wanted["h2"]) & some["doc"].eqNullSafe(wanted["doc"]), "left_semi")
+    return cut(found.select("h1", "h2", "doc", "line", "n").dropDuplicates(["h1", "h2"]), "line-texts")
 
-    def side(columns: list[str], tag: str) -> DataFrame:
+
+_PIECES = "array<struct<x:int,n:int,y:int,m:int,t:int>>"
+
+
+def _piece(x: Column, n: Column, y: Column, m: Column, t: Column) -> Column:
+    return F.struct(*[c.cast("int").alias(k) for k, c in zip("xnymt", (x, n, y, m, t), strict=True)])
+
+
+def _taken_apart(rows: DataFrame) -> DataFrame:
+    """A row for each segment of the longest piece. ``rows``: probe (whether the line probes), h1,
+    h2, line, g (what it has in common with its group) and pieces: what isn't in g, from code
+    point x, n long, in the indexed line and from y, m long, in the probing one, with at most t
+    edits."""
+    longest = F.array_max(F.transform("pieces", lambda p, i: F.struct(F.when(p["n"] > p["t"], p["n"]).otherwise(F.lit(-1)).alias("n"), i.alias("i"))))
+    rows = rows.withColumn("i", longest["i"]).withColumn("p", F.col("pieces")[F.col("i")])
+    p = {k: F.col(f"p.{k}") for k in "xnymt"}
+    others = F.filter("pieces", lambda _, k: k != F.col("i"))
+    longer = p["m"] - p["n"]
+
+    def at(j: Column, shift: Column) -> Column:
+        start, size = _segment(p["n"], j, p["t"])
+        before = start - 1
+        left = _piece(p["x"], before, p["y"], before + shift, j)
+        right = _piece(p["x"] + before + size, p["n"] - before - size, p["y"] + before + shift + size, p["m"] - before - shift - size, p["t"] - j)
+        key = F.xxhash64("g", "i", j, F.substr(F.col("line"), (p["y"] + before + shift + 1).cast("int"), size))
+        return F.struct(key.alias("g"), F.concat(others, F.filter(F.array(left, right), lambda q: (q["t"] > 0) & (q["n"] > 0))).alias("pieces"))
+
+    def starts(j: Column) -> Column:
+        shifts = F.sequence(F.greatest(-j, longer - p["t"] + j), F.least(j, longer + p["t"] - j))
+        return F.transform(F.when(F.col("probe"), shifts).otherwise(F.array(F.lit(0))), lambda s: at(j, s))
+
+    each = F.flatten(F.transform(F.sequence(F.lit(0), p["t"]), starts))
+    return rows.select("probe", "h1", "h2", "line", F.explode(each).alias("one")).select("probe", "h1", "h2", "line", "one.g", "one.pieces")
+
+
+def _shared_pairs(texts: DataFrame, bands: list[Band], pairs_at_most: int) -> list[DataFrame]:
+    """Tables of pairs (h1a, h2a, h1b, h2b) that hold all pairs of ``texts`` within the distance."""
+    whole = lambda length, edits: F.array(_piece(F.lit(0), length, F.lit(0), F.col("n"), edits)).cast(_PIECES)
+    row = lambda probe, length, edits: F.struct(F.lit(probe).alias("probe"), F.xxhash64(length, edits).alias("g"), whole(length, edits).alias("pieces"), (edits >= F.col("n") - length).alias("fits"))
+    n = F.col("n")
+    most = max(e for _, _, e in bands)
+    starts = F.array(row(False, n, _threshold(n, bands)), *[row(True, n - d, _threshold(n - d, bands)) for d in range(most + 1)])
+    state = _taken_apart(texts.select("h1", "h2", "line", F.explode(F.filter(starts, lambda s: F.coalesce(s["fits"], F.lit(False)))).alias("s")).select("s.probe", "h1", "h2", "line", "s.g", "s.pieces"))
+    out = []
+    while True:
+        state = cut(state, "line-pieces")
+        able = F.exists("pieces", lambda p: p["n"] > p["t"])
+        sizes = state.groupBy("g").agg(F.count_if(~F.col("probe")).alias("a"), F.count_if("probe").alias("b"), F.max(able).alias("able")).filter("a > 0 and b > 0")
+        sizes = cut(sizes.select("g", (F.col("able") & (F.col("a") * F.col("b") > pairs_at_most)).alias("open")), "line-groups")
+        few = state.join(sizes.filter("not open"), "g")
+        left, right = few.filter("not probe").select("g", "h1", "h2").toDF("g", "h1a", "h2a"), few.filter("probe").select("g", "h1", "h2").toDF("g", "h1b", "h2b")
+        out.append(left.join(right, "g").filter("h1a <> h1b or h2a <> h2b").select("h1a", "h2a", "h1b", "h2b"))
+        many = sizes.filter("open")
+        if many.isEmpty():
+            return out
+        state = _taken_apart(state.join(many.select("g"), "g", "left_semi"))
+
+
+def _candidates(distinct: DataFrame, lines: DataFrame, index: list[str], probes: list[str], bands: list[Band]) -> DataFrame:
+    """h1a, h2a, h1b, h2b: pairs of different lines, the smaller hashes first."""
+
+    def side(rows: DataFrame, columns: list[str], tag: str) -> DataFrame:
         entries = F.array(*[F.struct(F.col(k).alias("key"), F.col(r).alias("rest")) for k, r in zip(columns[::2], columns[1::2], strict=True)])
-        return distinct.filter("long").select(F.explode(entries).alias("x"), F.struct("doc", "h1", "h2").alias(tag)).select("x.key", F.col("x.rest").alias(f"rest_{tag}"), tag)
+        each = rows.select(F.explode(entries).alias("x"), "h1", "h2").filter(F.col("x.key").isNotNull())
+        return each.select("x.key", F.col("x.rest").alias(f"rest{tag}"), F.col("h1").alias(f"h1{tag}"), F.col("h2").alias(f"h2{tag}"))
 
-    left, right = side(names[0], "a"), side(names[1], "b")
+    sampled = side(distinct.filter(F.pmod("h1", F.lit(SAMPLED)) == 0), index, "a")
+    shared = cut(sampled.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= SHARED).select("key"), "shared-segments")
+    any_shared = not shared.isEmpty()
+    rare = (lambda rows: rows.join(shared, "key", "left_anti")) if any_shared else (lambda rows: rows)
     low, high = (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))), (lambda c: F.shiftrightunsigned(c, 32))
-    alike = (low("rest_a") == low("rest_b")) | (high("rest_a") == high("rest_b"))
-    found = left.join(right, (left["key"] == right["key"]) & (F.col("a") != F.col("b")) & alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = cut(found.distinct(), "line-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("x")).select("x.*").distinct()
-    # Most lines aren't candidates: a set of at most BUCKETS numbers keeps their texts from the shuffle.
-    bucket = F.pmod("h1", F.lit(BUCKETS)).alias("bucket")
-    some = lines.select("doc", "h1", "h2", "line", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "bucket", "left_semi")
-    texts = some.join(wanted, (some["h1"] == wanted["h1"]) & (some["h2"] == wanted["h2"]) & some["doc"].eqNullSafe(wanted["doc"]), "left_semi")
-    texts = cut(texts.select(F.struct("doc", "h1", "h2").alias("x"), "line").dropDuplicates(["x"]), "line-texts")
-    both = pairs.join(texts.toDF("a", "la"), "a").join(texts.toDF("b", "lb"), "b")
-    both = both.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")  # costly rows: not to be coalesced by size
-    short, long_ = F.when(F.length("la") <= F.length("lb"), F.col("la")).otherwise(F.col("lb")), F.when(F.length("la") <= F.length("lb"), F.col("lb")).otherwise(F.col("la"))
-    sized = cut(both.select("b", short.alias("x"), long_.alias("y")), "line-candidates").filter(F.length("y") - F.length("x") <= edits)
-    near = within(sized, "x", "y", edits).select("b.h1", "b.h2").distinct()
+    alike = (low("resta") == low("restb")) | (high("resta") == high("restb"))
+    left = rare(side(distinct, index, "a"))
+    found = [left.join(rare(side(distinct, names, "b")), "key").filter(alike).select("h1a", "h2a", "h1b", "h2b") for names in (index, probes)]
+    found[0] = found[0].filter("(h1a, h2a) < (h1b, h2b)")
+    if any_shared:
+        everything = side(distinct, index + probes, "")
+        ids = everything.join(shared, "key", "left_semi").select("h1", "h2")
+        found += _shared_pairs(_texts(lines, distinct, ids), bands, PAIRS)
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    one, other = F.struct("h1a", "h2a"), F.struct("h1b", "h2b")
+    swap = one > other
+    ordered = pairs.select(*[F.when(swap, F.col(f"{h}{b}")).otherwise(F.col(f"{h}{a}")).alias(f"{h}{a}") for a, b in ("ab", "ba") for h in ("h1", "h2")])
+    return cut(ordered.filter("h1a <> h1b or h2a <> h2b").distinct(), "line-pairs")
+
+
+def repeated_lines(df: DataFrame, key: str, text: str, edits: int | Sequence[tuple[int, int]] = EDITS, least: int = MIN_CHARS, equal_from: int | None = None) -> DataFrame:
+    """key and removed: the positions (from 0) of the lines to remove, for documents with any.
+    ``edits``: the threshold, or (least length, threshold) pairs. ``equal_from``: the length from
+    which equal lines are compared; ``least`` unless given."""
+    bands = bands_of(edits, least)
+    lines = _lines(df, key, text, least if equal_from is None else min(least, equal_from))
+    index, probes = _keys(F.col("line"), F.col("n"), bands)
+    names = [f"i{k}" for k in range(len(index))], [f"p{k}" for k in range(len(probes))]
+    keyed = lines.select("doc", "h1", "h2", *[c.alias(n) for c, n in zip(index + probes, names[0] + names[1], strict=True)])
+    distinct = keyed.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.count("*").alias("n"), *[F.max(n).alias(n) for n in names[0] + names[1]])
+    distinct = cut(distinct, "lines")
+    pairs = _candidates(distinct, lines, *names, bands)
+    texts = _texts(lines, distinct, pairs.select(F.explode(F.array(F.struct(F.col("h1a").alias("h1"), F.col("h2a").alias("h2")), F.struct(F.col("h1b").alias("h1"), F.col("h2b").alias("h2")))).alias("x")).select("x.*"))
+    of = lambda t: texts.select(F.col("h1").alias(f"h1{t}"), F.col("h2").alias(f"h2{t}"), F.struct("line", "n", F.struct(F.col("doc").isNull().alias("no"), "doc", "h1", "h2").alias("at")).alias(t))
+    both = pairs.join(of("a"), ["h1a", "h2a"]).join(of("b"), ["h1b", "h2b"])
+    both = both.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h1a", "h2b")  # costly rows: not to be coalesced by size
+    shorter = F.col("a.n") <= F.col("b.n")
+    sized = both.select(F.greatest("a.at", "b.at").alias("late"), F.when(shorter, F.col("a")).otherwise(F.col("b")).alias("s"), F.when(shorter, F.col("b")).otherwise(F.col("a")).alias("l"))
+    sized = cut(sized.select("late", F.col("s.line").alias("x"), F.col("l.line").alias("y"), _threshold(F.col("s.n"), bands).alias("edits"), (F.col("l.n") - F.col("s.n")).alias("gap")), "line-candidates")
+    near = within(sized.filter("gap <= edits"), "x", "y", sorted({e for _, _, e in bands}), "edits").select("late.h1", "late.h2").distinct()
 
     marked = distinct.select("h1", "h2", F.col("doc").alias("first"), "n").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
     marked = marked.filter("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     seen = lines.select("doc", "pos", "h1", "h2").join(marked, ["h1", "h2"]).groupBy("doc", "h1", "h2", "first", "near").agg(F.min("pos").alias("low"), F.collect_list("pos").alias("all"))
     gone = F.when(F.col("near") | ~F.col("doc").eqNullSafe(F.col("first")), F.col("all")).otherwise(F.filter("all", lambda p: p != F.col("low")))
-    return seen.groupBy("doc").agg(F.sort_array(F.flatten(F.collect_list(gone))).alias("removed")).filter(F.size("removed") > 0).withColumnRenamed("doc", key)
-
-
-def deduplicated(df: DataFrame, key: str, text: str, edits: int = EDITS, least: int = MIN_CHARS, equal_from: int | None = None) -> DataFrame:
-    """``df`` with ``text`` rid of repeated lines, and ``removed_lines``, their number."""
-    gone = repeated_lines(df, key, text, edits, least, equal_from).withColumnRenamed(key, "_key")
-    joined = df.join(gone, F.col(key).eqNullSafe(F.col("_key")), "left")
-    left = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("removed", i))
-    cleaned = F.when(F.col("removed").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
-    return joined.withColumn(text, cleaned).withColumn("removed_lines", F.coalesce(F.size("removed"), F.lit(0))).drop("_key", "removed")
+    return seen.groupBy("doc").agg(F.sort_array(F.flatten(F.collect_list(gone))).alias("removed")).filter(F.size("removed") > 0).select(F.col("doc").alias(key), "removed")
+
+
+def deduplicated(df: DataFrame, key: str, text: str, edits: int | Sequence[tuple[int, int]] = EDITS, least: int = MIN_CHARS, equal_from: int | None = None, into: str = "removed_lines") -> DataFrame:
+    """``df`` with ``text`` rid of repeated lines, and their number in ``into``, which mustn't be a column."""
+    if into.lower() in [c.lower() for c in df.columns]:
+        raise ValueError(f"{into} is a column already")
+    at, of = fresh(df, "_key"), fresh(df, "_removed")
+    gone = repeated_lines(df, key, text, edits, least, equal_from).toDF(at, of)
+    joined = df.join(gone, F.col(f"`{key}`").eqNullSafe(F.col(at)), "left")
+    left = F.filter(F.split(F.col(f"`{text}`"), "\n"), lambda x, i: ~F.array_contains(F.col(of), i))
+    cleaned = F.when(F.col(of).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(left, "\n"))
+    return joined.select(*[cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns], F.coalesce(F.size(of), F.lit(0)).alias(into))
