@@ -1,24 +1,31 @@
 """Main-text extraction by equivalence-class template deduction.
 
-For each host, tokens (tags with the path of the elements around them) are grouped by
-their occurrence vectors: how often each occurs on each page of the host. Tokens with one
-vector form a class. A class is valid when it is large enough, occurs on enough of the
-host's pages, and its tokens keep their order (each that occurs once per page has the same
-predecessor on every page). The paths in valid classes, as one set, are the host's template;
-blocks of text are tokens too, so those that repeat on its pages belong to it.
-
-The text of a page with an article or main element is what is in there outside of
-boilerplate elements: the template doesn't choose then. On other pages the main slot is the
-deepest template element that holds most of the text outside of boilerplate elements. All of
-it is kept, and of what lies beside it (titles, leads, columns) all but the template's
-blocks. Pages whose host has no usable template fall back to the page's own tree, by the
-same rule.
-
-Vectors aren't gathered: a token's vector is hashed page by page, and hashes combine by
-exclusive or, so a host with a third of all pages costs one row per task and token.
+For each host, tokens are grouped by their occurrence vectors: how often each occurs on each
+page of the host. A token is a start tag with the path of the elements around it, or a block of
+text with its path. Tokens that occur on enough of the host's pages, and keep their order (one
+that is once on a page has the same such token before it, or after it, in its element on every
+page), make a class with those of the same vector. A class is valid when it is large enough; where its tokens hang in several places
+of the other classes, it is split, so that classes are nested: each lies in one slot of the
+class around it. All of them are the host's template.
+
+A page is cut into slots at its template tokens. Text that is a template token belongs to the
+template; the text of the page is what is in the slots outside of boilerplate elements
+(``nav``, ``footer``, forms and the like, and containers whose class or id as a whole names
+such a thing: reader comments differ from page to page, so their occurrence doesn't show them).
+``article`` and ``main`` are a hint: where they hold a fair share of the page's text, only slots
+in them count, and text there goes as the template's only where nearly all pages of the host
+have it and more of the text is the page's own (else the host has copies of one article). On
+other pages the main element is the deepest template element that holds most of the text; all
+of it is kept, and of what lies beside it (titles, leads, columns) all but the template's text. Pages whose host has no usable template follow the same rules by their own
+tree.
+
+Vectors aren't gathered: a page's part of a token's vector is hashed, and the hashes are summed,
+so a host with a third of all pages costs one row per task and token. Templates are broadcast
+where their measured size allows it, else joined with pages dealt out in parts of bounded size.
 
 Cases: null and empty html gives '' and 0; unclosed and stray tags are closed as browsers
-do in the simple cases; repeated pages count once each; other columns are ignored.
+do in the simple cases, in time and memory linear in the page; repeated pages count once each;
+null hosts are one host; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,16 +41,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Pages that a token must be on, at least, and its share of the host's pages.
 LEAST_PAGES, LEAST_SHARE = 3, 0.5
+#: The same for text of an article or main element.
+MAIN_PAGES, MAIN_PAGES_SHARE = 5, 0.8
 #: Tokens that a class must have.
 LEAST_TOKENS = 2
-#: Share of the text outside of boilerplate that the main element must hold.
-MAIN_SHARE = 0.5
+#: Share of the text outside of boilerplate that the main element must hold, and that an article or main element must.
+MAIN_SHARE, HINT_SHARE = 0.5, 0.2
+#: Template tokens that are broadcast at most; pages of one host that go to one task otherwise.
+BROADCAST_TOKENS, PAGES_AT_ONCE = 1_000_000, 2_000
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _CLASS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe"}
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in _RAW}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "header", "footer", "nav", "aside", "form", "fieldset", "head", "title"}
 #: Elements that never hold main text.
@@ -59,13 +73,31 @@ _MAIN = {"article", "main"}
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
+_INLINE = {"b", "i", "em", "strong", "a", "span", "u", "font", "small", "big", "code", "s"}
+_LEAVES = {"p", "li", "td", "h1", "h2", "h3", "blockquote", "pre", "dd"}
+
+
 @dataclass
 class Page:
-    """tokens: the path of each start tag, in order. blocks: (path, around, text) in order, where
-    around tells whether the text is in an element that never holds main text."""
+    """The elements in order: name, token (the hash of the path), parent (-1: none), depth and
+    whether each is an article or main element; and blocks: (element, around, text) in order,
+    where around tells whether the text is in an element that never holds main text."""
+
+    names: list[str] = field(default_factory=list)
+    tokens: list[int] = field(default_factory=list)
+    parents: list[int] = field(default_factory=list)
+    depths: list[int] = field(default_factory=list)
+    mains: list[bool] = field(default_factory=list)
+    blocks: list[tuple[int, bool, str]] = field(default_factory=list)
+
+    def mark(self, block: tuple[int, bool, str]) -> int:
+        """The token of a block of text."""
+        return _hash(block[2], self.tokens[block[0]] if block[0] >= 0 else 1)
+
 
-    tokens: list[str] = field(default_factory=list)
-    blocks: list[tuple[str, bool, str]] = field(default_factory=list)
+def _hash(text: str, seed: int) -> int:
+    h = xxhash.xxh64_intdigest(text, seed & 0xFFFFFFFFFFFFFFFF)
+    return h - (1 << 64) if h >> 63 else h
 
 
 def _is_around(token: str) -> bool:
@@ -74,50 +106,60 @@ def _is_around(token: str) -> bool:
     return any(map(_NAMES.fullmatch, parts)) and all(_NAMES.fullmatch(p) or _BESIDE.fullmatch(p) for p in parts)
 
 
-def _is_main(path: str) -> bool:
-    return re.split(r"[.@]", path.rsplit("/", 1)[-1])[0] in _MAIN or path.endswith("@main")
+class _Open:
+    """The stack of open elements: (name, element, around, innermost block element or -1)."""
 
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, bool, int]] = []
+        self.places: dict[str, list[int]] = {}  # of each name in the stack
+        self.mains = 0
 
-def _mark(path: str, text: str) -> str:
-    """The token of a block of text, which is in a template where it repeats."""
-    return f"{path}\n{xxhash.xxh64_hexdigest(text)}"
+    def push(self, name: str, element: int, around: bool, block: int) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, element, around, block))
+        self.mains += name in _MAIN
+
+    def last(self, names: set[str]) -> int:
+        return max((p[-1] for p in (self.places.get(n) for n in names) if p), default=-1)
+
+    def cut(self, upto: int) -> bool:
+        """Closes all elements from ``upto`` on; whether text ends with one of them."""
+        ends = False
+        while len(self.stack) > upto:
+            name, _, around, _ = self.stack.pop()
+            self.places[name].pop()
+            self.mains -= name in _MAIN
+            ends = ends or around or name in _BLOCK
+        return ends
 
 
 def parse(source: str | None) -> Page:
-    """The tokens and blocks of one page."""
-    page, text = Page(), source or ""
-    open_: list[tuple[str, str, bool]] = []  # name, path, around
+    """The elements and blocks of one page."""
+    page, text, open_ = Page(), source or "", _Open()
     held: list[str] = []
-    owner: list[tuple[str, bool]] = [("", False)]
+    owner = (-1, False)
 
     def flush() -> None:
         joined = " ".join("".join(held).split())
         held.clear()
         if joined:
-            page.blocks.append((*owner[0], joined))
-
-    def place() -> tuple[str, bool]:
-        """The innermost block element around."""
-        for name, path, around in reversed(open_):
-            if name in _BLOCK or around:
-                return path, around or open_[-1][2]
-        return "", False
+            page.blocks.append((*owner, joined))
 
     def add(raw: str) -> None:
+        nonlocal owner
         if raw:
-            if not held:
-                owner[0] = place()
-            elif owner[0][1] != (bool(open_) and open_[-1][2]):
+            _, _, around, block = open_.stack[-1] if open_.stack else ("", -1, False, -1)
+            if held and owner[1] != around:
                 flush()
-                owner[0] = place()
+            if not held:
+                owner = (block, around)
             held.append(entities.unescape(raw))
 
     def close(upto: int) -> None:
-        if any(name in _BLOCK or around for name, _, around in open_[upto:]):
+        if open_.cut(upto):
             flush()
-        del open_[upto:]
 
-    at, low = 0, text.lower()
+    at = 0
     while at < len(text):
         m = _TAG.search(text, at)
         if not m:
@@ -129,144 +171,258 @@ def parse(source: str | None) -> Page:
             continue
         name = m.group(2).lower()
         if m.group(1):  # an end tag closes up to its start; a stray one is skipped
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == name:
-                    close(k)
-                    break
-            else:
-                if name == "p":
-                    flush()
+            places = open_.places.get(name)
+            if places:
+                close(places[-1])
+            elif name == "p":
+                flush()
             continue
         if name in _RAW:
-            end = low.find(f"</{name}", at)
-            after = low.find(">", end) if end >= 0 else -1
-            at = after + 1 if after >= 0 else len(text)
+            end = _ENDS[name].search(text, at)
+            at = end.end() if end else len(text)
             continue
         if name == "br":
             add(" ")
             continue
         if name in _BLOCK:
             flush()
-            for k in range(len(open_) - 1, -1, -1):  # a block ends an open paragraph
-                if open_[k][0] == "p":
-                    close(k)
-                    break
-                if open_[k][0] not in {"b", "i", "em", "strong", "a", "span", "u", "font", "small", "big", "code", "s"}:
-                    break
+            k = open_.last({"p"})  # a block ends an open paragraph that only inline elements are open in
+            if k >= 0 and all(n in _INLINE for n, *_ in open_.stack[k + 1 :]):
+                close(k)
         if name in _CLOSES:
             what, keeps = _CLOSES[name]
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] in keeps:
-                    break
-                if open_[k][0] in what:
-                    close(k)
-                    break
+            k = open_.last(what)
+            if k > open_.last(keeps):
+                close(k)
         marks = {a.lower(): (b or c or d) for a, b, c, d in _CLASS.findall(m.group(3))}
-        label = name + "".join(f".{x}" for x in sorted(marks.get("class", "").split())) + (f"@{marks['role']}" if "role" in marks else "")
-        path = (open_[-1][1] if open_ else "") + "/" + label
-        inside = any(n in _MAIN for n, _, _ in open_)
-        around = bool(open_ and open_[-1][2]) or name in _AROUND or (name == "header" and not inside) or marks.get("role", "") in _ROLES
+        _, above, outside, block = open_.stack[-1] if open_.stack else ("", -1, False, -1)
+        role = marks.get("role", "")
+        label = name + "".join(f".{x}" for x in sorted(marks.get("class", "").split())) + (f"@{role}" if role else "")
+        around = outside or name in _AROUND or (name == "header" and not open_.mains) or role in _ROLES
         around = around or (name in _NAMED and any(map(_is_around, f"{marks.get('class', '')} {marks.get('id', '')}".split())))
-        page.tokens.append(path)
+        element = len(page.names)
+        page.names.append(name)
+        page.tokens.append(_hash(label, page.tokens[above] if above >= 0 else 0))
+        page.parents.append(above)
+        page.depths.append(page.depths[above] + 1 if above >= 0 else 0)
+        page.mains.append(name in _MAIN or role == "main")
         if name not in _VOID and not m.group(3).endswith("/"):
-            if around and not (open_ and open_[-1][2]):
+            if around and not outside:
                 flush()
-            open_.append((name, path, around))
-    close(0)
+            open_.push(name, element, around, element if name in _BLOCK or (around and not outside) else block)
     flush()
     return page
 
 
-def main_text(page: Page, template: set[str] | None = None) -> str:
-    """The text of the main slots. ``template``: the paths that may be the main element, and
-    the marks of blocks that repeat: these are the template's, where they are beside it."""
-    blocks = [(path, text) for path, around, text in page.blocks if not around]
-    if not blocks:
-        return ""
-    weight: dict[str, int] = {}
-    for path, text in blocks:
-        parts = path.split("/")
-        for k in range(2, len(parts) + 1):
-            here = "/".join(parts[:k])
-            weight[here] = weight.get(here, 0) + len(text)
-    total = sum(len(text) for _, text in blocks)
-    named = [p for p in weight if _is_main(p)]
-    outer = [p for p in named if not any(p.startswith(q + "/") for q in named)]
-    able = outer or [p for p in weight if (not template or p in template) and weight[p] >= MAIN_SHARE * total]
+@dataclass
+class Template:
+    """The nested classes of a host: the class of each token, and which class each lies in (-1:
+    none). share and pages: how many of the host's pages have a token."""
+
+    classes: dict[int, int]
+    within: list[int]
+    share: dict[int, float]
+    pages: dict[int, int]
+
+
+def nested(tokens: list[tuple[int, int, tuple, int, float]]) -> Template:
+    """The template of tokens that are frequent and in order: (token, the token around it, its
+    vector, pages, share of pages). Classes of one vector are split where they hang in several
+    places."""
+    by_vector: dict[tuple, list[int]] = {}
+    around = {t: a for t, a, *_ in tokens}
+    for t, _, vector, *_ in tokens:
+        by_vector.setdefault(vector, []).append(t)
+    able = {t: v for v, ts in by_vector.items() if len(ts) >= LEAST_TOKENS for t in ts}
+    hangs: dict[int, int] = {}  # the innermost token of another class around each
+
+    def hook(t: int) -> int:
+        way = []
+        while t not in hangs:
+            way.append(t)
+            a = around.get(t, 0)
+            if a not in around:
+                hangs[t] = 0
+            elif a in able and able[a] != able.get(t):
+                hangs[t] = a
+            else:
+                t = a
+                continue
+            break
+        for x in way:
+            hangs[x] = hangs[t]
+        return hangs[t]
+
+    groups: dict[tuple, list[int]] = {}
+    for t, v in sorted(able.items()):
+        groups.setdefault((v, hook(t)), []).append(t)
+    classes: dict[int, int] = {}
+    hooks = []
+    for (_, h), ts in sorted(groups.items(), key=lambda g: min(g[1])):
+        if len(ts) >= LEAST_TOKENS:
+            classes |= dict.fromkeys(ts, len(hooks))
+            hooks.append(h)
+    kept = {t: (p, s) for t, _, _, p, s in tokens if t in classes}
+    return Template(classes, [classes.get(h, -1) for h in hooks], {t: s for t, (_, s) in kept.items()}, {t: p for t, (p, _) in kept.items()})
+
+
+def slots(page: Page, template: Template | None) -> list[tuple[int, int] | None]:
+    """The slot of each block of text, or None where the block is a template token: the innermost
+    template element around it and how many template tokens stood in that before."""
+    out: list[tuple[int, int] | None] = []
+    known = template.classes if template else {}
+    inner: list[int] = []  # of each element, itself included
+    seen: dict[int, int] = {}
+    element = 0
+    for block in page.blocks:
+        while element <= block[0]:
+            above = inner[page.parents[element]] if page.parents[element] >= 0 else -1
+            if page.tokens[element] in known:
+                seen[above] = seen.get(above, 0) + 1
+                above = element
+            inner.append(above)
+            element += 1
+        place = inner[block[0]] if block[0] >= 0 else -1
+        if page.mark(block) in known:
+            seen[place] = seen.get(place, 0) + 1
+            out.append(None)
+        else:
+            out.append((place, seen.get(place, 0)))
+    return out
+
+
+def main_text(page: Page, template: Template | None = None) -> str:
+    """The text of the main slots."""
+    free = slots(page, template)
+    n = len(page.names)
+    weight, total = [0] * n, 0
+    for element, around, text in page.blocks:
+        if not around:
+            total += len(text)
+            if element >= 0:
+                weight[element] += len(text)
+    for e in range(n - 1, -1, -1):  # parents come first
+        if page.parents[e] >= 0:
+            weight[page.parents[e]] += weight[e]
+    inside = [False] * n
+
+    def within(roots: list[bool]) -> list[bool]:
+        for e in range(n):
+            inside[e] = roots[e] or (page.parents[e] >= 0 and inside[page.parents[e]])
+        return inside
+
+    def chosen(of_template: bool) -> str:
+        """All in ``inside`` and, with the host's template known, what else is in slots."""
+        kept = [text for (e, around, text), slot in zip(page.blocks, free, strict=True) if not around and ((e >= 0 and inside[e]) or (of_template and slot is not None))]
+        return "\n\n".join(kept)
+
+    within(page.mains)
+    hinted = [(b, slot) for b, slot in zip(page.blocks, free, strict=True) if not b[1] and b[0] >= 0 and inside[b[0]]]
+    if hinted and sum(len(b[2]) for b, _ in hinted) >= HINT_SHARE * total:
+        common = [slot is None and template.pages[page.mark(b)] >= MAIN_PAGES and template.share[page.mark(b)] >= MAIN_PAGES_SHARE for b, slot in hinted]
+        repeats = sum(len(b[2]) for (b, _), c in zip(hinted, common, strict=True) if c) > sum(len(b[2]) for b, slot in hinted if slot is not None)
+        return "\n\n".join(b[2] for (b, _), c in zip(hinted, common, strict=True) if repeats or not c)  # repeats: copies of one article
+    able = [e for e in range(n) if weight[e] and weight[e] >= MAIN_SHARE * total and (not template or page.tokens[e] in template.classes)]
     if not able:
-        return "\n\n".join(text for _, text in blocks)
-    if outer:
-        return "\n\n".join(text for path, text in blocks if any(path == p or path.startswith(p + "/") for p in outer))
-    best = max(able, key=lambda p: (p.count("/"), weight[p], p))
+        return chosen(of_template=True)
+    best = max(able, key=lambda e: (page.depths[e], weight[e], -e))
     # A leaf that occurs again and again is a block of the slot, not the slot.
-    while best.count("/") > 1 and re.split(r"[.@]", best.rsplit("/", 1)[-1])[0] in {"p", "li", "td", "h1", "h2", "h3", "blockquote", "pre", "dd"}:
-        best = best.rsplit("/", 1)[0]
-    # Titles, leads and further columns lie beside it: all but what the host's pages share.
-    return "\n\n".join(text for path, text in blocks if path == best or path.startswith(best + "/") or not template or _mark(path, text) not in template)
+    while page.parents[best] >= 0 and page.names[best] in _LEAVES:
+        best = page.parents[best]
+    within([e == best for e in range(n)])
+    return chosen(of_template=True)
+
+
+_ROW = "host string, token long, around long, pages long, low long, high long, b1 long, b2 long, a1 long, a2 long, many int"
 
 
 def templates(pages: DataFrame, host: str, page_html: str) -> DataFrame:
-    """host and template: the paths of the tokens in valid classes, a row for each host."""
+    """host and tokens: array of (token, around, low, high, pages, share), for ``nested``."""
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple[str, str], list[int]] = {}
+        sums: dict[tuple[str, int], list[int]] = {}
         for b in batches:
             for h, source in zip(b["host"], b["html"], strict=True):
-                parsed = parse(source)
-                tokens = parsed.tokens
-                count: dict[str, int] = {}
-                for t in tokens:
+                page = parse(source)
+                count: dict[int, int] = {}
+                around: dict[int, int] = {}
+                for t, parent in zip(page.tokens, page.parents, strict=True):
                     count[t] = count.get(t, 0) + 1
-                if not any(map(_is_main, count)):  # else its text isn't chosen by the template
-                    for path, around, text in parsed.blocks:
-                        if not around:
-                            t = _mark(path, text)
-                            count[t] = count.get(t, 0) + 1
-                page = xxhash.xxh64_intdigest(source or "")
-                before = 0
-                for t, n in count.items():
-                    if "\n" in t:  # a block's place is its path alone
-                        before = xxhash.xxh32_intdigest(t.split("\n")[0])
-                    s = sums.setdefault((h, t), [0, 0, 0, 1 << 62, -(1 << 62), 0])
-                    s[0] += 1
-                    s[1] += n
-                    s[2] ^= xxhash.xxh64_intdigest(n.to_bytes(4, "little"), page)
-                    if n == 1:
-                        s[3], s[4] = min(s[3], before), max(s[4], before)
-                        before = xxhash.xxh32_intdigest(t)
-                    else:
-                        s[5] = 1
+                    around[t] = page.tokens[parent] if parent >= 0 else 0
+                elements = len(count)
+                for block in page.blocks:
+                    if not block[1]:
+                        t = page.mark(block)
+                        count[t] = count.get(t, 0) + 1
+                        around[t] = page.tokens[block[0]] if block[0] >= 0 else 0
+                mine = xxhash.xxh64_intdigest(source or "")
+                before, after, last = {}, {}, {}  # of tokens that are once on the page, beside each other in one element
+                for t, parent in zip(page.tokens, page.parents, strict=True):
+                    if count[t] == 1:
+                        before[t] = last.get(parent, 0)
+                        after[before[t]] = t
+                        last[parent] = t
+                for k, (t, n) in enumerate(count.items()):
+                    s = sums.setdefault((h, t), [around[t], 0, 0, 0, 1 << 62, -(1 << 62), 1 << 62, -(1 << 62), 0])
+                    part = xxhash.xxh64_intdigest(n.to_bytes(4, "little"), mine)
+                    s[1] += 1
+                    s[2] += part & 0xFFFFFFFF  # summed in halves, which don't overflow
+                    s[3] += part >> 32
+                    if n > 1 or k >= elements:  # a block's place is its path alone
+                        s[8] = 1
+                    else:  # two bits of room for the start values
+                        x, y = before[t] >> 2, after.get(t, 0) >> 2
+                        s[4:8] = min(s[4], x), max(s[5], x), min(s[6], y), max(s[7], y)
                 if len(sums) > 100_000:
                     yield _frame(sums)
                     sums.clear()
         yield _frame(sums)
 
-    rows = pages.select(F.col(host).alias("host"), F.col(page_html).alias("html")).mapInPandas(vectors, "host string, token string, pages long, times long, vector long, low long, high long, many int")
-    tokens = rows.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("times").alias("times"), F.bit_xor("vector").alias("vector"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("many").alias("many"))
-    sizes = pages.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"))
-    often = tokens.join(sizes, "host").filter((F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= LEAST_SHARE * F.col("n")))
-    ordered = (F.col("many") == 1) | (F.col("low") == F.col("high"))
-    classes = often.groupBy("host", "vector").agg(F.count("*").alias("size"), F.count_if(ordered).alias("ordered"), F.collect_list("token").alias("tokens"))  # tokens of half of a host's pages: few
-    valid = classes.filter((F.col("size") >= LEAST_TOKENS) & (2 * F.col("ordered") >= F.col("size")))
-    return valid.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
+    rows = pages.select(F.coalesce(F.col(f"`{host}`"), F.lit("")).alias("host"), F.col(f"`{page_html}`").alias("html")).mapInPandas(vectors, _ROW)
+    tokens = rows.groupBy("host", "token").agg(F.min("around").alias("around"), *[F.sum(c).alias(c) for c in ("pages", "low", "high")], *[F.min(c).alias(c) for c in ("b1", "a1")], *[F.max(c).alias(c) for c in ("b2", "a2", "many")])
+    sizes = pages.groupBy(F.coalesce(F.col(f"`{host}`"), F.lit("")).alias("host")).agg(F.count("*").alias("n"))
+    often = tokens.filter(F.col("pages") >= LEAST_PAGES).join(sizes, "host").filter(F.col("pages") >= LEAST_SHARE * F.col("n"))
+    ordered = often.filter((F.col("many") == 1) | (F.col("b1") == F.col("b2")) | (F.col("a1") == F.col("a2")))
+    entry = F.struct("token", "around", "low", "high", "pages", (F.col("pages") / F.col("n")).alias("share"))
+    return ordered.groupBy("host").agg(F.sort_array(F.collect_list(entry)).alias("tokens"))  # tokens of half of a host's pages: few
 
 
-def _frame(sums: dict[tuple[str, str], list[int]]) -> pd.DataFrame:
-    keys, values = list(sums), np.array([[s[0], s[1], s[2] - (1 << 64) if s[2] >> 63 else s[2], s[3], s[4], s[5]] for s in sums.values()], dtype=np.int64).reshape(-1, 6)
-    out = pd.DataFrame({"host": [k[0] for k in keys], "token": [k[1] for k in keys]}, dtype=object)
-    for i, name in enumerate(("pages", "times", "vector", "low", "high", "many")):
+def _frame(sums: dict[tuple[str, int], list[int]]) -> pd.DataFrame:
+    keys, values = list(sums), np.array(list(sums.values()), dtype=np.int64).reshape(-1, 9)
+    out = pd.DataFrame({"host": pd.Series([k[0] for k in keys], dtype=object), "token": np.array([k[1] for k in keys], dtype=np.int64)})
+    for i, name in enumerate(("around", "pages", "low", "high", "b1", "b2", "a1", "a2", "many")):
         out[name] = values[:, i]
     return out
 
 
-def extract(pages: DataFrame, key: str, url: str, host: str, page_html: str) -> DataFrame:
+def extract(pages: DataFrame, key: str, url: str, host: str, page_html: str, broadcast_tokens: int = BROADCAST_TOKENS, pages_at_once: int = PAGES_AT_ONCE) -> DataFrame:
     """key, url and text of each page."""
-    found = templates(pages, host, page_html)
-    joined = pages.select(key, url, F.col(host).alias("_host"), page_html).join(found.withColumnRenamed("host", "_host"), "_host", "left")
+    found = cut(templates(pages, host, page_html), "templates")
+    size = found.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("n"), F.count("*").alias("hosts")).first()
+    rows = pages.select(F.col(f"`{key}`").alias("k"), F.col(f"`{url}`").alias("u"), F.coalesce(F.col(f"`{host}`"), F.lit("")).alias("host"), F.col(f"`{page_html}`").alias("html"))
+    if size["n"] + size["hosts"] <= broadcast_tokens:
+        joined = rows.join(F.broadcast(found), "host", "left")
+    else:  # each host's pages in parts, its template once for each
+        parts = rows.groupBy("host").agg(F.ceil(F.count("*") / pages_at_once).cast("int").alias("parts"))
+        dealt = found.join(parts, "host").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("host", "part", "tokens")
+        most = parts.agg(F.max("parts")).first()[0]
+        own = F.pmod(F.xxhash64("html"), F.col("parts")).cast("int")
+        many = parts.filter("parts > 1")  # hosts of more than ``pages_at_once`` pages
+        sized = rows.join(F.broadcast(many), "host", "left") if most > 1 and many.count() <= broadcast_tokens else rows.withColumn("parts", F.lit(1))
+        joined = sized.withColumn("part", F.when(F.col("parts") > 1, own).otherwise(F.lit(0))).drop("parts").join(dealt, ["host", "part"], "left")
 
     @F.pandas_udf("string")
-    def text_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for sources, marks in batches:
-            yield pd.Series([main_text(parse(s), set(t) if t is not None else None) for s, t in zip(sources, marks, strict=True)], dtype=object)
-
-    return joined.select(key, url, text_of(F.col(page_html), F.col("template")).alias("text"))
+    def text_of(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        made: dict[str, Template | None] = {}
+        for hosts, sources, tokens in batches:
+            out = []
+            for h, source, ts in zip(hosts, sources, tokens, strict=True):
+                if h not in made:
+                    if len(made) >= 1000:
+                        made.clear()
+                    made[h] = nested([(t["token"], t["around"], (t["low"], t["high"]), t["pages"], t["share"]) for t in ts]) if ts is not None else None
+                template = made[h]
+                out.append(main_text(parse(source), template if template and template.classes else None))
+            yield pd.Series(out, dtype=object)
+
+    return joined.select(F.col("k").alias(key), F.col("u").alias(url), text_of("host", "html", "tokens").alias("text"))
