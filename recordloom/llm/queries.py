@@ -81,16 +81,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    host, path = url_filter.split_url(F.coalesce("url", F.lit("")))
-    urls = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("fit", url_filter.match_rules(F.col("host"), F.col("path"), URL_RULES))
-    # The rules' own verdicts are the labels that the tree learns from.
-    bad = F.when(F.col("fit").isNotNull(), (F.col("fit.verdict") == "block").cast("long"))
-    learnt = url_filter.template_verdicts(urls.select("host", "path", bad.alias("bad")))
-    return (
-        urls.withColumn("shape", url_filter.shape_of(F.col("path"))).join(learnt, ["host", "shape"])
-        .select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", "verdict").alias("verdict"), "template", "purity")
-    )
+    return url_filter.judged_urls(table(spark, sf_dir, "pages"), "page_id", "url", URL_RULES)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
