@@ -121,13 +121,29 @@ def within(pairs: DataFrame, a: str, b: str, edits: int | Sequence[int], of: str
     rows = cut(rows.drop("_low", "_high"), "line-rests")
     near = F.lit(False)
     for e in [edits] if isinstance(edits, int) else edits:
-        fits = edit_distance_at_most(F.col("_x"), F.col("_y"), e)
-        if e == 1:  # one edit can't reach both ends of a longer rest
-            fits = F.when(F.length("_y") <= 1, fits).otherwise(F.lit(False))
+        x, y = F.col("_x"), F.col("_y")
+        fits = F.when(_possible(x, y, e), edit_distance_at_most(x, y, e)).otherwise(F.lit(False))
         near = F.when(F.col(of) == e, fits).otherwise(near) if of else fits
     return rows.filter(near).drop("_x", "_y")
 
 
+def _possible(x: Column, y: Column, edits: int) -> Column:
+    """A cheap necessary condition for two rests without common ends, ``x`` being the shorter one.
+    The first and the last edit touch the ends, so one of edits - 1 segments of what is between
+    the ends of ``x`` stands in ``y``, moved by less than ``edits``."""
+    n = F.length(x)
+    if edits == 1:
+        return F.length(y) <= 1
+    size = F.floor((n - 2) / (edits - 1)).cast("int")
+    alike = F.lit(False)
+    for k in range(edits - 1):
+        start = size * k + 2
+        length = size if k < edits - 2 else n - 2 - size * k
+        for shift in range(1 - edits, edits):
+            alike = alike | (F.substr(x, start, length) == F.substr(y, start + shift, length))
+    return (n <= edits) | alike
+
+
 def _segment(length: Column, i: int | Column, edits: int | Column) -> tuple[Column, Column]:
     """Start (from 1) and length of segment ``i`` (from 0) of a line: the longer ones come last."""
     parts = edits + 1

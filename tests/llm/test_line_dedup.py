@@ -80,6 +80,25 @@ def test_lines_of_one_template_make_no_candidates(spark, monkeypatch):
     assert len(pairs) == 1 and pairs[0] <= 2000
 
 
+@pytest.mark.parametrize("edits", [2, 3, 4])
+def test_verification_of_long_lines(spark, edits):
+    """Edits at the ends of long rests, which the cheap condition must let pass."""
+    rng, pairs = random.Random(edits), []
+    for _ in range(150):
+        a = "".join(rng.choice("abé") for _ in range(rng.randrange(2, 60)))
+        b = a
+        for _ in range(rng.randrange(edits + 2)):
+            i = rng.choice([0, 1, len(b) // 2, max(0, len(b) - 1), len(b)])
+            b = b[:i] + rng.choice(["", "x", "ab"]) + b[i + rng.randrange(2) :]
+        a, b = sorted((a, b), key=len)
+        if a and len(b) - len(a) <= edits:
+            pairs.append((a, b, edits))
+    df = spark.createDataFrame(pairs, "a string, b string, e int")
+    want = sum(distance(a, b) <= edits for a, b, _ in pairs)
+    assert line_dedup.within(df, "a", "b", edits).count() == want
+    assert line_dedup.within(df, "a", "b", [1, edits], "e").count() == want
+
+
 def test_null_keys_come_last_and_names_may_clash(spark):
     line = "a line that is long enough to be compared with others"
     rows = [(None, line, "r", 1, "k"), (5, line + "!", "s", 2, "l"), (7, "own\nown", None, 3, None)]
