@@ -23,6 +23,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Pieces whose ids a Python worker keeps; the store is emptied when it is larger.
 CACHED_PIECES = 300_000
 #: Code points of text that are split before their unknown pieces are encoded together.
@@ -206,7 +208,7 @@ def _pass(df: DataFrame, ranks_path: str, pattern: str, column: str, out: dict[s
     name = _ship(df.sparkSession, ranks_path)
     kept = [f for f in df.schema.fields if f.name != column and f.name not in out]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{k}` {v}" for k, v in out.items())])
-    rows = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{column}`").alias("_in"))
+    rows = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{column}`").alias(fresh(df, "_in")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(name, pattern)

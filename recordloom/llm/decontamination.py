@@ -7,12 +7,13 @@ per block from every value to the items that near misses none. Candidates are ve
 the exact weighted similarity of the shingle bags, sum of minima by sum of maxima.
 
 Windows that hold no shingle of an item of their size have similarity 0 to it and aren't
-fingerprinted. The items are handled in blocks of ITEMS_AT_ONCE, whose tables have a fixed
-size; each block is one pass over the documents.
+fingerprinted. The items are handled in blocks of about ITEMS_AT_ONCE items and BYTES_AT_ONCE
+bytes: a block alone is gathered and broadcast at a time, its tables have a fixed size, and it
+is one pass over the documents, in tasks of its own.
 
 Cases: null and empty texts and items have no windows; items below five words are one
 shingle; texts shorter than an item are one window; repeated items are hit each by
-itself; other columns are kept.
+itself; items without an id are left out; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,11 +26,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, fresh
 from .shingles import WORDS, sequence_hashes, word_hashes
 
 BLOCKS = 4
 RADIUS = 23
-ITEMS_AT_ONCE = 1024
+ITEMS_AT_ONCE, BYTES_AT_ONCE = 1024, 1 << 24
 _RUN = 4096
 _WIDTH = 64 // BLOCKS
 HIT = "array<struct<item_id:long,similarity:double,word_start:int,n_words:int>>"
@@ -110,7 +112,9 @@ class Matcher:
             n = min(WORDS, size)
             if n == WORDS and len(words) >= WORDS and not seen:
                 continue
-            shingles = of_length.setdefault(n, sequence_hashes(words, n))
+            if n not in of_length:
+                of_length[n] = sequence_hashes(words, n)
+            shingles = of_length[n]
             anchors = self.anchors[size]
             held = anchors[np.minimum(np.searchsorted(anchors, shingles), len(anchors) - 1)] == shingles
             at = np.flatnonzero(held)
@@ -140,18 +144,17 @@ class Matcher:
         return out
 
 
-def hits_column(benchmark: DataFrame, item: str, item_text: str, text: Column, at_least: float = 0.75) -> Column:
-    """An array of the items found in each text, with their best windows."""
-    rows = benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t")).filter(F.col("t").isNotNull())
-    n_blocks = max(1, -(-rows.count() // ITEMS_AT_ONCE))
-    columns = []
+def _blocks(benchmark: DataFrame, item: str, item_text: str) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of bounded size, one after the other."""
+    rows = benchmark.select(F.col(f"`{item}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t")).filter(F.col("i").isNotNull() & F.col("t").isNotNull())
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("bytes")).first()
+    n_blocks = max(1, -(-size["n"] // ITEMS_AT_ONCE), -(-size["bytes"] // BYTES_AT_ONCE))
     for b in range(n_blocks):
-        block = sorted((r["i"], r["t"]) for r in rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == b).collect())
-        columns.append(_block_column(benchmark, block, text, at_least))
-    return columns[0] if len(columns) == 1 else F.concat(*columns)
+        yield sorted((r["i"], r["t"]) for r in rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == b).collect())
 
 
-def _block_column(df: DataFrame, block: list[tuple[int, str]], text: Column, at_least: float) -> Column:
+def _hits(df: DataFrame, block: list[tuple[int, str]], text: str, at_least: float) -> Column:
+    """An array of the items of a block found in each text, with their best windows."""
     shared = df.sparkSession.sparkContext.broadcast(block)  # about ITEMS_AT_ONCE items
 
     @F.pandas_udf(HIT)
@@ -160,10 +163,23 @@ def _block_column(df: DataFrame, block: list[tuple[int, str]], text: Column, at_
         for texts in batches:
             yield pd.Series([[dict(zip(("item_id", "similarity", "word_start", "n_words"), h, strict=True)) for h in matcher.hits(t)] for t in texts], dtype=object)
 
-    return find(text)
+    return find(F.col(f"`{text}`"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, at_least: float = 0.75) -> DataFrame:
     """A row for each document and item found in it: key, item_id, similarity, word_start, n_words."""
-    found = docs.select(key, F.explode(hits_column(benchmark, item, item_text, F.col(text), at_least)).alias("hit"))
-    return found.select(key, "hit.*")
+    out = None
+    for block in _blocks(benchmark, item, item_text):
+        found = docs.select(F.col(f"`{key}`").alias("_key"), F.explode(_hits(docs, block, text, at_least)).alias("hit")).select(F.col("_key").alias(key), "hit.*")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, at_least: float = 0.75) -> DataFrame:
+    """The documents in which no item is found."""
+    names, done = docs.columns, False
+    for block in _blocks(benchmark, item, item_text):
+        docs = cut(docs, "unleaked") if done else docs  # so that no task holds two blocks
+        at = fresh(docs, "_hits")
+        docs, done = docs.withColumn(at, _hits(docs, block, text, at_least)).filter(F.size(at) == 0).select(*[F.col(f"`{c}`") for c in names]), True
+    return docs

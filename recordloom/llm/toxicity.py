@@ -1,13 +1,15 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Features of a text are the distinct hashed character 4- to 6-grams of its words (word ends
-included). Those whose share among confirmed toxic texts differs most from that among
-unlabelled ones are kept, and a linear scorer is trained in numpy on the risk
+included). Those whose share among confirmed toxic texts is most above that among unlabelled
+ones are kept, by a smoothed two-proportion statistic: all from ``z`` on and, where that are
+few, as with few labels, the best ``fewest``. A linear scorer is trained in numpy on the risk
 
     prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)])
 
 with the sigmoid loss, whose bound keeps mislabelled examples from taking over. Labels 0
-serve for the class prior alone, unless it is given.
+serve for the class prior alone, unless it is given; it is held between 1e-4 and 0.5, since
+labelled rows may be chosen for their toxicity.
 
 The model is fitted on a bounded sample: ``positives`` toxic and ``unlabelled`` other rows
 on average. Whole texts are used throughout.
@@ -82,7 +84,7 @@ def train(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior:
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, positives: int = 3000, unlabelled: int = 9000, kept: int = 4096, least: int = 4, z: float = 6.0, prior: float | None = None, seed: int = 3) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, positives: int = 3000, unlabelled: int = 9000, kept: int = 4096, fewest: int = 256, least: int = 2, z: float = 6.0, prior: float | None = None, seed: int = 3) -> Model | None:
     """The model of ``docs``, all of which are unlabelled text; ``labels`` has the label of some
     keys, one row each, and label 1 marks confirmed texts. None without a confirmed one.
 
@@ -114,11 +116,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, pos
 
     if not sizes["p"]:
         return None
-    a, b = F.col("p") / sizes["p"], F.col("u") / max(1, sizes["u"])
-    pooled = (F.col("p") + F.col("u")) / (sizes["p"] + sizes["u"])
-    score = (a - b) / F.sqrt(pooled * (1 - pooled) * (1 / sizes["p"] + 1 / max(1, sizes["u"])) + 1e-12)
+    a, b = (F.col("p") + 0.5) / (sizes["p"] + 1), (F.col("u") + 0.5) / (sizes["u"] + 1)
+    pooled = (F.col("p") + F.col("u") + 1) / (sizes["p"] + sizes["u"] + 2)
+    score = (a - b) / F.sqrt(pooled * (1 - pooled) * (1 / (sizes["p"] + 1) + 1 / (sizes["u"] + 1)))
     by_id = sample.mapInPandas(count, "id int, p int, u int").groupBy("id").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    best = by_id.filter(F.col("p") >= least).withColumn("z", score).filter(F.col("z") >= z).orderBy(F.desc("z"), "id").limit(kept).collect()
+    best = by_id.filter(F.col("p") >= least).withColumn("z", score).filter(F.col("z") > 0).orderBy(F.desc("z"), "id").limit(kept).collect()
+    best = [r for k, r in enumerate(best) if r["z"] >= z or k < fewest]
     ids = np.array([r["id"] for r in best], dtype=np.int64)
     blank = Model(ids, np.zeros(len(ids)), 0.0)
     shared = docs.sparkSession.sparkContext.broadcast(blank)
