@@ -33,6 +33,8 @@ from . import grams
 from .common import cut
 
 ORDERS = (4, 5, 6)
+#: The statistic that any feature must exceed; the share of its log odds that a weight starts with.
+Z_LEAST, START = 2.0, 0.25
 BITS = 22
 
 
@@ -63,14 +65,18 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(g, -30, 30))))
 
 
-def train(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 2e-4) -> tuple[np.ndarray, float]:
+def train(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, start: np.ndarray | None = None, steps: int = 400, rate: float = 0.05, l2: float = 2e-4) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk. ``rows`` holds the feature numbers
-    of each text, ``positive`` which texts are confirmed; the others are unlabelled."""
+    of each text, ``positive`` which texts are confirmed; the others are unlabelled. The loss isn't
+    convex: ``start`` are weights to begin with, from which unlabelled texts score the prior."""
     flat = np.concatenate([np.asarray(r, dtype=np.int64) for r in rows]) if rows else np.empty(0, dtype=np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     p, u = positive / max(1, positive.sum()), ~positive / max(1, (~positive).sum())
     w, m, v = np.zeros(n_features + 1), np.zeros(n_features + 1), np.zeros(n_features + 1)
-    w[-1] = np.log(prior / (1 - prior))
+    if start is not None and len(rows):
+        w[:-1] = start
+        w[-1] = -(u @ np.bincount(owner, weights=w[flat], minlength=len(rows)))
+    w[-1] += np.log(prior / (1 - prior))
     for step in range(1, steps + 1):
         g = np.bincount(owner, weights=w[flat], minlength=len(rows)) + w[-1]
         s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
@@ -120,9 +126,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, pos
     pooled = (F.col("p") + F.col("u") + 1) / (sizes["p"] + sizes["u"] + 2)
     score = (a - b) / F.sqrt(pooled * (1 - pooled) * (1 / (sizes["p"] + 1) + 1 / (sizes["u"] + 1)))
     by_id = sample.mapInPandas(count, "id int, p int, u int").groupBy("id").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    best = by_id.filter(F.col("p") >= least).withColumn("z", score).filter(F.col("z") > 0).orderBy(F.desc("z"), "id").limit(kept).collect()
+    best = by_id.filter(F.col("p") >= least).withColumn("z", score).filter(F.col("z") > Z_LEAST).orderBy(F.desc("z"), "id").limit(kept).collect()
     best = [r for k, r in enumerate(best) if r["z"] >= z or k < fewest]
     ids = np.array([r["id"] for r in best], dtype=np.int64)
+    start = START * np.array([np.log((r["p"] + 0.5) / (sizes["p"] + 1) * (sizes["u"] + 1) / (r["u"] + 0.5)) for r in best])
     blank = Model(ids, np.zeros(len(ids)), 0.0)
     shared = docs.sparkSession.sparkContext.broadcast(blank)
 
@@ -134,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, pos
 
     table = sorted(sample.mapInPandas(numbers, "in_p boolean, in_u boolean, x array<int>").collect())
     pairs = [(r["x"], True) for r in table if r["in_p"]] + [(r["x"], False) for r in table if r["in_u"]]
-    weights, bias = train([np.array(x, dtype=np.int64) for x, _ in pairs], np.array([y for _, y in pairs]), len(ids), prior)
+    weights, bias = train([np.array(x, dtype=np.int64) for x, _ in pairs], np.array([y for _, y in pairs]), len(ids), prior, start)
     return Model(ids, weights, bias)
 
 
