@@ -41,7 +41,7 @@ EDITS = ((MIN_CHARS, 1), (256, 2))
 BUCKETS = 1 << 20
 #: One line of so many is counted to find segments that many lines share, and the count from
 #: which such a segment is taken apart. Pairs that a group makes at most after that.
-SAMPLED, SHARED, PAIRS = 8, 8, 1024
+SAMPLED, SHARED, PAIRS = 8, 2, 64
 
 #: (least length, least length that has another threshold or None, threshold)
 Band = tuple[int, int | None, int]
@@ -105,7 +105,8 @@ def edit_distance_at_most(a: Column, b: Column, edits: int) -> Column:
 def _common(a: Column, b: Column) -> Column:
     """The length of the longest common prefix, by halving steps."""
     grow = lambda n, step: F.when((n + step <= F.least(F.length(a), F.length(b))) & (F.substr(a, n + 1, step) == F.substr(b, n + 1, step)), n + step).otherwise(n)
-    steps = F.transform(F.sequence(F.lit(30), F.lit(0)), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    most = F.floor(F.log2(F.greatest(F.least(F.length(a), F.length(b)), F.lit(1)))).cast("int")
+    steps = F.transform(F.sequence(most, F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftleft", F.lit(1), k))
     return F.aggregate(steps, F.lit(0), grow)
 
 
