@@ -17,6 +17,8 @@ STOPWORDS = tuple(
     "within without between among across over under about via per vs versus using used use based study studies "
     "research review analysis effect effects role".split()
 )
+#: Han with the extension planes, as queries are split; titles keep the basic plane alone.
+QUERY_HAN = "\\u3400-\\u4dbf\\u4e00-\\u9fff\\uf900-\\ufaff\\x{20000}-\\x{2ffff}\\x{2f800}-\\x{2fa1f}"
 HAN, KANA, HANGUL = "\\u4e00-\\u9fff\\u3400-\\u4dbf\\uf900-\\ufaff", "\\u3040-\\u30ff", "\\uac00-\\ud7af"
 
 
@@ -39,7 +41,7 @@ def doi_for_lookup(c: Column) -> Column:
 
 
 def arxiv_id(c: Column) -> Column:
-    out = F.regexp_replace(F.trim(c), r"^(https?://)?(www\.)?arxiv\.org/(abs|pdf)/", "")
+    out = F.regexp_replace(F.trim(c), r"^(https?://)?arxiv\.org/(abs|pdf)/", "")
     return blank_to_null(F.regexp_replace(F.regexp_replace(out, r"\.pdf$", ""), r"v\d+$", ""))
 
 
@@ -79,9 +81,9 @@ def significant_tokens(c: Column) -> Column:
 
 
 def query_terms(c: Column) -> Column:
-    """Distinct Latin terms without stopwords and operators, then 2-grams of Han runs."""
-    latin = F.filter(tokens(c, 2), lambda t: ~t.isin(*STOPWORDS, "not"))
-    runs = F.regexp_extract_all(c, F.lit(f"[{HAN}]+"), 0)
+    """Distinct Latin terms of three letters or more without stopwords, then 2-grams of Han runs."""
+    latin = F.filter(tokens(c, 3), lambda t: ~t.isin(*STOPWORDS))
+    runs = F.regexp_extract_all(c, F.lit(f"[{QUERY_HAN}]+"), 0)
     grams = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substr(r, i, F.lit(2))))))
     return F.array_distinct(F.concat(latin, grams))
 
@@ -91,7 +93,7 @@ def language_tag(c: Column) -> Column:
 
 
 def has_cjk(c: Column) -> Column:
-    return F.coalesce(c.rlike(f"[{HAN}]"), F.lit(False))
+    return F.coalesce(c.rlike(f"[{QUERY_HAN}]"), F.lit(False))
 
 
 def one_line(c: Column) -> Column:
@@ -103,23 +105,30 @@ def display_title(c: Column, fallback: Column) -> Column:
 
 
 def authors_short(names: Column) -> Column:
-    """0: ''; 1: the name; 2: both; 3 or 4: all; 5 and more: the first three et al."""
+    """0: ''; 1: the name; 2: both; 3 or 4: all, the last after "&"; 5 and more: the first et al."""
     n = F.size(names)
     return (
-        F.when(n <= 0, "").when(n == 1, names[0]).when(n == 2, F.concat(names[0], F.lit(" & "), names[1]))
-        .when(n <= 4, F.array_join(names, ", ")).otherwise(F.concat(F.array_join(F.slice(names, 1, 3), ", "), F.lit(" et al.")))
+        F.when(n <= 0, "").when(n <= 2, F.array_join(names, ", "))
+        .when(n <= 4, F.concat(F.array_join(F.slice(names, F.lit(1), n - 1), ", "), F.lit(", & "), F.element_at(names, -1)))
+        .otherwise(F.concat(names[0], F.lit(" et al.")))
     )
 
 
+def authors_list(names: Column) -> Column:
+    """Up to four names in full, more as the first et al."""
+    return F.when(F.size(names) > 4, F.concat(names[0], F.lit(" et al."))).otherwise(F.array_join(names, ", "))
+
+
 def filter_value(c: Column) -> Column:
     """A query as a filter value: commas to spaces, pipes to OR."""
     return F.replace(F.replace(c, F.lit(","), F.lit(" ")), F.lit("|"), F.lit(" OR "))
 
 
 def narrow_query(c: Column) -> Column:
-    """Whether a query has six or more bare or quoted terms and no OR."""
-    n = F.size(F.regexp_extract_all(c, F.lit(r'"[^"]+"|[^\s"()]+'), 0))
-    return (n >= 6) & ~c.rlike(r"\bOR\b|\|")
+    """Whether a query has six or more bare or quoted terms (neither stopwords nor operators) and no OR."""
+    terms = F.regexp_extract_all(c, F.lit(r'"[^"]+"|[^\s"()]+'), 0)
+    kept = F.filter(terms, lambda t: ~F.lower(t).isin(*STOPWORDS) & ~t.isin("AND", "OR", "NOT"))
+    return (F.size(kept) >= 6) & ~c.rlike(r"\bOR\b|\|")
 
 
 def strip_markup(c: Column) -> Column:

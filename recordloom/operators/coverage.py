@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
-import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,45 +41,64 @@ def snapshot(evaluated: Column, found: Column, coverage: Column) -> dict[str, Co
 
 def bootstrap_interval(incidence: DataFrame, occasion: str, key: str, reps: int = 200, seed: int = 0) -> DataFrame:
     """coverage, lower and upper: 1.96 standard deviations of bootstrap coverages. Works on the
-    histogram of key frequencies, which has at most one row per occasion."""
+    histogram of key frequencies, which has at most one row per occasion: the keys of one frequency
+    are drawn together, as one multinomial over the times they are seen again."""
     each = incidence.select(occasion, key).distinct()
     m = each.select(occasion).distinct().count()
     hist = each.groupBy(key).agg(F.count("*").alias("f")).groupBy("f").agg(F.count("*").alias("n"))
 
+    def cover(u: np.ndarray, q1: np.ndarray, q2: np.ndarray) -> np.ndarray:
+        a = (m - 1) * q1
+        with np.errstate(divide="ignore", invalid="ignore"):
+            share = np.where(q2 > 0, a / (a + 2 * q2), np.where(q1 > 1, (a - (m - 1)) / (a - (m - 1) + 2), 0.0))
+            return np.where((u > 0) & (m >= 2), np.clip(1 - q1 / u * share, 0, 1), 0.0)
+
     def run(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = {int(f): int(n) for f, n in zip(pdf["f"], pdf["n"], strict=True)}
-
-        def cover(c: dict[int, int]) -> float:
-            u, q1, q2 = sum(f * n for f, n in c.items()), c.get(1, 0), c.get(2, 0)
-            if m < 2 or not u:
-                return 0.0
-            a = (m - 1) * q1
-            share = a / (a + 2 * q2) if q2 else (m - 1) * (q1 - 1) / ((m - 1) * (q1 - 1) + 2) if q1 > 1 else 0.0
-            return min(1.0, max(0.0, 1 - q1 / u * share))
-
-        point, rng = cover(counts), random.Random(seed)
-        q1, q2 = counts.get(1, 0), counts.get(2, 0)
+        f, n = pdf["f"].to_numpy(dtype=float), pdf["n"].to_numpy(dtype=float)
+        u, q1, q2 = (f * n).sum(), n[f == 1].sum(), n[f == 2].sum()
+        point = float(cover(np.array([u]), np.array([q1]), np.array([q2]))[0])
         unseen = math.ceil((m - 1) / m * (q1 * q1 / (2 * q2) if q2 else q1 * (q1 - 1) / 2)) if m else 0
-        rates = [(f / m * point, n) for f, n in sorted(counts.items())]
-        missing = sum(f * n for f, n in counts.items()) / max(1, m) * (1 - point)
+        classes = [(x / m * point, int(k)) for x, k in sorted(zip(f, n, strict=True))]
         if unseen:
-            rates.append((min(1.0, missing / unseen), unseen))
-        found = []
-        for _ in range(reps):
-            c: dict[int, int] = {}
-            for p, n in rates:
-                for _ in range(n):
-                    f = sum(rng.random() < p for _ in range(m))
-                    if f:
-                        c[f] = c.get(f, 0) + 1
-            found.append(cover(c))
-        mean = sum(found) / reps
-        half = 1.96 * math.sqrt(sum((x - mean) ** 2 for x in found) / reps)
+            classes.append((min(1.0, u / max(1, m) * (1 - point) / unseen), unseen))
+        rng = np.random.default_rng(seed)
+        total, ones, twos = np.zeros(reps), np.zeros(reps), np.zeros(reps)
+        for p, k in classes:
+            times = np.arange(m + 1)
+            # the chance of each number of times, by logarithms: m may be large
+            logs = np.array([math.lgamma(m + 1) - math.lgamma(t + 1) - math.lgamma(m - t + 1) for t in times])
+            mass = np.where(times == (m if p >= 1 else 0), 1.0, 0.0) if p <= 0 or p >= 1 else np.exp(logs + times * math.log(p) + (m - times) * math.log1p(-p))
+            drawn = rng.multinomial(k, mass / mass.sum(), size=reps)
+            total += drawn @ times
+            ones += drawn[:, 1] if m >= 1 else 0
+            twos += drawn[:, 2] if m >= 2 else 0
+        half = 1.96 * float(np.std(cover(total, ones, twos)))
         return pd.DataFrame({"coverage": [point], "lower": [max(0.0, point - half)], "upper": [min(1.0, point + half)]})
 
     return hist.groupBy().applyInPandas(run, "coverage double, lower double, upper double")
 
 
+def banded_snapshot(incidence: DataFrame, occasion: str, key: str, scores: DataFrame, evaluated: int, bands: tuple[int, ...] = (7, 6), ceiling: float = 0.99, tau: float = 80.0) -> DataFrame:
+    """One row: the coverage over the records of the first of ``bands`` that is informative, else the
+    prior (method, relevance_band), found of the highest band, estimated total and decay. ``scores``
+    has key and rcs."""
+    found = scores.agg(F.count_if(F.col("rcs") >= bands[0]).alias("found"))
+    tried = None
+    for i, floor in enumerate(bands):
+        inside = incidence.join(scores.filter(F.col("rcs") >= floor).select(key), key, "left_semi")
+        counts = frequency_counts(inside, occasion, key).drop("m").crossJoin(incidence.agg(F.countDistinct(occasion).alias("m")))  # one row each
+        one = estimate(counts).select(F.lit(i).alias("turn"), F.lit(floor).alias("relevance_band"), "coverage", (F.col("informative") & F.col("coverage").isNotNull()).alias("fits"))
+        tried = one if tried is None else tried.unionByName(one)
+    best = tried.agg(F.min_by(F.struct("relevance_band", "coverage"), F.when(F.col("fits"), F.col("turn"))).alias("b"))
+    n = F.lit(evaluated)
+    point = F.when(F.col("b").isNotNull(), F.least("b.coverage", F.lit(ceiling))).otherwise(S.no_evidence_coverage(n))
+    rate = F.when((point > 0) & (point < 1) & (n > 0), -F.log(1 - point) / n).otherwise(F.lit(1 / tau))
+    return best.crossJoin(found).select(
+        F.when(F.col("b").isNotNull(), "sample_coverage").otherwise("prior").alias("method"), F.col("b.relevance_band").alias("relevance_band"), F.round(point, 3).alias("coverage_estimate"),
+        F.round(F.coalesce(F.try_divide(F.col("found"), point), F.col("found").cast("double")), 1).alias("n_total_estimate"), F.round(rate, 5).alias("lambda"), F.col("found").alias("highly_relevant_count"),
+    )
+
+
 def marginal_rates(snapshots: DataFrame, order: str, evaluated: str, relevant: str) -> DataFrame:
     """rate: relevant gained per evaluated, between neighbours; steps without progress are left out.
     Snapshots are a handful of rows per run."""

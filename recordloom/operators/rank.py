@@ -25,7 +25,7 @@ def unify(tables: list[tuple[str, DataFrame]], key: str = "issn") -> DataFrame:
     out = keys.distinct()
     for name, t in tables:
         payload = [c for c in t.columns if c != key]
-        one = t.groupBy(key).agg(F.first(F.struct(*payload)).alias(name))
+        one = t.groupBy(key).agg(F.min(F.struct(*payload)).alias(name))  # of several rows of an ISSN always the same one
         out = out.join(one, key, "left")
     return out
 
@@ -35,10 +35,63 @@ def outcome(has_data: Column, passes: Column) -> Column:
     return F.when(~has_data, "no_platform_data").when(F.coalesce(passes, F.lit(False)), "kept").otherwise("filtered_out")
 
 
+def same_category(have: Column, wanted: str) -> Column:
+    """Whether one name contains the other, whatever their case; empty names match nothing."""
+    a, b = F.lower(F.trim(F.lit(wanted))), F.lower(F.trim(have))
+    return F.coalesce((have != "") & (a != "") & (F.contains(b, a) | F.contains(a, b)), F.lit(False))
+
+
 def pinned(categories: Column, wanted: str) -> Column:
-    """The first category struct whose name contains the wanted one or is contained in it."""
-    w = F.lower(F.lit(wanted))
-    return F.try_element_at(F.filter(categories, lambda c: F.contains(F.lower(c["category"]), w) | F.contains(w, F.lower(c["category"]))), F.lit(1))
+    """The first category struct that is of the wanted category."""
+    return F.try_element_at(F.filter(categories, lambda c: same_category(c["category"], wanted)), F.lit(1))
+
+
+def passes(platform: str, rank: Column, tiers: list[int] = (), quartiles: list[str] = (), top: bool = False, category: str | None = None) -> Column:
+    """Whether a platform's rank struct meets a request. cas: tier, top, minor[category, tier]; jcr:
+    quartile, category; sjr: best_quartile, categories[category, quartile]. A category reads its own
+    tier or quartile (jcr has none of its own: it must be listed); ``top`` is Q1 but on cas."""
+    if platform == "cas":
+        tier = pinned(rank["minor"], category)["tier"] if category else rank["tier"]
+        fine = tier.isNotNull() if category else F.lit(True)
+        fine = fine & (F.coalesce(rank["top"], F.lit(False)) if top else F.lit(True))
+        return fine & (tier.isin(*tiers) if tiers else F.lit(True))
+    fine = F.lit(True)
+    if platform == "sjr":
+        quartile = pinned(rank["categories"], category)["quartile"] if category else rank["best_quartile"]
+        fine = quartile.isNotNull() if category else fine
+    else:
+        quartile, fine = rank["quartile"], same_category(rank["category"], category) if category else fine
+    fine = fine & ((quartile == "Q1") if top else F.lit(True))
+    return fine & (quartile.isin(*[q.upper() for q in quartiles]) if quartiles else F.lit(True))
+
+
+def quartile_for(quartiles: Column, best: Column, category: str | None) -> Column:
+    """Of a map from category to quartile: the category's by its exact name, else by a name that
+    contains it (the first by name), else the best one."""
+    if not category:
+        return best
+    w = F.lit(category.strip().lower())
+    entries = F.array_sort(F.map_entries(quartiles))
+    exact = F.filter(entries, lambda e: F.lower(e["key"]) == w)
+    part = F.filter(entries, lambda e: F.contains(F.lower(e["key"]), w))
+    return F.coalesce(F.get(exact, 0)["value"], F.get(part, 0)["value"], best)
+
+
+def info(ranks: DataFrame, journal: str, platforms: list[str], key: str = "issn") -> DataFrame:
+    """One row: distinct ISSNs, distinct journals and the journals on each platform."""
+    return ranks.agg(F.countDistinct(key).alias("issns"), F.countDistinct(journal).alias("journals"), *[F.countDistinct(F.when(F.col(p).isNotNull(), F.col(journal))).alias(p) for p in platforms])
+
+
+def primary(ranks: dict[str, Column], preferred: str) -> Column:
+    """The name of the platform to show: the preferred one if it has data, else the first that has."""
+    order = [preferred, *[p for p in ("cas", "jcr", "sjr") if p != preferred]]
+    return F.coalesce(*[F.when(ranks[p].isNotNull(), F.lit(p)) for p in order if p in ranks])
+
+
+def journal_filter(best_quartile: Column, impact: Column, quartiles: list[str] = (), least_impact: float | None = None) -> Column:
+    """Quartile among those asked for and open impact from a bound on; unknown fails what is asked."""
+    fine = F.coalesce(best_quartile.isin(*quartiles), F.lit(False)) if quartiles else F.lit(True)
+    return fine & (F.coalesce(impact >= least_impact, F.lit(False)) if least_impact is not None else F.lit(True))
 
 
 def keep_tiers(platform: str, values: list[str | int]) -> list[str]:
@@ -62,17 +115,35 @@ def zone(quartile: Column, zones: list[str], include_unranked: bool) -> Column:
     return F.when(quartile.isNull(), F.lit(include_unranked)).otherwise(quartile.isin(*zones))
 
 
-def journal_groups(rows: DataFrame, row_id: str, issns: str, rounds: int = 20) -> DataFrame:
+def greedy_table(rows: list[tuple[str, str, list[str]]]) -> dict[str, int]:
+    """ISSN to journal number: each record (platform, title, issns) joins the journal that the first
+    of its ISSNs to be known belongs to, and takes all its ISSNs there, also from another journal.
+    Sequential by definition, for rank tables (some 10^5 rows), on the driver."""
+    table: dict[str, int] = {}
+    n = 0
+    for _, _, issns in rows:
+        at = next((table[i] for i in issns if i in table), None)
+        if at is None:
+            at, n = n, n + 1
+        table |= dict.fromkeys(issns, at)
+    return table
+
+
+def journal_groups(rows: DataFrame, row_id: str, issns: str) -> DataFrame:
     """row_id and journal: rows that share ISSNs, transitively, get the smallest row id among them.
-    Rank tables are small; labels move until nothing changes."""
+    Labels move until nothing changes; each round's state replaces the one before. Where no row has
+    ISSNs of two journals, this is ``greedy_table``'s grouping."""
     each = rows.select(F.col(row_id).alias("id"), F.explode(issns).alias("issn")).persist()
     state = rows.select(F.col(row_id).alias("id"), F.col(row_id).alias("journal"))
-    for _ in range(rounds):
+    held = None
+    while True:
         low = each.join(state, "id").groupBy("issn").agg(F.min("journal").alias("low"))
         near = each.join(low, "issn").groupBy("id").agg(F.min("low").alias("low"))
         step = state.join(near, "id", "left").select("id", F.col("journal").alias("old"), F.least("journal", F.coalesce("low", "journal")).alias("journal")).persist()
         done = step.filter("old <> journal").isEmpty()
-        state = step.select("id", "journal")
+        if held is not None:
+            held.unpersist()
+        held, state = step, step.select("id", "journal")
         if done:
-            break
-    return state.withColumnRenamed("id", row_id)
+            each.unpersist()
+            return state.withColumnRenamed("id", row_id)

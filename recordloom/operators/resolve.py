@@ -11,14 +11,24 @@ from recordloom.functions import normalize as N
 ID_ORDER = ("doi", "arxiv", "pmid", "openalex", "ss", "native")
 
 
+def _clean_ids(ids: dict[str, Column]) -> list[Column]:
+    clean = {"doi": N.doi, "arxiv": N.arxiv_id, "openalex": lambda c: N.blank_to_null(F.replace(c, F.lit("https://openalex.org/"), F.lit("")))}
+    return [F.concat(F.lit(f"{k}|"), clean.get(k, N.blank_to_null)(ids[k])) for k in ID_ORDER if k in ids]
+
+
 def canonical_key(ids: dict[str, Column], title: Column, year: Column) -> Column:
-    """kind|value[|year] of the first identifier there is; then title and year, then a hash."""
-    clean = {"doi": N.doi, "arxiv": N.arxiv_id}
-    parts = [F.concat(F.lit(f"{k}|"), clean.get(k, N.blank_to_null)(ids[k])) for k in ID_ORDER if k in ids]
+    """kind|value[|year] of the first identifier there is; then title and year, then a hash. A title
+    of which nothing is left by normalisation still makes a title key."""
+    titled = F.when((title != "") & (year != 0), F.concat(F.lit("title|"), N.title(title), F.lit("|"), year.cast("string")))
+    hashed = F.concat(F.lit("hash|"), F.substring(F.md5(F.coalesce(title, F.lit(""))), 1, 16))
+    return F.coalesce(*_clean_ids(ids), titled, hashed)
+
+
+def identity_keys(ids: dict[str, Column], title: Column, year: Column) -> Column:
+    """All keys of a record, in the order in which they are looked up."""
     norm = N.blank_to_null(N.title(title))
-    parts.append(F.concat(F.lit("title|"), norm, F.lit("|"), year.cast("string")))
-    parts.append(F.concat(F.lit("hash|"), F.substring(F.md5(F.coalesce(title, F.lit(""))), 1, 16)))
-    return F.coalesce(*parts)
+    titled = F.when(year != 0, F.concat(F.lit("title|"), norm, F.lit("|"), year.cast("string")))
+    return F.array_compact(F.array(*_clean_ids(ids), titled))
 
 
 def paper_id(ids: dict[str, Column], title: Column) -> Column:
@@ -66,15 +76,23 @@ def citation_count(cites: Column, openalex: Column, order: Column) -> Column:
     return F.coalesce(F.max_by(F.when(good, cites), F.when(good, order)), first_where(cites, F.coalesce(cites, F.lit(0)) != 0, order), F.lit(0))
 
 
-def conflict_variants(records: DataFrame, key: str, arxiv: str, order: list[str]) -> DataFrame:
-    """Adds variant: 1 for what merges into a key's base record, 2, 3, ... for rows whose arXiv id
-    differs from the base's."""
+def conflict_variants(records: DataFrame, key: str, ids: str | list[str], order: list[str]) -> DataFrame:
+    """Adds variant: 1 for what merges into a key's base record, 2, 3, ... for rows of which one of
+    ``ids`` (DOI, arXiv id) is known and differs from the base's, the first that is known.
+
+    Only the keys with a clash are numbered by a window; the others never meet in one task."""
+    ids = [ids] if isinstance(ids, str) else ids
+    at = F.struct(*order)
+    base = records.groupBy(key).agg(*[first_where(F.col(c), F.col(c).isNotNull(), at).alias(f"_b{i}") for i, c in enumerate(ids)], *[F.count_distinct(c).alias(f"_n{i}") for i, c in enumerate(ids)])
+    base = base.filter(" or ".join(f"_n{i} > 1" for i in range(len(ids)))).drop(*[f"_n{i}" for i in range(len(ids))])
+    joined = records.join(base, key, "left")
+    clash = F.lit(False)
+    for i, c in enumerate(ids):
+        clash = clash | F.coalesce(F.col(c) != F.col(f"_b{i}"), F.lit(False))
+    joined = joined.withColumn("_clash", clash).drop(*[f"_b{i}" for i in range(len(ids))])
     w = Window.partitionBy(key).orderBy(*order)
-    base = F.first(arxiv, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    clash = F.col(arxiv).isNotNull() & (F.col(arxiv) != F.col("_base"))
-    marked = records.withColumn("_base", base).withColumn("_clash", F.coalesce(clash, F.lit(False)).cast("int"))
-    running = F.sum("_clash").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return marked.withColumn("variant", F.when(F.col("_clash") == 1, 1 + running).otherwise(1).cast("long")).drop("_base", "_clash")
+    out = joined.filter("_clash").withColumn("variant", 1 + F.row_number().over(w).cast("long"))
+    return joined.filter("not _clash").withColumn("variant", F.lit(1).cast("long")).unionByName(out).drop("_clash")
 
 
 def marginal_yield(records: DataFrame, list_idx: str, key: str) -> DataFrame:
@@ -84,13 +102,29 @@ def marginal_yield(records: DataFrame, list_idx: str, key: str) -> DataFrame:
     return records.select(F.col(list_idx).alias("list")).distinct().join(new, "list", "left").fillna(0, ["new_keys"])
 
 
-def vote_merge(legs: DataFrame, key: str, leg: str, depth: str, cites: str) -> DataFrame:
-    """Shared keys by votes and citations; then the others in turn, last leg first. Adds place."""
+def vote_merge(legs: DataFrame, key: str, leg: str, depth: str, cites: str, rounds: bool = True) -> DataFrame:
+    """Shared keys by votes and citations; then the others in turn, last leg first (or by votes and
+    citations alone, without ``rounds``). Adds place.
+
+    Places are numbered by ranges of the order, so no task sees all keys."""
     one = legs.groupBy(key).agg(F.countDistinct(leg).alias("votes"), F.max(cites).alias("cites"), F.min(F.struct(F.col(leg).alias("leg"), F.col(depth).alias("depth"))).alias("at"))
     shared = F.col("votes") > 1
-    single = ~shared
-    order = Window.orderBy(F.desc(shared), F.when(shared, -F.col("votes")), F.when(shared, -F.col("cites")), F.when(single, F.col("at.depth")), F.when(single, -F.col("at.leg")), key)
-    return one.select(key, "votes", "cites", F.row_number().over(order).cast("long").alias("place"))
+    apart = F.when(shared, 0).otherwise(F.col("at.depth")) if rounds else F.lit(0)
+    turn = F.when(shared, 0).otherwise(-F.col("at.leg")) if rounds else F.lit(0)
+    by_votes = shared if rounds else F.lit(True)
+    order = [(~shared).cast("int"), F.when(by_votes, -F.col("votes")).otherwise(0), F.when(by_votes, -F.col("cites")).otherwise(0), apart, turn, F.col(key)]
+    return numbered(one.select(key, "votes", "cites", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("_order")), "_order", "place").drop("_order")
+
+
+def numbered(df: DataFrame, order: str, into: str) -> DataFrame:
+    """Adds the row number (from 1) by ``order``, which must be unique: rows are sorted by range, and
+    each range starts after the counts of those before it."""
+    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
+    in_part = F.col("_row") - F.shiftleft(F.col("_part").cast("long"), 33)
+    kept = ranged.withColumn("_row", in_part).persist()  # the ranges are sampled: both uses must see the same ones
+    counts = kept.groupBy("_part").agg(F.count("*").alias("n"))
+    before = counts.withColumn("_before", F.sum("n").over(Window.orderBy("_part")) - F.col("n")).select("_part", "_before")  # a row for each task
+    return kept.join(F.broadcast(before), "_part").withColumn(into, F.col("_row") + F.col("_before") + 1).drop("_part", "_row", "_before")
 
 
 def absorb(records: DataFrame, is_guest: Column, title: str, year: str, order: str, is_preprint: Column, max_gap: int = 1) -> DataFrame:
@@ -106,3 +140,139 @@ def absorb(records: DataFrame, is_guest: Column, title: str, year: str, order: s
 def append_new(first: DataFrame, more: DataFrame, key: str) -> DataFrame:
     """``first`` and what of ``more`` has another key."""
     return first.unionByName(more.join(first.select(key), key, "left_anti"))
+
+
+#: Sources of Chinese records.
+CHINESE = ("nssd", "yiigle")
+
+
+def merge_records(records: DataFrame, key: str, order: list[str], now: int = 2026) -> DataFrame:
+    """One record per key by the field rules. ``records`` has sources (one each) and any of the
+    canonical fields; ``order`` is a total order within a key.
+
+    Identifiers, type, counts and links: first that isn't empty. Title and authors: the first Chinese
+    record's, else the first openalex record's if ahead of every Chinese one, else the first filled.
+    Abstract and venue: the first Chinese record's, else the first filled. Year: the first, later ones
+    only up to ``now``. Citations: the last positive openalex count, else the first other than 0.
+    sources and issns: ordered unions. Scores: of the first scored record, with reason and flag.
+    What isn't named is the first record's."""
+    at, kinds = F.struct(*order), dict(records.dtypes)
+    first = records.groupBy(key).agg(F.min(at).alias("_first"))
+    rows = records.join(first, key).withColumn("_is_first", at == F.col("_first"))
+    zh = F.arrays_overlap("sources", F.array(*[F.lit(s) for s in CHINESE]))
+    oa = F.array_contains("sources", "openalex")
+
+    def filled(c: str) -> Column:
+        there = F.col(c).isNotNull()
+        return there & (F.col(c) != "") if kinds[c] == "string" else there & (F.size(c) > 0) if kinds[c].startswith(("array", "map")) else there
+
+    def chinese_first(c: str) -> Column:
+        mine = F.min_by(F.struct(F.col(c).alias("v"), filled(c).alias("f")), F.when(zh, at))
+        return F.coalesce(F.when(mine["f"], mine["v"]), first_where(F.col(c), filled(c), at))
+
+    rules: dict[str, Column] = {}
+    for c in records.columns:
+        if c == key or c in order:
+            continue
+        if c in ("title", "authors"):
+            rules[c] = preferred_text(F.col(c), filled(c), zh, oa, at)
+        elif c in ("abstract", "venue"):
+            rules[c] = chinese_first(c)
+        elif c == "year":
+            rules[c] = first_where(F.col(c), F.col("_is_first") & (F.col(c) != 0) | (F.col(c) > 0) & (F.col(c) <= now), at)
+        elif c == "citation_count":
+            rules[c] = citation_count(F.col(c), oa, at)
+        elif c == "referenced_works_count":
+            rules[c] = F.nullif(F.max(c), F.lit(0))
+        elif c in ("sources", "issns"):
+            lists = F.sort_array(F.collect_list(F.struct(*order, F.col(c).alias("_v"))))  # a key's records: a handful
+            rules[c] = F.array_distinct(F.flatten(F.transform(lists, lambda x: F.coalesce(x["_v"], F.array()))))
+        elif c in ("rcs", "rcs_reasoning", "rcs_flag"):
+            rules[c] = F.min_by(c, F.when(F.col("rcs").isNotNull(), at))
+        elif c in ("discovery_path", "journal_metric", "journal_rank"):
+            rules[c] = F.min_by(c, at)
+        else:
+            rules[c] = first_where(F.col(c), filled(c), at)
+    return rows.groupBy(key).agg(*[r.alias(c) for c, r in rules.items()])
+
+
+def federate(lists: list[DataFrame], now: int = 2026) -> DataFrame:
+    """Deduplicated records of ordered lists with the canonical fields: keys, conflict guard, field
+    merge. A record that clashes with its key's base goes under the key and ``|v2``, ``|v3``, ..."""
+    every = None
+    for i, df in enumerate(lists):
+        one = df.withColumns({"list_idx": F.lit(i), "pos": F.monotonically_increasing_id()})
+        every = one if every is None else every.unionByName(one, allowMissingColumns=True)
+    named = {"doi": "doi", "arxiv": "arxiv_id", "pmid": "pmid", "openalex": "openalex_id", "ss": "ss_paper_id", "native": "source_native_id"}
+    ids = {k: F.col(c) for k, c in named.items() if c in every.columns}
+    keyed = every.withColumns({"key": canonical_key(ids, F.col("title"), F.col("year")), "_d": N.doi(ids["doi"]), "_a": N.arxiv_id(ids["arxiv"])})
+    keyed = conflict_variants(keyed, "key", ["_d", "_a"], ["list_idx", "pos"]).drop("_d", "_a")
+    keyed = keyed.withColumn("key", F.when(F.col("variant") > 1, F.concat("key", F.lit("|v"), "variant")).otherwise(F.col("key"))).drop("variant")
+    return merge_records(keyed, "key", ["list_idx", "pos"], now)
+
+
+#: What a preprint's venue is called.
+PREPRINT_VENUES = ("arxiv", "biorxiv", "medrxiv", "ssrn", "research square", "preprint", "preprints", "openreview")
+
+
+def looks_preprint(venue: Column, kind: Column) -> Column:
+    v = F.lower(F.coalesce(venue, F.lit("")))
+    words = F.regexp_extract_all(v, F.lit(r"\w+"), 0)
+    named = F.lit(False)
+    for name in PREPRINT_VENUES:
+        named = named | (F.array_contains(words, name) if name.startswith("preprint") else F.contains(v, F.lit(name)))
+    return (v == "") | named | (F.lower(F.coalesce(kind, F.lit(""))) == "preprint")
+
+
+def absorb_records(records: DataFrame, key: str, order: str) -> DataFrame:
+    """Guest records (native id ``openreview:``) go into their host (see ``absorb``): a preprint-like
+    host takes the guest's venue and becomes an article; its sources and empty fields are filled."""
+    guest = F.coalesce(F.col("source_native_id").startswith("openreview:"), F.lit(False))
+    pairs = absorb(records, guest, "title", "year", order, looks_preprint(F.col("venue"), F.col("type")))
+    found = pairs.join(records.select(F.col(order).alias("guest"), F.struct("venue", "abstract", "tldr", "sources", "keywords").alias("g")), "guest")
+    found = found.groupBy("host").agg(F.min_by("g", "guest").alias("g"), F.collect_list("guest").alias("guests"))
+    joined = records.join(found, records[order] == found["host"], "left")
+    was = looks_preprint(F.col("venue"), F.col("type"))
+    takes = F.col("g").isNotNull() & was & (F.col("g.venue") != "")
+    out = joined.withColumns({
+        "venue": F.when(takes, F.col("g.venue")).otherwise(F.coalesce(N.blank_to_null(F.col("venue")), F.col("g.venue"))),
+        "type": F.when(takes & (F.lower("type") == "preprint"), F.lit("article")).otherwise(F.col("type")),
+        "abstract": F.coalesce(N.blank_to_null(F.col("abstract")), F.col("g.abstract")),
+        "tldr": F.coalesce(N.blank_to_null(F.col("tldr")), F.col("g.tldr")),
+        "keywords": F.when(F.size("keywords") > 0, F.col("keywords")).otherwise(F.coalesce("g.keywords", "keywords")),
+        "sources": F.array_distinct(F.concat("sources", F.coalesce("g.sources", F.array()))),
+    })
+    return out.select(*records.columns).join(pairs.select(F.col("guest").alias(order)), order, "left_anti").select(*records.columns)
+
+
+def distinct_by_first_key(rows: DataFrame, keys: list[Column], order: list[str], keep: Column | None = None) -> DataFrame:
+    """The first row of each key, a row's key being the first of ``keys`` it has; rows that ``keep``
+    rejects go before, rows without a key all stay."""
+    kept = rows if keep is None else rows.filter(F.coalesce(keep, F.lit(False)))
+    marked = kept.withColumn("_k", F.coalesce(*keys))
+    w = Window.partitionBy("_k").orderBy(*order)
+    known = marked.filter(F.col("_k").isNotNull()).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    return known.unionByName(marked.filter(F.col("_k").isNull())).drop("_k")
+
+
+def distinct_by_any_key(rows: DataFrame, a: str, b: str, order: list[str]) -> DataFrame:
+    """The rows that are the first of their ``a`` and of their ``b``."""
+    for c in (a, b):
+        rows = rows.withColumn(f"_{c}", F.row_number().over(Window.partitionBy(c).orderBy(*order)))
+    return rows.filter((F.col(f"_{a}") == 1) & (F.col(f"_{b}") == 1)).drop(f"_{a}", f"_{b}")
+
+
+def display_order(records: DataFrame, by: str, tie: str) -> DataFrame:
+    """Records by citation_count, year or influential_citation_count, largest first, then by ``tie``."""
+    return records.orderBy(F.desc(F.coalesce(F.col(by), F.lit(0)).alias("by")), tie)
+
+
+def match_known(raw: DataFrame, raw_id: str, keys: str, known: DataFrame, known_key: str, known_keys: str) -> DataFrame:
+    """raw_id and key: the known record that the first unambiguous key of a raw record points at, else
+    the raw record's own first key. Identifiers that two known records share point at none."""
+    owners = known.select(F.col(known_key).alias("key"), F.explode(known_keys).alias("k")).distinct()
+    clear = owners.groupBy("k").agg(F.count("*").alias("n"), F.min("key").alias("key")).filter("n = 1").drop("n")
+    each = raw.select(F.col(raw_id).alias("id"), F.posexplode(keys).alias("pos", "k"))
+    hit = each.join(clear, "k").groupBy("id").agg(F.min_by("key", "pos").alias("key"))
+    own = raw.filter(F.size(keys) > 0).select(F.col(raw_id).alias("id"), F.col(keys)[0].alias("own"))
+    return own.join(hit, "id", "left").select(F.col("id").alias(raw_id), F.coalesce("key", "own").alias("key"))

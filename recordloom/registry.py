@@ -60,8 +60,10 @@ _SCORED = f"(SELECT doc_id, title, year, cites, round(0.5 * {_COVER('title')} +
 @query(f"SELECT doc_id, title, score, cites FROM (SELECT *, row_number() OVER (PARTITION BY {_norm_sql('title')} ORDER BY doc_id) AS k FROM {_SCORED}) WHERE k = 1 AND score >= 0.2 ORDER BY score DESC, cites DESC, doc_id LIMIT 50")
 def q_search_topk(spark, sf):
     """The flagship: deduplicate by normalised title, score, filter, top 50."""
-    first = records(spark, sf).withColumn("key", N.title(F.col("title"))).groupBy("key").agg(F.min_by(F.struct("doc_id", "title", "abstract", "year", "cites"), "doc_id").alias("r")).select("r.*")
-    return retrieve.search(first, QUERY, 50, 0.2, "title", "abstract", "cites", "year", NOW, "doc_id").select("doc_id", "title", "score", "cites")
+    # Scored before they are moved: titles and scores are shuffled, texts aren't.
+    rows = retrieve.scored(records(spark, sf), QUERY, "title", "abstract", "cites", "year", NOW).withColumn("key", N.title(F.col("title")))
+    first = rows.groupBy("key").agg(F.min_by(F.struct("doc_id", "title", "score", "cites"), "doc_id").alias("r")).select("r.*")
+    return first.filter("score >= 0.2").orderBy(F.desc("score"), F.desc("cites"), "doc_id").limit(50)
 
 
 @query(f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'doi|10.5/x' || (doc_id % 50) WHEN doc_id % 3 = 1 THEN 'arxiv|2101.' || doc_id
@@ -188,10 +190,12 @@ def q_issn_backfill(spark, sf):
 def q_label_apply(spark, sf):
     found = _table(spark, sf, "labels").select("doc_id", (F.col("quality") * 5 + F.col("toxic")).cast("int").alias("rcs")).withColumnRenamed("doc_id", "label_key").withColumn("at", F.lit(0))
     docs = _table(spark, sf, "documents").select("doc_id", (F.col("doc_id") + 1).alias("other"))
-    return labels.apply_labels(docs, found, ["doc_id", "other"], "label_key", "at", ["rcs"]).select("doc_id", "rcs")
+    return labels.apply_labels(docs, found, ["doc_id", "other"], "label_key", "at", ["rcs"], shared=True).select("doc_id", "rcs")
 
 
-@query()
+@query("""WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1)
+SELECT conv_id, CASE conv_id % 6 WHEN 0 THEN 'json' WHEN 1 THEN 'fenced' WHEN 2 THEN 'strict' WHEN 3 THEN 'strict' WHEN 4 THEN 'tolerant' ELSE 'bottom' END AS layer,
+  CASE WHEN conv_id % 6 < 4 THEN [(n % 11)::INT, (n % 11)::INT] WHEN conv_id % 6 = 4 THEN [3, 4] ELSE [5, 5] END AS rcs FROM c""")
 def q_rcs_parse(spark, sf):
     """Label batches of two in six shapes, from clean JSON to prose."""
     conv = _table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
@@ -200,8 +204,8 @@ def q_rcs_parse(spark, sf):
     loose = F.concat(F.lit("paper_id: 'p1', rcs: 3, reasoning: 'long enough reason'\npaper_id: 'p2', rcs: 4, reasoning: 'long enough reason'"))
     shape = F.col("conv_id") % 6
     text = F.when(shape == 0, both).when(shape == 1, F.concat(F.lit("Here:\n```json\n"), both, F.lit("\n```"))).when(shape == 2, F.concat(F.lit("so [sic] "), both, F.lit(" done"))).when(shape == 3, F.concat(one("1"), F.lit("; "), one("2"))).when(shape == 4, loose).otherwise("no idea")
-    parsed, layer = labels.parse(F.col("text"), F.array(F.lit("p1"), F.lit("p2")))
-    return conv.withColumn("text", text).select("conv_id", layer.alias("layer"), F.transform(parsed, lambda x: x["rcs"]).alias("rcs"))
+    rows = conv.select("conv_id", text.alias("text"), F.array(F.lit("p1"), F.lit("p2")).alias("ids"))
+    return labels.parse(rows, "text", "ids").select("conv_id", "layer", F.transform("labels", lambda x: x["rcs"]).alias("rcs"))
 
 
 def _purchases(spark: SparkSession, sf: str, kind: str = "purchase", floor: int = 150) -> DataFrame:
@@ -286,7 +290,7 @@ def q_rcs_mean(spark, sf):
 
 @query(f"SELECT t AS theme, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+'))) AS t FROM {_DOCS}) WHERE length(t) <= 60 GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, theme LIMIT 8")
 def q_themes(spark, sf):
-    return report.themes(records(spark, sf), "doc_id", N.tokens(F.col("title")))
+    return report.themes(records(spark, sf), "doc_id", N.tokens(F.col("title"))).select("theme", "n", "first_id")
 
 
 @query(f"SELECT count(*) AS papers, count(*) FILTER (WHERE rcs >= 7) AS highly_relevant, count(*) FILTER (WHERE rcs IN (5, 6)) AS borderline, count(*) FILTER (WHERE rcs IS NULL) AS unclassified FROM {_RCS}")
@@ -330,16 +334,9 @@ def q_title_similarity(spark, sf):
 
 @query("WITH g AS (SELECT item_id, trim(text) AS t FROM benchmark) SELECT g.item_id, count(d.doc_id) AS found FROM g LEFT JOIN documents d ON contains(d.text, g.t) GROUP BY 1")
 def q_benchmark_recall(spark, sf):
-    """How often each gold passage stands in the documents; the gold set is a fixed small table."""
+    """How often each gold passage stands in the documents."""
     gold = _table(spark, sf, "benchmark").select("item_id", F.trim("text").alias("t"))
-    words = F.split(F.regexp_replace("t", r"\s+", " "), " ")
-    anchor = gold.select("item_id", "t", F.array_join(F.slice(words, 2, 3), " ").alias("anchor"))
-    each = F.split(F.col("text"), r"\s+")
-    pairs = F.zip_with(each, F.slice(each, F.lit(2), F.size(each)), lambda x, y: F.concat(x, F.lit(" "), y))
-    runs = F.zip_with(pairs, F.slice(each, F.lit(3), F.size(each)), lambda x, y: F.concat(x, F.lit(" "), y))
-    docs = _table(spark, sf, "documents").select("doc_id", "text").withColumn("anchor", F.explode(F.array_distinct(runs)))
-    hits = docs.join(anchor, "anchor").filter(F.contains("text", "t")).select("item_id", "doc_id").distinct().groupBy("item_id").agg(F.count("*").alias("found"))
-    return gold.select("item_id").join(hits, "item_id", "left").fillna(0, ["found"])
+    return verify.passages_found(gold, "item_id", "t", _table(spark, sf, "documents"), "doc_id", "text").select("item_id", "found")
 
 
 @query("SELECT coalesce(matched_source, 'none') AS matched_source, count(*) AS n FROM (SELECT CASE WHEN c.c_custkey IS NOT NULL THEN 'customer' WHEN s.s_suppkey IS NOT NULL THEN 'supplier' WHEN o.o_custkey IS NOT NULL THEN 'orders' END AS matched_source FROM (SELECT p_partkey AS ref FROM part) LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) c ON c_custkey = ref LEFT JOIN supplier s ON s_suppkey = ref LEFT JOIN (SELECT DISTINCT o_custkey FROM orders) o ON o.o_custkey = ref) GROUP BY 1")
@@ -450,3 +447,6 @@ def q_key_set_ops(spark, sf):
     e = _table(spark, sf, "events")
     keys = lambda kind, floor: e.filter((F.col("event_type") == kind) & (F.col("value") > floor)).select("user_id")
     return keys("view", 200).intersect(e.filter("event_type = 'click'").select("user_id")).exceptAll(keys("error", 200).distinct()).distinct()
+
+
+from recordloom import registry_records  # noqa: E402, F401  its queries register themselves

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 
 def bibtex_keys(df: DataFrame, author: str, year: str, order: list[str]) -> DataFrame:
-    """LastYear; the second of a key gets b, the third c, and so on. The numbering needs a key's
-    rows together: keys are about as many as rows."""
-    last = F.regexp_replace(F.element_at(F.split(F.coalesce(author, F.lit("Anon")), " "), -1), "[^A-Za-z]", "")
-    key = F.concat(F.when(last == "", "Anon").otherwise(last), F.coalesce(F.col(year).cast("string"), F.lit("nd")))
+    """LastYear; the second of a key gets b, the third c, and so on. The last name is what stands before
+    a comma, else the last word; ASCII letters and digits of it stay. The numbering needs a key's rows
+    together: keys are about as many as rows."""
+    name = F.trim(F.coalesce(F.col(author), F.lit("")))
+    last = F.when(F.contains(name, F.lit(",")), F.substring_index(name, ",", 1)).otherwise(F.element_at(F.split(name, r"\s+"), -1))
+    clean = F.regexp_replace(last, "[^A-Za-z0-9]", "")
+    key = F.concat(F.when(clean == "", "Anon").otherwise(clean), F.coalesce(F.when(F.col(year) != 0, F.col(year).cast("string")), F.lit("n.d.")))
     n = F.row_number().over(Window.partitionBy("_key").orderBy(*order))
     out = df.withColumn("_key", key).withColumn("_n", n)
     suffix = F.when(F.col("_n") == 1, "").when(F.col("_n") <= 26, F.char(96 + F.col("_n"))).otherwise(F.col("_n").cast("string"))
@@ -18,10 +21,8 @@ def bibtex_keys(df: DataFrame, author: str, year: str, order: list[str]) -> Data
 
 
 def bibtex_escaped(c: Column) -> Column:
-    c = F.replace(c, F.lit("\\"), F.lit("\\textbackslash "))
-    for ch in "&%$#_{}":
-        c = F.replace(c, F.lit(ch), F.lit("\\" + ch))
-    return c
+    """A backslash before each sign that means something in TeX."""
+    return F.regexp_replace(c, r"([\\{}&%$#_])", r"\\$1")
 
 
 def bibtex_type(kind: Column) -> Column:

@@ -62,17 +62,31 @@ def test_citations_take_last_positive_openalex(spark):
 
 def test_label_layers(spark):
     obj = {"paper_id": "a", "rcs": 7, "reasoning": "long enough reason", "flag": None}
-    cases = [(json.dumps([obj]), "json"), (json.dumps({"papers": [obj]}), "json"), (f"x\n```json\n{json.dumps([obj])}\n```", "fenced"), (f"so {json.dumps([obj])} [1]", "bracket"), (f"[1] so {json.dumps([obj])}", "strict"), ("nothing", "bottom"), (json.dumps([{**obj, "rcs": 11}]), "bottom")]
-    df = spark.createDataFrame(cases, "t string, want string")
-    parsed, layer = labels.parse(F.col("t"), F.array(F.lit("a")))
-    for r in df.select("want", layer.alias("got"), parsed.alias("l")).collect():
-        assert r["got"] == r["want"]
-        assert r["l"][0]["rcs"] == (5 if r["got"] == "bottom" else 7)
+    cases = [(json.dumps([obj]), "json"), (f"x\n```json\n{json.dumps([obj])}\n```", "fenced"), (f"so {json.dumps([obj])} [1]", "bracket"), (f"[1] so {json.dumps(obj)}", "strict"), ("nothing", "bottom"), (None, "bottom"), (json.dumps([{**obj, "rcs": 11}]), "bottom")]
+    cases += [("Paper_ID = 'a'; RCS = 7; why not; reasoning = 'long enough reason'", "tolerant"), (json.dumps({"papers": [obj]}), "bracket"), (json.dumps([{**obj, "flag": "made_up"}]), "bottom")]
+    df = spark.createDataFrame([(t, w, ["a"]) for t, w in cases], "t string, want string, ids array<string>")
+    for r in labels.parse(df, "t", "ids").collect():
+        assert r["layer"] == r["want"], r
+        assert r["labels"][0]["rcs"] == (5 if r["layer"] == "bottom" else 7)
+        assert r["labels"][0]["flag"] == ("parse_failed_uncertain" if r["layer"] == "bottom" else None)
 
 
-def test_shrink_halves_until_parsed():
-    got = labels.shrink_and_retry("x", ["a", "b", "c"], lambda _, ids: [{"paper_id": ids[0], "rcs": 1}] if len(ids) == 1 else None)
-    assert [g["paper_id"] for g in got] == ["a", "b", "c"]
+def test_label_text_layers_keep_flags():
+    one = '{"paper_id": "a", "rcs": 3, "reasoning": "long enough reason", "flag": "recent_unindexed"}'
+    assert labels.recover(f"so: {one} and that is it", ["a"]) == ([{"paper_id": "a", "rcs": 3, "reasoning": "long enough reason", "flag": "recent_unindexed"}], "strict")
+    assert labels.recover(json.dumps([{"paper_id": "a", "rcs": True, "reasoning": "long enough reason"}]), ["a"])[0][0]["rcs"] == 1
+
+
+def test_batches_are_halved_until_read():
+    got, layer = labels.recover(json.dumps([{"paper_id": "a", "rcs": 1, "reasoning": "long enough reason"}]), ["a", "b", "c"])
+    assert layer == "halved" and [g["paper_id"] for g in got] == ["a", "b", "c"] and [g["rcs"] for g in got] == [1, 5, 5]
+
+
+def test_last_label_wins_whichever_name_it_uses(spark):
+    rows = spark.createDataFrame([("p1", "doi|1"), ("p2", "p1")], "paper_id string, key string")
+    found = spark.createDataFrame([("p1", 0, 3), ("doi|1", 1, 7)], "name string, at int, rcs int")
+    got = {r["paper_id"]: r["rcs"] for r in labels.apply_labels(rows, found, ["paper_id", "key"], "name", "at", ["rcs"]).collect()}
+    assert got == {"p1": 7, "p2": None}
 
 
 def test_windows():
@@ -111,13 +125,33 @@ def test_compile_withholds_mixed_logic():
     assert strategy.compile_strategy(strategy.MODEL, "pubmed", {"MeSH": {"Myocardial Infarction"}})["status"] == "ready"
 
 
+TOPIC = "情绪调节"
+
+
 @pytest.mark.parametrize(
     ("query", "platform", "tiers", "quartiles", "cleaned"),
-    [("中科院一区 深度学习", "cas", [1], [], "深度学习"), ("JCR Q1 memory", "jcr", [], ["Q1"], "memory"), ("broadcast case study", None, [], [], "broadcast case study"), ("二区及以上 教育", "cas", [1, 2], [], "教育"), ("二区供暖", None, [], [], "二区供暖"), ("中科院 1-3区 x", "cas", [1, 2, 3], [], "x")],
-)
+    [
+        ("中科院一区 深度学习", "cas", [1], [], "深度学习"), ("JCR Q1 memory", "jcr", [], ["Q1"], "memory"), ("二区及以上 教育", "cas", [1, 2], [], "教育"), ("中科院 1-3区 x", "cas", [1, 2, 3], [], "x"),
+        ("中科院 1、2 区的 情绪调节", "cas", [1, 2], [], TOPIC), ("中科院一区或者二区 情绪调节", "cas", [1, 2], [], TOPIC), ("中科院1到3区期刊 情绪调节", "cas", [1, 2, 3], [], TOPIC), ("1区 2区 情绪调节", "cas", [1, 2], [], TOPIC),
+        ("中科院一区的文献综述", "cas", [1], [], "文献综述"), ("中科院1 depression", "cas", [1], [], "depression"), ("中科院 2023 年以来的研究", "cas", [], [], "2023 年以来的研究"), ("Web of Science 1、2区 情绪调节", "jcr", [], ["Q1", "Q2"], TOPIC),
+        ("SSCI 一区或二区 情绪调节", None, [1, 2], [], TOPIC), ("Web of Science 分区 心理学", "jcr", [], [], "心理学"),
+        *[(q, None, [], [], q) for q in ("broadcast case study", "二区供暖", "第一、二区 人口", "一区、二区供暖", "51区 外星人", "SJR-indexed", "WoS coverage", "三区的人口研究", "一区一带 倡议", "")],
+    ],
+)
 def test_intent(query, platform, tiers, quartiles, cleaned):
     got = intent.parse(query)
     assert (got["platform"], got["tiers"], got["quartiles"], got["cleaned"]) == (platform, tiers, quartiles, cleaned)
+    assert got["ambiguous"] == (platform is None and bool(tiers or quartiles or got["top"]))
+
+
+def test_intent_top_and_plan():
+    wish = intent.parse("只要顶刊的认知")
+    assert wish["top"] and wish["ambiguous"] and wish["candidates"] == ["cas", "jcr", "sjr"] and wish["cleaned"] == "认知"
+    assert intent.plan({}, wish)["filter"] is False
+    assert intent.plan({"platform": "CAS", "keep": [1, "Q2"]}, intent.parse("JCR Q1 x")) | {} == {**intent.plan({"platform": "cas", "keep": ["1", "2"]}, intent.parse("JCR Q1 x"))}
+    got = intent.plan({"keep": ["Q2"]}, intent.parse("JCR Q1 x"))
+    assert (got["platform"], got["quartiles"], got["from"], got["filter"]) == ("jcr", ["Q2"], "query", True)
+    assert intent.plan({}, intent.parse("plain"), "sjr")["filter"] is False
 
 
 def test_payload_shapes(spark, tmp_path):
@@ -140,13 +174,16 @@ def test_rank_tables(spark, tmp_path):
 def test_bibtex(spark):
     rows = spark.createDataFrame([(1, "Ann Lee", 2020), (2, "Bo Lee", 2020), (3, None, None)], "id int, a string, y int")
     got = {r["id"]: r["bibtex_key"] for r in sinks.bibtex_keys(rows, "a", "y", ["id"]).collect()}
-    assert got == {1: "Lee2020", 2: "Lee2020b", 3: "Anonnd"}
+    assert got == {1: "Lee2020", 2: "Lee2020b", 3: "Anonn.d."}
 
 
 def test_venue_label(spark):
-    assert one(spark, converters.venue_label(F.col("a")), a="NeurIPS 2025 poster") == "NeurIPS 2025 Poster"
-    assert one(spark, converters.venue_label(F.col("a")), a="KSMI 2026 ShortOralPoster") == "KSMI 2026"
-    assert one(spark, converters.accepted_year(F.col("a")), a="ICLR.cc/2024/Conference/Rejected") is None
+    label = converters.venue_label(F.col("a"), F.col("b"), converters.accepted_kind(F.col("b")))
+    cases = [("NeurIPS 2025 poster", "NeurIPS.cc/2025/Conference", "NeurIPS 2025 Poster"), ("KSMI 2026 ShortOralPoster", "KSMI.org/2026/Conference", "KSMI 2026"), ("x", "ICLR.cc/2024/Conference", "ICLR 2024"), ("Findings EMNLP oral", "EMNLP/2023/Conference", "EMNLP 2023 Findings"), ("any", "TMLR", "TMLR"), ("y", "NeurIPS.cc/2023/Track/Datasets_and_Benchmarks", "NeurIPS 2023 Datasets & Benchmarks")]
+    for venue, venueid, want in cases:
+        assert one(spark, label, a=venue, b=venueid) == want
+    for rejected in ("ICLR.cc/2024/Conference/Rejected", "ICLR.cc/2024/Workshop/X", "TMLR/Rejected", "/2024/Conference", "NeurIPS.cc/2023/Track/Datasets_and_Benchmarks/Rejected_Submission"):
+        assert one(spark, converters.accepted_year(F.col("a")), a=rejected) is None
 
 
 def test_journal_groups(spark):
