@@ -41,7 +41,7 @@ EDITS = ((MIN_CHARS, 1), (256, 2))
 BUCKETS = 1 << 20
 #: One line of so many is counted to find segments that many lines share, and the count from
 #: which such a segment is taken apart. Pairs that a group makes at most after that.
-SAMPLED, SHARED, PAIRS = 8, 2, 64
+SAMPLED, SHARED, PAIRS = 8, 2, 32
 
 #: (least length, least length that has another threshold or None, threshold)
 Band = tuple[int, int | None, int]
@@ -225,8 +225,8 @@ def _piece(x: Column, n: Column, y: Column, m: Column, t: Column) -> Column:
 
 
 def _taken_apart(rows: DataFrame) -> DataFrame:
-    """A row for each segment of the longest piece. ``rows``: probe (whether the line probes), h1,
-    h2, line, g (what it has in common with its group) and pieces: what isn't in g, from code
+    """A row for each segment of the longest piece. ``rows``: probe (whether the line probes), even
+    (whether for lines of its own length), h1, h2, line, g (what it has in common with its group) and pieces: what isn't in g, from code
     point x, n long, in the indexed line and from y, m long, in the probing one, with at most t
     edits."""
     longest = F.array_max(F.transform("pieces", lambda p, i: F.struct(F.when(p["n"] > p["t"], p["n"]).otherwise(F.lit(-1)).alias("n"), i.alias("i"))))
@@ -248,17 +248,17 @@ def _taken_apart(rows: DataFrame) -> DataFrame:
         return F.transform(F.when(F.col("probe"), shifts).otherwise(F.array(F.lit(0))), lambda s: at(j, s))
 
     each = F.flatten(F.transform(F.sequence(F.lit(0), p["t"]), starts))
-    return rows.select("probe", "h1", "h2", "line", F.explode(each).alias("one")).select("probe", "h1", "h2", "line", "one.g", "one.pieces")
+    return rows.select("probe", "even", "h1", "h2", "line", F.explode(each).alias("one")).select("probe", "even", "h1", "h2", "line", "one.g", "one.pieces")
 
 
 def _shared_pairs(texts: DataFrame, bands: list[Band], pairs_at_most: int) -> list[DataFrame]:
     """Tables of pairs (h1a, h2a, h1b, h2b) that hold all pairs of ``texts`` within the distance."""
     whole = lambda length, edits: F.array(_piece(F.lit(0), length, F.lit(0), F.col("n"), edits)).cast(_PIECES)
-    row = lambda probe, length, edits: F.struct(F.lit(probe).alias("probe"), F.xxhash64(length, edits).alias("g"), whole(length, edits).alias("pieces"), (edits >= F.col("n") - length).alias("fits"))
+    row = lambda probe, length, edits: F.struct(F.lit(probe).alias("probe"), (length == F.col("n")).alias("even"), F.xxhash64(length, edits).alias("g"), whole(length, edits).alias("pieces"), (edits >= F.col("n") - length).alias("fits"))
     n = F.col("n")
     most = max(e for _, _, e in bands)
     starts = F.array(row(False, n, _threshold(n, bands)), *[row(True, n - d, _threshold(n - d, bands)) for d in range(most + 1)])
-    state = _taken_apart(texts.select("h1", "h2", "line", F.explode(F.filter(starts, lambda s: F.coalesce(s["fits"], F.lit(False)))).alias("s")).select("s.probe", "h1", "h2", "line", "s.g", "s.pieces"))
+    state = _taken_apart(texts.select("h1", "h2", "line", F.explode(F.filter(starts, lambda s: F.coalesce(s["fits"], F.lit(False)))).alias("s")).select("s.probe", "s.even", "h1", "h2", "line", "s.g", "s.pieces"))
     out = []
     while True:
         state = cut(state, "line-pieces")
@@ -266,8 +266,8 @@ def _shared_pairs(texts: DataFrame, bands: list[Band], pairs_at_most: int) -> li
         sizes = state.groupBy("g").agg(F.count_if(~F.col("probe")).alias("a"), F.count_if("probe").alias("b"), F.max(able).alias("able")).filter("a > 0 and b > 0")
         sizes = cut(sizes.select("g", (F.col("able") & (F.col("a") * F.col("b") > pairs_at_most)).alias("open")), "line-groups")
         few = state.join(sizes.filter("not open"), "g")
-        left, right = few.filter("not probe").select("g", "h1", "h2").toDF("g", "h1a", "h2a"), few.filter("probe").select("g", "h1", "h2").toDF("g", "h1b", "h2b")
-        out.append(left.join(right, "g").filter("h1a <> h1b or h2a <> h2b").select("h1a", "h2a", "h1b", "h2b"))
+        left, right = few.filter("not probe").select("g", "h1", "h2").toDF("g", "h1a", "h2a"), few.filter("probe").select("g", "h1", "h2", "even").toDF("g", "h1b", "h2b", "even")
+        out.append(left.join(right, "g").filter("(h1a, h2a) < (h1b, h2b) or (not even and (h1a, h2a) <> (h1b, h2b))").select("h1a", "h2a", "h1b", "h2b"))  # lines of one length meet both ways
         many = sizes.filter("open")
         if many.isEmpty():
             return out
