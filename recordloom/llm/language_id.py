@@ -77,13 +77,14 @@ class Model:
     weights: np.ndarray  # landmarks x languages
 
 
-def fit(df: DataFrame, key: str, text: str, lang: str, per_language: int = 800, landmarks: int = 40, ridge: float = 0.1, seed: int = 8) -> Model | None:
+def fit(df: DataFrame, key: str, text: str, lang: str, per_language: int = 800, landmarks: int = 40, ridge: float = 0.1, most_languages: int = 256, seed: int = 8) -> Model | None:
     """The model of the rows with a language and a letter; None if there are none.
 
-    ``landmarks`` is the number per language. What reaches the driver are the landmarks'
+    ``landmarks`` is the number per language, all texts where a language has fewer. The
+    ``most_languages`` most frequent ones are learnt. What reaches the driver are the landmarks'
     n-gram ids and a kernel row for each sampled text."""
     labelled = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter(F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}"))
-    counts = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    counts = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(most_languages).collect()}
     if not counts:
         return None
     languages = sorted(counts)
@@ -96,8 +97,9 @@ def fit(df: DataFrame, key: str, text: str, lang: str, per_language: int = 800,
         for b in batches:
             yield pd.DataFrame({"l": b["l"], "ids": [_presence(t, last) for t in b["t"]]})
 
-    chosen = sample.filter(F.col("draw") < landmarks / per_language).mapInPandas(presence, "l string, ids array<int>").collect()
-    chosen = sorted(chosen or sample.limit(landmarks).mapInPandas(presence, "l string, ids array<int>").collect())
+    part = F.coalesce(*[F.when(F.col("l") == x, F.lit(min(1.0, landmarks / min(n, per_language)))) for x, n in counts.items()])
+    chosen = sample.filter(F.col("draw") < part).mapInPandas(presence, "l string, ids array<int>").collect()
+    chosen = sorted(chosen or sample.orderBy("draw", "t").limit(landmarks).mapInPandas(presence, "l string, ids array<int>").collect())
     kernel = Kernel.of([np.array(r["ids"], dtype=np.int64) for r in chosen])
     shared = df.sparkSession.sparkContext.broadcast(kernel)
 
