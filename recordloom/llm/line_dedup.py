@@ -41,7 +41,7 @@ EDITS = ((MIN_CHARS, 1), (256, 2))
 BUCKETS = 1 << 20
 #: One line of so many is counted to find segments that many lines share, and the count from
 #: which such a segment is taken apart. Pairs that a group makes at most after that.
-SAMPLED, SHARED, PAIRS = 8, 2, 32
+SAMPLED, SHARED, PAIRS = 8, 4, 1024
 
 #: (least length, least length that has another threshold or None, threshold)
 Band = tuple[int, int | None, int]
