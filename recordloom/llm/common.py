@@ -77,13 +77,27 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_root(spark)}/recordloom/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _scratch.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table that ``cut`` gave, if it did. Nothing may be built on it any more
+    but what has been written."""
+    path = vars(df).get("_scratch")
+    if path in _scratch:
+        _scratch.remove(path)
+        _delete(df.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
     """Delete every scratch table of this driver. Call it only once the results
     that were built on them have been written."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _scratch.pop())
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
