@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import cut, forget, release, scratch_root  # noqa: F401
+
 #: A word of the shingle operators: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_scratch: list[str] = []
 _shipped: set[str] = set()
 
 
@@ -54,50 +54,3 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir). Only where it is unset and all
-    runs on one machine, as in tests, a folder of this machine takes its place."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if not root:
-        root = tempfile.mkdtemp(prefix="recordloom-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    This ends the lineage as checkpoint() does, but computes the input once, and
-    the columns stay prunable. The files survive lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/recordloom/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _scratch.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the files of a table that ``cut`` gave, if it did. Nothing may be built on it any more
-    but what has been written."""
-    path = vars(df).get("_scratch")
-    if path in _scratch:
-        _scratch.remove(path)
-        _delete(df.sparkSession, path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete every scratch table of this driver. Call it only once the results
-    that were built on them have been written."""
-    while _scratch:
-        _delete(spark, _scratch.pop())
-
-
-def _delete(spark: SparkSession, at: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

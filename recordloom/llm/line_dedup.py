@@ -10,20 +10,25 @@ after the segment allow. Candidates are verified by a banded bit-parallel edit d
 Shorter lines take part in the comparison of equal lines, from ``equal_from`` code points on,
 and in no join.
 
-Segments that many lines share (templates) aren't joined: their lines are taken apart further.
-What lies left and right of a shared segment has a share of the threshold each and is split
-into segments again, until a group's pairs are few or the pieces are no longer than their
-thresholds. So lines that have most of their text in common, but differ by more than the
-threshold, make no candidates, and no pair is lost. A sample decides which segments are taken
-apart at first; both ways find the same pairs.
+Segments that many lines share (templates, near copies) aren't joined. Their lines meet by blocks
+of their character pairs: an edit changes at most four pairs, so of 4 * threshold + 1 blocks, dealt
+by the pairs' hashes, one is the same in both lines. Where even such a block is shared by more
+lines than may be paired, the lines are taken apart: what lies left and right of a shared segment
+has a share of the threshold each and is split into segments again, until a group's pairs are few,
+or until the pieces are no longer than their thresholds. Then all lines of the group are within the
+threshold of each other, and it is one class of lines instead of pairs. So lines that have most of
+their text in common, but differ by more than the threshold, make hardly any candidates, and no
+pair is lost. A sample decides which segments are shared; both ways find the same pairs.
 
 Lines are trimmed and equal ones collapsed before the join, which moves hashes, not texts;
-only candidates' texts are fetched. A line is removed when an equal line comes before it
-(by document key, then position), or when another line within the distance has its first
-document before it (hashes break ties); shorter lines always stay but for equal ones.
-
-Cases: null and empty texts have no lines to remove; rows of one key count as one
-document; null keys come last; other columns are kept, whatever their names.
+only candidates' texts are fetched. Lines go in order of their first occurrence (by document key,
+row, position): a line is kept unless a line that is kept comes before it within the distance.
+So a line goes only for one that stays. Of a kept line, the first occurrence stays; of the others,
+none. Shorter lines go for equal ones alone.
+
+Cases: null and empty texts have no lines to remove; null keys come last; rows are told apart even
+where keys repeat or are null (they get a number, written once); other columns are kept, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +38,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from ..operators.greedy import decided
+from .common import cut, forget, fresh
 
 MIN_CHARS = 32
 #: The least length of a line and the edits allowed from there on.
@@ -65,10 +71,15 @@ def edit_distance_at_most(a: Column, b: Column, edits: int) -> Column:
 
     Bit k of a column's vectors is the row ``edits - k`` above the diagonal. The distance is
     followed down the lower edge of the band, then along the last row."""
+    split = F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y"), F.length(a).alias("m"), F.length(b).alias("n"))
+    distance = F.transform(F.array(split), lambda s: _distance(s["x"], s["y"], s["m"], s["n"], edits))[0]  # split once
+    m, n = F.length(a), F.length(b)
+    return F.when(F.greatest(m, n) <= edits, F.lit(True)).when(F.least(m, n) <= edits, F.levenshtein(a, b) <= edits).otherwise(distance <= edits)
+
+
+def _distance(x: Column, y: Column, m: Column, n: Column, edits: int) -> Column:
     width = 2 * edits + 1
     full = (1 << width) - 1
-    x, y = F.split(a, ""), F.split(b, "")
-    m, n = F.length(a), F.length(b)
 
     def match(j: Column) -> Column:
         bits = [F.when(F.get(x, j - edits + k) == F.get(y, j), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(width)]
@@ -98,8 +109,7 @@ def edit_distance_at_most(a: Column, b: Column, edits: int) -> Column:
     columns = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(match(j).alias("eq"), j.alias("j")))
     rows_above = (1 << edits) - 1  # rows that lie outside of the table before the first column
     start = F.struct(F.lit(full & ~rows_above).alias("vp"), F.lit(0).alias("vn"), F.least(m, F.lit(edits)).alias("score"))
-    distance = F.aggregate(columns, start, step, lambda s: s["score"])
-    return F.when(F.greatest(m, n) <= edits, F.lit(True)).when(F.least(m, n) <= edits, F.levenshtein(a, b) <= edits).otherwise(distance <= edits)
+    return F.aggregate(columns, start, step, lambda s: s["score"])
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -201,20 +211,39 @@ def _keys(line: Column, n: Column, bands: list[Band]) -> tuple[list[Column], lis
     return chosen(index), chosen(probes)
 
 
-def _lines(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    rows = df.select(F.col(f"`{key}`").alias("doc"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("pos", "line"))
-    rows = rows.withColumn("line", F.trim("line")).withColumn("n", F.length("line")).filter(F.col("n") >= least)
-    return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(5), "line")})
+def _lines(rows: DataFrame, least: int) -> DataFrame:
+    """A row for each line: where it stands (``at``, in order), its hashes and length."""
+    lines = rows.select("row", F.col("key").isNull().alias("no"), "key", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = lines.withColumn("line", F.trim("line")).withColumn("n", F.length("line")).filter(F.col("n") >= least)
+    return lines.select("row", F.struct("no", "key", "row", "pos").alias("at"), "line", "n", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(5), "line").alias("h2"))
 
 
 def _texts(lines: DataFrame, distinct: DataFrame, ids: DataFrame) -> DataFrame:
-    """h1, h2, doc (the first one that has the line), line and n of the lines ``ids`` (h1, h2)."""
-    wanted = cut(distinct.select("h1", "h2", "doc").join(ids.distinct(), ["h1", "h2"]), "line-ids")
+    """h1, h2, at (of the first occurrence), line and n of the lines ``ids`` (h1, h2)."""
+    wanted = cut(distinct.select("h1", "h2", "at").join(ids.distinct(), ["h1", "h2"]).select("at"), "line-ids")
     # Most lines aren't candidates: a set of at most BUCKETS numbers keeps their texts from the shuffle.
-    bucket = F.pmod("h1", F.lit(BUCKETS)).alias("bucket")
-    some = lines.select("doc", "h1", "h2", "line", "n", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "bucket", "left_semi")
-    found = some.join(wanted, (some["h1"] == wanted["h1"]) & (some["h2"] == wanted["h2"]) & some["doc"].eqNullSafe(wanted["doc"]), "left_semi")
-    return cut(found.select("h1", "h2", "doc", "line", "n").dropDuplicates(["h1", "h2"]), "line-texts")
+    bucket = F.pmod("at.row", F.lit(BUCKETS)).cast("int").alias("bucket")
+    some = lines.select("at", "h1", "h2", "line", "n", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "bucket", "left_semi")
+    out = cut(some.join(wanted, "at", "left_semi").select("h1", "h2", "at", "line", "n"), "line-texts")
+    forget(wanted)
+    return out
+
+
+def _block_pairs(texts: DataFrame, most: int, pairs_at_most: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of ``texts`` that have a block of character pairs in common and may be within
+    ``most`` edits, and the ids of lines whose blocks too many lines share."""
+    blocks, signs = 4 * most + 1, F.split("line", "")
+    hashed = F.zip_with(F.slice(signs, F.lit(1), F.col("n") - 1), F.slice(signs, F.lit(2), F.col("n") - 1), lambda a, b: F.hash(a, b).cast("long"))
+    rows = texts.select("h1", "h2", "n", hashed.alias("grams"))
+    one = lambda b: F.xxhash64(F.lit(b), F.aggregate(F.filter("grams", lambda v: F.pmod(v, F.lit(blocks)) == b), F.lit(0).cast("long"), lambda s, v: s + v))
+    parity = F.aggregate("grams", F.lit(0).cast("long"), lambda s, v: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(v, F.lit(64)).cast("int"))))
+    rows = cut(rows.select("h1", "h2", "n", parity.alias("p"), F.explode(F.array(*[one(b) for b in range(blocks)])).alias("g")), "line-blocks")
+    sizes = cut(rows.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g", (F.col("k") * F.col("k") > pairs_at_most).alias("open")), "line-block-sizes")
+    few = rows.join(sizes.filter("not open"), "g")
+    left, right = (few.select("g", *[F.col(c).alias(f"{c}{t}") for c in ("h1", "h2", "n", "p")]) for t in "ab")
+    may = (F.abs(F.col("na") - F.col("nb")) <= most) & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 4 * most)
+    pairs = left.join(right, "g").filter(F.expr("(h1a, h2a) < (h1b, h2b)") & may).select("h1a", "h2a", "h1b", "h2b")
+    return pairs, rows.join(sizes.filter("open"), "g", "left_semi").select("h1", "h2").distinct()
 
 
 _PIECES = "array<struct<x:int,n:int,y:int,m:int,t:int>>"
@@ -251,8 +280,9 @@ def _taken_apart(rows: DataFrame) -> DataFrame:
     return rows.select("probe", "even", "h1", "h2", "line", F.explode(each).alias("one")).select("probe", "even", "h1", "h2", "line", "one.g", "one.pieces")
 
 
-def _shared_pairs(texts: DataFrame, bands: list[Band], pairs_at_most: int) -> list[DataFrame]:
-    """Tables of pairs (h1a, h2a, h1b, h2b) that hold all pairs of ``texts`` within the distance."""
+def _apart_pairs(texts: DataFrame, bands: list[Band], pairs_at_most: int) -> list[DataFrame]:
+    """Tables of pairs (h1a, h2a, h1b, h2b, class) that hold all pairs of ``texts`` within the distance.
+    Those with a class are a class's first line and its other ones."""
     whole = lambda length, edits: F.array(_piece(F.lit(0), length, F.lit(0), F.col("n"), edits)).cast(_PIECES)
     row = lambda probe, length, edits: F.struct(F.lit(probe).alias("probe"), (length == F.col("n")).alias("even"), F.xxhash64(length, edits).alias("g"), whole(length, edits).alias("pieces"), (edits >= F.col("n") - length).alias("fits"))
     n = F.col("n")
@@ -262,12 +292,14 @@ def _shared_pairs(texts: DataFrame, bands: list[Band], pairs_at_most: int) -> li
     out = []
     while True:
         state = cut(state, "line-pieces")
-        able = F.exists("pieces", lambda p: p["n"] > p["t"])
-        sizes = state.groupBy("g").agg(F.count_if(~F.col("probe")).alias("a"), F.count_if("probe").alias("b"), F.max(able).alias("able")).filter("a > 0 and b > 0")
-        sizes = cut(sizes.select("g", (F.col("able") & (F.col("a") * F.col("b") > pairs_at_most)).alias("open")), "line-groups")
-        few = state.join(sizes.filter("not open"), "g")
+        able, whole = F.exists("pieces", lambda p: p["n"] > p["t"]), ~F.exists("pieces", lambda p: F.greatest(p["n"], p["m"]) > p["t"])
+        sizes = state.groupBy("g").agg(F.count_if(~F.col("probe")).alias("a"), F.count_if("probe").alias("b"), F.max(able).alias("able"), F.min(whole).alias("whole"), F.min(F.struct("h1", "h2")).alias("first")).filter("a > 0 and b > 0")
+        sizes = cut(sizes.select("g", "whole", "first", (F.col("able") & (F.col("a") * F.col("b") > pairs_at_most)).alias("open")), "line-groups")
+        classes = state.join(sizes.filter("whole"), "g").filter(F.struct("h1", "h2") != F.col("first"))
+        out.append(classes.select(F.col("first.h1").alias("h1a"), F.col("first.h2").alias("h2a"), F.col("h1").alias("h1b"), F.col("h2").alias("h2b"), F.xxhash64(F.lit(len(out)), "g").alias("class")))
+        few = state.join(sizes.filter("not open and not whole"), "g")
         left, right = few.filter("not probe").select("g", "h1", "h2").toDF("g", "h1a", "h2a"), few.filter("probe").select("g", "h1", "h2", "even").toDF("g", "h1b", "h2b", "even")
-        out.append(left.join(right, "g").filter("(h1a, h2a) < (h1b, h2b) or (not even and (h1a, h2a) <> (h1b, h2b))").select("h1a", "h2a", "h1b", "h2b"))  # lines of one length meet both ways
+        out.append(left.join(right, "g").filter("(h1a, h2a) < (h1b, h2b) or (not even and (h1a, h2a) <> (h1b, h2b))").select("h1a", "h2a", "h1b", "h2b", F.lit(None).cast("long").alias("class")))  # lines of one length meet both ways
         many = sizes.filter("open")
         if many.isEmpty():
             return out
@@ -291,54 +323,76 @@ def _candidates(distinct: DataFrame, lines: DataFrame, index: list[str], probes:
     left = rare(side(distinct, index, "a"))
     found = [left.join(rare(side(distinct, names, "b")), "key").filter(alike).select("h1a", "h2a", "h1b", "h2b") for names in (index, probes)]
     found[0] = found[0].filter("(h1a, h2a) < (h1b, h2b)")
+    none = F.lit(None).cast("long").alias("class")
     if any_shared:
         everything = side(distinct, index + probes, "")
-        ids = everything.join(shared, "key", "left_semi").select("h1", "h2")
-        found += _shared_pairs(_texts(lines, distinct, ids), bands, PAIRS)
-    pairs = found[0]
-    for more in found[1:]:
+        texts = _texts(lines, distinct, everything.join(shared, "key", "left_semi").select("h1", "h2"))
+        by_block, crowded = _block_pairs(texts, max(e for _, _, e in bands), PAIRS)
+        found.append(by_block)
+        crowded = cut(crowded, "line-crowded")
+        apart = [] if crowded.isEmpty() else _apart_pairs(texts.join(crowded, ["h1", "h2"], "left_semi"), bands, PAIRS)
+    else:
+        apart = []
+    pairs = found[0].withColumn("class", none)
+    for more in [*(f.withColumn("class", none) for f in found[1:]), *apart]:
         pairs = pairs.unionByName(more)
     one, other = F.struct("h1a", "h2a"), F.struct("h1b", "h2b")
-    swap = one > other
-    ordered = pairs.select(*[F.when(swap, F.col(f"{h}{b}")).otherwise(F.col(f"{h}{a}")).alias(f"{h}{a}") for a, b in ("ab", "ba") for h in ("h1", "h2")])
+    swap = F.col("class").isNull() & (one > other)
+    ordered = pairs.select("class", *[F.when(swap, F.col(f"{h}{b}")).otherwise(F.col(f"{h}{a}")).alias(f"{h}{a}") for a, b in ("ab", "ba") for h in ("h1", "h2")])
     return cut(ordered.filter("h1a <> h1b or h2a <> h2b").distinct(), "line-pairs")
 
 
-def repeated_lines(df: DataFrame, key: str, text: str, edits: int | Sequence[tuple[int, int]] = EDITS, least: int = MIN_CHARS, equal_from: int | None = None) -> DataFrame:
-    """key and removed: the positions (from 0) of the lines to remove, for documents with any.
-    ``edits``: the threshold, or (least length, threshold) pairs. ``equal_from``: the length from
-    which equal lines are compared; ``least`` unless given."""
+def _removed(rows: DataFrame, edits: int | Sequence[tuple[int, int]], least: int, equal_from: int | None) -> DataFrame:
+    """row and removed for each row (row, key, text) with lines to remove."""
     bands = bands_of(edits, least)
-    lines = _lines(df, key, text, least if equal_from is None else min(least, equal_from))
+    lines = _lines(rows, least if equal_from is None else min(least, equal_from))
     index, probes = _keys(F.col("line"), F.col("n"), bands)
     names = [f"i{k}" for k in range(len(index))], [f"p{k}" for k in range(len(probes))]
-    keyed = lines.select("doc", "h1", "h2", *[c.alias(n) for c, n in zip(index + probes, names[0] + names[1], strict=True)])
-    distinct = keyed.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.count("*").alias("n"), *[F.max(n).alias(n) for n in names[0] + names[1]])
+    keyed = lines.select("at", "h1", "h2", *[c.alias(n) for c, n in zip(index + probes, names[0] + names[1], strict=True)])
+    distinct = keyed.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count("*").alias("n"), *[F.max(n).alias(n) for n in names[0] + names[1]])
     distinct = cut(distinct, "lines")
     pairs = _candidates(distinct, lines, *names, bands)
     texts = _texts(lines, distinct, pairs.select(F.explode(F.array(F.struct(F.col("h1a").alias("h1"), F.col("h2a").alias("h2")), F.struct(F.col("h1b").alias("h1"), F.col("h2b").alias("h2")))).alias("x")).select("x.*"))
-    of = lambda t: texts.select(F.col("h1").alias(f"h1{t}"), F.col("h2").alias(f"h2{t}"), F.struct("line", "n", F.struct(F.col("doc").isNull().alias("no"), "doc", "h1", "h2").alias("at")).alias(t))
+    of = lambda t: texts.select(F.col("h1").alias(f"h1{t}"), F.col("h2").alias(f"h2{t}"), F.struct("line", "n", "at").alias(t))
     both = pairs.join(of("a"), ["h1a", "h2a"]).join(of("b"), ["h1b", "h2b"])
-    both = both.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h1a", "h2b")  # costly rows: not to be coalesced by size
+    both = both.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h1a", "h2b")  # costly rows: not to be coalesced by size
     shorter = F.col("a.n") <= F.col("b.n")
-    sized = both.select(F.greatest("a.at", "b.at").alias("late"), F.when(shorter, F.col("a")).otherwise(F.col("b")).alias("s"), F.when(shorter, F.col("b")).otherwise(F.col("a")).alias("l"))
-    sized = cut(sized.select("late", F.col("s.line").alias("x"), F.col("l.line").alias("y"), _threshold(F.col("s.n"), bands).alias("edits"), (F.col("l.n") - F.col("s.n")).alias("gap")), "line-candidates")
-    near = within(sized.filter("gap <= edits"), "x", "y", sorted({e for _, _, e in bands}), "edits").select("late.h1", "late.h2").distinct()
-
-    marked = distinct.select("h1", "h2", F.col("doc").alias("first"), "n").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
-    marked = marked.filter("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    seen = lines.select("doc", "pos", "h1", "h2").join(marked, ["h1", "h2"]).groupBy("doc", "h1", "h2", "first", "near").agg(F.min("pos").alias("low"), F.collect_list("pos").alias("all"))
-    gone = F.when(F.col("near") | ~F.col("doc").eqNullSafe(F.col("first")), F.col("all")).otherwise(F.filter("all", lambda p: p != F.col("low")))
-    return seen.groupBy("doc").agg(F.sort_array(F.flatten(F.collect_list(gone))).alias("removed")).filter(F.size("removed") > 0).select(F.col("doc").alias(key), "removed")
+    group = F.struct(F.coalesce("class", F.lit(0)).alias("class"), "h1a", "h2a", F.when(F.col("class").isNull(), F.col("h1b")).alias("h1"), F.when(F.col("class").isNull(), F.col("h2b")).alias("h2"))
+    sized = both.select(group.alias("group"), F.col("a.at").alias("one"), F.col("b.at").alias("two"), F.when(shorter, F.col("a")).otherwise(F.col("b")).alias("s"), F.when(shorter, F.col("b")).otherwise(F.col("a")).alias("l"))
+    sized = cut(sized.select("group", "one", "two", F.col("s.line").alias("x"), F.col("l.line").alias("y"), _threshold(F.col("s.n"), bands).alias("edits"), (F.col("l.n") - F.col("s.n")).alias("gap")), "line-candidates")
+    forget(texts)
+    near = within(sized.filter("gap <= edits"), "x", "y", sorted({e for _, _, e in bands}), "edits")
+    rivals = decided(near.select("group", F.explode(F.array("one", "two")).alias("at")), "group", "at").filter("not kept").select("at")
+
+    counted = distinct.select("h1", "h2", "at", "n").join(rivals.withColumn("near", F.lit(True)), "at", "left")
+    marked = counted.filter("n > 1 or near").select("h1", "h2", F.col("at").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
+    # A line that most rows have is one key of this join; as an inner join, adaptive execution splits it.
+    seen = lines.select("row", "at", "h1", "h2").join(marked, ["h1", "h2"]).filter(F.col("near") | (F.col("at") != F.col("first")))
+    return seen.groupBy("row").agg(F.sort_array(F.collect_list("at.pos")).alias("removed"))
+
+
+def _numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with a number for each row, written once, and the number's column."""
+    at = fresh(df, "_row")
+    return cut(df.withColumn(at, F.monotonically_increasing_id()), "line-rows"), at
+
+
+def repeated_lines(df: DataFrame, key: str, text: str, edits: int | Sequence[tuple[int, int]] = EDITS, least: int = MIN_CHARS, equal_from: int | None = None, into: str = "removed") -> DataFrame:
+    """The rows of ``df``, with the positions (from 0) of the lines to remove in ``into``, which
+    mustn't be a column. ``edits``: the threshold, or (least length, threshold) pairs.
+    ``equal_from``: the length from which equal lines are compared; ``least`` unless given."""
+    if into.lower() in [c.lower() for c in df.columns]:
+        raise ValueError(f"{into} is a column already")
+    numbered, at = _numbered(df)
+    rows = numbered.select(F.col(at).alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    other = fresh(numbered, "_of")
+    gone = _removed(rows, edits, least, equal_from).toDF(other, into)
+    return numbered.join(gone, F.col(at) == F.col(other), "left").select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(into, F.array().cast("array<int>")).alias(into))
 
 
 def deduplicated(df: DataFrame, key: str, text: str, edits: int | Sequence[tuple[int, int]] = EDITS, least: int = MIN_CHARS, equal_from: int | None = None, into: str = "removed_lines") -> DataFrame:
     """``df`` with ``text`` rid of repeated lines, and their number in ``into``, which mustn't be a column."""
-    if into.lower() in [c.lower() for c in df.columns]:
-        raise ValueError(f"{into} is a column already")
-    at, of = fresh(df, "_key"), fresh(df, "_removed")
-    gone = repeated_lines(df, key, text, edits, least, equal_from).toDF(at, of)
-    joined = df.join(gone, F.col(f"`{key}`").eqNullSafe(F.col(at)), "left")
-    left = F.filter(F.split(F.col(f"`{text}`"), "\n"), lambda x, i: ~F.array_contains(F.col(of), i))
-    cleaned = F.when(F.col(of).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(left, "\n"))
-    return joined.select(*[cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns], F.coalesce(F.size(of), F.lit(0)).alias(into))
+    found = repeated_lines(df, key, text, edits, least, equal_from, into)
+    left = F.filter(F.split(F.col(f"`{text}`"), "\n"), lambda x, i: ~F.array_contains(F.col(into), i))
+    cleaned = F.when(F.size(into) == 0, F.col(f"`{text}`")).otherwise(F.array_join(left, "\n"))
+    return found.select(*[cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns], F.size(into).alias(into))

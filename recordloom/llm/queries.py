@@ -16,11 +16,9 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    gone = line_dedup.repeated_lines(docs, "doc_id", "text", equal_from=1).withColumnRenamed("doc_id", "_doc")
-    sizes = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    joined = sizes.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return joined.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))
+    found = line_dedup.repeated_lines(docs, "doc_id", "text", equal_from=1, into="removed_lines")
+    n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
+    return found.select("doc_id", n_lines.alias("n_lines"), F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines")
 
 
 SHARDS = 16

@@ -29,32 +29,34 @@ def order(doc):
     return (doc is None, doc or 0)
 
 
-def brute_force(rows, edits, least):
-    """doc -> removed positions, where every line stands once in its document."""
-    bands = line_dedup.bands_of(edits, least)
-    first = {}
-    for d, text in rows:
-        for x in (text or "").split("\n"):
-            if x.strip(" ") and (x.strip(" ") not in first or order(d) < order(first[x.strip(" ")])):
-                first[x.strip(" ")] = d
-
-    def near(b):
-        for a in first:
-            n = min(len(a), len(b))
-            tau = max((e for low, high, e in bands if n >= low and (high is None or n < high)), default=-1)
-            if a != b and order(first[a]) < order(first[b]) and abs(len(a) - len(b)) <= tau and distance(a, b) <= tau:
-                return True
-        return False
-
-    gone = {x for x in first if near(x)}
-    out = {}
-    for d, text in rows:
-        hit = [p for p, x in enumerate((text or "").split("\n")) if x.strip(" ") and (x.strip(" ") in gone or first[x.strip(" ")] != d)]
-        if hit:
-            out[d] = hit
+def brute_force(rows, edits, least, equal_from=1):
+    """The removed positions of each row, in the order of ``rows``, which is that of equal keys too."""
+    bands, kept, seen, out = line_dedup.bands_of(edits, least), [], set(), [[] for _ in rows]
+
+    def near(a, b):
+        n = min(len(a), len(b))
+        tau = max((e for low, high, e in bands if n >= low and (high is None or n < high)), default=-1)
+        return abs(len(a) - len(b)) <= tau and distance(a, b) <= tau
+
+    for row in sorted(range(len(rows)), key=lambda i: (order(rows[i][0]), i)):
+        for pos, line in enumerate((rows[row][1] or "").split("\n")):
+            x = line.strip(" ")
+            if len(x) < equal_from:
+                continue
+            if x in seen or any(near(x, k) for k in kept):
+                out[row].append(pos)
+            else:
+                kept.append(x)
+            seen.add(x)
     return out
 
 
+def removed(spark, rows, edits, least, **more):
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, nr int").coalesce(1)
+    got = line_dedup.repeated_lines(df, "doc_id", "text", edits, least, 1, **more)
+    return [r["removed"] for r in got.orderBy("nr").collect()]
+
+
 @pytest.mark.parametrize(("edits", "pairs"), [(1, 4096), (2, 4096), (3, 4096), (2, 6), (((16, 1), (40, 2)), 6)])
 def test_equals_brute_force(spark, monkeypatch, edits, pairs):
     """With few pairs allowed in a group, shared segments are taken apart to the end."""
@@ -65,8 +67,38 @@ def test_equals_brute_force(spark, monkeypatch, edits, pairs):
     base = ["".join(rng.choice("abcdé") for _ in range(rng.randrange(10, 60))) for _ in range(8)]
     lines = [edited(rng, rng.choice(base), rng.randrange(5)) if rng.random() < 0.6 else "the template of all these lines: " + "".join(rng.choice("0123") for _ in range(4)) for _ in range(70)]
     rows = [(i + 1, f"{x}\n\nshort {i % 3}") for i, x in enumerate(lines)] + [(None, lines[3] + "q"), (None, "one that only a null key has"), (900, None), (901, "")]
-    got = line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", edits, 16, 1)
-    assert {r["doc_id"]: r["removed"] for r in got.collect()} == brute_force(rows, edits, 16)
+    rows += [(5, lines[9] + "\nown\nown"), (5, "line\n" + lines[7] + "\n" + lines[7])]  # repeated keys
+    assert removed(spark, rows, edits, 16) == brute_force(rows, edits, 16)
+
+
+@pytest.mark.parametrize("pairs", [6, 10**6])
+def test_classes_of_lines_that_differ_at_one_place(spark, monkeypatch, pairs):
+    """Where hundreds of lines differ in one or two characters, classes stand for their pairs."""
+    monkeypatch.setattr(line_dedup, "SAMPLED", 1)
+    monkeypatch.setattr(line_dedup, "PAIRS", pairs)
+    rng = random.Random(2)
+    rows = [(rng.randrange(40), f"a line that all of these share, from here {rng.choice('abcdefgh')}{rng.choice('xyz')} to there{rng.choice(['', '', '!'])}") for _ in range(120)]
+    for edits in (1, 2):
+        assert removed(spark, rows, edits, 16) == brute_force(rows, edits, 16)
+
+
+def test_a_line_goes_only_for_one_that_stays(spark):
+    """A chain: each line is one edit from the one before."""
+    base = "a chain of lines, each of them one edit from the line before it"
+    chain = [base, base + "b", base + "bc", base + "bcd", base + "bcde"]
+    assert removed(spark, list(enumerate(chain)), 1, 16) == [[], [0], [], [0], []]
+
+
+def test_repeated_and_null_keys_lose_no_unique_line(spark):
+    rows = [(1, "A\nB"), (1, "C\nA"), (None, "own one\nD"), (None, "D\nown two"), (None, "D\nown two")]
+    assert removed(spark, rows, 1, 16) == [[], [1], [], [0], [0, 1]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert [r["text"] for r in line_dedup.deduplicated(df, "doc_id", "text", equal_from=1).collect()] == ["A\nB", "C", "own one\nD", "own two", ""]
+
+
+def test_no_rows(spark):
+    assert removed(spark, [], 2, 16) == []
+    assert removed(spark, [(1, None), (2, "")], 2, 16) == [[], []]
 
 
 def test_lines_of_one_template_make_no_candidates(spark, monkeypatch):
@@ -75,7 +107,7 @@ def test_lines_of_one_template_make_no_candidates(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "cut", lambda df, label: seen.append((label, common.cut(df, label))) or seen[-1][1])
     rng = random.Random(3)
     rows = [(i, "the same three quarters of a line: then comes " + "".join(rng.choice("abcdefghijklmnop") for _ in range(16))) for i in range(2000)]
-    assert line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").count() == 0
+    assert line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").filter("size(removed) > 0").count() == 0
     pairs = [df.count() for label, df in seen if label == "line-pairs"]
     assert len(pairs) == 1 and pairs[0] <= 2000
 
