@@ -1,9 +1,10 @@
 """The corpus pipeline: toxicity, line dedup, near-dedup, decontamination, tokens.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes to the
-shared folder as Parquet and rereads as the next stage's documents. A null text passes the
-filters and has no tokens; rows whose key repeats are judged one by one, but for line
-dedup, which treats them as one document.
+shared folder as Parquet and rereads as the next stage's documents; what a stage wrote on its
+way goes once its output is there. A null text passes the filters and has no tokens. Rows are
+judged one by one, also those whose key repeats or is null; null keys come last. An empty
+table goes through.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom import scratch
 from recordloom.llm import bpe, common, decontamination, line_dedup, near_dedup, queries, toxicity
 
 
@@ -38,11 +40,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id."""
+    """One row of each group of near copies stays, the one with the smallest id (then number)."""
     common.ship(spark)
-    found = near_dedup.near_duplicates(docs.select("doc_id", "text"), "doc_id", "text")
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*_names(docs))
+    at = common.fresh(docs, "_row")
+    rows = common.cut(docs.withColumn(at, F.monotonically_increasing_id()), "near-rows")
+    found = near_dedup.near_duplicates(rows.select(at, "text"), at, "text").select(F.col(at).alias("row"), "component_id")
+    placed = found.join(rows.select(F.col(at).alias("row"), "doc_id"), "row")
+    first = placed.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")).alias("first"))
+    return rows.join(first.select(F.col("first.row").alias(at)), at, "left_semi").select(*_names(docs))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,6 +84,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = scratch.mark()
     for name, stage in STAGES:
         docs = common.cut(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        scratch.release_since(spark, before, docs)
     return docs

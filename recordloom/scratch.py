@@ -53,6 +53,19 @@ def release(spark: SparkSession) -> None:
         _delete(spark, _scratch.pop())
 
 
+def mark() -> int:
+    """A mark for ``release_since``."""
+    return len(_scratch)
+
+
+def release_since(spark: SparkSession, at: int, keep: DataFrame) -> None:
+    """Delete the scratch tables written since ``mark`` gave ``at``, but for ``keep``."""
+    for path in _scratch[at:]:
+        if path != vars(keep).get("_scratch"):
+            _scratch.remove(path)
+            _delete(spark, path)
+
+
 def _delete(spark: SparkSession, at: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
