@@ -20,7 +20,11 @@ def _fold(letters_only: bool) -> np.ndarray:
 def codes(text: str, letters_only: bool = False) -> np.ndarray:
     """The code points of the lower-cased text between spaces; what is outside of words is a space."""
     raw = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return np.where(raw < 0x10000, _fold(letters_only)[np.minimum(raw, 0xFFFF)], raw)
+    out = np.where(raw < 0x10000, _fold(letters_only)[np.minimum(raw, 0xFFFF)], raw)
+    if letters_only and (high := raw >= 0x10000).any():
+        signs, at = np.unique(raw[high], return_inverse=True)
+        out[high] = np.array([c if chr(c).isalpha() else 32 for c in signs.tolist()], dtype=np.uint32)[at]
+    return out
 
 
 def hashes(c: np.ndarray, n: int, bits: int) -> np.ndarray:

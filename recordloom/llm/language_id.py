@@ -7,7 +7,9 @@ ridge regression per language (one against the rest) is solved in closed form. S
 two matrix products per batch of texts: presence by landmarks, then by regression weights.
 
 The model is fitted on a bounded sample: ``per_language`` rows of each language on
-average, ``landmarks`` of them landmarks. Whole texts are used throughout.
+average, ``landmarks`` of them landmarks; with very many languages fewer of each, so that the
+driver's matrices stay below MOST_LANDMARKS landmarks and MOST_NUMBERS numbers, but at least one
+of every language. All languages are learnt. Whole texts are used throughout.
 
 Cases: a null text or one without a letter is ``und`` with score 0, as is every text when
 there is nothing to learn from; null languages aren't learnt; repeated rows count as they
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import grams
@@ -32,6 +34,10 @@ _BITS = {1: 12, 2: 18, 3: 20}
 _OFFSET = {1: 0, 2: 1 << 12, 3: (1 << 12) + (1 << 18)}
 _SPACE = (1 << 12) + (1 << 18) + (1 << 20)
 _BATCH = 64
+#: Landmarks, and numbers in the sample's kernel rows, that the driver holds.
+MOST_LANDMARKS, MOST_NUMBERS = 4096, 1 << 27
+#: Rows that are sampled of a language, on average, whatever their number.
+FEWEST = 16
 
 
 def _presence(text: str, last: np.ndarray) -> np.ndarray:
@@ -77,30 +83,33 @@ class Model:
     weights: np.ndarray  # landmarks x languages
 
 
-def fit(df: DataFrame, key: str, text: str, lang: str, per_language: int = 800, landmarks: int = 40, ridge: float = 0.1, most_languages: int = 256, seed: int = 8) -> Model | None:
+def fit(df: DataFrame, key: str, text: str, lang: str, per_language: int = 800, landmarks: int = 40, ridge: float = 0.1, seed: int = 8) -> Model | None:
     """The model of the rows with a language and a letter; None if there are none.
 
-    ``landmarks`` is the number per language, all texts where a language has fewer. The
-    ``most_languages`` most frequent ones are learnt. What reaches the driver are the landmarks'
-    n-gram ids and a kernel row for each sampled text."""
+    ``landmarks`` is the number per language, all texts where a language has fewer. What reaches
+    the driver are the landmarks' n-gram ids and a kernel row for each sampled text."""
     labelled = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter(F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}"))
-    counts = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(most_languages).collect()}
+    counts = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     languages = sorted(counts)
+    landmarks = max(1, min(landmarks, MOST_LANDMARKS // len(languages)))
+    per_language = max(landmarks, FEWEST, min(per_language, MOST_NUMBERS // (landmarks * len(languages)) // len(languages)))
     draw = (F.pmod(F.xxhash64(F.lit(seed), F.col("k").cast("string"), F.col("t")), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    share = F.coalesce(*[F.when(F.col("l") == x, F.lit(min(1.0, per_language / n))) for x, n in counts.items()])
+    of = lambda shares: F.get(F.array(*map(F.lit, shares)), F.array_position(F.array(*map(F.lit, languages)), F.col("l")).cast("int") - 1)
+    share = of([min(1.0, per_language / counts[x]) for x in languages])
     sample = cut(labelled.withColumn("draw", draw).filter(F.col("draw") < share).select("t", "l", (F.col("draw") / share).alias("draw")), "language-sample")
 
     def presence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = np.zeros(_SPACE, dtype=np.int32)
         for b in batches:
-            yield pd.DataFrame({"l": b["l"], "ids": [_presence(t, last) for t in b["t"]]})
+            yield pd.DataFrame({"l": b["l"], "ids": [_presence(t, last).astype(np.int32).tobytes() for t in b["t"]]})
 
-    part = F.coalesce(*[F.when(F.col("l") == x, F.lit(min(1.0, landmarks / min(n, per_language)))) for x, n in counts.items()])
-    chosen = sample.filter(F.col("draw") < part).mapInPandas(presence, "l string, ids array<int>").collect()
-    chosen = sorted(chosen or sample.orderBy("draw", "t").limit(landmarks).mapInPandas(presence, "l string, ids array<int>").collect())
-    kernel = Kernel.of([np.array(r["ids"], dtype=np.int64) for r in chosen])
+    # A language's sampled rows are few: they can be numbered together.
+    number = F.row_number().over(Window.partitionBy("l").orderBy("draw", "t"))
+    first = sample.withColumn("number", number).filter(F.col("number") <= landmarks).select("t", "l")
+    chosen = sorted(first.mapInPandas(presence, "l string, ids binary").collect())
+    kernel = Kernel.of([np.frombuffer(r["ids"], dtype=np.int32) for r in chosen])
     shared = df.sparkSession.sparkContext.broadcast(kernel)
 
     def kernel_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,10 +117,10 @@ def fit(df: DataFrame, key: str, text: str, lang: str, per_language: int = 800,
         for b in batches:
             for k in range(0, len(b), _BATCH):
                 part = b.iloc[k : k + _BATCH]
-                yield pd.DataFrame({"l": part["l"], "x": list(shared.value.rows(part["t"].tolist(), last))})
+                yield pd.DataFrame({"l": part["l"], "x": [x.astype(np.float32).tobytes() for x in shared.value.rows(part["t"].tolist(), last)]})
 
-    rows = sorted(sample.mapInPandas(kernel_rows, "l string, x array<float>").collect())
-    x = np.array([r["x"] for r in rows], dtype=np.float64)
+    rows = sorted(sample.mapInPandas(kernel_rows, "l string, x binary").collect())
+    x = np.stack([np.frombuffer(r["x"], dtype=np.float32) for r in rows]).astype(np.float64)
     own = kernel.presence.T @ kernel.presence / np.outer(kernel.norm, kernel.norm)
     values, vectors = np.linalg.eigh(own.astype(np.float64))
     kept = values > 1e-6 * values.max()

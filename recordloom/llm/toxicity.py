@@ -137,11 +137,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, pos
         last, slots = np.zeros(1 << BITS, dtype=np.int32), shared.value.slots()
         for b in batches:
             found = [slots[_features(t, last)] for t in b["t"]]
-            yield pd.DataFrame({"in_p": b["in_p"], "in_u": b["in_u"], "x": [np.sort(x[x >= 0]).astype(np.int32) for x in found]})
+            yield pd.DataFrame({"in_p": b["in_p"], "in_u": b["in_u"], "x": [np.sort(x[x >= 0]).astype(np.int32).tobytes() for x in found]})
 
-    table = sorted(sample.mapInPandas(numbers, "in_p boolean, in_u boolean, x array<int>").collect())
-    pairs = [(r["x"], True) for r in table if r["in_p"]] + [(r["x"], False) for r in table if r["in_u"]]
-    weights, bias = train([np.array(x, dtype=np.int64) for x, _ in pairs], np.array([y for _, y in pairs]), len(ids), prior, start)
+    # At most ``kept`` numbers of 4 bytes for each of the sampled texts.
+    table = sorted((bytes(r["x"]), r["in_p"], r["in_u"]) for r in sample.mapInPandas(numbers, "in_p boolean, in_u boolean, x binary").collect())
+    pairs = [(x, True) for x, in_p, _ in table if in_p] + [(x, False) for x, _, in_u in table if in_u]
+    weights, bias = train([np.frombuffer(x, dtype=np.int32) for x, _ in pairs], np.array([y for _, y in pairs]), len(ids), prior, start)
     return Model(ids, weights, bias)
 
 

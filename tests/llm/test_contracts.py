@@ -1,6 +1,7 @@
 """The queries' contracts on the smallest tables: columns, rows and what holds for each of them."""
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -32,13 +33,15 @@ def test_op1_finds_whole_items(spark, docs):
     assert {(d["doc_id"], i) for d in docs for i, t in items.items() if t.strip() and t.strip().lower() in (d["text"] or "").lower() and f" {t.strip()} " in f" {d['text']} "} <= found
 
 
-def test_op1_recall_of_the_radius():
-    """Fingerprints of bags at similarity 0.75 are within the radius, but for a few in ten thousand."""
-    rng, missed = np.random.default_rng(1), 0
+@pytest.mark.parametrize("n", [1, 6, 7, 14, 28, 35, 63, 126, 196])
+def test_op1_recall_of_the_radius(n):
+    """Fingerprints of bags of n shingles at similarity 0.75 are within the radius, but for a few in
+    ten thousand. Bags of one size are that similar when they share 6 of 7; below 7 they are equal."""
+    rng, missed, shared = np.random.default_rng(n), 0, -(-6 * n // 7)
     for _ in range(4000):
-        a = rng.integers(1 << 63, size=28, dtype=np.uint64)
-        b = np.concatenate([a[4:], rng.integers(1 << 63, size=4, dtype=np.uint64)])  # 24 of 32
-        x, y = (decontamination.fingerprints(shingles.mix(s), np.zeros(1, dtype=np.int64), 28)[0] for s in (a, b))
+        a = rng.integers(1 << 63, size=n, dtype=np.uint64)
+        b = np.concatenate([a[n - shared :], rng.integers(1 << 63, size=n - shared, dtype=np.uint64)])
+        x, y = (decontamination.fingerprints(shingles.mix(s), np.zeros(1, dtype=np.int64), n)[0] for s in (a, b))
         missed += int(np.bitwise_count(x ^ y)) > decontamination.RADIUS
     assert missed <= 4
 
@@ -145,3 +148,51 @@ def test_op10_equals_brute_force(spark):
             assert sum(rows[j][0] in {n for n, _ in found[i].values()} for j in best) >= 0.9 * len(best)
             assert all(abs(found[i][n + 1][1] - s[j]) < 1e-9 for n, j in enumerate(best))
     assert got.filter(F.col("rank") > 20).count() == 0
+
+
+def test_op8_kernel_equals_brute_force():
+    """Presence of 1- to 3-grams, as sets of strings; emoji and digits are spaces."""
+    texts = ["Ça va, les amis? 42", "les amies \U0001f600 de Ça", "der Hund", "\U00010400\U00010401 x"]
+    plain = lambda t: " ".join("".join(c if c.isalpha() else " " for c in f" {t.lower()} ").split(" "))
+
+    def sets(t):
+        t = re.sub(" +", " ", plain(t))
+        return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+    last = np.zeros(language_id._SPACE, dtype=np.int32)
+    kernel = language_id.Kernel.of([language_id._presence(t, last) for t in texts[:3]])
+    got = kernel.rows(texts, last)
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts[:3]):
+            assert abs(got[i, j] - len(sets(a) & sets(b)) / np.sqrt(len(sets(a)) * len(sets(b)))) < 1e-5
+
+
+def test_op8_learns_every_language(spark, monkeypatch):
+    """More languages than landmarks allow for: fewer of each, none left out."""
+    monkeypatch.setattr(language_id, "MOST_LANDMARKS", 6)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, " ".join(alphabet[2 * (i % 12)] + alphabet[2 * (i % 12) + 1] * (1 + j % 3) for j in range(30)), f"l{i % 12}") for i in range(480)]
+    df = spark.createDataFrame(rows + rows[:5] + [(900, None, "l1"), (901, "xx", None)], "k long, t string, l string")
+    model = language_id.fit(df, "k", "t", "l")
+    assert model.languages == sorted({f"l{i}" for i in range(12)})
+    got = language_id.predict(df, "k", "t", model).collect()
+    truth = {r[0]: r[2] for r in rows}
+    assert sum(r["lang_pred"] == truth[r["k"]] for r in got if r["k"] in truth) >= 0.9 * 485 and next(r for r in got if r["k"] == 900)["lang_pred"] == "und"
+
+
+def test_op3_risk_falls_and_is_not_negative():
+    """The trained weights against the risk written out: pi * R_p+ + max(0, R_u- - pi * R_p-)."""
+    rng, prior = np.random.default_rng(5), 0.2
+    rows = [np.unique(rng.integers(20, size=6)) if k >= 40 else np.unique(np.append(rng.integers(20, size=5), 20 + k % 2)) for k in range(200)]
+    positive = np.arange(200) < 30
+
+    def risk(w, b):
+        s = np.array([1 / (1 + np.exp(-(w[r].sum() + b))) for r in rows])
+        plus, minus = (1 - s), s  # sigmoid losses of calling a text toxic or clean
+        return prior * plus[positive].mean() + max(0.0, minus[~positive].mean() - prior * minus[positive].mean())
+
+    w, b = toxicity.train(rows, positive, 22, prior)
+    first = risk(np.zeros(22), np.log(prior / (1 - prior)))
+    assert 0 <= risk(w, b) < 0.5 * first and w[20] > 0 and w[21] > 0
+    step = risk(w, b)
+    assert all(risk(w + d, b) > step - 0.02 for d in 0.1 * rng.normal(size=(20, 22)))

@@ -90,7 +90,8 @@ def test_run_equals_brute_force(spark, tmp_path):
     model = queries.toxicity_model(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
     scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs, "text", model).collect()}
     left = {d: t for d, t in texts.items() if not (t or "").strip(" ") or scores[d] < queries.TOXIC_AT}
-    gone = brute_force(sorted(left.items()), line_dedup.EDITS, line_dedup.MIN_CHARS)
+    ordered = sorted(left.items())
+    gone = {d: p for (d, _), p in zip(ordered, brute_force(ordered, line_dedup.EDITS, line_dedup.MIN_CHARS), strict=True) if p}
     cleaned = {}
     for d, t in left.items():
         if d in gone:
@@ -106,3 +107,18 @@ def test_run_equals_brute_force(spark, tmp_path):
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     assert all(got[d]["token_ids"] == library.encode_ordinary(t or "") and got[d]["decodes_back"] for d, t in kept.items())
+
+
+def test_near_dedup_judges_rows_with_repeated_and_null_keys(spark):
+    x, y = "one two three four five six seven eight nine ten", "red green blue white black brown grey pink gold lime"
+    rows = [(2, x, 1), (5, x, 2), (5, y, 3), (7, y + " more", 4), (5, x, 5), (None, x, 6), (None, "only here is this one text", 7), (9, None, 8), (9, "", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row int").coalesce(1)
+    got = sorted(r["_row"] for r in corpus_pipeline.keep_one_of_near_copies(spark, df, "").collect())
+    assert got == [1, 3, 7, 8, 9]
+
+
+def test_stages_take_an_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.common.cut(stage(spark, docs, SF), "test")
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
