@@ -220,11 +220,13 @@ def _lines(rows: DataFrame, least: int) -> DataFrame:
 
 def _texts(lines: DataFrame, distinct: DataFrame, ids: DataFrame) -> DataFrame:
     """h1, h2, at (of the first occurrence), line and n of the lines ``ids`` (h1, h2)."""
-    wanted = cut(distinct.select("h1", "h2", "at").join(ids.distinct(), ["h1", "h2"]).select("at"), "line-ids")
+    wanted = cut(distinct.select("h1", "h2", "key").join(ids.distinct(), ["h1", "h2"]), "line-ids")
     # Most lines aren't candidates: a set of at most BUCKETS numbers keeps their texts from the shuffle.
-    bucket = F.pmod("at.row", F.lit(BUCKETS)).cast("int").alias("bucket")
+    bucket = F.pmod("h1", F.lit(BUCKETS)).cast("int").alias("bucket")
     some = lines.select("at", "h1", "h2", "line", "n", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "bucket", "left_semi")
-    out = cut(some.join(wanted, "at", "left_semi").select("h1", "h2", "at", "line", "n"), "line-texts")
+    found = some.join(wanted, (some["h1"] == wanted["h1"]) & (some["h2"] == wanted["h2"]) & some["at.key"].eqNullSafe(wanted["key"]), "left_semi")
+    first = found.groupBy("h1", "h2").agg(F.min(F.struct("at", "line", "n")).alias("x"))
+    out = cut(first.select("h1", "h2", "x.*"), "line-texts")
     forget(wanted)
     return out
 
@@ -348,12 +350,12 @@ def _removed(rows: DataFrame, edits: int | Sequence[tuple[int, int]], least: int
     lines = _lines(rows, least if equal_from is None else min(least, equal_from))
     index, probes = _keys(F.col("line"), F.col("n"), bands)
     names = [f"i{k}" for k in range(len(index))], [f"p{k}" for k in range(len(probes))]
-    keyed = lines.select("at", "h1", "h2", *[c.alias(n) for c, n in zip(index + probes, names[0] + names[1], strict=True)])
-    distinct = keyed.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count("*").alias("n"), *[F.max(n).alias(n) for n in names[0] + names[1]])
+    keyed = lines.select("at.key", "h1", "h2", *[c.alias(n) for c, n in zip(index + probes, names[0] + names[1], strict=True)])
+    distinct = keyed.groupBy("h1", "h2").agg(F.min("key").alias("key"), F.count("*").alias("n"), *[F.max(n).alias(n) for n in names[0] + names[1]])
     distinct = cut(distinct, "lines")
     pairs = _candidates(distinct, lines, *names, bands)
     texts = _texts(lines, distinct, pairs.select(F.explode(F.array(F.struct(F.col("h1a").alias("h1"), F.col("h2a").alias("h2")), F.struct(F.col("h1b").alias("h1"), F.col("h2b").alias("h2")))).alias("x")).select("x.*"))
-    of = lambda t: texts.select(F.col("h1").alias(f"h1{t}"), F.col("h2").alias(f"h2{t}"), F.struct("line", "n", "at").alias(t))
+    of = lambda t: texts.select(F.col("h1").alias(f"h1{t}"), F.col("h2").alias(f"h2{t}"), F.struct("line", "n", F.struct("at.*", "h1", "h2").alias("at")).alias(t))
     both = pairs.join(of("a"), ["h1a", "h2a"]).join(of("b"), ["h1b", "h2b"])
     both = both.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h1a", "h2b")  # costly rows: not to be coalesced by size
     shorter = F.col("a.n") <= F.col("b.n")
@@ -362,13 +364,20 @@ def _removed(rows: DataFrame, edits: int | Sequence[tuple[int, int]], least: int
     sized = cut(sized.select("group", "one", "two", F.col("s.line").alias("x"), F.col("l.line").alias("y"), _threshold(F.col("s.n"), bands).alias("edits"), (F.col("l.n") - F.col("s.n")).alias("gap")), "line-candidates")
     forget(texts)
     near = within(sized.filter("gap <= edits"), "x", "y", sorted({e for _, _, e in bands}), "edits")
-    rivals = decided(near.select("group", F.explode(F.array("one", "two")).alias("at")), "group", "at").filter("not kept").select("at")
+    rivals = decided(near.select("group", F.explode(F.array("one", "two")).alias("at")), "group", "at").filter("not kept").select("at.h1", "at.h2")
 
-    counted = distinct.select("h1", "h2", "at", "n").join(rivals.withColumn("near", F.lit(True)), "at", "left")
-    marked = counted.filter("n > 1 or near").select("h1", "h2", F.col("at").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
+    counted = distinct.select("h1", "h2", F.col("key").alias("least"), "n").join(rivals.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
+    marked = counted.filter("n > 1 or near").select("h1", "h2", "least", F.coalesce("near", F.lit(False)).alias("near"))
     # A line that most rows have is one key of this join; as an inner join, adaptive execution splits it.
-    seen = lines.select("row", "at", "h1", "h2").join(marked, ["h1", "h2"]).filter(F.col("near") | (F.col("at") != F.col("first")))
-    return seen.groupBy("row").agg(F.sort_array(F.collect_list("at.pos")).alias("removed"))
+    seen = lines.select("row", "at", "h1", "h2").join(marked, ["h1", "h2"])
+    seen = cut(seen.select("row", "at.pos", "h1", "h2", "near", F.col("at.key").eqNullSafe(F.col("least")).alias("early")), "line-seen")
+    forget(distinct, pairs)
+    # Of the occurrences with the smallest key, only the first one stays.
+    early = seen.filter("early and not near").select("h1", "h2", F.struct("row", "pos").alias("at"))
+    first = early.groupBy("h1", "h2").agg(F.min("at").alias("first"))
+    later = early.join(first, ["h1", "h2"]).filter(F.col("at") != F.col("first")).select("at.row", "at.pos")
+    gone = seen.filter("near or not early").select("row", "pos").unionByName(later)
+    return gone.groupBy("row").agg(F.sort_array(F.collect_list("pos")).alias("removed"))
 
 
 def _numbered(df: DataFrame) -> tuple[DataFrame, str]:
