@@ -10,8 +10,11 @@ class around it. All of them are the host's template.
 
 A page is cut into slots at its template tokens. Text that is a template token belongs to the
 template; the text of the page is what is in the slots outside of boilerplate elements
-(``nav``, ``footer``, forms and the like, and containers whose class or id as a whole names
-such a thing: reader comments differ from page to page, so their occurrence doesn't show them).
+(``nav``, ``footer``, forms and the like, and containers whose class or id names such a thing:
+reader comments differ from page to page, so their occurrence doesn't show them). Where a name
+may be that of other things too (``share``, ``widget``, ``discussion``), what is inside decides:
+mostly links, a part of several blocks that is repeated, as comments are, or a few labels go;
+prose and tables stay.
 ``article`` and ``main`` are a hint: where they hold a fair share of the page's text, only slots
 in them count, and text there goes as the template's only where nearly all pages of the host
 have it and more of the text is the page's own (else the host has copies of one article). On
@@ -24,7 +27,7 @@ so a host with a third of all pages costs one row per task and token. Templates
 where their measured size allows it, else joined with pages dealt out in parts of bounded size.
 
 Cases: null and empty html gives '' and 0; unclosed and stray tags are closed as browsers
-do in the simple cases, in time and memory linear in the page; repeated pages count once each;
+do in the simple cases, in time and memory linear in the page, tags with unclosed quotes included; repeated pages count once each;
 null hosts are one host; other columns are ignored.
 """
 
@@ -54,7 +57,8 @@ MAIN_SHARE, HINT_SHARE = 0.5, 0.2
 #: Template tokens that are broadcast at most; pages of one host that go to one task otherwise.
 BROADCAST_TOKENS, PAGES_AT_ONCE = 1_000_000, 2_000
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/><]*")
+_STOP = re.compile("[>\"'<]")
 _CLASS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe"}
 _ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in _RAW}
@@ -62,11 +66,21 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _BLOCK = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "header", "footer", "nav", "aside", "form", "fieldset", "head", "title"}
 #: Elements that never hold main text.
 _AROUND = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "fieldset", "title"}
-_NAMES = re.compile(r"ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|disqus|footer|masthead|menu|modal|nav|navbar|navbox|navigation|newsletter|notices?|popup|promo\w*|related|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget", re.I)
+_NAMES = re.compile(r"ads?|advert\w*|breadcrumbs?|comments?|cookies?|disqus|footer|masthead|modal|nav|navbar|navbox|navigation|newsletters?|notices?|popup|promo\w*|sidebar|sponsor\w*|subscribe|toolbar", re.I)
+#: Names of such things or of others; what is in them decides.
+_MAYBE = re.compile(r"banner|discussion|menu|popular|recommend\w*|related|respond|share|sharing|social|trending|widget", re.I)
 #: What may stand beside such a name in a class or id, as in site-nav: anything else (related-work) is another word.
-_BESIDE = re.compile(r"site|page|main|global|top|bottom|left|right|primary|secondary|list|box|area|bar|block|links?|buttons?|icons?|items?|form|inner|outer|wrap|wrapper|container|section|posts?|articles?|media|consent|\d+", re.I)
+_BESIDE = re.compile(r"site|page|main|global|top|bottom|left|right|primary|secondary|list|box|area|bar|block|links?|buttons?|icons?|items?|form|inner|outer|wrap|wrapper|container|section|posts?|articles?|media|consent|slots?|units?|threads?|board|signup|readers?|users?|\d+", re.I)
+#: In a class, these name such a thing whatever stands beside them, unless it is a state of something else.
+_TELLING = re.compile(r"advert\w*|breadcrumbs?|comments?|cookies?|disqus|newsletters?|notices?|sidebar|sponsor\w*|subscribe", re.I)
+_STATES = re.compile(r"no|not|has|have|with|without|is|hide|show|open", re.I)
+_HEADER = re.compile(r"(?:site|page|global|top)[_-]header", re.I)
 #: The elements whose class and id are looked at: not headings, paragraphs and text within lines.
 _NAMED = {"div", "section", "header", "ul", "ol", "dl", "table", "details"}
+#: A container of a doubtful name is such a thing if this share of its text is in links, if it repeats a part
+#: of several blocks, or if it holds less text than this and no prose.
+_LINKED, _LABELS = 0.4, 100
+_PROSE = {"p", "blockquote", "pre", "td", "th", "dd", "h1", "h2", "h3", "h4", "h5", "h6"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "menubar"}
 _MAIN = {"article", "main"}
 #: What a start tag closes first, up to an element that keeps it in.
@@ -89,6 +103,8 @@ class Page:
     depths: list[int] = field(default_factory=list)
     mains: list[bool] = field(default_factory=list)
     blocks: list[tuple[int, bool, str]] = field(default_factory=list)
+    links: list[int] = field(default_factory=list)  # code points of each block that are in links, about
+    doubtful: list[int] = field(default_factory=list)  # elements whose name may be that of an advert and the like
 
     def mark(self, block: tuple[int, bool, str]) -> int:
         """The token of a block of text."""
@@ -100,10 +116,18 @@ def _hash(text: str, seed: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _is_around(token: str) -> bool:
-    """Whether a class or id as a whole names navigation, adverts and the like."""
-    parts = [p for p in re.split(r"[_-]+", token) if p]
-    return any(map(_NAMES.fullmatch, parts)) and all(_NAMES.fullmatch(p) or _BESIDE.fullmatch(p) for p in parts)
+def _named(classes: str, ids: str) -> tuple[bool, bool]:
+    """Whether a class or id names navigation, adverts and the like, and whether one may do so."""
+    sure = maybe = False
+    for k, tokens in enumerate((classes, ids)):
+        for token in tokens.split():
+            parts = [p for p in re.split(r"[_-]+", token) if p]
+            names, doubtful = [bool(_NAMES.fullmatch(p)) for p in parts], [bool(_MAYBE.fullmatch(p)) for p in parts]
+            whole = all(n or d or _BESIDE.fullmatch(p) for n, d, p in zip(names, doubtful, parts, strict=True))
+            told = k == 0 and any(map(_TELLING.fullmatch, parts)) and not any(map(_STATES.fullmatch, parts))
+            sure = sure or (whole and any(names)) or told or bool(_HEADER.fullmatch(token))
+            maybe = maybe or (whole and any(doubtful))
+    return sure, maybe
 
 
 class _Open:
@@ -133,44 +157,88 @@ class _Open:
         return ends
 
 
+class _Scanner:
+    """The tags of a page in one pass. A tag ends at the first ``>`` outside of quoted values; one
+    whose quote is never closed ends at the first ``>`` in any case, or before the next ``<``."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.unclosed: set[str] = set()  # quotes that don't occur any more
+
+    def tag(self, at: int) -> tuple[int, str, str, bool] | None:
+        """What stands at a ``<``: where it ends, name, attributes and whether it is an end tag; the
+        name is empty for comments and the like; None if it is text."""
+        text = self.text
+        if text.startswith("<!--", at):
+            end = text.find("-->", at + 4)
+            return (end + 3 if end >= 0 else len(text)), "", "", False
+        if text.startswith(("<!", "<?"), at):
+            end = text.find(">", at)
+            return (end + 1 if end >= 0 else len(text)), "", "", False
+        closing = text.startswith("</", at)
+        name = _NAME.match(text, at + 1 + closing)
+        if not name:
+            return None
+        start = place = name.end()
+        while True:
+            stop = _STOP.search(text, place)
+            if not stop:
+                return len(text), name.group().lower(), text[start:], closing
+            sign, place = stop.group(), stop.end()
+            if sign in "><":
+                return (place if sign == ">" else place - 1), name.group().lower(), text[start : place - 1], closing
+            if text[start : place - 1][-32:].rstrip().endswith("=") and sign not in self.unclosed:
+                end = text.find(sign, place)
+                if end < 0:
+                    self.unclosed.add(sign)
+                else:
+                    place = end + 1
+
+
 def parse(source: str | None) -> Page:
     """The elements and blocks of one page."""
     page, text, open_ = Page(), source or "", _Open()
+    scanner = _Scanner(text)
     held: list[str] = []
-    owner = (-1, False)
+    owner, linked = (-1, False), 0
 
     def flush() -> None:
         joined = " ".join("".join(held).split())
         held.clear()
         if joined:
             page.blocks.append((*owner, joined))
+            page.links.append(min(linked, len(joined)))
 
     def add(raw: str) -> None:
-        nonlocal owner
+        nonlocal owner, linked
         if raw:
             _, _, around, block = open_.stack[-1] if open_.stack else ("", -1, False, -1)
             if held and owner[1] != around:
                 flush()
             if not held:
-                owner = (block, around)
+                owner, linked = (block, around), 0
             held.append(entities.unescape(raw))
+            linked += len(raw) if open_.places.get("a") else 0
 
     def close(upto: int) -> None:
         if open_.cut(upto):
             flush()
 
-    at = 0
+    at = begin = 0  # begin: of the text not yet added
     while at < len(text):
-        m = _TAG.search(text, at)
-        if not m:
-            add(text[at:])
+        at = text.find("<", at)
+        if at < 0:
             break
-        add(text[at : m.start()])
-        at = m.end()
-        if not m.group(2):
+        found = scanner.tag(at)
+        if not found:
+            at += 1
             continue
-        name = m.group(2).lower()
-        if m.group(1):  # an end tag closes up to its start; a stray one is skipped
+        add(text[begin:at])
+        at, name, attributes, closing = found
+        begin = at
+        if not name:
+            continue
+        if closing:  # an end tag closes up to its start; a stray one is skipped
             places = open_.places.get(name)
             if places:
                 close(places[-1])
@@ -179,7 +247,7 @@ def parse(source: str | None) -> Page:
             continue
         if name in _RAW:
             end = _ENDS[name].search(text, at)
-            at = end.end() if end else len(text)
+            at = begin = end.end() if end else len(text)
             continue
         if name == "br":
             add(" ")
@@ -194,26 +262,61 @@ def parse(source: str | None) -> Page:
             k = open_.last(what)
             if k > open_.last(keeps):
                 close(k)
-        marks = {a.lower(): (b or c or d) for a, b, c, d in _CLASS.findall(m.group(3))}
+        marks = {a.lower(): (b or c or d) for a, b, c, d in _CLASS.findall(attributes)}
         _, above, outside, block = open_.stack[-1] if open_.stack else ("", -1, False, -1)
         role = marks.get("role", "")
         label = name + "".join(f".{x}" for x in sorted(marks.get("class", "").split())) + (f"@{role}" if role else "")
         around = outside or name in _AROUND or (name == "header" and not open_.mains) or role in _ROLES
-        around = around or (name in _NAMED and any(map(_is_around, f"{marks.get('class', '')} {marks.get('id', '')}".split())))
+        sure, maybe = _named(marks.get("class", ""), marks.get("id", "") if name != "p" else "") if name in _NAMED or name == "p" else (False, False)
+        around = around or sure
         element = len(page.names)
+        if maybe and not around and name != "p":
+            page.doubtful.append(element)
         page.names.append(name)
         page.tokens.append(_hash(label, page.tokens[above] if above >= 0 else 0))
         page.parents.append(above)
         page.depths.append(page.depths[above] + 1 if above >= 0 else 0)
         page.mains.append(name in _MAIN or role == "main")
-        if name not in _VOID and not m.group(3).endswith("/"):
+        if name not in _VOID and not attributes.endswith("/"):
             if around and not outside:
                 flush()
             open_.push(name, element, around, element if name in _BLOCK or (around and not outside) else block)
+    add(text[begin:])
     flush()
+    if page.doubtful:
+        _settle(page)
     return page
 
 
+def _settle(page: Page) -> None:
+    """Decides by their contents which elements of doubtful names hold main text."""
+    n = len(page.names)
+    total, linked, blocks, prose, repeats = [0] * n, [0] * n, [0] * n, [False] * n, [False] * n
+    for (element, _, text), links in zip(page.blocks, page.links, strict=True):
+        if element >= 0:
+            total[element] += len(text)
+            linked[element] += links
+            blocks[element] += 1
+            prose[element] = prose[element] or page.names[element] in _PROSE
+    alike: dict[tuple[int, int], int] = {}  # of each element, its children of one token that hold several blocks
+    for e in range(n - 1, -1, -1):  # parents come first
+        above = page.parents[e]
+        if above >= 0:
+            total[above], linked[above], blocks[above] = total[above] + total[e], linked[above] + linked[e], blocks[above] + blocks[e]
+            prose[above] = prose[above] or prose[e]
+            if blocks[e] > 1 and page.names[e] != "tr":
+                k = (above, page.tokens[e])
+                alike[k] = alike.get(k, 0) + 1
+                repeats[above] = repeats[above] or alike[k] > 1
+            repeats[above] = repeats[above] or repeats[e]
+    gone = [False] * n
+    for e in page.doubtful:
+        gone[e] = linked[e] >= _LINKED * total[e] or repeats[e] or (total[e] < _LABELS and not prose[e])
+    for e in range(n):
+        gone[e] = gone[e] or (page.parents[e] >= 0 and gone[page.parents[e]])
+    page.blocks = [(e, around or (e >= 0 and gone[e]), text) for e, around, text in page.blocks]
+
+
 @dataclass
 class Template:
     """The nested classes of a host: the class of each token, and which class each lies in (-1:

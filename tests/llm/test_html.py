@@ -116,3 +116,66 @@ def test_query(spark):
     assert df.filter("text is null or n_chars <> length(text)").count() == 0
     assert df.count() == spark.read.parquet(f"{sf}/pages.parquet").count()
     assert df.limit(0).select(F.sum("n_chars")).first()[0] is None
+
+
+def text_of(inner):
+    return H.main_text(H.parse(f"<html><body><article><h1>Title</h1><p>The text of the article, long enough to be its main part.</p>{inner}</article></body></html>"))
+
+
+BASE = "Title\n\nThe text of the article, long enough to be its main part."
+
+
+def test_names_of_what_goes():
+    for name in "reader-comments user-comments comment-thread ad-slot ad-unit sponsored-content newsletter-signup notice-board page-header comments sidebar advert cookie-banner".split():
+        assert text_of(f"<div class='{name}'><p>Something else, in whole sentences.</p></div>") == BASE, name
+    assert text_of("<p class='notice'>Subscribers only.</p>") == BASE
+    assert text_of("<div class=trending><ul><li><a href=x>One story</a></li><li><a href=y>Two stories</a></li></ul></div>") == BASE
+    said = "".join(f"<div class=post><span>{n}</span><p>I say that {n} is right.</p></div>" for n in ("Ann", "Ben", "Cem"))
+    assert text_of(f"<div class=discussion>{said}</div>") == BASE
+    assert text_of("<div class=share><span>Send</span> <span>Print</span></div>") == BASE
+
+
+def test_names_of_what_stays():
+    for inner, want in [
+        ("<section id='share'><p>Shares rose</p></section>", "Shares rose"),
+        ("<table class='widget'><tr><td>a</td><td>1</td></tr><tr><td>b</td><td>2</td></tr></table>", "a\n\n1\n\nb\n\n2"),
+        ("<div class='no-sidebar'><p>In one column.</p></div>", "In one column."),
+        ("<section id='comments-on-the-proposal'><p>Much was said.</p></section>", "Much was said."),
+        ("<section class='discussion'><p>We discuss what we found.</p><p>It is much.</p></section>", "We discuss what we found.\n\nIt is much."),
+        ("<div class='related-work'><p>Others did this too.</p></div>", "Others did this too."),
+    ]:
+        assert text_of(inner) == f"{BASE}\n\n{want}", inner
+
+
+def test_broken_tags():
+    read = lambda x: H.main_text(H.parse(f"<body><div><p>{x}</p></div></body>"))
+    assert read('un <i title="q>closed</i> end') == "un closed end"
+    assert read("a < b and <i title='x > y'>c</i> > d") == "a < b and c > d"
+    assert read("five <b data-x=\"<p>no</p>\">six</b> sev<en") == "five six sev"
+    for source in ('<a "' * 8000, '<a title="' * 8000, "<a title='x" * 8001, "<" * 30000, "<!-" * 10000, "<a b= " + " " * 32000, "</" * 16000):
+        start = time.perf_counter()
+        H.parse(source)
+        assert time.perf_counter() - start < 0.5, source[:20]
+    start = time.perf_counter()
+    H.parse('<a "' * 250_000)
+    assert time.perf_counter() - start < 10
+
+
+def test_text_equals_an_independent_reading(spark):
+    """200 built pages: what is put into the article, in order, and nothing else."""
+    rng, pages, want = random.Random(8), [], []
+    for i in range(200):
+        own = [prose(rng, rng.randrange(3, 25)) for _ in range(rng.randrange(1, 6))]
+        inner = ""
+        for x in own:
+            tag = rng.choice(["p", "p", "li", "h2", "blockquote"])
+            inner += f"<ul><li>{x}</li></ul>" if tag == "li" else f"<{tag}>{x}</{tag}>"
+            if rng.random() < 0.3:
+                inner += rng.choice(["<div class=ad-slot>Buy now</div>", "<aside>See also</aside>", "<script>x='<p>'</script>", "<form>Name <input></form>", "<!-- <p>no</p> -->"])
+        said = "".join(f"<li><b>{prose(rng, 1)}</b><p>{prose(rng, 6)}</p></li>" for _ in range(rng.randrange(4)))
+        shell = ("<nav><a href=/>Home</a></nav>", f"<div class='reader-comments'><ul>{said}</ul></div><footer>End</footer>")
+        title = prose(rng, 3)
+        pages.append((f"h{i % 7}", f"<html><body>{shell[0]}<article><h1>{title}</h1>{inner}</article>{shell[1]}</body></html>"))
+        want.append("\n\n".join([title, *own]))
+    got = extracted(spark, pages)
+    assert [got[i] for i in range(200)] == want
