@@ -13,8 +13,12 @@ HIGH, MEDIUM = 0.6, 0.35
 
 def coverage(terms: Column, words: Column, text: Column) -> Column:
     """Share of the terms found: Latin terms as words, others as substrings."""
-    hits = F.filter(terms, lambda t: F.when(t.rlike("^[a-z0-9]+$"), F.array_contains(words, t)).otherwise(F.contains(text, t)))
-    return F.when(F.size(terms) > 0, F.size(hits) / F.size(terms)).otherwise(F.lit(0.0))
+    def share(s: Column) -> Column:
+        hits = F.filter(s["terms"], lambda t: F.when(t.rlike("^[a-z0-9]+$"), F.array_contains(s["words"], t)).otherwise(F.contains(s["text"], t)))
+        return F.when(F.size(s["terms"]) > 0, F.size(hits) / F.size(s["terms"])).otherwise(F.lit(0.0))
+
+    # Bound first: inside of the filter, the words would be worked out again for each term.
+    return F.transform(F.array(F.struct(terms.alias("terms"), words.alias("words"), text.alias("text"))), share)[0]
 
 
 def citation_signal(cites: Column) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.scratch import cut, forget
+
 
 def first_match(rows: DataFrame, row_id: str, candidates: str, ranks: DataFrame, key: str) -> DataFrame:
     """row_id, match (the candidate that hit), and the ranks' other columns: for each row the
@@ -131,19 +134,60 @@ def greedy_table(rows: list[tuple[str, str, list[str]]]) -> dict[str, int]:
 
 def journal_groups(rows: DataFrame, row_id: str, issns: str) -> DataFrame:
     """row_id and journal: rows that share ISSNs, transitively, get the smallest row id among them.
-    Labels move until nothing changes; each round's state replaces the one before. Where no row has
-    ISSNs of two journals, this is ``greedy_table``'s grouping."""
-    each = rows.select(F.col(row_id).alias("id"), F.explode(issns).alias("issn")).persist()
-    state = rows.select(F.col(row_id).alias("id"), F.col(row_id).alias("journal"))
-    held = None
+    Labels move until nothing changes, and to their labels' labels; each round's state is written.
+    Where no row has ISSNs of two journals, this is ``greedy_table``'s grouping."""
+    each = cut(rows.select(F.col(row_id).alias("id"), F.explode(issns).alias("issn")).distinct(), "issns")
+    state = cut(rows.select(F.col(row_id).alias("id"), F.col(row_id).alias("journal")), "journals")
     while True:
         low = each.join(state, "id").groupBy("issn").agg(F.min("journal").alias("low"))
         near = each.join(low, "issn").groupBy("id").agg(F.min("low").alias("low"))
-        step = state.join(near, "id", "left").select("id", F.col("journal").alias("old"), F.least("journal", F.coalesce("low", "journal")).alias("journal")).persist()
+        step = state.join(near, "id", "left").select("id", F.col("journal").alias("old"), F.least("journal", F.coalesce("low", "journal")).alias("journal"))
+        upper = state.select(F.col("id").alias("journal"), F.col("journal").alias("top"))
+        step = cut(step.join(upper, "journal").select("id", "old", F.least("journal", "top").alias("journal")), "journals")
         done = step.filter("old <> journal").isEmpty()
-        if held is not None:
-            held.unpersist()
-        held, state = step, step.select("id", "journal")
+        forget(state)
+        state = step
         if done:
-            each.unpersist()
-            return state.withColumnRenamed("id", row_id)
+            forget(each)
+            return state.select(F.col("id").alias(row_id), "journal")
+
+
+def journals(rows: DataFrame, order: str, issns: str) -> DataFrame:
+    """order and journal of each row, as ``greedy_table`` groups them: in their order, a row joins the
+    journal of the first of its ISSNs that is known, and takes all its ISSNs there. ``journal`` is the
+    order of the row that opened it. ``order`` must be unique.
+
+    Rows that share ISSNs, transitively, are one component. Where only one row of a component has no
+    ISSN of an earlier row, there is nothing to decide: the component is its journal. Only components
+    with several such rows, which later ones bridge, are gone through in order, each in one task."""
+    each = rows.select(F.col(order).alias("at"), F.posexplode(issns).alias("place", "issn"))
+    first = each.groupBy("issn").agg(F.min("at").alias("first"))
+    opens = each.join(first, "issn").groupBy("at").agg(F.bool_and(F.col("first") == F.col("at")).alias("opens"))
+    parts = journal_groups(rows.select(order, issns), order, issns).withColumnRenamed(order, "at")
+    placed = cut(parts.join(opens, "at", "left").withColumn("opens", F.coalesce("opens", F.lit(True))), "journal-parts")
+    bridged = placed.groupBy("journal").agg(F.count_if("opens").alias("n")).filter("n > 1").select("journal")
+    plain = placed.join(bridged, "journal", "left_anti").select("at", "journal")
+    kind = rows.schema[order].dataType.simpleString()
+
+    def in_order(group: pd.DataFrame) -> pd.DataFrame:
+        """The rows of one component, a row for each ISSN."""
+        at, known, out = None, {}, []
+        for row in group.sort_values(["at", "place"]).groupby("at", sort=True):
+            own = row[1]["issn"].tolist()
+            at = next((known[x] for x in own if x in known), row[0])
+            known |= dict.fromkeys(own, at)
+            out.append((row[0], at))
+        return pd.DataFrame(out, columns=["at", "journal"])
+
+    decided = each.join(placed.join(bridged, "journal", "left_semi").select("at", "journal"), "at").groupBy("journal").applyInPandas(in_order, f"at {kind}, journal {kind}")
+    return plain.unionByName(decided).withColumnRenamed("at", order)
+
+
+def rank_table(rows: DataFrame, order: str, platform: str, issns: str, slot: str) -> DataFrame:
+    """issn, journal and slots: the unified table of several rank lists. An ISSN is its last row's
+    journal; a journal's slot for a platform is that of its first row that has one."""
+    of = rows.join(journals(rows, order, issns), order)
+    owner = of.select(order, "journal", F.explode(issns).alias("issn")).groupBy("issn").agg(F.max_by("journal", order).alias("journal"))
+    filled = of.filter(F.col(slot).isNotNull()).groupBy("journal", platform).agg(F.min_by(slot, order).alias("slot"))
+    slots = filled.groupBy("journal").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(platform, "slot")))).alias("slots"))  # one a platform
+    return owner.join(slots, "journal", "left").select("issn", "journal", "slots")

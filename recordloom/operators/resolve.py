@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions import normalize as N
+from recordloom.operators.greedy import decided
+from recordloom.scratch import cut
 
 #: Identifier columns in the order in which they become keys.
 ID_ORDER = ("doi", "arxiv", "pmid", "openalex", "ss", "native")
@@ -43,6 +45,22 @@ def first_where(value: Column, where: Column, order: Column) -> Column:
     return F.min_by(F.when(where, value), F.when(where, order))
 
 
+def ordered_union(records: DataFrame, key: str, order: list[str], column: str) -> DataFrame:
+    """key and the distinct elements of an array column, in the order in which they first come. A key's
+    elements are made distinct before they meet, so that a key with most rows makes no long list."""
+    each = records.select(key, *order, F.posexplode(column).alias("_at", "_v"))
+    first = each.groupBy(key, "_v").agg(F.min(F.struct(*order, "_at")).alias("_first"))
+    return first.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_first", "_v"))), lambda x: x["_v"]).alias(column))
+
+
+def _with_unions(merged: DataFrame, records: DataFrame, key: str, order: list[str], unions: list[str]) -> DataFrame:
+    for c in unions:
+        lists = ordered_union(records, key, order, c).withColumnRenamed(key, "_key")
+        merged = merged.join(lists, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+        merged = merged.withColumn(c, F.coalesce(c, F.array().cast(records.schema[c].dataType)))
+    return merged
+
+
 def merge(records: DataFrame, key: str, order: list[str], first_non_empty: list[str], unions: list[str] = (), maxima: list[str] = ()) -> DataFrame:
     """One row per key. Columns go by rule: first non-empty value, ordered distinct union of
     arrays, or maximum with 0 as null. ``order`` must be a total order."""
@@ -52,22 +70,22 @@ def merge(records: DataFrame, key: str, order: list[str], first_non_empty: list[
     for c in first_non_empty:
         filled = F.col(c).isNotNull() & ((F.col(c) != "") if kinds[c] == "string" else (F.size(c) > 0) if kinds[c].startswith("array") else F.lit(True))
         out.append(first_where(F.col(c), filled, at).alias(c))
-    for c in unions:
-        lists = F.sort_array(F.collect_list(F.struct(*order, F.col(c).alias("_v"))))
-        out.append(F.array_distinct(F.flatten(F.transform(lists, lambda s: F.coalesce(s["_v"], F.array())))).alias(c))
     for c in maxima:
         out.append(F.nullif(F.max(c), F.lit(0)).alias(c))
-    return records.groupBy(key).agg(*out)
+    return _with_unions(records.groupBy(key).agg(*out), records, key, order, list(unions))
 
 
 def preferred_text(value: Column, filled: Column, zh: Column, openalex: Column, order: Column) -> Column:
-    """Title rule: the first Chinese-source record's value if filled; else the first openalex
-    record's, if filled and ahead of every Chinese one; else the first filled."""
+    """Title rule, as if the records were merged one after the other, where each may be merged already
+    and have several sources. The first Chinese-source record overrides what is there, if filled; so
+    does the first openalex one, if filled, unless a Chinese one came before it and it isn't Chinese
+    itself. The later of the two stands, else the first filled value."""
     first_zh = F.min(F.when(zh, order))
     of_zh = F.min_by(F.when(zh, F.struct(value.alias("v"), filled.alias("f"))), F.when(zh, order))
-    of_oa = F.min_by(F.when(openalex, F.struct(value.alias("v"), filled.alias("f"), order.alias("o"))), F.when(openalex, order))
-    ahead = F.coalesce(of_oa["o"] < first_zh, F.lit(True))
-    return F.coalesce(F.when(of_zh["f"], of_zh["v"]), F.when(of_oa["f"] & ahead, of_oa["v"]), first_where(value, filled, order))
+    of_oa = F.min_by(F.when(openalex, F.struct(value.alias("v"), filled.alias("f"), order.alias("o"), zh.alias("zh"))), F.when(openalex, order))
+    free = of_oa["f"] & (of_oa["zh"] | F.coalesce(of_oa["o"] < first_zh, F.lit(True)))
+    later = F.coalesce(of_oa["o"] > first_zh, F.lit(False)) | ~F.coalesce(of_zh["f"], F.lit(False))
+    return F.coalesce(F.when(free & later, of_oa["v"]), F.when(of_zh["f"], of_zh["v"]), first_where(value, filled, order))
 
 
 def citation_count(cites: Column, openalex: Column, order: Column) -> Column:
@@ -121,7 +139,7 @@ def numbered(df: DataFrame, order: str, into: str) -> DataFrame:
     each range starts after the counts of those before it."""
     ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
     in_part = F.col("_row") - F.shiftleft(F.col("_part").cast("long"), 33)
-    kept = ranged.withColumn("_row", in_part).persist()  # the ranges are sampled: both uses must see the same ones
+    kept = cut(ranged.withColumn("_row", in_part), "numbered")  # the ranges are sampled: both uses must see the same ones
     counts = kept.groupBy("_part").agg(F.count("*").alias("n"))
     before = counts.withColumn("_before", F.sum("n").over(Window.orderBy("_part")) - F.col("n")).select("_part", "_before")  # a row for each task
     return kept.join(F.broadcast(before), "_part").withColumn(into, F.col("_row") + F.col("_before") + 1).drop("_part", "_row", "_before")
@@ -147,12 +165,16 @@ CHINESE = ("nssd", "yiigle")
 
 
 def merge_records(records: DataFrame, key: str, order: list[str], now: int = 2026) -> DataFrame:
-    """One record per key by the field rules. ``records`` has sources (one each) and any of the
-    canonical fields; ``order`` is a total order within a key.
-
-    Identifiers, type, counts and links: first that isn't empty. Title and authors: the first Chinese
-    record's, else the first openalex record's if ahead of every Chinese one, else the first filled.
-    Abstract and venue: the first Chinese record's, else the first filled. Year: the first, later ones
+    """One record per key by the field rules. ``records`` has sources and any of the canonical fields;
+    ``order`` is a total order within a key. The result is that of merging a key's records one after
+    the other into the first, also where they were merged before and have several sources: the rules
+    that depend on what was there so far come down to which record is the first Chinese one, the
+    first openalex one or the first filled one, so no task has to go through a key's records.
+
+    Identifiers, type, counts and links: first that isn't empty. Title and authors: see
+    ``preferred_text``.
+    Abstract and venue: the first Chinese record's, else the first filled. DOI and arXiv id: those of
+    later records in their normal form. Year: the first, later ones
     only up to ``now``. Citations: the last positive openalex count, else the first other than 0.
     sources and issns: ordered unions. Scores: of the first scored record, with reason and flag.
     What isn't named is the first record's."""
@@ -175,7 +197,8 @@ def merge_records(records: DataFrame, key: str, order: list[str], now: int = 202
         if c == key or c in order:
             continue
         if c in ("title", "authors"):
-            rules[c] = preferred_text(F.col(c), filled(c), zh, oa, at)
+            there = filled(c) if c == "authors" else F.col(c).isNotNull() & ((F.col("_is_first") & (F.col(c) != "")) | (F.trim(c) != ""))
+            rules[c] = preferred_text(F.col(c), there, zh, oa, at)
         elif c in ("abstract", "venue"):
             rules[c] = chinese_first(c)
         elif c == "year":
@@ -185,15 +208,20 @@ def merge_records(records: DataFrame, key: str, order: list[str], now: int = 202
         elif c == "referenced_works_count":
             rules[c] = F.nullif(F.max(c), F.lit(0))
         elif c in ("sources", "issns"):
-            lists = F.sort_array(F.collect_list(F.struct(*order, F.col(c).alias("_v"))))  # a key's records: a handful
-            rules[c] = F.array_distinct(F.flatten(F.transform(lists, lambda x: F.coalesce(x["_v"], F.array()))))
+            continue
+        elif c in ("doi", "arxiv_id"):
+            later = N.blank_to_null((N.doi if c == "doi" else N.arxiv_id)(F.col(c)))
+            value = F.when(F.col("_is_first"), N.blank_to_null(F.col(c))).otherwise(later)
+            rules[c] = first_where(value, value.isNotNull(), at)
         elif c in ("rcs", "rcs_reasoning", "rcs_flag"):
             rules[c] = F.min_by(c, F.when(F.col("rcs").isNotNull(), at))
         elif c in ("discovery_path", "journal_metric", "journal_rank"):
             rules[c] = F.min_by(c, at)
         else:
             rules[c] = first_where(F.col(c), filled(c), at)
-    return rows.groupBy(key).agg(*[r.alias(c) for c, r in rules.items()])
+    merged = rows.groupBy(key).agg(*[r.alias(c) for c, r in rules.items()])
+    merged = _with_unions(merged, records, key, order, [c for c in ("sources", "issns") if c in records.columns])
+    return merged.select(key, *[c for c in records.columns if c != key and c not in order])
 
 
 def federate(lists: list[DataFrame], now: int = 2026) -> DataFrame:
@@ -256,10 +284,13 @@ def distinct_by_first_key(rows: DataFrame, keys: list[Column], order: list[str],
 
 
 def distinct_by_any_key(rows: DataFrame, a: str, b: str, order: list[str]) -> DataFrame:
-    """The rows that are the first of their ``a`` and of their ``b``."""
-    for c in (a, b):
-        rows = rows.withColumn(f"_{c}", F.row_number().over(Window.partitionBy(c).orderBy(*order)))
-    return rows.filter((F.col(f"_{a}") == 1) & (F.col(f"_{b}") == 1)).drop(f"_{a}", f"_{b}")
+    """The rows that are left when, in their order, each is dropped that has the ``a`` or the ``b`` of a
+    row kept before it (a null equals a null). ``order`` must be unique."""
+    at = F.struct(*order)
+    value = lambda c: F.struct(F.lit(c).alias("of"), F.col(c).isNull().alias("none"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("is"))
+    members = rows.select(at.alias("item"), F.explode(F.array(value(a), value(b))).alias("group"))
+    kept = decided(members, "group", "item").filter("kept").select("item")
+    return rows.withColumn("_item", at).join(kept, F.col("_item") == F.col("item"), "left_semi").drop("_item")
 
 
 def display_order(records: DataFrame, by: str, tie: str) -> DataFrame:

@@ -323,9 +323,94 @@ def q_source_dedup(spark, sf):
     return resolve.distinct_by_first_key(rows, [F.col("arxiv_id"), F.col("doi"), F.col("title")], ["doc_id"], F.col("year") >= 2000).select("doc_id")
 
 
-@query(f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY venue ORDER BY doc_id) AS a, row_number() OVER (PARTITION BY year ORDER BY doc_id) AS b FROM {_W}) WHERE a = 1 AND b = 1")
+_TWO_KEYS = f"(SELECT doc_id, (doc_id * 7919) % 503 AS a, (doc_id * 104729) % 401 AS b, row_number() OVER (ORDER BY doc_id) AS n FROM {_W})"
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT * FROM {_TWO_KEYS}),
+w AS (SELECT doc_id, n, [a] AS seen_a, [b] AS seen_b, true AS kept FROM r WHERE n = 1 UNION ALL
+  SELECT r.doc_id, r.n, CASE WHEN list_contains(seen_a, a) OR list_contains(seen_b, b) THEN seen_a ELSE list_append(seen_a, a) END,
+    CASE WHEN list_contains(seen_a, a) OR list_contains(seen_b, b) THEN seen_b ELSE list_append(seen_b, b) END, NOT (list_contains(seen_a, a) OR list_contains(seen_b, b))
+  FROM w JOIN r ON r.n = w.n + 1)
+SELECT doc_id FROM w WHERE kept""")
 def q_two_key_dedup(spark, sf):
-    return resolve.distinct_by_any_key(corpus(spark, sf), "venue", "year", ["doc_id"]).select("doc_id")
+    """Records taken in order, each dropped that has the native id or the title of one kept before;
+    both are numbers made of the id here, so that chains arise."""
+    i = F.col("doc_id")
+    rows = corpus(spark, sf).select("doc_id", (i * 7919 % 503).alias("a"), (i * 104729 % 401).alias("b"))
+    return resolve.distinct_by_any_key(rows, "a", "b", ["doc_id"]).select("doc_id")
+
+
+_REFED = """(SELECT doc_id % 60 AS key, row_number() OVER (PARTITION BY doc_id % 60 ORDER BY doc_id) AS n, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 't' || doc_id END AS title,
+  CASE WHEN doc_id % 4 <> 0 THEN 'a' || doc_id ELSE '' END AS abstract, CASE doc_id % 6 WHEN 0 THEN 0 WHEN 1 THEN 2030 ELSE 2000 + doc_id % 20 END AS year, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE n_chars END AS cites,
+  list_filter([CASE WHEN (doc_id // 60) % 3 = 1 THEN 'openalex' END, CASE WHEN (doc_id // 7) % 5 = 0 THEN 'nssd' END, CASE WHEN (doc_id // 3) % 2 = 0 THEN 'crossref' ELSE 'arxiv' END], lambda x: x IS NOT NULL) AS sources FROM documents)"""
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT *, list_contains(sources, 'nssd') AS zh, list_contains(sources, 'openalex') AS oa FROM {_REFED}),
+f AS (SELECT key, n, title, abstract, year, cites, sources, zh, oa FROM r WHERE n = 1 UNION ALL
+  SELECT r.key, r.n,
+    CASE WHEN r.title = '' THEN f.title WHEN f.title = '' THEN r.title WHEN r.zh AND NOT f.zh THEN r.title WHEN f.zh AND NOT r.zh THEN f.title WHEN r.oa AND NOT f.oa THEN r.title ELSE f.title END,
+    CASE WHEN r.abstract <> '' AND (f.abstract = '' OR (r.zh AND NOT f.zh)) THEN r.abstract ELSE f.abstract END,
+    CASE WHEN f.year = 0 AND r.year BETWEEN 1 AND 2026 THEN r.year ELSE f.year END,
+    CASE WHEN r.oa AND r.cites > 0 THEN r.cites WHEN f.cites = 0 THEN r.cites ELSE f.cites END,
+    list_concat(f.sources, list_filter(r.sources, lambda s: NOT list_contains(f.sources, s))), f.zh OR r.zh, f.oa OR r.oa
+  FROM f JOIN r ON r.key = f.key AND r.n = f.n + 1)
+SELECT key, arg_max(title, n) AS title, arg_max(abstract, n) AS abstract, arg_max(year, n)::INT AS year, arg_max(cites, n)::BIGINT AS citation_count, array_to_string(arg_max(sources, n), '|') AS sources FROM f GROUP BY key""")
+def q_merge_refed(spark, sf):
+    """Records that were merged before, with one to three sources, merged again."""
+    i = F.col("doc_id")
+    named = F.array(F.when(F.floor(i / 60) % 3 == 1, "openalex"), F.when(F.floor(i / 7) % 5 == 0, "nssd"), F.when(F.floor(i / 3) % 2 == 0, "crossref").otherwise("arxiv"))
+    rows = _table(spark, sf, "documents").select(
+        (i % 60).alias("key"), i.alias("pos"), F.when(i % 3 == 0, "").otherwise(F.concat(F.lit("t"), i)).alias("title"), F.when(i % 4 != 0, F.concat(F.lit("a"), i)).otherwise("").alias("abstract"),
+        F.when(i % 6 == 0, 0).when(i % 6 == 1, 2030).otherwise(2000 + i % 20).cast("int").alias("year"), F.when(i % 7 == 0, 0).otherwise(F.col("n_chars")).cast("bigint").alias("citation_count"), F.array_compact(named).alias("sources"),
+    )
+    out = resolve.merge_records(rows, "key", ["pos"])
+    return out.select("key", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("abstract", F.lit("")).alias("abstract"), F.coalesce("year", F.lit(0)).cast("int").alias("year"), "citation_count", F.array_join("sources", "|").alias("sources"))
+
+
+_RANK_ROWS = """(SELECT c_custkey AS n, row_number() OVER (ORDER BY c_custkey) AS step, CASE WHEN c_custkey % 3 = 0 THEN [(c_custkey * 7919) % 4999] ELSE [(c_custkey * 7919) % 4999, (c_custkey * 104729 + 17) % 4999] END AS issns,
+  ['cas', 'jcr', 'sjr'][c_custkey % 3 + 1] AS platform, CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 4 END AS slot FROM customer)"""
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT * FROM {_RANK_ROWS}),
+w AS (SELECT step, n, n AS journal, list_transform(range(4999), lambda x: CASE WHEN list_contains(r.issns, x) THEN n END) AS owner FROM r WHERE step = 1 UNION ALL
+  SELECT step, n, journal, list_transform(owner, lambda o, i: CASE WHEN list_contains(issns, i - 1) THEN journal ELSE o END) FROM (
+    SELECT r.step, r.n, r.issns, w.owner, coalesce(w.owner[r.issns[1] + 1], CASE WHEN len(r.issns) > 1 THEN w.owner[r.issns[2] + 1] END, r.n) AS journal FROM w JOIN r ON r.step = w.step + 1)),
+f AS (SELECT unnest(owner) AS journal, unnest(range(4999)) AS issn FROM (SELECT arg_max(owner, step) AS owner FROM w)),
+s AS (SELECT w.journal, platform, arg_min(slot, r.n) AS slot FROM w JOIN r USING (n) WHERE slot IS NOT NULL GROUP BY ALL)
+SELECT issn::VARCHAR AS issn, f.journal, max(slot) FILTER (WHERE platform = 'cas')::INT AS cas, max(slot) FILTER (WHERE platform = 'jcr')::INT AS jcr, max(slot) FILTER (WHERE platform = 'sjr')::INT AS sjr
+FROM f LEFT JOIN s ON s.journal = f.journal WHERE f.journal IS NOT NULL GROUP BY ALL""")
+def q_rank_table(spark, sf):
+    """Rows of three rank lists with one or two ISSNs each, merged greedily by shared ISSNs."""
+    k = F.col("c_custkey")
+    one, two = (k * 7919 % 4999).cast("string"), ((k * 104729 + 17) % 4999).cast("string")
+    rows = _table(spark, sf, "customer").select(
+        k.alias("n"), F.when(k % 3 == 0, F.array(one)).otherwise(F.array(one, two)).alias("issns"),
+        F.when(k % 3 == 0, "cas").when(k % 3 == 1, "jcr").otherwise("sjr").alias("platform"), F.when(k % 4 > 0, (k % 4).cast("int")).alias("slot"),
+    )
+    out = rank.rank_table(rows, "n", "platform", "issns", "slot")
+    return out.select("issn", "journal", *[F.try_element_at("slots", F.lit(p)).alias(p) for p in ("cas", "jcr", "sjr")])
+
+
+_CITES = "(SELECT DISTINCT l_partkey AS src, (l_partkey * 31 + l_suppkey * 7) % (SELECT count(*) FROM part) + 1 AS dst FROM lineitem)"
+_HOP = lambda held, used: f"""SELECT node FROM {held} WHERE score >= (SELECT CASE WHEN count(*) FILTER (WHERE score >= 7) >= 3 THEN 7 ELSE 6 END FROM {held}) AND node NOT IN (SELECT node FROM {used}) ORDER BY score DESC, node LIMIT 10"""
+_NEAR = lambda seeds: f"""SELECT neighbour AS node, count(DISTINCT seed) AS seeds FROM (SELECT *, row_number() OVER (PARTITION BY seed, direction ORDER BY neighbour) AS r FROM (
+  SELECT src AS seed, dst AS neighbour, 'r' AS direction FROM cites WHERE src IN (SELECT node FROM {seeds}) UNION SELECT dst, src, 'c' FROM cites WHERE dst IN (SELECT node FROM {seeds})))
+  WHERE r <= CASE direction WHEN 'r' THEN 4 ELSE 6 END GROUP BY 1"""
+
+
+@query(f"""WITH cites AS MATERIALIZED (SELECT * FROM {_CITES}), scores AS (SELECT p_partkey AS node, (p_partkey * 7 % 11)::INT AS score FROM part),
+k0 AS (SELECT node, score FROM scores JOIN part ON p_partkey = node WHERE p_size = 7), none AS (SELECT 0 AS node WHERE false), s1 AS MATERIALIZED ({_HOP('k0', 'none')}),
+n1 AS (SELECT node, 1 AS hop, seeds, score FROM ({_NEAR('s1')}) LEFT JOIN scores USING (node) WHERE node NOT IN (SELECT node FROM k0)), k1 AS MATERIALIZED (SELECT * FROM k0 UNION ALL SELECT node, score FROM n1),
+s2 AS MATERIALIZED ({_HOP('k1', 's1')}), n2 AS (SELECT node, 2 AS hop, seeds, score FROM ({_NEAR('s2')}) LEFT JOIN scores USING (node) WHERE node NOT IN (SELECT node FROM k1))
+SELECT node, hop, seeds, score FROM n1 UNION ALL SELECT node, hop, seeds, score FROM n2""")
+def q_citation_chase(spark, sf):
+    """Two hops from the parts of one size, by score, with caps for references and citations."""
+    part = _table(spark, sf, "part")
+    n = part.count()
+    line = _table(spark, sf, "lineitem")
+    edges = line.select(F.col("l_partkey").alias("src"), ((F.col("l_partkey") * 31 + F.col("l_suppkey") * 7) % n + 1).alias("dst")).distinct()
+    scores = part.select(F.col("p_partkey").alias("node"), (F.col("p_partkey") * 7 % 11).cast("int").alias("score"))
+    return graph.chase(edges, scores, part.filter("p_size = 7").select(F.col("p_partkey").alias("node")), graph.TIER_HOPS["deep"], 10, 4, 6)
 
 
 @query("""WITH k AS (SELECT doc_id, unnest(['doi|10.5/' || (doc_id % 300), 'openalex|W' || doc_id]) AS x FROM documents), c AS (SELECT x, min(doc_id) AS d FROM k GROUP BY 1 HAVING count(DISTINCT doc_id) = 1),
@@ -467,7 +552,7 @@ def q_small_normalisers(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", N.doi_for_lookup(doi).alias("lookup"), N.bare_issn(F.when(i % 3 == 0, "1234-5678").otherwise("12")).alias("bare"), N.one_line(F.substring("text", 1, 80)).alias("line"), N.narrow_query(q).alias("narrow"), N.filter_value(F.lit("a,b|c")).alias("value"))
 
 
-_STRINGS = [("diffusion language model", "all:diffusion AND all:language AND all:model"), ('"language model" of safety', 'all:"language model" AND all:safety'), ("ti:x AND y", "ti:x AND y"), ('stray "quote here', "all:stray AND all:quote AND all:here")]
+_STRINGS = [("graph colouring bounds", "all:graph AND all:colouring AND all:bounds"), ('"sea ice" of spring', 'all:"sea ice" AND all:spring'), ("ti:x AND y", "ti:x AND y"), ('stray "quote here', "all:stray AND all:quote AND all:here")]
 
 
 @query("SELECT q, required FROM (VALUES " + ", ".join(f"('{q}', '{w}')" for q, w in _STRINGS) + ") v(q, required)")
@@ -475,7 +560,7 @@ def q_required_terms(spark, sf):
     return spark.createDataFrame([(q, compose.require_terms(q)) for q, _ in _STRINGS], "q string, required string")
 
 
-_PLAIN = [("plain query", "plain query"), ('("short video" OR TikTok) AND (attention OR video)', "short video TikTok attention"), ('"OR gate" NOT x', "OR gate x")]
+_PLAIN = [("one word", "one word"), ('("sea ice" OR glacier) AND (melting OR ice)', "sea ice glacier melting"), ('"OR gate" NOT x', "OR gate x")]
 
 
 @query("SELECT q, words FROM (VALUES " + ", ".join(f"('{q}', '{w}')" for q, w in _PLAIN) + ") v(q, words)")

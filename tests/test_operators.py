@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from hypothesis import given
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from recordloom.functions import normalize as N
-from recordloom.operators import labels, rank, resolve, retrieve
+from recordloom.operators import graph, labels, rank, resolve, retrieve
 from recordloom.plans import intent, strategy
 from recordloom.sources import converters, ranks, reports, sinks
 
@@ -202,3 +203,87 @@ def test_reports(spark, tmp_path):
         got = reports.cached(spark, str(tmp_path), {"q": 1}, lambda: made.append(1) or spark.range(3))
     assert got.count() == 3 and made == [1]
     assert reports.markdown("T", {"papers": 1}, [{"title": "a|b", "year": 2020}]).endswith("| 2020 | a b |  |\n")
+
+
+def fold(records):
+    """A key's records merged one after the other into the first, by the rules for each field."""
+    out = None
+    for r in records:
+        r = {**r, "sources": list(r["sources"]), "issns": list(r["issns"])}
+        if out is None:
+            out = r
+            continue
+        was_zh, is_zh = (bool({"nssd", "yiigle"} & set(x["sources"])) for x in (out, r))
+        first_oa = "openalex" in r["sources"] and "openalex" not in out["sources"]
+        for c in ("title", "authors"):
+            if (r[c].strip() if c == "title" else r[c]) and (not out[c] or (is_zh and not was_zh) or (first_oa and not (was_zh and not is_zh))):
+                out[c] = r[c]
+        for c in ("abstract", "venue"):
+            if r[c] and (not out[c] or (is_zh and not was_zh)):
+                out[c] = r[c]
+        if not out["year"] and 0 < (r["year"] or 0) <= 2026:
+            out["year"] = r["year"]
+        if ("openalex" in r["sources"] and r["citation_count"] > 0) or not out["citation_count"]:
+            out["citation_count"] = r["citation_count"]
+        if not out["doi"] and r["doi"]:
+            out["doi"] = r["doi"].strip().lower().removeprefix("https://doi.org/")
+        for c in ("sources", "issns"):
+            out[c] += [x for x in dict.fromkeys(r[c]) if x not in out[c]]
+    return out
+
+
+def test_merge_equals_one_after_the_other(spark):
+    """10 000 random groups of records, merged before or not."""
+    rng, rows = random.Random(4), []
+    for key in range(10_000):
+        for pos in range(rng.randrange(1, 7)):
+            some = lambda c: rng.choice(["", "", f"{c}{pos}"])  # noqa: B023, E731
+            sources = rng.sample(["openalex", "nssd", "yiigle", "crossref", "arxiv"], rng.choice([1, 1, 2, 3]))
+            issns = [f"{rng.randrange(4)}" for _ in range(rng.randrange(3))] if pos else [f"{x}" for x in range(rng.randrange(3))]
+            doi = rng.choice([None, "", f" HTTPS://doi.org/10.1/X{pos}"])
+            rows.append((key, pos, rng.choice(["", " ", f"t{pos}"]), some("a"), some("v"), [some("n")] if rng.random() < 0.7 else [], rng.choice([None, 0, 2000 + pos, 2030]), rng.choice([0, 0, pos + 5]), doi, sources, issns))
+    names = ["key", "pos", "title", "abstract", "venue", "authors", "year", "citation_count", "doi", "sources", "issns"]
+    df = spark.createDataFrame(rows, "key int, pos int, title string, abstract string, venue string, authors array<string>, year int, citation_count long, doi string, sources array<string>, issns array<string>")
+    got = {r["key"]: r.asDict() for r in resolve.merge_records(df, "key", ["pos"]).collect()}
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[0], []).append(dict(zip(names, r, strict=True)))
+    for key, records in groups.items():
+        want = fold(records)
+        for c in names[2:]:
+            assert (got[key][c] or None) == (want[c] or None), (c, records)
+
+
+def test_two_keys_are_taken_in_order(spark):
+    df = spark.createDataFrame([(1, "a1", "b1"), (2, "a1", "b2"), (3, "a2", "b2")], "n int, a string, b string")
+    assert sorted(r["n"] for r in resolve.distinct_by_any_key(df, "a", "b", ["n"]).collect()) == [1, 3]
+    rng = random.Random(6)
+    rows = [(n, rng.choice([None, *map(str, range(40))]), rng.choice([None, *map(str, range(30))])) for n in range(300)]
+    seen_a, seen_b, want = set(), set(), []
+    for n, a, b in rows:
+        if a not in seen_a and b not in seen_b:
+            seen_a.add(a)
+            seen_b.add(b)
+            want.append(n)
+    assert sorted(r["n"] for r in resolve.distinct_by_any_key(spark.createDataFrame(rows, "n int, a string, b string"), "a", "b", ["n"]).collect()) == want
+
+
+def test_journals_equal_the_greedy_table(spark):
+    for seed in range(3):
+        rng = random.Random(seed)
+        rows = [(n, [f"i{rng.randrange(60)}" for _ in range(rng.randrange(4))]) for n in range(80)]
+        table = rank.greedy_table([("p", "t", issns) for _, issns in rows])
+        df = spark.createDataFrame([(n, issns, rng.choice(["cas", "jcr"]), rng.choice([None, n])) for n, issns in rows], "n int, issns array<string>, platform string, slot int")
+        got = {r["issn"]: r["journal"] for r in rank.rank_table(df, "n", "platform", "issns", "slot").collect()}
+        same = lambda t: {frozenset(k for k in t if t[k] == v) for v in t.values()}
+        assert same(got) == same(table)
+
+
+def test_chasing_has_a_falling_bar_and_a_budget(spark):
+    edges = spark.createDataFrame([(1, 2), (1, 3), (4, 1), (2, 5), (5, 6), (9, 8)], "src int, dst int")
+    scores = spark.createDataFrame([(1, 6), (2, 9), (3, 1), (4, 7), (5, 8), (8, 5)], "node int, score int")
+    known = spark.createDataFrame([(1,), (8,)], "node int")
+    got = lambda *a, **b: sorted((r["node"], r["hop"]) for r in graph.chase(edges, scores, known, *a, **b).collect())
+    assert got(0) == [] and got(1) == [(2, 1), (3, 1), (4, 1)]
+    assert got(2) == [(2, 1), (3, 1), (4, 1), (5, 2)]  # 8 is below the bar, 1 has been a seed
+    assert got(2, budget=2) == got(1) and got(1, references=1) == [(2, 1), (4, 1)] and got(1, cited_by=0) == [(2, 1), (3, 1)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from recordloom import registry_records as R
 from recordloom.operators import coverage, enrich, rank, report, resolve, search
 from recordloom.plans import compose
-from recordloom.sources import bundle, ranks
+from recordloom.sources import bundle, plans, ranks
 from recordloom.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -98,9 +98,9 @@ def test_bundle_exports_and_report(spark):
 
 def test_method_log_takes_plan_and_strategies(spark):
     rows = spark.createDataFrame([([], "cites X", 3)], "sources array<string>, discovery_path string, rcs int")
-    log = bundle.method_log(rows, plan={"strategies": [{"query": "q", "engine": "both"}], "year_min": 2020}, exported_strategies={"strategies": [{"platform": "pubmed", "prisma_s": {"item8_boolean_expression": None, "item10_filter": "f"}}]})
+    log = bundle.method_log(rows, plan={"strategies": [{"query": "q", "engine": "both"}], "year_min": 2020})
     assert log["1_database_information"]["databases"] == ["openalex", "semantic_scholar"] and log["9_limits_and_restrictions"]["filters_applied"] == ["publication_year 2020-"]
-    assert log["8_full_search_strategies"]["boolean_expressions"][1]["withheld"] and log["10_search_filters"]["validated_filters_used"] == ["f"]
+    assert [b["text"] for b in log["8_full_search_strategies"]["boolean_expressions"]] == ["q"]
     assert bundle.audit_status(log["6_contacts"]) == "skipped" and bundle.audit_status(log["2_multi_database_searching"]) == "performed" and bundle.audit_status(log["16_record_management"]) == "implicit"
     assert bundle.stop_reason(papers=5, most_papers=5) == "budget_max_papers (5)" and bundle.stop_reason() == "complete"
     assert bundle.wall_clock(None, "2024-01-01T00:00:00Z", dt.datetime(2024, 1, 1, 0, 1)) == 60
@@ -144,9 +144,24 @@ def test_input_files():
     assert compose.host_name("Web of Science") == "wos" and compose.merged_config({"a": 1, "b": 2}, {"a": None, "b": 3, "c": 4}) == {"a": 1, "b": 3}
 
 
-def test_vocabulary_and_floor():
-    got = compose.verify_terms([("Heart", "mesh"), ("x", "MeSH"), ("y", "emtree"), ("z", "eric")], {"MeSH": {"heart"}})
-    assert [g["status"] for g in got] == ["verified", "not_found", "pending_manual", "unverified"]
+def test_plans_as_tables(spark):
+    texts = [
+        ("a", '[{"text": "x", "source": "s", "filters": ["f"]}, {"query": "y"}]'),
+        ("b", '{"queries": [{"query": "q", "engine": "both", "filters": "g"}], "year_range": {"max": 2024}, "rank_filter": {"platform": "jcr", "quartiles": ["Q1", "Q2"], "top": true}, "work_type_filter": " review "}'),
+        ("c", '{"search_topic": "t", "year_min": 2020, "year_max": 2021}'),
+        ("d", '{"search_topic": "t"}'),
+        ("e", "not json"),
+        ("f", None),
+    ]
+    planned = plans.strategies(spark.createDataFrame(texts, "id string, json string"), "id", "json")
+    got = [(r["plan"], r["text"], r["source"], r["filters"]) for r in planned.orderBy("plan", "place").collect()]
+    assert got == [("a", "x", "s", ["f"]), ("a", "y", None, []), ("b", "q", "both", ["g", "publication_year -2024", "journal rank: JCR top Q1,Q2", "work type: review"]), ("c", "t", None, ["publication_year 2020-2021"])]
+    exported = spark.createDataFrame([("a", "pubmed", None, "x[tiab]", "none", None, "verified"), ("a", "wos", "WoS", None, None, "f", None)], "plan string, platform string, host string, expression string, limits string, filter string, status string")
+    listed = plans.expressions(planned, exported).filter("plan = 'a'").collect()
+    assert sorted((r["origin"], r["expression"] or "", r["withheld"]) for r in listed) == [("exported", "", True), ("exported", "x[tiab]", False), ("planned", "x", False), ("planned", "y", False)]
+
+
+def test_status_and_floor():
     assert compose.status_kind("unverified") == "unverified" and compose.status_kind("verified-ish") == "unknown"
     assert compose.floor_model("q", [["a", " "], []]) == {"blocks": [{"id": "B1", "terms": ["a"]}], "operator_logic": "B1"}
     assert compose.floor_hosts(None, {"query_lang": "zh"}, None) == ["pubmed", "wos", "cnki"]
