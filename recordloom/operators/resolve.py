@@ -48,8 +48,8 @@ def first_where(value: Column, where: Column, order: Column) -> Column:
 def ordered_union(records: DataFrame, key: str, order: list[str], column: str) -> DataFrame:
     """key and the distinct elements of an array column, in the order in which they first come. A key's
     elements are made distinct before they meet, so that a key with most rows makes no long list."""
-    each = records.select(key, *order, F.posexplode(column).alias("_at", "_v"))
-    first = each.groupBy(key, "_v").agg(F.min(F.struct(*order, "_at")).alias("_first"))
+    each = records.select(key, *order, F.posexplode(column).alias("_place", "_v"))
+    first = each.groupBy(key, "_v").agg(F.min(F.struct(*order, "_place")).alias("_first"))
     return first.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_first", "_v"))), lambda x: x["_v"]).alias(column))
 
 

@@ -7,6 +7,7 @@ issns, sources and the identifiers. Ties are broken by paper_id, so that results
 from __future__ import annotations
 
 import datetime as dt
+import unicodedata
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,6 +55,11 @@ def query_groups(query: str) -> list[list[str]]:
     return groups
 
 
+def words_of(term: str) -> list[str]:
+    """The words of a query's term, as ``matches`` has them: runs of letters and digits."""
+    return "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in term).split()
+
+
 def matches(query: str, *texts: Column) -> Column:
     """Whether each group of the query has a word, or a phrase in order, in the joined texts."""
     low = F.lower(F.concat_ws(" \n ", *texts))

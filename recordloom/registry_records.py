@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import normalize as N
 from recordloom.functions import scoring as S
-from recordloom.operators import coverage, enrich, graph, labels, rank, report, resolve, search, verify
+from recordloom.operators import index, coverage, enrich, graph, labels, rank, report, resolve, search, verify
 from recordloom.plans import compose, intent, strategy
 from recordloom.registry import _DOCS, _RCS, _TERMS, QUERY, _norm_sql, _rcs, _table, query, records
 from recordloom.sources import bundle, converters, ranks, reports
@@ -54,6 +54,19 @@ def q_match_terms(spark, sf):
     return corpus(spark, sf).filter(search.matches(TOPIC, F.col("title"), F.col("abstract"))).select("doc_id")
 
 
+@query(f"SELECT doc_id FROM {_W} WHERE {_MATCHES(TOPIC)}")
+def q_index_match(spark, sf):
+    """The same from a positional inverted index: words and a phrase."""
+    rows = corpus(spark, sf)
+    return index.matching(index.build(rows, "doc_id", ["title", "abstract"]), TOPIC).select(F.col("key").alias("doc_id"))
+
+
+@query(f"SELECT doc_id, citation_count FROM {_W} WHERE year BETWEEN 2000 AND 2020 AND {_MATCHES(LOOSE)} ORDER BY citation_count DESC, paper_id LIMIT 60")
+def q_index_crawl(spark, sf):
+    rows = corpus(spark, sf)
+    return index.crawl(rows, index.build(rows, "paper_id", ["title", "abstract"]), "paper_id", LOOSE, 60, "citation_count", 2000, 2020).select("doc_id", "citation_count")
+
+
 @query(f"SELECT doc_id, citation_count FROM {_W} WHERE year BETWEEN 2000 AND 2020 AND {_MATCHES(LOOSE)} ORDER BY citation_count DESC, paper_id LIMIT 60")
 def q_crawl_cited(spark, sf):
     return search.crawl(corpus(spark, sf), LOOSE, 60, "cited", 2000, 2020).select("doc_id", "citation_count")

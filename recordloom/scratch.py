@@ -22,14 +22,15 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+def cut(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder, in folders by the (last) columns ``by``, and read
+    it back.
 
     This ends the lineage as checkpoint() does, but computes the input once, and
     the columns stay prunable. The files survive lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/recordloom/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by or []).parquet(path)
     _scratch.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from recordloom.functions import normalize as N
-from recordloom.operators import graph, labels, rank, resolve, retrieve
+from recordloom.operators import graph, index, labels, rank, resolve, retrieve, search
 from recordloom.plans import intent, strategy
 from recordloom.sources import converters, ranks, reports, sinks
 
@@ -287,3 +287,16 @@ def test_chasing_has_a_falling_bar_and_a_budget(spark):
     assert got(0) == [] and got(1) == [(2, 1), (3, 1), (4, 1)]
     assert got(2) == [(2, 1), (3, 1), (4, 1), (5, 2)]  # 8 is below the bar, 1 has been a seed
     assert got(2, budget=2) == got(1) and got(1, references=1) == [(2, 1), (4, 1)] and got(1, cited_by=0) == [(2, 1), (3, 1)]
+
+
+def test_index_answers_like_a_scan(spark):
+    rng = random.Random(2)
+    words = "the of tide sea ice Été melting north-west 42".split()
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(4))), None if rng.random() < 0.1 else ", ".join(rng.choice(words) for _ in range(rng.randrange(9)))) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, title string, abstract string")
+    table = index.build(df, "id", ["title", "abstract"])
+    for query in ("tide", '"sea ice"', '("sea ice" OR été) AND melting', "north-west", '"the of the"', "nowhere", "ice OR 42", '"ice ice" sea'):
+        want = {r["id"] for r in df.filter(search.matches(query, F.col("title"), F.col("abstract"))).collect()}
+        assert {r["key"] for r in index.matching(table, query).collect()} == want, query
+    plan = index.matching(table, '"sea ice"')._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [part" in plan and "In(term, [ice,sea])" in plan

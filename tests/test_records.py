@@ -212,3 +212,35 @@ def test_new_records_stream(spark, tmp_path):
 def test_themes_fall_back_to_all(spark):
     rows = spark.createDataFrame([("p1", ["a"]), ("p2", ["b"])], "paper_id string, keywords array<string>")
     assert report.theme_list(rows, "paper_id") == [{"name": "All papers", "value": 2, "paper_ids": ["p1", "p2"]}]
+
+
+@pytest.mark.parametrize("cuts", [[], [5], [1, 2, 30], [10, 20, 40, 41]])
+def test_streamed_merge_equals_one_batch(spark, tmp_path, cuts):
+    """Any split of the lists, through a stream of files, gives what one merge gives."""
+    rows = [(f"k{i * 7 % 23}", i // 12, i, ["", f"t{i}"][i % 2], 2000 + i % 40, i * 5 % 9, ["openalex", "nssd", "arxiv", "crossref"][i * i % 4 : i * i % 4 + 1 + i % 2]) for i in range(60)]
+    kind = "key string, list_idx int, pos int, title string, year int, citation_count long, sources array<string>"
+    edges = [0, *cuts, 60]
+    for n, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        spark.createDataFrame(rows[a:b], kind).coalesce(1).write.parquet(f"{tmp_path}/in/b{n}")
+    merged = ingest.Merged(f"{tmp_path}/state", "key", ["list_idx", "pos"])
+    for n in range(len(edges) - 1):
+        merged.add(spark.read.parquet(f"{tmp_path}/in/b{n}"), n)
+        merged.add(spark.read.parquet(f"{tmp_path}/in/b{n}"), n)  # a repeated batch counts once
+    whole = spark.createDataFrame(rows, kind)
+    names = ["key", "title", "year", "citation_count", "sources"]
+    want = sorted(tuple(map(str, r)) for r in resolve.merge_records(whole, "key", ["list_idx", "pos"]).select(names).collect())
+    assert sorted(tuple(map(str, r)) for r in merged.records(spark, len(edges) - 2).select(names).collect()) == want
+    got = {r["list"]: r["new_keys"] for r in merged.marginal_yield(spark, len(edges) - 2).collect()}
+    assert got == {r["list"]: r["new_keys"] for r in resolve.marginal_yield(whole, "list_idx", "key").collect() if r["new_keys"]}
+
+
+def test_streamed_merge_through_a_stream(spark, tmp_path):
+    rows = [("a", 0, 0, "t", ["x"]), ("b", 0, 1, "", ["openalex"]), ("b", 1, 0, "u", ["nssd"])]
+    kind = "key string, list_idx int, pos int, title string, sources array<string>"
+    for n in range(3):
+        spark.createDataFrame(rows[n : n + 1], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    merged = ingest.Merged(f"{tmp_path}/state", "key", ["list_idx", "pos"])
+    ingest.start(stream, f"{tmp_path}/check", merged.add).awaitTermination()
+    got = {r["key"]: (r["title"], r["first_list"]) for r in merged.records(spark, 2).collect()}
+    assert got == {"a": ("t", 0), "b": ("u", 0)}
