@@ -26,10 +26,11 @@ def decided(members: DataFrame, group: str, item: str) -> DataFrame:
         marks = live.join(first, "g").groupBy("o").agg(F.bool_and(F.col("o") == F.col("m")).alias("kept"))
         kept = cut(marks.filter("kept").select("o"), "greedy-kept")
         over = cut(live.join(kept, "o", "left_semi").select("g").distinct(), "greedy-groups")
-        gone = cut(live.join(over, "g", "left_semi").select("o").distinct(), "greedy-decided")  # kept ones and their rivals
-        out.append(gone.join(kept.withColumn("kept", F.lit(True)), "o", "left").select("o", F.coalesce("kept", F.lit(False)).alias("kept")))
-        rest = cut(live.join(gone, "o", "left_anti"), "greedy")
-        forget(live, over)
+        gone = live.join(over, "g", "left_semi").select("o").distinct()  # kept ones and their rivals
+        gone = gone.join(kept.withColumn("kept", F.lit(True)), "o", "left").select("o", F.coalesce("kept", F.lit(False)).alias("kept"))
+        out.append(cut(gone, "greedy-decided"))
+        rest = cut(live.join(out[-1].select("o"), "o", "left_anti"), "greedy")
+        forget(live, over, kept)
         live = rest
     if not out:
         return members.limit(0).select(F.col(item), F.lit(True).alias("kept"))
