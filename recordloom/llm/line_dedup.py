@@ -291,21 +291,25 @@ def _apart_pairs(texts: DataFrame, bands: list[Band], pairs_at_most: int) -> lis
     most = max(e for _, _, e in bands)
     starts = F.array(row(False, n, _threshold(n, bands)), *[row(True, n - d, _threshold(n - d, bands)) for d in range(most + 1)])
     state = _taken_apart(texts.select("h1", "h2", "line", F.explode(F.filter(starts, lambda s: F.coalesce(s["fits"], F.lit(False)))).alias("s")).select("s.probe", "s.even", "h1", "h2", "line", "s.g", "s.pieces"))
-    out = []
+    out, state = [], cut(state, "line-pieces")
     while True:
-        state = cut(state, "line-pieces")
         able, whole = F.exists("pieces", lambda p: p["n"] > p["t"]), ~F.exists("pieces", lambda p: F.greatest(p["n"], p["m"]) > p["t"])
         sizes = state.groupBy("g").agg(F.count_if(~F.col("probe")).alias("a"), F.count_if("probe").alias("b"), F.max(able).alias("able"), F.min(whole).alias("whole"), F.min(F.struct("h1", "h2")).alias("first")).filter("a > 0 and b > 0")
         sizes = cut(sizes.select("g", "whole", "first", (F.col("able") & (F.col("a") * F.col("b") > pairs_at_most)).alias("open")), "line-groups")
         classes = state.join(sizes.filter("whole"), "g").filter(F.struct("h1", "h2") != F.col("first"))
-        out.append(classes.select(F.col("first.h1").alias("h1a"), F.col("first.h2").alias("h2a"), F.col("h1").alias("h1b"), F.col("h2").alias("h2b"), F.xxhash64(F.lit(len(out)), "g").alias("class")))
+        classes = classes.select(F.col("first.h1").alias("h1a"), F.col("first.h2").alias("h2a"), F.col("h1").alias("h1b"), F.col("h2").alias("h2b"), F.xxhash64(F.lit(len(out)), "g").alias("class"))
         few = state.join(sizes.filter("not open and not whole"), "g")
         left, right = few.filter("not probe").select("g", "h1", "h2").toDF("g", "h1a", "h2a"), few.filter("probe").select("g", "h1", "h2", "even").toDF("g", "h1b", "h2b", "even")
-        out.append(left.join(right, "g").filter("(h1a, h2a) < (h1b, h2b) or (not even and (h1a, h2a) <> (h1b, h2b))").select("h1a", "h2a", "h1b", "h2b", F.lit(None).cast("long").alias("class")))  # lines of one length meet both ways
+        pairs = left.join(right, "g").filter("(h1a, h2a) < (h1b, h2b) or (not even and (h1a, h2a) <> (h1b, h2b))")  # lines of one length meet both ways
+        # Written level by level: one plan of all levels would be a burden to the driver.
+        out.append(cut(classes.unionByName(pairs.select("h1a", "h2a", "h1b", "h2b", F.lit(None).cast("long").alias("class"))), "line-level"))
         many = sizes.filter("open")
         if many.isEmpty():
+            forget(state, sizes)
             return out
-        state = _taken_apart(state.join(many.select("g"), "g", "left_semi"))
+        deeper = cut(_taken_apart(state.join(many.select("g"), "g", "left_semi")), "line-pieces")
+        forget(state, sizes)
+        state = deeper
 
 
 def _candidates(distinct: DataFrame, lines: DataFrame, index: list[str], probes: list[str], bands: list[Band]) -> DataFrame:
