@@ -137,3 +137,58 @@ def strip_markup(c: Column) -> Column:
 
 def percent_encoded(c: Column) -> Column:
     return F.url_encode(c)
+
+
+# ---- query strings of single sources -----------------------------------------------------------
+
+# Words and operators of the sources' query languages.
+PLAIN_STOPWORDS = ("a", "an", "the", "of", "in", "on", "for", "and", "or", "to", "with", "by", "via", "from")
+FIELD_PREFIXES = ("ti", "abs", "all", "au", "cat", "co", "jr", "rn", "id")
+FIELD_CODES = ("IKTE", "IKST", "IKSE")
+
+
+def _pieces(c: Column) -> Column:
+    """The words and quoted phrases (with their quotes) of a query, in order."""
+    return F.regexp_extract_all(c, F.lit(r'"[^"]+"|\S[^\s"]*'), 0)
+
+
+def _is_phrase(p: Column) -> Column:
+    return p.rlike(r'^"[^"]+"$')
+
+
+def required_terms(c: Column) -> Column:
+    """A plain query with every term required; one with operators or field prefixes is as written.
+    Where a quote lacks its pair, quotes go and what they held are words."""
+    odd = F.length(F.regexp_replace(c, '[^"]', "")) % 2 == 1
+    query = F.when(odd, F.array_join(_pieces(F.replace(c, F.lit('"'), F.lit(" "))), " ")).otherwise(c)
+    operator = rf"^[()]*(AND|OR|ANDNOT)[()]*$|^[(]*({'|'.join(FIELD_PREFIXES)}):"
+    written = ~odd & F.exists(_pieces(c), lambda p: ~_is_phrase(p) & p.rlike(operator))
+    terms = F.filter(_pieces(query), lambda p: _is_phrase(p) | ~F.lower(p).isin(*PLAIN_STOPWORDS))
+    return F.when(written | (F.size(terms) < 2), query).otherwise(F.array_join(F.transform(terms, lambda t: F.concat(F.lit("all:"), t)), " AND "))
+
+
+def plain_terms(c: Column) -> Column:
+    """A Boolean query as its distinct words (whatever their case), in order; a plain one is unchanged."""
+    pieces = _pieces(F.translate(c, "()", "  "))
+    split = F.transform(pieces, lambda p: F.when(_is_phrase(p), F.split(F.btrim(F.btrim(p, F.lit('"'))), r"\s+")).when(p.isin("AND", "OR", "NOT"), F.array().cast("array<string>")).otherwise(F.array(F.btrim(p, F.lit('"')))))
+    words = F.filter(F.flatten(split), lambda w: w != "")
+    low = F.transform(words, F.lower)
+    first = F.filter(words, lambda w, i: F.array_position(low, F.lower(w)) == i + 1)
+    boolean = c.rlike(r'["()]') | F.exists(pieces, lambda p: p.isin("AND", "OR", "NOT"))
+    return F.when(boolean, F.array_join(first, " ")).otherwise(c)
+
+
+def block_query(blocks: Column) -> Column:
+    """Each block's synonyms (an array of arrays) joined by OR over all field codes, blocks joined by
+    AND; blank synonyms and empty blocks go."""
+    clean = F.transform(blocks, lambda b: F.filter(F.transform(b, lambda t: F.trim(F.translate(t, '"\u201c\u201d', ""))), lambda t: t != ""))
+    coded = lambda t: F.array(*[F.concat(F.lit(f'{code}="'), t, F.lit('"')) for code in FIELD_CODES])
+    made = F.transform(F.filter(clean, lambda b: F.size(b) > 0), lambda b: F.concat(F.lit("("), F.array_join(F.flatten(F.transform(b, coded)), " OR "), F.lit(")")))
+    return F.array_join(made, " AND ")
+
+
+def category_query(c: Column, categories: list[str], low: str | None = None, high: str | None = None, today: str = "") -> Column:
+    """Required terms within categories and, if given, submission dates (ISO, either end)."""
+    listed = " OR ".join(f"cat:{x}" for x in categories)
+    dates = f" AND submittedDate:[{(low or '1991-01-01').replace('-', '')}0000 TO {(high or today).replace('-', '')}2359]" if low or high else ""
+    return F.concat(F.lit("("), required_terms(c), F.lit(f") AND ({listed}){dates}"))

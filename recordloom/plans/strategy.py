@@ -10,7 +10,8 @@ import re
 from dataclasses import dataclass
 from urllib.parse import quote_plus
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # How a host counts words between terms, and its proximity operator.
@@ -205,21 +206,45 @@ def stateless_rules(c: Column) -> dict[str, Column]:
     return {"l1": (count('"') % 2 == 1) | (count("(") != count(")")), "l6": F.contains(c, F.lit("{{")) | F.contains(c, F.lit("}}")), "l8": c.rlike(r"\bNOT\b")}
 
 
-def proximity_table(spark: SparkSession) -> DataFrame:
-    hosts = [(h, PROXIMITY[h][0]) for h in ("ovid", "ebsco", "proquest", "pubmed", "cochrane", "eric")]
-    table = spark.createDataFrame(hosts, "host string, semantics string").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5))))
-    return table.select("host", "k", F.when(F.col("semantics") == "gap", F.col("k")).when(F.col("semantics") == "gap_plus_one", F.col("k") + 1).alias("n"))
+def _counts(host: Column, kind: str) -> Column:
+    return host.isin(*[h for h, (k, _) in PROXIMITY.items() if k == kind])
+
+
+def host_distance(host: Column, gap: Column) -> Column:
+    """What a host is told for at most ``gap`` words between two terms; null where it has no operator."""
+    return F.when(_counts(host, "gap"), gap).when(_counts(host, "gap_plus_one"), gap + 1)
+
+
+def words_between(host: Column, n: Column) -> Column:
+    """The inverse of ``host_distance``."""
+    return F.when(_counts(host, "gap"), n).when(_counts(host, "gap_plus_one"), n - 1)
 
 
 SAMPLES = [("(a OR b", "pubmed"), ("heart* AND attack", "eric"), ("a NEAR/3 b", "scopus"), ("x[tiab] NOT y[tiab]", "pubmed"), ("（癌症）", "scopus"), ("asthma AND RCT", "cochrane"), ("{{term}}", "wos"), ("ab* AND c", "pubmed")]
-MODEL = {"blocks": [{"id": "A", "terms": ["heart attack", "myocardial"], "truncation": {"myocardial": "myocard"}, "vocab": {"MeSH": ["Myocardial Infarction"]}}, {"id": "B", "terms": ["exercise"], "proximity": {"terms": ["physical", "training"], "gap": 2}}], "operator_logic": "A AND B"}
 
 
-def lint_frame(spark: SparkSession, samples: list[tuple[str, str]]) -> DataFrame:
-    rows = [(q, h, *f) for q, h in samples for f in lint(q, h)]
-    return spark.createDataFrame(rows, "query string, host string, rule string, level string, message string")
+def lint_frame(rows: DataFrame, query: str, host: str) -> DataFrame:
+    """The findings of each row's query: its columns with rule, level and message."""
+
+    @F.pandas_udf("array<struct<rule:string,level:string,message:string>>")
+    def found(queries: pd.Series, hosts: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("rule", "level", "message"), f, strict=True)) for f in lint(q, h)] for q, h in zip(queries, hosts, strict=True)])
+
+    return rows.withColumn("_f", F.explode(found(F.col(query), F.col(host)))).select(*rows.columns, "_f.*")
+
+
+def compile_frame(rows: DataFrame, key: str, synonyms: list[str], other: str, gap: str) -> DataFrame:
+    """key, host, query, link, status and review of each row's concept model, for every host: a block
+    of ``synonyms`` and one of ``other`` near the first synonym, at most ``gap`` words between."""
+    kind = "struct<query:string,link:string,status:string,review:array<string>>"
 
+    @F.pandas_udf(kind)
+    def compiled(hosts: pd.Series, terms: pd.Series, others: pd.Series, gaps: pd.Series) -> pd.DataFrame:
+        out = []
+        for host, first, second, most in zip(hosts, terms, others, gaps, strict=True):
+            blocks = [{"id": "A", "terms": list(first)}, {"id": "B", "terms": [second], "proximity": {"terms": [quoted(first[0]), second], "gap": int(most)}}]
+            out.append(compile_strategy({"blocks": blocks, "operator_logic": "A AND B"}, host))
+        return pd.DataFrame(out, columns=["query", "link", "status", "review"])
 
-def compile_frame(spark: SparkSession, model: dict) -> DataFrame:
-    rows = [compile_strategy(model, h, {"MeSH": {"Myocardial Infarction"}}) for h in DIALECTS]
-    return spark.createDataFrame(rows, "host string, query string, link string, status string, reasons array<string>, review array<string>")
+    each = rows.withColumn("host", F.explode(F.array(*[F.lit(h) for h in DIALECTS])))
+    return each.withColumn("_c", compiled("host", F.array(*synonyms), other, gap)).select(key, "host", "_c.*")

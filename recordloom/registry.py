@@ -395,14 +395,20 @@ def q_bibtex_keys(spark, sf):
     return bibtex_keys(rows, "author", "year", ["c_custkey"]).select("c_custkey", "bibtex_key")
 
 
-@query("SELECT host, k, CASE semantics WHEN 'gap' THEN k WHEN 'gap_plus_one' THEN k + 1 END AS n FROM (VALUES ('ovid', 'gap_plus_one'), ('ebsco', 'gap'), ('proquest', 'gap'), ('pubmed', 'gap'), ('cochrane', 'gap_plus_one'), ('eric', NULL)) h(host, semantics), (SELECT unnest(range(6))::INT AS k)")
+_HOSTS = ("ovid", "ebsco", "proquest", "pubmed", "cochrane", "eric")
+
+
+@query("SELECT p_partkey, p_size AS gap, CASE p_partkey % 6 WHEN 0 THEN p_size + 1 WHEN 4 THEN p_size + 1 WHEN 5 THEN NULL ELSE p_size END AS n, CASE p_partkey % 6 WHEN 5 THEN NULL ELSE p_size END AS back FROM part")
 def q_proximity_convert(spark, sf):
-    return strategy.proximity_table(spark)
+    """The distance that a host is told for so many words between, and back."""
+    host = F.element_at(F.array(*[F.lit(h) for h in _HOSTS]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    rows = _table(spark, sf, "part").select("p_partkey", F.col("p_size").alias("gap"), host.alias("host")).withColumn("n", strategy.host_distance(F.col("host"), F.col("gap")))
+    return rows.withColumn("back", strategy.words_between(F.col("host"), F.col("n"))).drop("host")
 
 
 @query()
 def q_lint(spark, sf):
-    return strategy.lint_frame(spark, strategy.SAMPLES)
+    return registry_records._linted(spark, sf)
 
 
 @query("SELECT p_partkey, (length(s) - length(replace(s, '\"', ''))) % 2 = 1 OR length(replace(s, '(', '')) <> length(replace(s, ')', '')) AS l1, contains(s, '{{') OR contains(s, '}}') AS l6, regexp_matches(s, '\\bNOT\\b') AS l8 FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '(' || p_name WHEN 1 THEN p_name || ' NOT x' WHEN 2 THEN '\"' || p_name || ' {{y}}' ELSE p_name END AS s FROM part)")
@@ -414,12 +420,15 @@ def q_lint_stateless(spark, sf):
 
 @query()
 def q_strategy_compile(spark, sf):
-    return strategy.compile_frame(spark, strategy.MODEL)
+    """A concept model of each part (its name, its type) for every host."""
+    rows = _table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("a"), F.substring_index("p_name", " ", -1).alias("b"), F.lower("p_type").alias("c"), F.col("p_size").alias("gap"))
+    return strategy.compile_frame(rows, "p_partkey", ["a", "b"], "c", "gap")
 
 
 @query()
 def q_rank_intent(spark, sf):
-    return intent.parse_frame(spark.createDataFrame([(q,) for q in intent.SAMPLES], "query string"), "query")
+    asked = F.element_at(F.array(*[F.lit(q) for q in intent.SAMPLES]), (F.col("p_partkey") % len(intent.SAMPLES) + 1).cast("int"))
+    return intent.parse_frame(_table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", asked).alias("query")), "query")
 
 
 @query(f"SELECT doc_id FROM {_RCS} WHERE CASE WHEN rcs IS NULL THEN false ELSE 'Q' || (1 + rcs % 4) IN ('Q1', 'Q2') END")

@@ -154,42 +154,42 @@ def q_single_record(spark, sf):
     return search.single(corpus(spark, sf), "openalex_id", "W17").select("doc_id")
 
 
-def _rank_structs(spark):
-    """Fifty journals by ISSN with all three platforms."""
-    n = F.col("id").cast("int")
+def _rank_structs(spark, sf):
+    """A journal for each part, with all three platforms."""
+    n = F.col("p_partkey").cast("int")
     issn = F.format_string("%04d-%04d", n, n)
     minor = F.array(F.struct(F.lit("Water").alias("category"), (1 + n % 4).alias("tier")), F.struct(F.lit("Wate").alias("category"), F.lit(4).alias("tier")))
     cats = F.array(F.struct(F.lit("").alias("category"), F.lit("Q1").alias("quartile")), F.struct(F.lit("Education Research").alias("category"), F.concat(F.lit("Q"), 1 + n % 3).alias("quartile")))
     cas = F.when(n % 2 == 0, F.struct((1 + n % 4).alias("tier"), (n % 8 == 0).alias("top"), minor.alias("minor")))
     jcr = F.when(n % 3 != 0, F.struct(F.concat(F.lit("Q"), 1 + n % 4).alias("quartile"), F.when(n % 5 == 0, "").otherwise("Water; Law").alias("category")))
     sjr = F.when(n % 5 != 0, F.struct(F.concat(F.lit("Q"), 1 + n % 4).alias("best_quartile"), cats.alias("categories")))
-    return spark.range(50).select(issn.alias("issn"), cas.alias("cas"), jcr.alias("jcr"), sjr.alias("sjr"))
+    return _table(spark, sf, "part").select(n.alias("n"), issn.alias("issn"), cas.alias("cas"), jcr.alias("jcr"), sjr.alias("sjr"))
 
 
-_N50 = "(SELECT range::INT AS n FROM range(50))"
+_JOURNALS = "(SELECT p_partkey::INT AS n FROM part)"
 
 
 @query(f"""SELECT n, CASE WHEN n % 2 = 0 THEN n % 8 = 0 END AS cas_top, CASE WHEN n % 2 = 0 THEN 1 + n % 4 IN (1, 2) END AS cas_water, CASE WHEN n % 3 <> 0 THEN n % 5 <> 0 AND 1 + n % 4 = 1 END AS jcr_law_top,
-  CASE WHEN n % 5 <> 0 THEN 1 + n % 3 IN (1, 3) END AS sjr_education FROM {_N50}""")
+  CASE WHEN n % 5 <> 0 THEN 1 + n % 3 IN (1, 3) END AS sjr_education FROM {_JOURNALS}""")
 def q_rank_passes(spark, sf):
-    rows = _rank_structs(spark)
+    rows = _rank_structs(spark, sf)
     when = lambda p, c: F.when(F.col(p).isNotNull(), c)
     return rows.select(
-        F.substring("issn", 1, 4).cast("int").alias("n"), when("cas", rank.passes("cas", F.col("cas"), top=True)).alias("cas_top"), when("cas", rank.passes("cas", F.col("cas"), [1, 2], category="water")).alias("cas_water"),
+        "n", when("cas", rank.passes("cas", F.col("cas"), top=True)).alias("cas_top"), when("cas", rank.passes("cas", F.col("cas"), [1, 2], category="water")).alias("cas_water"),
         when("jcr", rank.passes("jcr", F.col("jcr"), top=True, category="law")).alias("jcr_law_top"), when("sjr", rank.passes("sjr", F.col("sjr"), quartiles=["q1", "Q3"], category="education")).alias("sjr_education"),
     )
 
 
-@query(f"SELECT 50 AS issns, 50 AS journals, count(*) FILTER (WHERE n % 2 = 0) AS cas, count(*) FILTER (WHERE n % 3 <> 0) AS jcr, count(*) FILTER (WHERE n % 5 <> 0) AS sjr FROM {_N50}")
+@query(f"SELECT count(*) AS issns, count(*) AS journals, count(*) FILTER (WHERE n % 2 = 0) AS cas, count(*) FILTER (WHERE n % 3 <> 0) AS jcr, count(*) FILTER (WHERE n % 5 <> 0) AS sjr FROM {_JOURNALS}")
 def q_rank_info(spark, sf):
-    return rank.info(_rank_structs(spark), "issn", ["cas", "jcr", "sjr"])
+    return rank.info(_rank_structs(spark, sf), "issn", ["cas", "jcr", "sjr"])
 
 
-@query(f"SELECT n, CASE WHEN n % 5 <> 0 THEN 'sjr' WHEN n % 2 = 0 THEN 'cas' WHEN n % 3 <> 0 THEN 'jcr' END AS shown, n % 5 <> 0 AND 1 + n % 4 IN (1, 2) AND n >= 10 AS fits FROM {_N50}")
+@query(f"SELECT n, CASE WHEN n % 5 <> 0 THEN 'sjr' WHEN n % 2 = 0 THEN 'cas' WHEN n % 3 <> 0 THEN 'jcr' END AS shown, n % 5 <> 0 AND 1 + n % 4 IN (1, 2) AND n >= 10 AS fits FROM {_JOURNALS}")
 def q_primary_rank(spark, sf):
-    n = F.substring("issn", 1, 4).cast("int")
+    n = F.col("n")
     fits = rank.journal_filter(F.col("sjr.best_quartile"), F.when(n != 0, n.cast("double")), ["Q1", "Q2"], 10)
-    return _rank_structs(spark).select(n.alias("n"), rank.primary({p: F.col(p) for p in ("cas", "jcr", "sjr")}, "sjr").alias("shown"), fits.alias("fits"))
+    return _rank_structs(spark, sf).select("n", rank.primary({p: F.col(p) for p in ("cas", "jcr", "sjr")}, "sjr").alias("shown"), fits.alias("fits"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'Q3' WHEN p_size % 3 = 1 THEN 'Q2' ELSE 'Q1' END AS sjr_quartile, false AS backfill_needed FROM part")
@@ -214,7 +214,7 @@ def q_pool_keys(spark, sf):
 def q_search(spark, sf):
     """The whole search, with a rank filter and deepening."""
     o = search.Options(today=TODAY, per_strategy=20, limit=15, keep_tiers=["Q1", "Q2"], rank_platform="sjr", max_deepen_rounds=1)
-    found = search.search(corpus(spark, sf), LOOSE, o, _rank_structs(spark), supplements=[])
+    found = search.search(corpus(spark, sf), LOOSE, o, _rank_structs(spark, sf), supplements=[])
     return found["data"].select("place", "key", "title", "score", "citation_count", "outcome")
 
 
@@ -427,13 +427,13 @@ def q_citation_chase(spark, sf):
 
 
 @query("""WITH k AS (SELECT doc_id, unnest(['doi|10.5/' || (doc_id % 300), 'openalex|W' || doc_id]) AS x FROM documents), c AS (SELECT x, min(doc_id) AS d FROM k GROUP BY 1 HAVING count(DISTINCT doc_id) = 1),
-r AS (SELECT doc_id AS raw, unnest(['doi|10.5/' || (doc_id % 310), 'openalex|W' || doc_id]) AS x, generate_subscripts(['', ''], 1) AS p FROM documents WHERE doc_id % 3 = 0)
+r AS (SELECT doc_id AS raw, unnest(['doi|10.5/' || (doc_id % 310), 'openalex|W' || doc_id]) AS x, generate_subscripts(['', ''], 1) AS p FROM documents)
 SELECT raw, coalesce(arg_min('k' || d, p) FILTER (WHERE d IS NOT NULL), arg_min(x, p)) AS key FROM r LEFT JOIN c USING (x) GROUP BY 1""")
 def q_match_known(spark, sf):
     d, i = _table(spark, sf, "documents"), F.col("doc_id")
     keys = lambda m: resolve.identity_keys({"doi": F.concat(F.lit("10.5/"), i % m), "openalex": F.concat(F.lit("https://openalex.org/W"), i)}, F.lit(""), F.lit(0))
     known = d.select(F.concat(F.lit("k"), i).alias("key"), keys(300).alias("keys"))
-    return resolve.match_known(d.filter("doc_id % 3 = 0").select(i.alias("raw"), keys(310).alias("keys")), "raw", "keys", known, "key", "keys")
+    return resolve.match_known(d.select(i.alias("raw"), keys(310).alias("keys")), "raw", "keys", known, "key", "keys")
 
 
 @query("SELECT key, o_orderkey, CASE WHEN clash THEN 1 + row_number() OVER (PARTITION BY key, clash ORDER BY o_orderkey) ELSE 1 END AS variant FROM (SELECT key, o_orderkey, coalesce(doi <> first_value(doi IGNORE NULLS) OVER w, false) OR coalesce(ax <> first_value(ax IGNORE NULLS) OVER w, false) AS clash FROM (SELECT o_orderkey, o_custkey % 40 AS key, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 2 END AS doi, CASE WHEN o_orderkey % 5 < 2 THEN o_orderkey % 5 END AS ax FROM orders) WINDOW w AS (PARTITION BY key ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))")
@@ -443,20 +443,22 @@ def q_conflict_two_ids(spark, sf):
     return resolve.conflict_variants(rows, "key", ["doi", "ax"], ["o_orderkey"]).select("key", "o_orderkey", "variant")
 
 
-@query("SELECT title, x FROM (VALUES ('https://openalex.org/W7', 'openalex|W7'), ('(a)', 'title||2001'), ('', 'hash|d41d8cd98f00b204')) v(title, x)")
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'openalex|W' || doc_id WHEN 1 THEN 'title||' || (1995 + doc_id % 32) ELSE 'hash|' || substr(md5(''), 1, 16) END AS x FROM documents""")
 def q_canonical_edges(spark, sf):
-    rows = spark.createDataFrame([("https://openalex.org/W7", "https://openalex.org/W7", None), ("(a)", None, 2001), ("", None, 2001)], "title string, oid string, year int")
-    return rows.select("title", resolve.canonical_key({"openalex": F.col("oid")}, F.col("title"), F.col("year")).alias("x"))
+    """An id alone, a title that normalises to nothing, no title at all."""
+    i = F.col("doc_id")
+    rows = _table(spark, sf, "documents").select("doc_id", F.when(i % 3 == 0, F.concat(F.lit("https://openalex.org/W"), i)).alias("oid"), F.when(i % 3 == 1, F.concat(F.lit("("), i, F.lit(")"))).when(i % 3 == 2, "").alias("title"), F.when(i % 3 != 0, 1995 + i % 32).alias("year"))
+    return rows.select("doc_id", resolve.canonical_key({"openalex": F.col("oid")}, F.col("title"), F.col("year")).alias("x"))
 
 
 # ---- converters ---------------------------------------------------------------------------------------------
 
 
 def _struct_rows(spark, sf):
-    return _table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 40).alias("t"), "n_chars", "lang")
+    return _table(spark, sf, "documents").select("doc_id", F.col("text").alias("t"), "n_chars", "lang")
 
 
-@query("SELECT 'W' || doc_id AS openalex_id, '10.5/x' || doc_id AS doi, CASE WHEN doc_id % 2 = 0 THEN '2101.' || doc_id END AS arxiv_id, CASE WHEN doc_id % 3 = 0 THEN doc_id::VARCHAR END AS pmid, substr(text, 1, 40) AS title, CASE WHEN doc_id % 4 = 0 THEN '1111-1111' ELSE '2222-2222' END AS issn, 5 AS n_topics, 'DE' AS country, 2 AS n_locations FROM documents")
+@query("SELECT 'W' || doc_id AS openalex_id, '10.5/x' || doc_id AS doi, CASE WHEN doc_id % 2 = 0 THEN '2101.' || doc_id END AS arxiv_id, CASE WHEN doc_id % 3 = 0 THEN doc_id::VARCHAR END AS pmid, text AS title, CASE WHEN doc_id % 4 = 0 THEN '1111-1111' ELSE '2222-2222' END AS issn, 5 AS n_topics, 'DE' AS country, 2 AS n_locations FROM documents")
 def q_convert_openalex(spark, sf):
     i = F.col("doc_id")
     name = lambda x: F.struct(F.lit(x).alias("display_name"))
@@ -552,38 +554,49 @@ def q_authors_short(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 6).alias("n"), N.authors_short(names).alias("short"))
 
 
-@query(f"SELECT doc_id, list_sort(list_filter(list_distinct(regexp_extract_all(lower(substr(text, 1, 200)), '[a-z0-9]+')), lambda x: length(x) >= 3 AND NOT list_contains({list(N.STOPWORDS)}, x))) AS terms FROM documents")
+@query(f"SELECT doc_id, list_sort(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda x: length(x) >= 3 AND NOT list_contains({list(N.STOPWORDS)}, x))) AS terms FROM documents")
 def q_query_terms(spark, sf):
-    return _table(spark, sf, "documents").select("doc_id", F.array_sort(N.query_terms(F.substring("text", 1, 200))).alias("terms"))
+    return _table(spark, sf, "documents").select("doc_id", F.array_sort(N.query_terms(F.col("text"))).alias("terms"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN NULL ELSE '10.5/a' || doc_id END AS lookup, CASE doc_id % 3 WHEN 0 THEN '12345678' END AS bare, trim(regexp_replace(substr(text, 1, 80), '\\s+', ' ', 'g')) AS line, doc_id % 2 = 0 AS narrow, 'a b OR c' AS value FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN NULL ELSE '10.5/a' || doc_id END AS lookup, CASE doc_id % 3 WHEN 0 THEN '12345678' END AS bare, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS line, doc_id % 2 = 0 AS narrow, 'a b OR c' AS value FROM documents")
 def q_small_normalisers(spark, sf):
     i = F.col("doc_id")
     doi = F.when(i % 3 == 0, F.concat(F.lit("https://doi.org/10.5/A"), i)).when(i % 3 == 1, F.lit("10.48550/arXiv.1")).otherwise(F.concat(F.lit("doi:10.5/a"), i))
     q = F.when(i % 2 == 0, F.lit("one two three four the five six")).otherwise("one two three OR four five six")
-    return _table(spark, sf, "documents").select("doc_id", N.doi_for_lookup(doi).alias("lookup"), N.bare_issn(F.when(i % 3 == 0, "1234-5678").otherwise("12")).alias("bare"), N.one_line(F.substring("text", 1, 80)).alias("line"), N.narrow_query(q).alias("narrow"), N.filter_value(F.lit("a,b|c")).alias("value"))
+    return _table(spark, sf, "documents").select("doc_id", N.doi_for_lookup(doi).alias("lookup"), N.bare_issn(F.when(i % 3 == 0, "1234-5678").otherwise("12")).alias("bare"), N.one_line(F.col("text")).alias("line"), N.narrow_query(q).alias("narrow"), N.filter_value(F.lit("a,b|c")).alias("value"))
 
 
-_STRINGS = [("graph colouring bounds", "all:graph AND all:colouring AND all:bounds"), ('"sea ice" of spring', 'all:"sea ice" AND all:spring'), ("ti:x AND y", "ti:x AND y"), ('stray "quote here', "all:stray AND all:quote AND all:here")]
+_NAME1, _NAME2 = "split_part(p_name, ' ', 1)", "split_part(p_name, ' ', 2)"
 
 
-@query("SELECT q, required FROM (VALUES " + ", ".join(f"('{q}', '{w}')" for q, w in _STRINGS) + ") v(q, required)")
+@query(f"""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'all:' || {_NAME1} || ' AND all:' || {_NAME2} || ' AND all:bounds' WHEN 1 THEN 'all:"' || p_name || '" AND all:spring' WHEN 2 THEN 'ti:' || {_NAME1} || ' AND y'
+  WHEN 3 THEN 'all:stray AND all:' || {_NAME1} || ' AND all:' || {_NAME2} ELSE 'the "' || p_name || '"' END AS required FROM part""")
 def q_required_terms(spark, sf):
-    return spark.createDataFrame([(q, compose.require_terms(q)) for q, _ in _STRINGS], "q string, required string")
+    """Plain words, a phrase, a query with operators, a quote without its pair, one term alone."""
+    k, name = F.col("p_partkey") % 5, F.col("p_name")
+    made = F.when(k == 0, F.concat(name, F.lit(" bounds"))).when(k == 1, F.concat(F.lit('"'), name, F.lit('" of spring'))).when(k == 2, F.concat(F.lit("ti:"), F.substring_index(name, " ", 1), F.lit(" AND y")))
+    made = made.when(k == 3, F.concat(F.lit('stray "'), name)).otherwise(F.concat(F.lit('the "'), name, F.lit('"')))
+    return _table(spark, sf, "part").select("p_partkey", N.required_terms(made).alias("required"))
 
 
-_PLAIN = [("one word", "one word"), ('("sea ice" OR glacier) AND (melting OR ice)', "sea ice glacier melting"), ('"OR gate" NOT x', "OR gate x")]
+@query(f"""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' glacier melting' ELSE 'OR gate ' || p_name END AS words FROM part""")
+def q_plain_terms(spark, sf):
+    """A Boolean query as its distinct words; operators within quotes are words."""
+    k, name = F.col("p_partkey") % 3, F.col("p_name")
+    made = F.when(k == 0, name).when(k == 1, F.concat(F.lit('("'), name, F.lit('" OR glacier) AND (melting OR '), F.upper(F.substring_index(name, " ", 1)), F.lit(")"))).otherwise(F.concat(F.lit('"OR gate" NOT '), name))
+    return _table(spark, sf, "part").select("p_partkey", N.plain_terms(made).alias("words"))
 
 
-@query("SELECT q, words FROM (VALUES " + ", ".join(f"('{q}', '{w}')" for q, w in _PLAIN) + ") v(q, words)")
-def q_plain_terms(spark, sf):
-    return spark.createDataFrame([(q, compose.plain_terms(q)) for q, _ in _PLAIN], "q string, words string")
+_CODED = lambda x: " || ' OR ' || ".join(f"'{c}=\"' || {x} || '\"'" for c in N.FIELD_CODES)
 
 
-@query("""SELECT pq FROM (VALUES ('(IKTE="a" OR IKST="a" OR IKSE="a" OR IKTE="b" OR IKST="b" OR IKSE="b") AND (IKTE="c" OR IKST="c" OR IKSE="c")'), ('(IKTE="x" OR IKST="x" OR IKSE="x") AND (IKTE="y" OR IKST="y" OR IKSE="y")')) v(pq)""")
+@query(f"""SELECT p_partkey, '(' || {_CODED(_NAME1)} || ' OR ' || {_CODED('lower(p_type)')} || ') AND (' || {_CODED(_NAME2)} || ')' AS pq FROM part""")
 def q_block_query(spark, sf):
-    return spark.createDataFrame([(compose.block_query(blocks=[["a", ' "b" '], [""], ["c"]]),), (compose.block_query("x y"),)], "pq string")
+    """Two blocks of synonyms; quotes and blanks go, and so does an empty block."""
+    first, second = F.substring_index("p_name", " ", 1), F.substring_index("p_name", " ", -1)
+    blocks = F.array(F.array(first, F.concat(F.lit(' "'), F.lower("p_type"), F.lit('" '))), F.array(F.lit("")), F.array(second))
+    return _table(spark, sf, "part").select("p_partkey", N.block_query(blocks).alias("pq"))
 
 
 @query("""WITH l AS (SELECT doc_id, quality * 5 + toxic AS rcs FROM labels), b AS (SELECT l.doc_id, rcs, 0 AS at FROM l UNION ALL SELECT doc_id + 1000000, rcs + 1, 1 FROM l WHERE doc_id % 2 = 0)
@@ -602,20 +615,34 @@ def q_label_order(spark, sf):
 _INTENTS = [("中科院一区 深度学习", "cas", "1", "", False, False, "深度学习"), ("JCR Q1 memory in ageing", "jcr", "", "Q1", False, False, "memory in ageing"), ("一、二区的论文 transformer", "cas", "1,2", "", False, False, "transformer"), ("broadcast case study", None, "", "", False, False, "broadcast case study"), ("二区及以上 教育", "cas", "1,2", "", False, False, "教育"), ("sleep Q2", None, "", "Q2", False, True, "sleep"), ("顶刊 causal inference", None, "", "", True, True, "causal inference"), ("二区供暖", None, "", "", False, False, "二区供暖"), ("SSCI 一区或二区 management", None, "1,2", "", False, True, "management"), ("中科院 1-3 区 x", "cas", "1,2,3", "", False, False, "x"), ("中科院 2023 年以来的研究", "cas", "", "", False, False, "2023 年以来的研究"), ("Web of Science coverage analysis", None, "", "", False, False, "Web of Science coverage analysis"), ("三区和四区的人口", None, "", "", False, False, "三区和四区的人口")]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'" for v in r) + ")" for r in _INTENTS) + ") v(query, platform, tiers, quartiles, top, ambiguous, cleaned)")
+_INTENT_ROWS = ", ".join("(" + ", ".join("NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'" for v in (n, *r)) + ")" for n, r in enumerate(_INTENTS))
+
+
+@query(f"SELECT p_partkey, platform, tiers, quartiles, top, ambiguous, cleaned || ' ' || p_name AS cleaned FROM part JOIN (VALUES {_INTENT_ROWS}) v(n, query, platform, tiers, quartiles, top, ambiguous, cleaned) ON p_partkey % {len(_INTENTS)} = n::BIGINT")
 def q_rank_intents(spark, sf):
-    df = intent.parse_frame(spark.createDataFrame([(r[0],) for r in _INTENTS], "query string"), "query")
-    return df.select("query", "platform", F.array_join(F.col("tiers").cast("array<string>"), ",").alias("tiers"), F.array_join("quartiles", ",").alias("quartiles"), "top", "ambiguous", "cleaned")
+    """What is asked of journals, in front of each part's name."""
+    asked = F.element_at(F.array(*[F.lit(r[0]) for r in _INTENTS]), (F.col("p_partkey") % len(_INTENTS) + 1).cast("int"))
+    df = intent.parse_frame(_table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", asked, "p_name").alias("query")), "query")
+    return df.select("p_partkey", "platform", F.array_join(F.col("tiers").cast("array<string>"), ",").alias("tiers"), F.array_join("quartiles", ",").alias("quartiles"), "top", "ambiguous", "cleaned")
 
 
 _LINTED = ("L1", "L3", "L4", "L8", "L7", "L9", "L6", "L3")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{h}', '{r}')" for (q, h), r in zip(strategy.SAMPLES, _LINTED, strict=True)) + ") v(query, host, rule)")
+_LINT_ROWS = ", ".join(f"({n}, '{h}', '{r}')" for n, ((_, h), r) in enumerate(zip(strategy.SAMPLES, _LINTED, strict=True)))
+
+
+@query(f"SELECT p_partkey, host, rule FROM part JOIN (VALUES {_LINT_ROWS}) v(n, host, rule) ON p_partkey % {len(_LINTED)} = n")
 def q_lint_rules(spark, sf):
-    """Each sample breaks the rule that it is there for; other findings aside."""
-    wanted = spark.createDataFrame([(q, h, r) for (q, h), r in zip(strategy.SAMPLES, _LINTED, strict=True)], "query string, host string, rule string")
-    return strategy.lint_frame(spark, strategy.SAMPLES).select("query", "host", "rule").distinct().join(wanted, ["query", "host", "rule"], "left_semi")
+    """A sample with one mistake before each part's name: that finding and no other."""
+    return _linted(spark, sf).select("p_partkey", "host", "rule").distinct()
+
+
+def _linted(spark, sf):
+    at = (F.col("p_partkey") % len(strategy.SAMPLES) + 1).cast("int")
+    pick = lambda k: F.element_at(F.array(*[F.lit(r[k]) for r in strategy.SAMPLES]), at)
+    rows = _table(spark, sf, "part").select("p_partkey", F.concat_ws(" AND ", pick(0), "p_name").alias("query"), pick(1).alias("host"))
+    return strategy.lint_frame(rows, "query", "host")
 
 
 @query(f"SELECT paper_id, title FROM (SELECT 'W' || doc_id AS paper_id, title, rcs, cites, year FROM {_DOCS} JOIN (SELECT doc_id AS d, rcs FROM {_RCS}) ON d = doc_id) ORDER BY coalesce(rcs, 0) DESC, cites DESC, year, paper_id LIMIT 40")
@@ -692,10 +719,12 @@ def q_banded_snapshot(spark, sf):
     return coverage.banded_snapshot(rows, "day", "user_id", scores, 500)
 
 
-@query("SELECT seed, neighbour, direction FROM (SELECT seed, neighbour, direction, row_number() OVER (PARTITION BY seed, direction ORDER BY neighbour) AS r FROM (SELECT DISTINCT l_partkey AS seed, l_suppkey AS neighbour, 'references' AS direction FROM lineitem WHERE l_partkey BETWEEN 1 AND 20 UNION SELECT DISTINCT l_suppkey, l_partkey, 'cited_by' FROM lineitem WHERE l_suppkey BETWEEN 1 AND 20)) WHERE r <= 3")
+@query("""SELECT seed, neighbour, direction FROM (SELECT seed, neighbour, direction, row_number() OVER (PARTITION BY seed, direction ORDER BY neighbour) AS r FROM
+  (SELECT DISTINCT l_partkey AS seed, l_suppkey AS neighbour, 'references' AS direction FROM lineitem JOIN part ON p_partkey = l_partkey UNION SELECT DISTINCT l_suppkey, l_partkey, 'cited_by' FROM lineitem JOIN part ON p_partkey = l_suppkey))
+WHERE r <= CASE direction WHEN 'references' THEN 3 ELSE 5 END""")
 def q_neighbours(spark, sf):
     edges = _table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
-    return graph.neighbours(edges, spark.range(1, 21).select("id"), "id", 3)
+    return graph.neighbours(edges, _table(spark, sf, "part"), "p_partkey", 3, 5)
 
 
 # ---- verification, exports --------------------------------------------------------------------------------------

@@ -14,6 +14,8 @@ from recordloom.operators import graph, index, labels, rank, resolve, retrieve,
 from recordloom.plans import intent, strategy
 from recordloom.sources import converters, ranks, reports, sinks
 
+MODEL = {"blocks": [{"id": "A", "terms": ["heart attack", "myocardial"], "truncation": {"myocardial": "myocard"}, "vocab": {"MeSH": ["Myocardial Infarction"]}}, {"id": "B", "terms": ["exercise"], "proximity": {"terms": ["physical", "training"], "gap": 2}}], "operator_logic": "A AND B"}
+
 
 def one(spark, column, **values):
     df = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} string" for k in values))
@@ -121,9 +123,9 @@ def test_lint(query, host, rule):
 
 
 def test_compile_withholds_mixed_logic():
-    bad = {**strategy.MODEL, "operator_logic": "A AND B OR A"}
+    bad = {**MODEL, "operator_logic": "A AND B OR A"}
     assert strategy.compile_strategy(bad, "pubmed")["status"] == "withheld"
-    assert strategy.compile_strategy(strategy.MODEL, "pubmed", {"MeSH": {"Myocardial Infarction"}})["status"] == "ready"
+    assert strategy.compile_strategy(MODEL, "pubmed", {"MeSH": {"Myocardial Infarction"}})["status"] == "ready"
 
 
 TOPIC = "情绪调节"
@@ -300,3 +302,31 @@ def test_index_answers_like_a_scan(spark):
         assert {r["key"] for r in index.matching(table, query).collect()} == want, query
     plan = index.matching(table, '"sea ice"')._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [part" in plan and "In(term, [ice,sea])" in plan
+
+
+@pytest.mark.parametrize(
+    ("function", "given_", "want"),
+    [
+        (N.required_terms, "graph colouring bounds", "all:graph AND all:colouring AND all:bounds"),
+        (N.required_terms, '"sea ice" of spring', 'all:"sea ice" AND all:spring'),
+        (N.required_terms, "ti:x AND y", "ti:x AND y"),
+        (N.required_terms, 'stray "quote here', "all:stray AND all:quote AND all:here"),
+        (N.required_terms, '"a OR b" tide', 'all:"a OR b" AND all:tide'),
+        (N.required_terms, "tide", "tide"),
+        (N.required_terms, "", ""),
+        (N.plain_terms, "one word", "one word"),
+        (N.plain_terms, '("sea ice" OR glacier) AND (melting OR Ice)', "sea ice glacier melting"),
+        (N.plain_terms, '"OR gate" NOT x', "OR gate x"),
+        (N.plain_terms, "", ""),
+    ],
+)
+def test_query_strings(spark, function, given_, want):
+    assert one(spark, function(F.col("q")), q=given_) == want
+
+
+def test_block_and_category_queries(spark):
+    rows = spark.createDataFrame([([["a", ' "b" ', None], [""], ["c"]],), ([],)], "b array<array<string>>")
+    got = [r["x"] for r in rows.select(N.block_query(F.col("b")).alias("x")).collect()]
+    assert got == ['(IKTE="a" OR IKST="a" OR IKSE="a" OR IKTE="b" OR IKST="b" OR IKSE="b") AND (IKTE="c" OR IKST="c" OR IKSE="c")', ""]
+    want = "(all:sea AND all:ice) AND (cat:a.b OR cat:c) AND submittedDate:[199101010000 TO 202602032359]"
+    assert one(spark, N.category_query(F.col("q"), ["a.b", "c"], None, "2026-02-03"), q="sea ice") == want

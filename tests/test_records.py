@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_search_runs_end_to_end(spark):
     o = search.Options(today=R.TODAY, per_strategy=20, limit=15, rank_platform="sjr", keep_tiers=[1, 2], max_deepen_rounds=1, min_relevance=0.05)
-    found = search.search(R.corpus(spark, SF), R.LOOSE, o, R._rank_structs(spark))
+    found = search.search(R.corpus(spark, SF), R.LOOSE, o, R._rank_structs(spark, SF))
     rows = found["data"].orderBy("place").collect()
     assert rows and all(r["outcome"] == "kept" and r["score"] >= 0.05 for r in rows)
     assert [r["citation_count"] for r in rows] == sorted((r["citation_count"] for r in rows), reverse=True)
