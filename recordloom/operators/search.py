@@ -349,3 +349,8 @@ def verify_refs(refs: DataFrame, sources: list[tuple[str, DataFrame]], at_least:
 def refs_summary(verified: DataFrame) -> DataFrame:
     """One row: total, verified, not_found and unchecked."""
     return verified.agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("verified", "not_found", "unchecked")])
+
+
+def refs_by_source(verified: DataFrame) -> DataFrame:
+    """matched_source and how many references it verified."""
+    return verified.filter(F.col("status") == "verified").groupBy("matched_source").agg(F.count("*").alias("verified"))

@@ -14,7 +14,8 @@ from recordloom.functions import scoring as S
 from recordloom.operators import index, coverage, enrich, graph, labels, rank, report, resolve, search, verify
 from recordloom.plans import compose, intent, strategy
 from recordloom.registry import _DOCS, _RCS, _TERMS, QUERY, _norm_sql, _rcs, _table, query, records
-from recordloom.sources import bundle, converters, ranks, reports
+from recordloom import scratch
+from recordloom.sources import bundle, converters, ranks, reports, sinks, venues
 
 TODAY = dt.date(2026, 6, 30)
 
@@ -733,10 +734,14 @@ def q_neighbours(spark, sf):
 @query("SELECT count(*) AS total, count(*) FILTER (WHERE s = 'verified') AS verified, count(*) FILTER (WHERE s = 'not_found') AS not_found, count(*) FILTER (WHERE s = 'unchecked') AS unchecked FROM (SELECT CASE WHEN doc_id % 4 = 0 THEN 'unchecked' WHEN doc_id % 4 = 1 AND doc_id % 3 = 0 THEN 'verified' ELSE 'not_found' END AS s FROM documents)")
 def q_refs_summary(spark, sf):
     """References by DOI in two sources; the others' titles stand in none."""
+    return search.refs_summary(_verified(spark, sf))
+
+
+def _verified(spark, sf):
     i = F.col("doc_id")
     refs = _table(spark, sf, "documents").select(i.alias("ref_id"), F.when(i % 4 == 1, F.concat(F.lit("https://doi.org/10.5/X"), i)).alias("doi"), F.when(i % 4 == 0, "").otherwise(F.concat(F.lit("zzz"), i)).alias("title"))
     source = lambda m: _table(spark, sf, "documents").filter(m).select(F.concat(F.lit("10.5/x"), i).alias("doi"), F.lit("unrelated words here").alias("title"), i.alias("paper_id"))
-    return search.refs_summary(search.verify_refs(refs, [("a", source("doc_id % 6 = 0")), ("b", source("doc_id % 6 = 3"))]))
+    return search.verify_refs(refs, [("a", source("doc_id % 6 = 0")), ("b", source("doc_id % 6 = 3"))])
 
 
 @query("SELECT p_partkey AS l, p_partkey % 7 = 0 AS whole FROM part")
@@ -776,3 +781,38 @@ def q_export_bibtex(spark, sf):
 def q_export_json(spark, sf):
     rows = bundle.json_rows(bundle.exported(bundle.identified(corpus(spark, sf)), 8))
     return rows.select("place", F.get_json_object("record", "$.citation_count").cast("bigint").alias("citation_count"), F.contains("record", F.lit('"tldr":null')).alias("keeps_nulls"))
+
+
+@query("SELECT n, line FROM (SELECT 0 AS n, 'key,priority,date' AS line UNION ALL SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey), o_orderkey || ',\"' || o_orderpriority || ', \"\"x\"\"\",' || o_orderdate::DATE FROM orders)")
+def q_export_single_file(spark, sf):
+    """One file in order, as it is read back: the line's number stands in the order it was written by."""
+    orders = _table(spark, sf, "orders").select(F.struct("o_orderdate", "o_orderkey").alias("place"), sinks.csv_line([F.col("o_orderkey").cast("string"), F.concat("o_orderpriority", F.lit(', "x"')), F.to_date("o_orderdate").cast("string")]).alias("line"))
+    path = f"{scratch.place(spark, 'export')}/orders.csv"
+    sinks.write_single(orders, "place", "line", path, "\r\n", "key,priority,date\r\n", ends=True)
+    lines = spark.read.option("lineSep", "\r\n").text(path).withColumn("at", F.monotonically_increasing_id())  # splits of one file, in order
+    return resolve.numbered(lines, "at", "n").select((F.col("n") - 1).alias("n"), F.col("value").alias("line"))
+
+
+_VENUES = sorted({v for names in venues.PRESETS.values() for v in names})
+_LISTED = ", ".join(f"('{p}', '{v}')" for p, names in venues.PRESETS.items() for v in names)
+
+
+@query(f"SELECT doc_id, preset FROM documents JOIN (VALUES {', '.join(f'({n}, {v!r})' for n, v in enumerate(_VENUES))}) v(n, venue) ON doc_id % {len(_VENUES) + 3} = n JOIN (VALUES {_LISTED}) p(preset, listed) ON listed = venue")
+def q_venue_presets(spark, sf):
+    """Documents of the listed venues (three in a row have another), in any case and with blanks around."""
+    at = (F.col("doc_id") % (len(_VENUES) + 3) + 1).cast("int")
+    named = F.try_element_at(F.array(*[F.lit(v) for v in _VENUES]), at)
+    rows = _table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.upper(named)).otherwise(F.concat(F.lit(" "), named)).alias("venue"))
+    return venues.with_presets(rows, "venue").select("doc_id", "preset")
+
+
+@query("""WITH f AS (SELECT user_id, min(event_type) AS list FROM events GROUP BY 1), n AS (SELECT list, count(*) AS new_keys FROM f GROUP BY 1)
+SELECT e.list, coalesce(new_keys, 0) AS new_keys, (SELECT coalesce(sum(m.new_keys), 0)::BIGINT FROM n m WHERE m.list <= e.list) AS total FROM (SELECT DISTINCT event_type AS list FROM events) e LEFT JOIN n USING (list)""")
+def q_sketched_yield(spark, sf):
+    """Exact up to 65 536 users."""
+    return resolve.sketched_yield(_table(spark, sf, "events"), "event_type", "user_id")
+
+
+@query("SELECT matched_source, count(*) AS verified FROM (SELECT CASE doc_id % 6 WHEN 0 THEN 'a' WHEN 3 THEN 'b' END AS matched_source FROM documents WHERE doc_id % 4 = 1) WHERE matched_source IS NOT NULL GROUP BY 1")
+def q_refs_by_source(spark, sf):
+    return search.refs_by_source(_verified(spark, sf))

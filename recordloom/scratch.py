@@ -70,3 +70,10 @@ def release_since(spark: SparkSession, at: int, keep: DataFrame) -> None:
 def _delete(spark: SparkSession, at: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def place(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which ``release`` deletes with the tables."""
+    path = f"{scratch_root(spark)}/recordloom/{label}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path

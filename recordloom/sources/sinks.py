@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,3 +67,43 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def write_text(entries: DataFrame, path: str) -> None:
     entries.write.mode("overwrite").text(path)
+
+
+def csv_line(columns: list[Column]) -> Column:
+    """Strings as a line of comma-separated values; quoted where they hold a comma, quote or line end."""
+    quoted = lambda c: F.when(c.rlike('[,"\\r\\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    return F.concat_ws(",", *[quoted(F.coalesce(c, F.lit(""))) for c in columns])
+
+
+def write_single(rows: DataFrame, order: str, text: str, path: str, between: str = "\n", head: str = "", tail: str = "", ends: bool = False) -> None:
+    """Write ``text`` of all rows, in ``order``, as one file: ``head``, the texts with ``between`` between
+    them (after the last one too if ``ends``), ``tail``. Null texts are empty.
+
+    Tasks write the parts, which are ranges of the order; the driver joins them as byte streams, so it
+    holds a buffer of one part and no rows. The file appears under its name only once it is whole."""
+    spark = rows.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    parts, made = f"{path}.parts-{uuid.uuid4().hex}", f"{path}.made-{uuid.uuid4().hex}"
+    at = jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(conf)
+    ranged = rows.repartitionByRange(order).sortWithinPartitions(order)
+    ranged.select(F.coalesce(text, F.lit(""))).write.option("lineSep", between).text(parts)
+    listed = [(s.getPath().getName(), s.getPath(), s.getLen()) for s in fs.listStatus(at(parts))]
+    files = sorted(((int(name.split("-")[1]), name, p, size) for name, p, size in listed if name.startswith("part-") and size), key=lambda f: f[:2])
+    out = fs.create(at(made), True)
+    try:
+        out.write(bytearray(head.encode()))
+        for n, (_, _, p, size) in enumerate(files):
+            source = fs.open(p)
+            if n == len(files) - 1 and not ends:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(jvm.org.apache.commons.io.input.BoundedInputStream(source, size - len(between.encode())), out, 1 << 20, False)
+            else:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+            source.close()
+        out.write(bytearray(tail.encode()))
+    finally:
+        out.close()
+    fs.delete(at(parts), True)
+    fs.delete(at(path), False)
+    if not fs.rename(at(made), at(path)):
+        raise OSError(f"couldn't put the file in its place: {path}")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from recordloom import registry_records as R
 from recordloom.operators import coverage, enrich, rank, report, resolve, search
 from recordloom.plans import compose
-from recordloom.sources import bundle, plans, ranks
+from recordloom.sources import bundle, plans, ranks, sinks, venues
 from recordloom.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -244,3 +244,40 @@ def test_streamed_merge_through_a_stream(spark, tmp_path):
     ingest.start(stream, f"{tmp_path}/check", merged.add).awaitTermination()
     got = {r["key"]: (r["title"], r["first_list"]) for r in merged.records(spark, 2).collect()}
     assert got == {"a": ("t", 0), "b": ("u", 0)}
+
+
+@pytest.mark.parametrize("least", [8, 99])
+def test_written_exports_equal_the_collected_ones(spark, tmp_path, least):
+    odd = F.when(F.col("doc_id") % 3 == 0, 'a "b", c').when(F.col("doc_id") % 3 == 1, "one\ntwo; é").otherwise(F.col("title"))
+    rows = R.corpus(spark, SF).filter("doc_id < 120").withColumn("topics", F.array("venue")).withColumn("title", odd).repartition(7)
+    want = bundle.export_files(rows, least)
+    bundle.write_exports(rows, str(tmp_path), least)
+    assert {p.name: p.read_bytes().decode() for p in tmp_path.iterdir() if not p.name.endswith(".crc")} == {n: t.encode().decode() for n, t in want.items()}
+
+
+def test_single_file_in_order(spark, tmp_path):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("n")).repartition(9).select("n", F.col("n").cast("string").alias("t"))
+    for _ in range(2):  # the second time over the first file
+        sinks.write_single(rows, "n", "t", f"{tmp_path}/x.txt", "--", "<", ">")
+    assert (tmp_path / "x.txt").read_text() == "<" + "--".join(map(str, range(5000))) + ">"
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["x.txt"]
+    blank = spark.createDataFrame([(1, None), (2, "")], "n int, t string")
+    sinks.write_single(blank, "n", "t", f"{tmp_path}/y.txt", "\r\n", ends=True)
+    assert (tmp_path / "y.txt").read_bytes() == b"\r\n\r\n"
+
+
+def test_sketched_yield_is_exact_when_small_and_near_when_large(spark):
+    rows = spark.range(60_000).select((F.col("id") % 4).alias("l"), (F.col("id") * 31 % 40_009).alias("k"))
+    first = rows.groupBy("k").agg(F.min("l").alias("l")).groupBy("l").count()
+    want = {r["l"]: r["count"] for r in first.collect()}
+    exact = resolve.sketched_yield(rows, "l", "k").collect()
+    assert {r["list"]: r["new_keys"] for r in exact if r["new_keys"]} == want and exact[-1]["total"] == sum(want.values())
+    near = resolve.sketched_yield(rows, "l", "k", 12).collect()
+    assert abs(near[-1]["total"] / sum(want.values()) - 1) < 4 / 2**6
+    assert resolve.sketched_yield(rows.limit(0), "l", "k").collect() == []
+
+
+def test_unknown_list_of_venues():
+    assert [len(v) for v in venues.PRESETS.values()] == [24, 50, 4, 6, 6, 1]
+    with pytest.raises(ValueError, match="FT50"):
+        venues.preset("none")
