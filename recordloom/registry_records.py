@@ -816,3 +816,42 @@ def q_sketched_yield(spark, sf):
 @query("SELECT matched_source, count(*) AS verified FROM (SELECT CASE doc_id % 6 WHEN 0 THEN 'a' WHEN 3 THEN 'b' END AS matched_source FROM documents WHERE doc_id % 4 = 1) WHERE matched_source IS NOT NULL GROUP BY 1")
 def q_refs_by_source(spark, sf):
     return search.refs_by_source(_verified(spark, sf))
+
+
+# ---- payloads ------------------------------------------------------------------------------------
+
+
+def _payloads(spark, sf):
+    """Files of up to 50 documents, by turns a list, an object of records and an object of two lists;
+    one member in seven is no object, and one year in eleven no number."""
+    i = F.col("doc_id")
+    authors = F.when(i % 2 == 0, F.to_json(F.array("lang"))).otherwise(F.to_json(F.array(F.struct(F.col("lang").alias("name")))))
+    head = F.to_json(F.struct(i.cast("string").alias("source_native_id"), F.col("text").alias("title")))
+    year = F.when(i % 11 == 5, F.lit('"n/a"')).otherwise(F.col("n_chars").cast("string"))
+    record = F.concat(F.lit('{"unknown":[1],"year":'), year, F.lit(',"authors":'), authors, F.lit(","), F.substr(head, F.lit(2)))
+    rows = _table(spark, sf, "documents").select(F.floor(i / 50).alias("occasion"), "doc_id", F.when(i % 7 == 3, F.concat(F.lit('"'), i, F.lit('"'))).otherwise(record).alias("member"))
+    files = rows.groupBy("occasion").agg(F.sort_array(F.collect_list(F.struct("doc_id", "member"))).alias("m"))
+    joined = lambda m: F.array_join(F.transform(m, lambda x: x["member"]), ",")
+    keyed = F.array_join(F.transform("m", lambda x: F.concat(F.lit('"k'), x["doc_id"], F.lit('":'), x["member"])), ",")
+    half = lambda k: joined(F.filter("m", lambda x: x["doc_id"] % 2 == k))
+    two = F.concat(F.lit('{"z":['), half(0), F.lit('],"a":['), half(1), F.lit("]}"))
+    shape = F.col("occasion") % 3
+    value = F.when(shape == 0, F.concat(F.lit("["), joined(F.col("m")), F.lit("]"))).when(shape == 1, F.concat(F.lit("{"), keyed, F.lit("}"))).otherwise(two)
+    return files.select("occasion", value.alias("value"))
+
+
+_MEMBERS = """(SELECT *, doc_id // 50 AS occasion, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY CASE WHEN (doc_id // 50) % 3 = 2 THEN doc_id % 2 ELSE 0 END, doc_id) - 1 AS pos FROM documents)"""
+
+
+@query(f"""SELECT occasion, pos, doc_id::VARCHAR AS source_native_id, md5(text) AS title, CASE WHEN doc_id % 11 <> 5 THEN n_chars::INT END AS year, lang AS author,
+  CASE WHEN doc_id % 11 = 5 THEN 'year' ELSE '' END AS misfits FROM {_MEMBERS} WHERE doc_id % 7 <> 3""")
+def q_payload_records(spark, sf):
+    """Records of payloads in three shapes, in order, with whole texts."""
+    got = converters.decode(_payloads(spark, sf))
+    return got.select("occasion", F.col("pos").cast("long").alias("pos"), "source_native_id", F.md5("title").alias("title"), "year", F.get("authors", 0)["name"].alias("author"), F.array_join("misfits", ",").alias("misfits"))
+
+
+@query(f"SELECT occasion, pos, 'member is no object' AS problem, '\"' || doc_id || '\"' AS member FROM {_MEMBERS} WHERE doc_id % 7 = 3")
+def q_payload_rejects(spark, sf):
+    got = converters.rejected(_payloads(spark, sf))
+    return got.select("occasion", F.col("pos").cast("long").alias("pos"), "problem", "member")

@@ -165,6 +165,25 @@ def test_payload_shapes(spark, tmp_path):
     assert sorted(r["title"] for r in got.collect()) == ["t1", "t2", "t3", "t4"]
 
 
+def test_payloads_with_broken_members(spark):
+    cases = [
+        (1, '[{"title":"a","year":2001,"authors":["X",{"name":"Y","is_first":true},5]},"text",7,null]'),
+        (2, '{"z":{"title":"b","year":"soon"},"a":{"title":"c","keywords":["k",1]},"l":[{"title":"no"}]}'),
+        (3, '{"refs":[{"title":"d"},[1]],"cited":[{"title":"e","year":null}]}'),
+        (4, '[{"title":"cut off"'), (5, "5"), (6, ""), (7, "[]"), (8, "{}"), (9, None), (10, '{"x":[]}'), (11, "[{}]"),
+    ]
+    rows = spark.createDataFrame(cases, "file int, value string")
+    got = sorted((r["file"], r["pos"], r["title"], r["year"], tuple(r["misfits"])) for r in converters.decode(rows).collect())
+    assert got == [(1, 0, "a", 2001, ()), (2, 0, "b", None, ("year",)), (2, 1, "c", None, ()), (3, 0, "d", None, ()), (3, 2, "e", None, ()), (11, 0, None, None, ())]
+    first = converters.decode(rows).filter("title = 'a'").first()["authors"]
+    assert [(a["name"], a["is_first"]) for a in first] == [("X", None), ("Y", True), ("5", None)]
+    left = sorted(((r["file"], r["pos"], r["problem"]) for r in converters.rejected(rows).collect()), key=repr)
+    bad, none = "member is no object", "no list or object"
+    assert left == sorted([(1, 1, bad), (1, 2, bad), (1, 3, bad), (2, 2, bad), (3, 1, bad), (4, None, none), (5, None, none), (6, None, none), (9, None, none)], key=repr)
+    few = converters.decode(rows, schema="title string, year string")
+    assert few.columns == ["file", "pos", "title", "year", "misfits"] and few.filter("year = 'soon'").count() == 1
+
+
 def test_rank_tables(spark, tmp_path):
     (tmp_path / "sjr.csv").write_text('Title;Issn;SJR;SJR Best Quartile;Categories\nA;"00280836, 14764687";18,500;-;Education (Q2); x\n', encoding="utf-8")
     got = ranks.read_sjr(spark, str(tmp_path / "sjr.csv")).orderBy("issn").collect()
