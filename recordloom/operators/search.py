@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordloom import scratch
 from recordloom.functions import normalize as N
 from recordloom.functions import scoring as S
 from recordloom.operators import rank, resolve, retrieve, verify
@@ -185,6 +186,23 @@ def legs(corpus: DataFrame, query: str, n: int, today: dt.date, low: int | None
     return out
 
 
+def ranked_legs(corpus: DataFrame, query: str, most: int, today: dt.date, low: int | None = None, high: int | None = None) -> DataFrame:
+    """What ``legs`` finds for every depth up to ``most``, matched and scored once and written: the
+    legs' rows with part (0, or 1 for the older window of the recent leg) and at, the place in the
+    part. At most 3.5 ``most`` rows. A deeper search goes on from here with ``at_depth``."""
+    found = legs(corpus, query, most, today, low, high)
+    mid = retrieve.mid_window(today, low, today.year if high is None else high)
+    older = (F.col("leg") == LEGS.index("recent")) & (F.col("published") <= F.lit(mid[1])) if mid else F.lit(False)
+    parts = found.withColumn("part", F.coalesce(older, F.lit(False)).cast("int"))
+    return scratch.cut(parts.withColumn("at", F.row_number().over(Window.partitionBy("leg", "part").orderBy("depth"))), "ranked-legs")  # 3.5 most rows
+
+
+def at_depth(ranked: DataFrame, n: int) -> DataFrame:
+    """The rows of ``legs`` for the depth ``n`` out of ``ranked_legs``: half as many of the older window."""
+    rows = ranked.filter(F.col("at") <= F.when(F.col("part") == 1, n // 2).otherwise(n))
+    return rows.withColumn("depth", F.row_number().over(Window.partitionBy("leg").orderBy("part", "at")).cast("long")).drop("part", "at")  # 3.5 n rows
+
+
 def double_sort(corpus: DataFrame, query: str, n: int, today: dt.date, low: int | None = None, high: int | None = None) -> DataFrame:
     """paper_id, votes, cites and place of what the legs find: shared records first, then the others
     in turn."""
@@ -257,9 +275,8 @@ def source_plan(primary: str, quota: dict | None = None, threshold: float = 0.05
     return ("semantic_scholar", True) if name == "auto" and fallback and spent else ("openalex", False)
 
 
-def pool(corpus: DataFrame, query: str, n: int, o: Options, supplements: list[DataFrame] = ()) -> tuple[DataFrame, DataFrame]:
-    """The deduplicated records that the legs and the supplements find, and each list's new keys."""
-    found = legs(corpus, query, n, o.today, o.year_min, o.year_max)
+def pool(found: DataFrame, o: Options, supplements: list[DataFrame] = ()) -> tuple[DataFrame, DataFrame]:
+    """The deduplicated records of the legs' rows and the supplements, and each list's new keys."""
     for i, extra in enumerate(supplements):
         rows = extra.filter(drop_after(F.col("year"), o.year_max)).withColumns({"leg": F.lit(len(LEGS) + i), "depth": F.monotonically_increasing_id()})
         found = found.unionByName(rows, allowMissingColumns=True)
@@ -279,7 +296,7 @@ def search(corpus: DataFrame, query: str, options: Options | None = None, ranks:
 
     Filters run in the order relevance, journal, rank, limit. With a rank filter on, retrieval gets
     deeper (twice the depth, up to ``max_deepen_rounds`` times) until enough records survive or
-    nothing new comes."""
+    nothing new comes. The corpus is matched and scored once for four rounds; each takes more of the ranked rows."""
     o = options or Options()
     wish = intent.parse(query)
     plan = intent.plan({"platform": o.rank_platform, "keep": o.keep_tiers, "category": o.rank_category}, wish, o.default_platform)
@@ -297,8 +314,12 @@ def search(corpus: DataFrame, query: str, options: Options | None = None, ranks:
         return rows.join(hits.select("key", rank.outcome(slot.isNotNull(), fine if filtering else F.lit(True)).alias("outcome"), F.to_json(slot).alias("rank"), *(["sjr"] if "sjr" in ranks.columns and plan["platform"] != "sjr" else []), *([plan["platform"]])), "key")
 
     depth, rounds, last, saturated = o.per_strategy, 0, None, False
+    reach, found = 0, None
     while True:
-        records, yields = pool(corpus, topic, depth, o, supplements)
+        if depth > reach:  # ranked for this round and up to three deeper ones
+            reach = depth * 2 ** (min(o.max_deepen_rounds - rounds, 3) if filtering else 0)
+            found = ranked_legs(corpus, topic, reach, o.today, o.year_min, o.year_max)
+        records, yields = pool(at_depth(found, depth), o, supplements)
         rows = ranked(records).persist()
         size, kept = rows.agg(F.count("*"), F.count_if(F.col("outcome") == "kept")).first()
         saturated = last is not None and size <= last
@@ -320,7 +341,7 @@ def search(corpus: DataFrame, query: str, options: Options | None = None, ranks:
     top = rows.filter(passed).orderBy(*order, "key").limit(o.limit)
     marks = verify.markers(F.col("doi"), F.col("abstract"), F.col("sources"))
     data = top.withColumn("place", F.row_number().over(Window.orderBy(*order, "key"))).withColumns(marks)  # ``limit`` rows
-    raw = legs(corpus, topic, depth, o.today, o.year_min, o.year_max).agg(F.count("*").alias("retrieved_raw"))
+    raw = at_depth(found, depth).agg(F.count("*").alias("retrieved_raw"))
     funnel = rows.agg(F.count("*").alias("deduplicated"), F.count_if(relevant).alias("relevant"), F.count_if(journal).alias("journal_passed"), F.count_if(passed).alias("rank_passed")).crossJoin(raw)  # one row each
     funnel = funnel.select("retrieved_raw", "deduplicated", "relevant", "journal_passed", "rank_passed", F.least("rank_passed", F.lit(o.limit)).alias("returned"))
     from recordloom.sources.reports import saturation, score_bands

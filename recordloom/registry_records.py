@@ -13,7 +13,7 @@ from recordloom.functions import normalize as N
 from recordloom.functions import scoring as S
 from recordloom.operators import index, coverage, enrich, graph, labels, rank, report, resolve, search, verify
 from recordloom.plans import compose, intent, strategy
-from recordloom.registry import _DOCS, _RCS, _TERMS, QUERY, _norm_sql, _rcs, _table, query, records
+from recordloom.registry import _DOCS, _RCS, _TERMS, QUERY, SQL, _norm_sql, _rcs, _table, query, records
 from recordloom import scratch
 from recordloom.sources import bundle, converters, ranks, reports, sinks, venues
 
@@ -127,6 +127,13 @@ def q_recent_leg(spark, sf):
     return search.run_leg(corpus(spark, sf), "recent", QUERY, 12, TODAY).select("doc_id", "depth")
 
 
+@query(SQL["q_recent_leg"])
+def q_deepened_leg(spark, sf):
+    """The same out of legs ranked once for a search that may go eight times as deep."""
+    ranked = search.ranked_legs(corpus(spark, sf), QUERY, 96, TODAY)
+    return search.at_depth(ranked, 12).filter(F.col("leg") == search.LEGS.index("recent")).select("doc_id", "depth")
+
+
 @query(f"""WITH m AS (SELECT * FROM {_SCORED} WHERE year <= 2026 AND {_MATCHES(LOOSE)}), s AS (SELECT doc_id, paper_id, citation_count, score FROM m),
 c AS (SELECT paper_id, citation_count, 0 AS leg, row_number() OVER (ORDER BY citation_count DESC, paper_id) AS depth FROM m QUALIFY depth <= 15)
 SELECT paper_id, citation_count AS cites, depth FROM c""")

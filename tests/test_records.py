@@ -27,6 +27,16 @@ def test_search_runs_end_to_end(spark):
     assert search.search(R.corpus(spark, SF), "学习", search.Options(today=R.TODAY))["language"]["ambiguous"]
 
 
+@pytest.mark.parametrize("low", [None, 2025])
+def test_legs_of_any_depth_come_from_those_ranked_once(spark, low):
+    docs = R.corpus(spark, SF)
+    ranked = search.ranked_legs(docs, R.LOOSE, 40, R.TODAY, low)
+    rows = lambda df: sorted(df.select("leg", "depth", "paper_id").collect())
+    for n in (1, 7):
+        assert rows(search.at_depth(ranked, n)) == rows(search.legs(docs, R.LOOSE, n, R.TODAY, low)) != []
+    assert not rows(search.ranked_legs(docs.limit(0), R.LOOSE, 5, R.TODAY)) and not rows(search.ranked_legs(docs, R.LOOSE, 5, R.TODAY, 2030))
+
+
 def test_query_groups():
     assert search.query_groups('("short video" OR TikTok) AND attention span') == [["short video", "tiktok"], ["attention"], ["span"]]
 
