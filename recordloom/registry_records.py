@@ -318,12 +318,14 @@ def q_merge_fields(spark, sf):
     return out.select("key", "title", "abstract", "year", "citation_count", "rcs", F.size("sources").cast("long").alias("n_sources"))
 
 
-@query(f"SELECT count(DISTINCT CASE WHEN doi IS NOT NULL THEN doi WHEN arxiv_id IS NOT NULL THEN 'a' || arxiv_id ELSE paper_id END) AS records FROM (SELECT * FROM {_W} WHERE doc_id % 5 <> 0 OR doi IS NULL)")
+@query(f"""SELECT any_value(doi) AS doi, any_value(arxiv_id) AS arxiv_id, count(*) AS listed,
+  coalesce(arg_max(citation_count, (doc_id % 3, doc_id)) FILTER (WHERE doc_id % 2 = 0 AND citation_count > 0), arg_min(citation_count, (doc_id % 3, doc_id)) FILTER (WHERE citation_count <> 0), 0)::BIGINT AS citation_count FROM {_W}
+GROUP BY CASE WHEN doi IS NOT NULL THEN doi || coalesce('a' || arxiv_id, '') WHEN arxiv_id IS NOT NULL THEN arxiv_id ELSE paper_id END""")
 def q_federate(spark, sf):
-    """Three lists become one collection."""
-    rows = corpus(spark, sf).filter((F.col("doc_id") % 5 != 0) | F.col("doi").isNull()).select("doi", "arxiv_id", "openalex_id", "title", "abstract", "year", "citation_count", "venue", "type", "issns", "sources", "rcs", "doc_id")
+    """Three lists become one collection; records of one DOI with different arXiv ids stay apart."""
+    rows = corpus(spark, sf).select("doi", "arxiv_id", "openalex_id", "title", "abstract", "year", "citation_count", "venue", "type", F.array(F.col("doc_id").cast("string")).alias("issns"), "sources", "rcs", "doc_id")
     lists = [rows.filter(F.col("doc_id") % 3 == k).drop("doc_id") for k in range(3)]
-    return resolve.federate(lists).agg(F.count("*").alias("records"))
+    return resolve.federate(lists).select("doi", "arxiv_id", "citation_count", F.size("issns").cast("long").alias("listed"))
 
 
 @query(f"""WITH r AS (SELECT p_partkey AS id, {_norm_sql('p_name')} AS t, 1995 + p_partkey % 32 AS y, p_size < 10 AS g, p_size > 30 AS p FROM part),
