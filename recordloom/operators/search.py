@@ -111,6 +111,13 @@ def drop_after(year: Column, high: int | None) -> Column:
     return retrieve.in_years(year, None, high, "keep")
 
 
+def shows(needle: str, texts: list[str], authors: str) -> Column:
+    """Whether a text or an author's name holds the needle, in any case; nulls hold nothing."""
+    low = F.lit(needle.lower())
+    hits = [F.contains(F.lower(F.col(t)), low) for t in texts] + [F.exists(authors, lambda a: F.coalesce(F.contains(F.lower(a["name"]), low), F.lit(False)))]
+    return F.exists(F.array(*hits), lambda h: F.coalesce(h, F.lit(False)))
+
+
 # ---- ranked retrieval ----------------------------------------------------------------------
 
 

@@ -827,6 +827,16 @@ def q_refs_by_source(spark, sf):
     return search.refs_by_source(_verified(spark, sf))
 
 
+_ANY = lambda w: f"(contains(lower(title), '{w}') OR contains(lower(abstract), '{w}') OR contains(lower(venue), '{w}') OR contains('ann author' || doc_id % 7, '{w}'))"
+
+
+@query(f"SELECT doc_id, coalesce({_ANY('onha')}, false) AS by_text, coalesce({_ANY('author3')}, false) AS by_author FROM {_W}")
+def q_ui_full_text(spark, sf):
+    """The display's text filter over title, abstract, venue and every author."""
+    shown = lambda needle: search.shows(needle, ["title", "abstract", "venue"], "authors")
+    return corpus(spark, sf).select("doc_id", shown("OnHa").alias("by_text"), shown("author3").alias("by_author"))
+
+
 # ---- payloads ------------------------------------------------------------------------------------
 
 

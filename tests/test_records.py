@@ -37,6 +37,12 @@ def test_legs_of_any_depth_come_from_those_ranked_once(spark, low):
     assert not rows(search.ranked_legs(docs.limit(0), R.LOOSE, 5, R.TODAY)) and not rows(search.ranked_legs(docs, R.LOOSE, 5, R.TODAY, 2030))
 
 
+def test_text_filter_with_nulls(spark):
+    rows = spark.createDataFrame([(1, "A Xy", None, [("Bo",)]), (2, None, None, None), (3, None, "b", [(None,), ("oxY",)]), (4, "", "", [])], "id int, title string, tldr string, authors array<struct<name:string>>")
+    assert [r["id"] for r in rows.filter(search.shows("XY", ["title", "tldr"], "authors")).orderBy("id").collect()] == [1, 3]
+    assert rows.filter(~search.shows("XY", ["title", "tldr"], "authors")).count() == 2
+
+
 def test_query_groups():
     assert search.query_groups('("short video" OR TikTok) AND attention span') == [["short video", "tiktok"], ["attention"], ["span"]]
 
