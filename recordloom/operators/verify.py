@@ -63,7 +63,7 @@ def similar_titles(left: DataFrame, right: DataFrame, left_id: str, right_id: st
     often = other.select(F.explode("ts").alias("t")).groupBy("t").agg(F.count("*").alias("f"))
 
     def posted(rows: DataFrame, *kept: str) -> DataFrame:
-        each = rows.select("ts", *kept, F.explode("ts").alias("t")).join(often, "t", "left").groupBy("ts", *kept).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "t"))).alias("all"))
+        each = rows.select("ts", *kept, F.explode("ts").alias("t")).join(often.hint("merge"), "t", "left").groupBy("ts", *kept).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "t"))).alias("all"))
         room = F.size("all") - F.ceil(F.lit(at_least) * F.size("all")).cast("int") + 1
         return each.select("ts", *kept, F.size("ts").alias("n"), F.posexplode(F.slice("all", F.lit(1), room).getField("t")).alias("at", "t"))
 
@@ -72,6 +72,6 @@ def similar_titles(left: DataFrame, right: DataFrame, left_id: str, right_id: st
     fits = (F.least("x.n", "y.n") >= at_least * F.greatest("x.n", "y.n")) & (1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) - 1 >= need)
     shared = F.size(F.array_intersect("x.ts", "y.ts"))
     ratio = shared / (F.col("x.n") + F.col("y.n") - shared)
-    pairs = x.join(y, (F.col("x.t") == F.col("y.t")) & F.when(fits, ratio >= at_least)).select("x.ts", F.col("y.r").alias("r"), ratio.alias("similarity"))
+    pairs = x.join(y.hint("merge"), (F.col("x.t") == F.col("y.t")) & F.when(fits, ratio >= at_least)).select("x.ts", F.col("y.r").alias("r"), ratio.alias("similarity"))
     best = pairs.groupBy("ts").agg(F.max("similarity").alias("similarity"), F.min_by("r", F.struct(-F.col("similarity"), "r")).alias("r"))
-    return a.join(best, "ts").select(F.col("id").alias(left_id), F.col("r").alias(right_id), "similarity")
+    return a.join(best.hint("merge"), "ts").select(F.col("id").alias(left_id), F.col("r").alias(right_id), "similarity")
