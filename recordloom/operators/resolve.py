@@ -160,12 +160,15 @@ def numbered(df: DataFrame, order: str, into: str) -> DataFrame:
 
 def absorb(records: DataFrame, is_guest: Column, title: str, year: str, order: str, is_preprint: Column, max_gap: int = 1) -> DataFrame:
     """guest, host: each guest record's host, of equal normalised title and a year within the
-    gap; preprint-like hosts first, then by order. Generic and empty titles are never hosts."""
+    gap; preprint-like hosts first, then by order. Generic and empty titles are never hosts.
+
+    The best host of each title and year is found once, for every year within the gap of its own, and
+    guests look it up: hosts and guests of one title aren't paired."""
     rows = records.select(F.col(order).alias("id"), N.title(F.col(title)).alias("t"), F.col(year).alias("y"), is_guest.alias("g"), is_preprint.alias("p")).filter(F.col("y").isNotNull() & (F.col("t") != "") & ~F.col("t").isin(*N.GENERIC_TITLES))
-    guests, hosts = rows.filter("g").alias("a"), rows.filter("not g").alias("b")
-    pairs = guests.join(hosts, (F.col("a.t") == F.col("b.t")) & (F.abs(F.col("a.y") - F.col("b.y")) <= max_gap))
-    best = F.min(F.struct((~F.col("b.p")).alias("late"), F.col("b.id").alias("host")))
-    return pairs.groupBy(F.col("a.id").alias("guest")).agg(best.alias("best")).select("guest", F.col("best.host").alias("host"))
+    guests, hosts = rows.filter("g"), rows.filter("not g")
+    near = F.explode(F.sequence(F.col("y") - max_gap, F.col("y") + max_gap))
+    best = hosts.select("t", near.alias("y"), F.struct((~F.col("p")).alias("late"), F.col("id").alias("host")).alias("h")).groupBy("t", "y").agg(F.min("h").alias("h"))
+    return guests.join(best, ["t", "y"]).select(F.col("id").alias("guest"), F.col("h.host").alias("host"))
 
 
 def append_new(first: DataFrame, more: DataFrame, key: str) -> DataFrame:
@@ -270,8 +273,8 @@ def absorb_records(records: DataFrame, key: str, order: str) -> DataFrame:
     host takes the guest's venue and becomes an article; its sources and empty fields are filled."""
     guest = F.coalesce(F.col("source_native_id").startswith("openreview:"), F.lit(False))
     pairs = absorb(records, guest, "title", "year", order, looks_preprint(F.col("venue"), F.col("type")))
-    found = pairs.join(records.select(F.col(order).alias("guest"), F.struct("venue", "abstract", "tldr", "sources", "keywords").alias("g")), "guest")
-    found = found.groupBy("host").agg(F.min_by("g", "guest").alias("g"), F.collect_list("guest").alias("guests"))
+    found = pairs.join(records.select(F.col(order).alias("guest"), F.struct("venue", "abstract", "tldr", "sources", "keywords").alias("g")).hint("merge"), "guest")
+    found = found.groupBy("host").agg(F.min_by("g", "guest").alias("g"))
     joined = records.join(found, records[order] == found["host"], "left")
     was = looks_preprint(F.col("venue"), F.col("type"))
     takes = F.col("g").isNotNull() & was & (F.col("g.venue") != "")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from recordloom.operators import rank, verify
+from recordloom.operators import rank, resolve, verify
 
 
 def plan(df):
@@ -25,3 +25,13 @@ def test_journals_of_one_long_chain(spark):
     assert "Python" not in plan(out) and "Pandas" not in plan(out)
     got = dict(map(tuple, out.collect()))
     assert len(got) == 400 and got[0] == 0 and {got[n] for n in range(1, 400)} == {1} and set(table.values()) == {1}
+
+
+def test_guests_and_hosts_of_one_title_are_not_paired(spark):
+    rows = spark.range(60000).select("id", F.lit("One title").alias("t"), (2000 + F.col("id") % 3).alias("y"))
+    out = resolve.absorb(rows, F.col("id") % 2 == 1, "t", "y", "id", F.col("id") % 10 == 4)
+    wide = [line for line in plan(out).split("\n") if "Join" in line]
+    assert len(wide) == 1 and "abs(" not in wide[0]  # 900 million pairs otherwise
+    assert out.count() == 30000
+    best = {r["guest"]: r["host"] for r in out.filter("guest < 7").collect()}
+    assert best == {1: 4, 3: 4, 5: 4}
