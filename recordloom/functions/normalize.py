@@ -47,7 +47,7 @@ def arxiv_id(c: Column) -> Column:
 
 def title(c: Column) -> Column:
     """Lower-cased, without a parenthesis at the very end; Latin letters, digits and CJK stay."""
-    out = F.regexp_replace(F.lower(c), r"\([^)]*\)\s*$", "")
+    out = F.regexp_replace(F.lower(c), r"\([^)]*\)[\t\n\f\r ]*\z", "")
     return F.regexp_replace(out, f"[^a-z0-9{HAN}{KANA}{HANGUL}]", "")
 
 

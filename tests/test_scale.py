@@ -1,7 +1,9 @@
 """What larger tables and odd rows have shown: plans, chains, ties, keys."""
 
+import duckdb
 from pyspark.sql import functions as F
 
+from recordloom import registry
 from recordloom.operators import rank, resolve, verify
 
 
@@ -35,3 +37,18 @@ def test_guests_and_hosts_of_one_title_are_not_paired(spark):
     assert out.count() == 30000
     best = {r["guest"]: r["host"] for r in out.filter("guest < 7").collect()}
     assert best == {1: 4, 3: 4, 5: 4}
+
+
+def with_documents(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    return str(tmp_path), con
+
+
+def test_canonical_key_of_odd_titles_equals_sql(spark, tmp_path):
+    odd = [None, "", "!!!", "Привет", "(only)", "Title (x)", "Title (x)\x0b", "Title (x)\u0085", "Title (x) \r"]
+    sf, con = with_documents(spark, tmp_path, [(3 * i + k, t, "en", "src1", 5) for i, t in enumerate(odd) for k in range(3)])
+    got = registry.QUERIES["q_canonical_key"](spark, sf).orderBy("doc_id").collect()
+    cur = con.execute(f"SELECT doc_id, key FROM ({registry.SQL['q_canonical_key']}) ORDER BY doc_id")
+    assert [tuple(r) for r in got] == cur.fetchall()
