@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,16 +116,23 @@ def conflict_variants(records: DataFrame, key: str, ids: str | list[str], order:
 
 
 def sketched_yield(rows: DataFrame, list_: str, key: str, lg_entries: int = 16) -> DataFrame:
-    """list, new_keys and total like ``marginal_yield`` with its running count, from one theta sketch a list
-    (at most 2^``lg_entries`` hashes of 8 bytes each): tasks merge sketches, no key is shuffled. Exact
-    up to that many distinct keys; beyond, the standard error of a total is 1 / sqrt(2^``lg_entries``)
-    (0.4 % at 16), and new_keys are off by as much of the total."""
-    each = rows.groupBy(F.col(list_).alias("list")).agg(F.theta_sketch_agg(F.col(key), lg_entries).alias("own"))
-    w = Window.orderBy("list")  # a row a list
+    """list, new_keys and total like ``marginal_yield`` with its running count, from theta sketches of
+    2^``lg_entries`` hashes (of 8 bytes) at most: tasks merge sketches, no key is shuffled.
+
+    A sketch is exact up to its number of entries. A first one over all keys says how many there are;
+    the keys are dealt by hash into so many parts that each has half as many as a sketch holds, and each
+    part has its own sketch of each list. Parts share no key, so their counts add up, exactly."""
+    of = F.col(key)
+    about = rows.agg(F.theta_sketch_estimate(F.theta_sketch_agg(of, lg_entries)).alias("n")).first()["n"] or 0
+    parts = 1 if about <= 2 ** (lg_entries - 1) else math.ceil(about / 2 ** (lg_entries - 1))
+    part = F.pmod(F.xxhash64(of), F.lit(parts)) if parts > 1 else F.lit(0).cast("long")
+    each = rows.groupBy(F.col(list_).alias("list"), part.alias("part")).agg(F.theta_sketch_agg(of, lg_entries).alias("own"))
+    w = Window.partitionBy("part").orderBy("list")  # a row a list
     so_far = each.withColumn("all", F.theta_union_agg("own", lg_entries).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     so_far = so_far.withColumn("before", F.lag("all").over(w))
     new = F.when(F.col("before").isNull(), F.theta_sketch_estimate("own")).otherwise(F.theta_sketch_estimate(F.theta_difference("own", "before")))
-    return so_far.select("list", new.cast("long").alias("new_keys"), F.theta_sketch_estimate("all").cast("long").alias("total"))
+    lists = so_far.groupBy("list").agg(F.sum(new.cast("long")).alias("new_keys"))
+    return lists.select("list", "new_keys", F.sum("new_keys").over(Window.orderBy("list")).alias("total"))  # a row a list
 
 
 def marginal_yield(records: DataFrame, list_idx: str, key: str) -> DataFrame:
@@ -240,17 +249,24 @@ def merge_records(records: DataFrame, key: str, order: list[str], now: int = 202
     return merged.select(key, *[c for c in records.columns if c != key and c not in order])
 
 
-def federate(lists: list[DataFrame], now: int = 2026) -> DataFrame:
+def federate(lists: list[DataFrame], now: int = 2026, order: str | None = None) -> DataFrame:
     """Deduplicated records of ordered lists with the canonical fields: keys, conflict guard, field
-    merge. A record that clashes with its key's base goes under the key and ``|v2``, ``|v3``, ..."""
+    merge. A record that clashes with its key's base goes under the key and ``|v2``, ``|v3``, ...; those
+    of one key with the same DOI and arXiv id are one.
+    A list's records go by its column ``order``, which must be unique and isn't returned; without it as
+    they are read, and the order in which Spark reads files isn't that of their names."""
     every = None
     for i, df in enumerate(lists):
-        one = df.withColumns({"list_idx": F.lit(i), "pos": F.monotonically_increasing_id()})
+        one = df.withColumns({"list_idx": F.lit(i), "pos": F.col(order) if order else F.monotonically_increasing_id()}).drop(*[order] if order else [])
         every = one if every is None else every.unionByName(one, allowMissingColumns=True)
     named = {"doi": "doi", "arxiv": "arxiv_id", "pmid": "pmid", "openalex": "openalex_id", "ss": "ss_paper_id", "native": "source_native_id"}
     ids = {k: F.col(c) for k, c in named.items() if c in every.columns}
     keyed = every.withColumns({"key": canonical_key(ids, F.col("title"), F.col("year")), "_d": N.doi(ids["doi"]), "_a": N.arxiv_id(ids["arxiv"])})
-    keyed = conflict_variants(keyed, "key", ["_d", "_a"], ["list_idx", "pos"]).drop("_d", "_a")
+    keyed = conflict_variants(keyed, "key", ["_d", "_a"], ["list_idx", "pos"])
+    named_so = keyed.withColumn("_ids", F.concat_ws("\n", F.coalesce("_d", F.lit("")), F.coalesce("_a", F.lit("")))).drop("_d", "_a")
+    apart = named_so.filter("variant > 1")
+    same = apart.groupBy("key", "_ids").agg(F.min("variant").alias("variant"))
+    keyed = named_so.filter("variant = 1").unionByName(apart.drop("variant").join(same, ["key", "_ids"])).drop("_ids")
     keyed = keyed.withColumn("key", F.when(F.col("variant") > 1, F.concat("key", F.lit("|v"), "variant")).otherwise(F.col("key"))).drop("variant")
     return merge_records(keyed, "key", ["list_idx", "pos"], now)
 

@@ -59,3 +59,25 @@ def test_exported_places_are_settled_by_the_last_tie(spark):
     rows = spark.range(300).select((F.lit(299) - F.col("id")).alias("n"), F.lit("10.5/1").alias("paper_id"), F.lit(9).alias("rcs"), F.lit(1).alias("citation_count")).repartition(7)
     out = bundle.exported(rows, 8, ("paper_id", "n"))
     assert all(r["place"] == r["n"] + 1 for r in out.collect())
+
+
+def test_sketched_yield_is_exact_beyond_a_sketch(spark):
+    rows = spark.range(60_000).select((F.col("id") % 4).alias("l"), (F.col("id") * 31 % 40_009).alias("k"))
+    plain_ = {r["list"]: r["new_keys"] for r in resolve.marginal_yield(rows, "l", "k").collect()}
+    got = resolve.sketched_yield(rows, "l", "k", 8).orderBy("list").collect()  # 256 hashes a sketch
+    assert {r["list"]: r["new_keys"] for r in got} == plain_ and got[-1]["total"] == 40_009
+
+
+def test_federate_goes_by_its_order_and_joins_equal_ids(spark):
+    kind = "n int, doi string, arxiv_id string, openalex_id string, title string, year int, citation_count long, sources array<string>, rcs int"
+    rows = [(3, "d", "a2", None, "t", 2000, 3, ["x"], None), (2, "d", "a2", None, "t", 2000, 2, ["x"], None), (1, "d", "a1", None, "t", 2000, 1, ["x"], None)]
+    out = resolve.federate([spark.createDataFrame(rows, kind)], order="n")
+    assert sorted((r["arxiv_id"], r["citation_count"]) for r in out.collect()) == [("a1", 1), ("a2", 2)] and "n" not in out.columns
+
+
+def test_federate_and_source_dedup_of_long_ids_equal_sql(spark, tmp_path):
+    ids = [2275, 2475, 22475, 22755, 100005, 100009, 100010, 100015, 100405, 224755]
+    sf, con = with_documents(spark, tmp_path, [(i, f"t{i}", "en", "src1", i % 1000) for i in ids])
+    for name, columns in (("q_source_dedup", "doc_id"), ("q_federate", "doi, arxiv_id, citation_count, listed")):
+        got = sorted((tuple(r) for r in registry.QUERIES[name](spark, sf).selectExpr(*columns.split(", ")).collect()), key=repr)
+        assert got == sorted(con.execute(f"SELECT {columns} FROM ({registry.SQL[name]})").fetchall(), key=repr)
