@@ -13,9 +13,14 @@ def neighbours(edges: DataFrame, seeds: DataFrame, node: str, references: int, c
     both, unless ``cited_by`` is given), smallest ids first. ``edges``: src cites dst."""
     out = edges.join(seeds.select(F.col(node).alias("src")), "src").select(F.col("src").alias("seed"), F.col("dst").alias("neighbour"), F.lit("references").alias("direction"))
     back = edges.join(seeds.select(F.col(node).alias("dst")), "dst").select(F.col("dst").alias("seed"), F.col("src").alias("neighbour"), F.lit("cited_by").alias("direction"))
-    w = Window.partitionBy("seed", "direction").orderBy("neighbour")
-    most = F.when(F.col("direction") == "references", references).otherwise(references if cited_by is None else cited_by)
-    return out.union(back).distinct().withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most).drop("r")
+
+    def nearest(pairs: DataFrame, most: int) -> DataFrame:
+        """Equal pairs have one rank; a rank below a number is a limit that Spark applies before it
+        moves rows, so that a task holds little of a seed with many neighbours."""
+        w = Window.partitionBy("seed").orderBy("neighbour")
+        return pairs.withColumn("r", F.dense_rank().over(w)).filter(F.col("r") <= most).drop("r").distinct()
+
+    return nearest(out, references).unionByName(nearest(back, references if cited_by is None else cited_by))
 
 
 #: Hops of citation chasing by tier.
@@ -49,12 +54,13 @@ def chase(edges: DataFrame, scores: DataFrame, known: DataFrame, hops: int, per_
 
 def expand(edges: DataFrame, seeds: DataFrame, node: str, hops: int) -> DataFrame:
     """node and hop: what is reached over undirected edges within ``hops``, at its first hop."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).toDF("src", "dst").distinct()
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).toDF("src", "dst")
     seen = seeds.select(F.col(node).alias("node")).distinct().withColumn("hop", F.lit(0))
     front = seen
     for k in range(1, hops + 1):
+        # edges aren't made distinct, what they reach is; the front is written, so that its true size is known
         new = both.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        front = new.join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(k))
+        front = cut(new.join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(k)), "front")
         seen = seen.union(front)
     return seen
 
