@@ -37,6 +37,12 @@ def cut(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, each: int = 4) -> DataFrame:
+    """``df`` dealt evenly over ``each`` tasks a core. A table of short rows is one small file, and work
+    on its rows that is long for their size would be one task's."""
+    return df.repartition(each * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete the files of tables that ``cut`` gave. Nothing may be built on them any more but what
     has been written."""

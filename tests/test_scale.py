@@ -4,7 +4,8 @@ import duckdb
 from pyspark.sql import functions as F
 
 from recordloom import registry
-from recordloom.operators import rank, resolve, verify
+from recordloom.operators import graph, rank, resolve, verify
+from recordloom.plans import intent, strategy
 from recordloom.sources import bundle
 
 
@@ -81,3 +82,26 @@ def test_federate_and_source_dedup_of_long_ids_equal_sql(spark, tmp_path):
     for name, columns in (("q_source_dedup", "doc_id"), ("q_federate", "doi, arxiv_id, citation_count, listed")):
         got = sorted((tuple(r) for r in registry.QUERIES[name](spark, sf).selectExpr(*columns.split(", ")).collect()), key=repr)
         assert got == sorted(con.execute(f"SELECT {columns} FROM ({registry.SQL[name]})").fetchall(), key=repr)
+
+
+def test_neighbours_are_limited_before_they_move(spark):
+    edges = spark.createDataFrame([(1, n) for n in range(9, 1, -1)] + [(1, 2), (1, 2), (3, 1), (4, 1)], "src int, dst int")
+    out = graph.neighbours(edges, spark.createDataFrame([(1,)], "n int"), "n", 2, 1)
+    assert plan(out).count("WindowGroupLimit") == 4  # before and after the shuffle, in both directions
+    assert sorted((r["neighbour"], r["direction"]) for r in out.collect()) == [(2, "references"), (3, "cited_by"), (3, "references")]
+
+
+def test_expand_makes_no_edge_distinct(spark):
+    edges = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (3, 4), (5, 6)], "src int, dst int")
+    out = graph.expand(edges, spark.createDataFrame([(1,)], "n int"), "n", 2)
+    assert "Aggregate" not in plan(out).split("Scan parquet")[-1] and sorted(map(tuple, out.collect())) == [(1, 0), (2, 1), (3, 2)]
+    assert "keys=[src" not in plan(out)
+
+
+def test_rows_that_take_long_are_spread(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t").select("id", F.lit("sleep Q2").alias("q"), F.lit("b").alias("b"), F.lit(2).alias("gap"))
+    at_least = spark.sparkContext.defaultParallelism
+    assert intent.parse_frame(rows, "q").select(F.spark_partition_id()).distinct().count() >= at_least
+    made = strategy.compile_frame(rows, "id", ["q", "b"], "b", "gap")
+    assert made.select(F.spark_partition_id()).distinct().count() >= at_least and made.count() == 800
