@@ -24,12 +24,28 @@ def _part(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
 
 
+def postings(words: Column) -> Column:
+    """term and places (ascending) of each distinct word of an array, within its row: words are sorted
+    with their places and cut where the word changes."""
+    bound = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("place"))))
+
+    def runs(rows: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(rows) - 1), lambda i: F.coalesce(F.get(rows, i)["term"] != F.get(rows, i - 1)["term"], F.lit(True)))
+        one = lambda all_: F.transform(all_, lambda a, k: F.struct(F.get(rows, a)["term"].alias("term"), F.transform(F.slice(rows, a + 1, F.coalesce(F.get(all_, k + 1), F.size(rows)) - a), lambda x: x["place"]).alias("places")))
+        return bound(begins, one)
+
+    return F.when(F.size(words) > 0, bound(placed, runs))
+
+
 def build(corpus: DataFrame, key: str, texts: list[str]) -> DataFrame:
     """part, term, key and places (ascending) of each word in each record. Texts that are null have no
     words; records of one key are one."""
     joined = F.lower(F.concat_ws(" \n ", *[F.col(c) for c in texts]))
-    each = corpus.select(F.col(key).alias("key"), F.posexplode(F.regexp_extract_all(joined, F.lit(WORD), 0)).alias("place", "term"))
-    found = each.groupBy("key", "term").agg(F.sort_array(F.collect_set("place")).alias("places"))  # of one text
+    words = F.regexp_extract_all(joined, F.lit(WORD), 0)
+    found = corpus.select(F.col(key).alias("key"), F.explode(postings(words)).alias("p")).select("key", "p.term", "p.places")
+    if not corpus.groupBy(key).count().filter("count > 1").isEmpty():
+        found = found.groupBy("key", "term").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
     rows = found.withColumn("part", _part(F.col("term")))
     dealt = rows.repartition(PARTS, "part", F.pmod(F.xxhash64("key"), F.lit(FILES))).sortWithinPartitions("part", "term", "key")
     return cut(dealt.select("term", "key", "places", "part"), "postings", by=["part"])

@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from recordloom import registry
-from recordloom.operators import graph, rank, resolve, verify
+from recordloom.operators import graph, index, rank, resolve, verify
 from recordloom.plans import intent, strategy
 from recordloom.sources import bundle
 
@@ -105,3 +105,12 @@ def test_rows_that_take_long_are_spread(spark, tmp_path):
     assert intent.parse_frame(rows, "q").select(F.spark_partition_id()).distinct().count() >= at_least
     made = strategy.compile_frame(rows, "id", ["q", "b"], "b", "gap")
     assert made.select(F.spark_partition_id()).distinct().count() >= at_least and made.count() == 800
+
+
+def test_postings_are_made_within_rows(spark):
+    rows = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None), (4, "x")], "id int, t string").select("id", F.regexp_extract_all("t", F.lit(r"\w+"), 0).alias("w"))
+    out = rows.select("id", F.explode(index.postings(F.col("w"))).alias("p")).select("id", "p.*")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [(1, "a", [1]), (1, "b", [0, 2]), (4, "x", [0])]
+    twice = spark.createDataFrame([(1, "a b"), (1, "b a a")], "id int, t string")
+    assert sorted((r["term"], r["places"]) for r in index.build(twice, "id", ["t"]).collect()) == [("a", [0, 1, 2]), ("b", [0, 1])]
