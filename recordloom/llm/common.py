@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import cut, forget, release, scratch_root  # noqa: F401
+from ..scratch import cut, forget, release, scratch_root, settled  # noqa: F401
 
 #: A word of the shingle operators: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

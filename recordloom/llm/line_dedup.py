@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.greedy import decided
-from .common import cut, forget, fresh
+from .common import cut, forget, fresh, settled
 
 MIN_CHARS = 32
 #: The least length of a line and the edits allowed from there on.
@@ -357,7 +357,7 @@ def _removed(rows: DataFrame, edits: int | Sequence[tuple[int, int]], least: int
     keyed = lines.select("at.key", "h1", "h2", *[c.alias(n) for c, n in zip(index + probes, names[0] + names[1], strict=True)])
     distinct = keyed.groupBy("h1", "h2").agg(F.min("key").alias("key"), F.count("*").alias("n"), *[F.max(n).alias(n) for n in names[0] + names[1]])
     distinct = cut(distinct, "lines")
-    pairs = _candidates(distinct, lines, *names, bands)
+    pairs = settled(lambda: _candidates(distinct, lines, *names, bands), "line-pairs")
     texts = _texts(lines, distinct, pairs.select(F.explode(F.array(F.struct(F.col("h1a").alias("h1"), F.col("h2a").alias("h2")), F.struct(F.col("h1b").alias("h1"), F.col("h2b").alias("h2")))).alias("x")).select("x.*"))
     of = lambda t: texts.select(F.col("h1").alias(f"h1{t}"), F.col("h2").alias(f"h2{t}"), F.struct("line", "n", F.struct("at.*", "h1", "h2").alias("at")).alias(t))
     both = pairs.join(of("a"), ["h1a", "h2a"]).join(of("b"), ["h1b", "h2b"])
@@ -367,15 +367,18 @@ def _removed(rows: DataFrame, edits: int | Sequence[tuple[int, int]], least: int
     sized = both.select(group.alias("group"), F.col("a.at").alias("one"), F.col("b.at").alias("two"), F.when(shorter, F.col("a")).otherwise(F.col("b")).alias("s"), F.when(shorter, F.col("b")).otherwise(F.col("a")).alias("l"))
     sized = cut(sized.select("group", "one", "two", F.col("s.line").alias("x"), F.col("l.line").alias("y"), _threshold(F.col("s.n"), bands).alias("edits"), (F.col("l.n") - F.col("s.n")).alias("gap")), "line-candidates")
     forget(texts)
-    near = within(sized.filter("gap <= edits"), "x", "y", sorted({e for _, _, e in bands}), "edits")
+    near = settled(lambda: within(sized.filter("gap <= edits"), "x", "y", sorted({e for _, _, e in bands}), "edits").select("group", "one", "two"), "line-near")
+    forget(sized, pairs)
     rivals = decided(near.select("group", F.explode(F.array("one", "two")).alias("at")), "group", "at").filter("not kept").select("at.h1", "at.h2")
 
     counted = distinct.select("h1", "h2", F.col("key").alias("least"), "n").join(rivals.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
-    marked = counted.filter("n > 1 or near").select("h1", "h2", "least", F.coalesce("near", F.lit(False)).alias("near"))
-    # A line that most rows have is one key of this join; as an inner join, adaptive execution splits it.
+    marked = cut(counted.filter("n > 1 or near").select("h1", "h2", "least", F.coalesce("near", F.lit(False)).alias("near")), "line-marked")
+    forget(distinct, near)
+    # A line that most rows have is one key of this join; adaptive execution splits it, as it is an inner
+    # join of two exchanges (``marked`` was written, else the join that it comes from would be in one stage with this one).
     seen = lines.select("row", "at", "h1", "h2").join(marked, ["h1", "h2"])
     seen = cut(seen.select("row", "at.pos", "h1", "h2", "near", F.col("at.key").eqNullSafe(F.col("least")).alias("early")), "line-seen")
-    forget(distinct, pairs)
+    forget(marked)
     # Of the occurrences with the smallest key, only the first one stays.
     early = seen.filter("early and not near").select("h1", "h2", F.struct("row", "pos").alias("at"))
     first = early.groupBy("h1", "h2").agg(F.min("at").alias("first"))
@@ -399,7 +402,7 @@ def repeated_lines(df: DataFrame, key: str, text: str, edits: int | Sequence[tup
     numbered, at = _numbered(df)
     rows = numbered.select(F.col(at).alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     other = fresh(numbered, "_of")
-    gone = _removed(rows, edits, least, equal_from).toDF(other, into)
+    gone = settled(lambda: _removed(rows, edits, least, equal_from), "line-gone").toDF(other, into)
     return numbered.join(gone, F.col(at) == F.col(other), "left").select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(into, F.array().cast("array<int>")).alias(into))
 
 

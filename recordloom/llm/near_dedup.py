@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import cut
+from .common import cut, forget, settled
 from .components import components
 
 COORDINATES = 64
@@ -165,13 +165,18 @@ def _links(nodes: DataFrame, sets: DataFrame, num: int, den: int, rounds: int) -
     rivals = lists.select("node", "pair").join(leaders, "pair").filter(F.col("node") != F.col("first.node")).groupBy("node", "first").agg(F.count("*").alias("hits"))
     rivals = cut(rivals.select(F.col("node").alias("a"), F.col("first.node").alias("b"), F.struct("hits", "first.weight", F.col("first.node").alias("b")).alias("merit")), "rivals")
     labels = links = tried = None
+    turns = []
     for k in range(rounds):
         left = rivals if labels is None else _new(rivals, labels).join(tried, ["a", "b"], "left_anti")
         turn = cut(left.groupBy("a").agg(F.max("merit").alias("merit")).select("a", F.col("merit.b").alias("b")), f"turn-{k}")
+        turns.append(turn)
         found = cut(_verified(turn, nodes, sets, num, den), f"links-{k}")
         tried, links = (turn, found) if k == 0 else (tried.union(turn), links.union(found))
         if k == 0 or not found.isEmpty():
-            labels = components(links)
+            labels, before = components(links), labels
+            if k:
+                forget(before)
+    forget(rivals, *turns)
     # What the leaders left open: pairs of one list in different components, at their first common list.
     placed = lists.select("node", "pair").join(nodes.select("node", "n_shingles", "common", "bits", "prefix"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = placed.groupBy("pair").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("pair")
@@ -184,22 +189,31 @@ def _links(nodes: DataFrame, sets: DataFrame, num: int, den: int, rounds: int) -
         # Nested, so that the dearer tests run only where the cheaper ones pass.
         & F.when(_roomy(num, den, one, other), F.when(F.array_min(F.array_intersect("x.prefix", "y.prefix")) == F.col("x.pair"), _possible(num, den, one, other))),
     ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    rest = cut(_verified(cut(pairs, "open-pairs"), nodes, sets, num, den), "links-rest")
+    pairs = cut(pairs, "open-pairs")
+    forget(open_)
+    rest = cut(_verified(pairs, nodes, sets, num, den), "links-rest")
+    forget(pairs)
     return labels if rest.isEmpty() else components(links.union(rest))
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, num: int = 75, den: int = 100, rounds: int = ROUNDS) -> DataFrame:
     """key, n_shingles, component_id (the smallest key reachable by links) and kept."""
+    return settled(lambda: _classes(df, key, text, num, den, rounds), "near-classes")
+
+
+def _classes(df: DataFrame, key: str, text: str, num: int, den: int, rounds: int) -> DataFrame:
     rows = cut(signed(df, key, text), "signed")
     groups = cut(rows.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("uid").alias("node"), F.min("key").alias("least")), "set-groups")
     reps = rows.join(groups.select(F.col("node").alias("uid")), "uid", "left_semi").withColumnRenamed("uid", "node")
     posted = cut(_postings(reps), "postings")
-    nodes = cut(reps.select("node", "key", "digest", "n_shingles", "signature").join(posted, "node"), "posted-nodes")
+    placed = cut(reps.select("node", "key", "digest", "n_shingles", "signature").join(posted, "node"), "posted-nodes")
+    forget(posted)
     source = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("digest"), F.col(text).alias("t"))
-    texts = source.join(nodes.select("key", "digest", "node"), (source["digest"] == nodes["digest"]) & source["key"].eqNullSafe(nodes["key"]))
+    texts = source.join(placed.select("key", "digest", "node"), (source["digest"] == placed["digest"]) & source["key"].eqNullSafe(placed["key"]))
     sets = cut(_sets(texts.select("node", "t")).dropDuplicates(["node"]), "sets")
-    nodes = nodes.join(_shared(sets), "node").filter(den * F.col("common") >= num * F.col("n_shingles"))
+    nodes = placed.join(_shared(sets), "node").filter(den * F.col("common") >= num * F.col("n_shingles"))
     nodes = cut(nodes.select("node", "n_shingles", "common", "bits", "signature", "weight", "prefix"), "able-nodes")
+    forget(placed)
     labels = _links(nodes, sets, num, den, rounds)
     least = groups.join(labels, "node").groupBy("label").agg(F.min("least").alias("component_id"))
     found = groups.join(labels.join(least, "label"), "node", "left").select("s1", "s2", F.coalesce("component_id", "least").alias("component_id"))

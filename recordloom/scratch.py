@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _scratch: list[str] = []
+_own = threading.local()  # paths: what this thread has written inside of ``settled``
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -32,11 +35,31 @@ def cut(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
     path = f"{scratch_root(spark)}/recordloom/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").partitionBy(*by or []).parquet(path)
     _scratch.append(path)
+    if getattr(_own, "paths", None) is not None:
+        _own.paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
 
+def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What ``make`` gives, after ``cut`` unless it comes from there. The tables that ``make`` wrote on
+    its way go."""
+    outer, _own.paths = getattr(_own, "paths", None), []
+    try:
+        out = make()
+        out = out if vars(out).get("_scratch") in _own.paths else cut(out, label)
+        for path in _own.paths:
+            if path != out._scratch and path in _scratch:
+                _scratch.remove(path)
+                _delete(out.sparkSession, path)
+        if outer is not None:
+            outer.append(out._scratch)
+    finally:
+        _own.paths = outer
+    return out
+
+
 def spread(df: DataFrame, each: int = 4) -> DataFrame:
     """``df`` dealt evenly over ``each`` tasks a core. A table of short rows is one small file, and work
     on its rows that is long for their size would be one task's."""
