@@ -163,52 +163,53 @@ def _segment(length: Column, i: int | Column, edits: int | Column) -> tuple[Colu
     return start.cast("int"), (short + (longer >= parts - i).cast("int")).cast("int")
 
 
-def _key(length: Column, i: int, part: Column) -> Column:
-    return F.xxhash64(length.cast("int"), F.lit(i), part)
-
-
-def _rest(line: Column, length: Column, i: int, longer: int, edits: int) -> Column:
-    """For one edit: hashes of the two parts of what is beside segment ``i``, the first one from
-    the rest's start and the last one from its end. One edit leaves one of them as it is."""
-    if edits != 1:
-        return F.lit(0).cast("long")
-    first, second = _segment(length, 0, edits)[1], _segment(length, 1, edits)[1]
-    size, begin = (second, first + 1) if i == 0 else (first, F.lit(1))
-    head = F.floor(size / 2).cast("int")
-    parts = F.hash(F.substring(line, begin, head)), F.hash(F.substring(line, begin + head + longer, size - head))
-    return F.shiftleft(parts[0].cast("long"), 32).bitwiseOR(parts[1].cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-
-
-def _keys(line: Column, n: Column, bands: list[Band]) -> tuple[list[Column], list[Column]]:
-    """Keys and rests, in turn, that a line is indexed under, then the further ones that it probes
-    with (it probes with the former too, for lines of its length). Null where a band has fewer."""
-    index: dict[int, list[tuple[Column, Column, Column]]] = {}
-    probes: dict[tuple[int, int], list[tuple[Column, Column, Column]]] = {}
-    for low, high, edits in bands:
-        for longer in range(edits + 1):  # than the indexed line
-            length, at = n - longer, 0
-            fits = (n >= low + longer) if high is None else n.between(low + longer, high - 1 + longer)
-            for i in range(edits + 1):
-                start, size = _segment(length, i, edits)
-                for shift in range(max(-i, longer - (edits - i)), min(i, longer + (edits - i)) + 1):
-                    entry = (fits, _key(length, i, F.substring(line, start + shift, size)), _rest(line, length, i, longer, edits))
-                    if longer == shift == 0:
-                        index.setdefault(i, []).append(entry)
-                    else:
-                        probes.setdefault((longer, at), []).append(entry)
-                        at += 1
-
-    def chosen(groups) -> list[Column]:
-        out = []
-        for _, entries in sorted(groups.items()):
-            for k in (1, 2):
-                one = F.lit(None).cast("long")
-                for e in entries:
-                    one = F.when(e[0], e[k]).otherwise(one)
-                out.append(one)
-        return out
-
-    return chosen(index), chosen(probes)
+Names = list[tuple[str, str | None]]
+
+
+def _keyed(lines: DataFrame, bands: list[Band]) -> tuple[DataFrame, Names, Names]:
+    """key, h1, h2 of ``lines`` and the keys that each is indexed under, then the further ones that it
+    probes with (it probes with the former too, for lines of its length); null where it has fewer.
+    Also the names of these columns, each with that of its rest or None.
+
+    For one edit, a rest is two hashes of what is beside the segment: of the part from the rest's
+    start and of the one from its end. One edit leaves one of them as it is.
+
+    Segments are cut from four bytes a sign, where they are found without going through the line.
+    One expression serves all thresholds. With the lambda of the rests, Spark makes several methods
+    of these columns; of one that long, the JVM would interpret every step."""
+    top = max(e for _, _, e in bands)
+    rows = lines.select("at.key", "h1", "h2", F.encode("line", "UTF-32").alias("wide"), F.coalesce("n", F.lit(0)).alias("n"))
+    rows = rows.select("*", *[F.coalesce(_threshold(F.col("n") - d, bands), F.lit(-1)).alias(f"e{d}") for d in range(top + 1)])
+    shorts = [F.when(F.col(f"e{d}") >= 0, F.floor((F.col("n") - d) / (F.col(f"e{d}") + 1))).otherwise(0).cast("int").alias(f"s{d}") for d in range(top + 1)]
+    rows = rows.select("*", *shorts)
+    n, signs = F.col("n"), lambda start, size: F.substring("wide", 4 * start - 3, 4 * size)
+
+    def segment(i: int, d: int) -> tuple[Column, Column]:
+        e, short = F.col(f"e{d}"), F.col(f"s{d}")
+        over = n - d - short * (e + 1) - (e + 1 - i)  # the longer segments come last
+        return short * i + F.greatest(F.lit(0), over) + 1, short + (over >= 0).cast("int")
+
+    def rest(i: int, d: int) -> Column:
+        short = F.col(f"s{d}")
+        size, begin = (n - d - short, short + 1) if i == 0 else (short, F.lit(1))
+        head = F.shiftright(size, 1)
+        parts = F.array(*[F.struct(at.alias("at"), long.alias("size")) for at, long in ((begin, head), (begin + head + d, size - head))])
+        one = lambda p: F.hash(signs(p["at"], p["size"])).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+        return F.aggregate(parts, F.lit(0).cast("long"), lambda s, p: F.shiftleft(s, 32).bitwiseOR(one(p)))
+
+    index, probes, columns = [], [], []
+    for d in range(top + 1):  # how much longer the line is than the indexed one
+        for i in range(top + 1):
+            for shift in range(max(-i, d - (top - i)), min(i, d + (top - i)) + 1):
+                least = max(i, d, d + i - shift, i + shift - d)  # edits that allow this segment here
+                own, name = (index, f"i{i}") if d == shift == 0 else (probes, f"p{len(probes)}")
+                start, size = segment(i, d)
+                columns.append(F.when(F.col(f"e{d}") >= least, F.xxhash64(n - d, F.lit(i), signs(start + shift, size))).alias(name))
+                beside = f"{name}_rest" if least <= 1 and any(e == 1 for _, _, e in bands) else None
+                if beside:
+                    columns.append(F.when(F.col(f"e{d}") == 1, rest(i, d)).otherwise(F.lit(0).cast("long")).alias(beside))
+                own.append((name, beside))
+    return rows.select("key", "h1", "h2", *columns), index, probes
 
 
 def _lines(rows: DataFrame, least: int) -> DataFrame:
@@ -231,10 +232,10 @@ def _texts(lines: DataFrame, distinct: DataFrame, ids: DataFrame) -> DataFrame:
     return out
 
 
-def _block_pairs(texts: DataFrame, most: int, pairs_at_most: int) -> tuple[DataFrame, DataFrame]:
+def _block_pairs(texts: DataFrame, bands: list[Band], pairs_at_most: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of ``texts`` that have a block of character pairs in common and may be within
-    ``most`` edits, and the ids of lines whose blocks too many lines share."""
-    blocks, signs = 4 * most + 1, F.split("line", "")
+    the distance, and the ids of lines whose blocks too many lines share."""
+    blocks, signs = 4 * max(e for _, _, e in bands) + 1, F.split("line", "")
     hashed = F.zip_with(F.slice(signs, F.lit(1), F.col("n") - 1), F.slice(signs, F.lit(2), F.col("n") - 1), lambda a, b: F.hash(a, b).cast("long"))
     rows = texts.select("h1", "h2", "n", hashed.alias("grams"))
     one = lambda b: F.xxhash64(F.lit(b), F.aggregate(F.filter("grams", lambda v: F.pmod(v, F.lit(blocks)) == b), F.lit(0).cast("long"), lambda s, v: s + v))
@@ -243,7 +244,8 @@ def _block_pairs(texts: DataFrame, most: int, pairs_at_most: int) -> tuple[DataF
     sizes = cut(rows.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g", (F.col("k") * F.col("k") > pairs_at_most).alias("open")), "line-block-sizes")
     few = rows.join(sizes.filter("not open"), "g")
     left, right = (few.select("g", *[F.col(c).alias(f"{c}{t}") for c in ("h1", "h2", "n", "p")]) for t in "ab")
-    may = (F.abs(F.col("na") - F.col("nb")) <= most) & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 4 * most)
+    edits = _threshold(F.least("na", "nb"), bands)
+    may = (F.abs(F.col("na") - F.col("nb")) <= edits) & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 4 * edits)
     pairs = left.join(right, "g").filter(F.expr("(h1a, h2a) < (h1b, h2b)") & may).select("h1a", "h2a", "h1b", "h2b")
     return pairs, rows.join(sizes.filter("open"), "g", "left_semi").select("h1", "h2").distinct()
 
@@ -312,11 +314,11 @@ def _apart_pairs(texts: DataFrame, bands: list[Band], pairs_at_most: int) -> lis
         state = deeper
 
 
-def _candidates(distinct: DataFrame, lines: DataFrame, index: list[str], probes: list[str], bands: list[Band]) -> DataFrame:
+def _candidates(distinct: DataFrame, lines: DataFrame, index: Names, probes: Names, bands: list[Band]) -> DataFrame:
     """h1a, h2a, h1b, h2b: pairs of different lines, the smaller hashes first."""
 
-    def side(rows: DataFrame, columns: list[str], tag: str) -> DataFrame:
-        entries = F.array(*[F.struct(F.col(k).alias("key"), F.col(r).alias("rest")) for k, r in zip(columns[::2], columns[1::2], strict=True)])
+    def side(rows: DataFrame, columns: Names, tag: str) -> DataFrame:
+        entries = F.array(*[F.struct(F.col(k).alias("key"), (F.col(r) if r else F.lit(0).cast("long")).alias("rest")) for k, r in columns])
         each = rows.select(F.explode(entries).alias("x"), "h1", "h2").filter(F.col("x.key").isNotNull())
         return each.select("x.key", F.col("x.rest").alias(f"rest{tag}"), F.col("h1").alias(f"h1{tag}"), F.col("h2").alias(f"h2{tag}"))
 
@@ -333,7 +335,7 @@ def _candidates(distinct: DataFrame, lines: DataFrame, index: list[str], probes:
     if any_shared:
         everything = side(distinct, index + probes, "")
         texts = _texts(lines, distinct, everything.join(shared, "key", "left_semi").select("h1", "h2"))
-        by_block, crowded = _block_pairs(texts, max(e for _, _, e in bands), PAIRS)
+        by_block, crowded = _block_pairs(texts, bands, PAIRS)
         found.append(by_block)
         crowded = cut(crowded, "line-crowded")
         apart = [] if crowded.isEmpty() else _apart_pairs(texts.join(crowded, ["h1", "h2"], "left_semi"), bands, PAIRS)
@@ -352,10 +354,8 @@ def _removed(rows: DataFrame, edits: int | Sequence[tuple[int, int]], least: int
     """row and removed for each row (row, key, text) with lines to remove."""
     bands = bands_of(edits, least)
     lines = _lines(rows, least if equal_from is None else min(least, equal_from))
-    index, probes = _keys(F.col("line"), F.col("n"), bands)
-    names = [f"i{k}" for k in range(len(index))], [f"p{k}" for k in range(len(probes))]
-    keyed = lines.select("at.key", "h1", "h2", *[c.alias(n) for c, n in zip(index + probes, names[0] + names[1], strict=True)])
-    distinct = keyed.groupBy("h1", "h2").agg(F.min("key").alias("key"), F.count("*").alias("n"), *[F.max(n).alias(n) for n in names[0] + names[1]])
+    keyed, *names = _keyed(lines, bands)
+    distinct = keyed.groupBy("h1", "h2").agg(F.min("key").alias("key"), F.count("*").alias("n"), *[F.max(n).alias(n) for n in keyed.columns[3:]])
     distinct = cut(distinct, "lines")
     pairs = settled(lambda: _candidates(distinct, lines, *names, bands), "line-pairs")
     texts = _texts(lines, distinct, pairs.select(F.explode(F.array(F.struct(F.col("h1a").alias("h1"), F.col("h2a").alias("h2")), F.struct(F.col("h1b").alias("h1"), F.col("h2b").alias("h2")))).alias("x")).select("x.*"))

@@ -15,10 +15,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = line_dedup.repeated_lines(docs, "doc_id", "text", equal_from=1, into="removed_lines")
+    # Counted before the removed lines are joined to the rows, so that no text goes through that join.
     n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
-    return found.select("doc_id", n_lines.alias("n_lines"), F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", n_lines.alias("n_lines"))
+    found = line_dedup.repeated_lines(docs, "doc_id", "text", equal_from=1, into="removed_lines")
+    return found.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines")
 
 
 SHARDS = 16

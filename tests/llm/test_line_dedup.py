@@ -1,6 +1,7 @@
 """The line join against brute force, and the work it makes on lines of one template."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,3 +156,17 @@ def test_query_has_a_row_for_each_document(spark):
     rows = got.collect()
     assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert all(r["n_removed"] == len(r["removed_lines"]) <= r["n_lines"] for r in rows)
+
+
+def test_the_query_joins_no_texts(spark):
+    """Its result needs the number of lines alone; texts would go through the last join's exchange."""
+    plan = queries.op5_line_dedup(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "n_lines" in plan and "text" not in plan
+
+
+def test_keys_are_compiled(spark):
+    """The JVM doesn't compile methods of more than 8000 bytes."""
+    rows = spark.createDataFrame([(1, 1, "a line\nof two")], "row long, key long, text string")
+    plan = line_dedup._keyed(line_dedup._lines(rows, 1), line_dedup.bands_of(line_dedup.EDITS, line_dedup.MIN_CHARS))[0]._jdf.queryExecution().executedPlan()
+    code = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenString(plan)
+    assert all(int(n) <= 8000 for n in re.findall(r"maxMethodCodeSize:(\d+)", code))
